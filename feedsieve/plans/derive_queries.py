@@ -330,7 +330,7 @@ def quality_warnings(spark, sf):
 
 _LANG = """
 counted AS (SELECT doc_id, lang, length(regexp_replace(p, '[^\\x{4e00}-\\x{9fff}]', '', 'g')) AS cjk, length(regexp_replace(p, '[^A-Za-z]', '', 'g')) AS latin
-  FROM (SELECT doc_id, lang, regexp_replace(regexp_replace(t, '(?i)https?://\\S+|www\\.\\S+', ' ', 'g'), '\\b[\\p{L}\\p{N}_.+-]+@[\\p{L}\\p{N}_.-]+\\.[\\p{L}\\p{N}_]+\\b', ' ', 'g') AS p FROM shown)),
+  FROM (SELECT doc_id, lang, regexp_replace(regexp_replace(t, '(?i)https?://\\S+|www\\.\\S+', ' ', 'g'), '[\\p{L}\\p{N}_.+-]+@[\\p{L}\\p{N}_.-]+\\.[\\p{L}\\p{N}_]+\\b', ' ', 'g') AS p FROM shown)),
 found AS (SELECT *, CASE WHEN cjk + latin = 0 THEN 'unknown' WHEN cjk >= 20 AND cjk / (cjk + latin) >= 25e-2 THEN 'zh' WHEN latin >= 80 AND latin / (cjk + latin) >= 65e-2 THEN 'en'
   WHEN cjk + latin < 80 THEN 'unknown' WHEN cjk >= 10 AND latin >= 40 THEN 'mixed' ELSE 'unknown' END AS detected FROM counted)"""
 _ZH = "节目讨论能源与市场"

@@ -71,8 +71,8 @@ def _tags(x: str, rules) -> str:
 
 
 def entities(x: str) -> str:
-    """The three entities of the test pages."""
-    return f"replace(replace(replace({x}, '&copy;', '©'), '&quot;', '\"'), '&amp;', '&')"
+    """The entities of the test pages."""
+    return f"replace(replace(replace(replace({x}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&')"
 
 
 def clean_html(x: str) -> str:

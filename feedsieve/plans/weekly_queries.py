@@ -1,0 +1,42 @@
+"""The flagship query."""
+
+from __future__ import annotations
+
+from feedsieve.plans import sql as q
+from feedsieve.plans.adapters import TEST_POLICY, episodes, with_episodes
+from feedsieve.plans.catalog import query
+from feedsieve.plans.derive_queries import _STOP, _VERDICT
+from feedsieve.plans.weekly import screen, weekly_top
+
+P = TEST_POLICY
+EPISODE_ID = f"""podcast_id || '_' || replace(publish_date, '-', '') || '_' || lower(array_to_string(list_filter(
+  regexp_extract_all(episode_title, '[\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) > 1 AND NOT list_contains({_STOP}, lower(w)))[1:3], '_')) || '_' || left(sha1(episode_title), 8)"""
+UNIQUE = f"""
+named AS (SELECT *, {EPISODE_ID} AS episode_id FROM episodes),
+once AS (SELECT * FROM named QUALIFY row_number() OVER (PARTITION BY podcast_id, episode_id ORDER BY item_pos) = 1),
+uniq AS (SELECT * FROM once QUALIFY row_number() OVER (PARTITION BY episode_title || publish_date ORDER BY feed_ord, item_pos) = 1)
+"""
+SCREENED = (UNIQUE, q.scored(P).replace("FROM episodes)", "FROM uniq)"), q.classified(P, "judged"), f"""
+decided AS (SELECT *, {_VERDICT} AS decision FROM classified),
+ranked AS (SELECT week_id, final_score, row_number() OVER (PARTITION BY week_id ORDER BY final_score DESC) AS rn, count(*) OVER (PARTITION BY week_id) AS n FROM decided WHERE decision = 'preview'),
+cuts AS (SELECT week_id, max(n) AS n, max(CASE WHEN rn = greatest(0, CAST(floor(n * 2e-1) AS BIGINT) - 1) + 1 THEN final_score END) AS upper_cut,
+  max(CASE WHEN rn = greatest(0, CAST(floor(n * 6e-1) AS BIGINT) - 1) + 1 THEN final_score END) AS lower_cut FROM ranked GROUP BY week_id),
+screened AS (SELECT d.*, CASE WHEN d.decision <> 'preview' OR c.n < 2 THEN 'medium'
+  WHEN d.final_score >= (CASE WHEN c.n >= 5 THEN upper_cut ELSE (upper_cut + lower_cut) / 2 END) THEN 'high' WHEN d.final_score >= lower_cut THEN 'medium' ELSE 'low' END AS priority,
+  CASE WHEN topic_relevance <= 0 AND greatest(strategic_value, actionability) < 40 THEN 'no' WHEN final_score >= {P.yes_score} OR transcription_value >= {P.yes_transcription} THEN 'yes'
+    WHEN final_score >= {P.maybe_score} OR transcription_value >= {P.maybe_transcription} THEN 'maybe' ELSE 'no' END AS full_suggestion
+  FROM decided d LEFT JOIN cuts c USING (week_id))
+""")
+
+
+@query("weekly_screen", with_episodes("""
+SELECT week_id, podcast_id, item_pos, feed_ord, episode_id, final_score, decision, reason_code AS decision_reason_code, full_suggestion, priority, CAST(place AS INT) AS place
+FROM (SELECT *, row_number() OVER (PARTITION BY week_id ORDER BY final_score DESC, decision, feed_ord, item_pos) AS place FROM screened WHERE decision <> 'skip') WHERE place <= 3""", *SCREENED))
+def weekly_screen(spark, sf):
+    return weekly_top(episodes(spark, sf), P)
+
+
+@query("weekly_decisions", with_episodes("""
+SELECT item_pos, week_id, final_score, decision, reason_code AS decision_reason_code, priority, full_suggestion FROM screened""", *SCREENED))
+def weekly_decisions(spark, sf):
+    return screen(episodes(spark, sf), P).select("item_pos", "week_id", "final_score", "decision", "decision_reason_code", "priority", "full_suggestion")
