@@ -10,28 +10,44 @@ from feedsieve.functions.items import episode_id
 from feedsieve.operators import ranking
 from feedsieve.operators.quality import uncertainty_text
 from feedsieve.policy import Policy
+from feedsieve.session import materialize
 
+# Long texts and helpers that end with the scoring pass.
+TEXT_COLUMNS = ("show_notes", "show_notes_raw", "_title", "_notes", "_low", "_hits")
 
-def screen(items: DataFrame, policy: Policy) -> DataFrame:
-    """Deduplicate, score, classify and prioritise items of any number of weeks.
 
-    Two shuffles carry item rows (dedup by id, dedup by title and date); the priority adds a histogram.
+def decide(items: DataFrame, policy: Policy) -> DataFrame:
+    """Ids, scores and decisions of every item in one narrow pass; the texts stay behind.
+
+    Needs podcast_id, publish_date, episode_title, show_notes, audio_url, duration_seconds, duration_minutes.
     """
     named = items.withColumn("episode_id", episode_id(F.col("podcast_id"), F.col("publish_date"), F.col("episode_title")))
-    unique = ranking.dedup_cross_feed(ranking.dedup_episode_id(named))
-    scored = score.add_scores(unique, policy)
-    verdict = score.classify(F.col("episode_title"), F.col("_notes"), F.col("audio_url"), F.col("duration_seconds"), F.col("duration_minutes"), policy)
-    if policy.mode == "all_preview":
-        decided = scored.withColumn("_v", verdict).withColumns({
-            "decision": F.col("_v.decision"), "decision_reason_code": F.col("_v.reason_code"), "decision_reason_zh": F.col("_v.reason_zh")}).drop("_v")
-    else:
-        decided = scored.withColumns({"decision": F.col("score_decision"), "decision_reason_code": F.concat(F.lit("score_based_"), "score_decision")})
-    out = decided.withColumns({
+    scored = score.add_scores(named, policy)
+    extra = {
         "full_suggestion": score.full_suggestion(*[F.col(c) for c in ("final_score", "transcription_value", "topic_relevance", "strategic_value", "actionability")], policy),
-        "uncertainty_zh": uncertainty_text(F.length("_notes"), F.col("novelty"), F.col("information_density"), F.col("score_decision"))})
+        "uncertainty_zh": uncertainty_text(F.length("_notes"), F.col("novelty"), F.col("information_density"), F.col("score_decision")),
+    }
+    if policy.mode == "all_preview":
+        extra["_v"] = score.classify(F.col("episode_title"), F.col("_notes"), F.col("audio_url"), F.col("duration_seconds"), F.col("duration_minutes"), policy)
+        kept = scored.withColumns(extra)
+        return kept.select(*[c for c in kept.columns if c not in (*TEXT_COLUMNS, "_v")], F.col("_v.decision").alias("decision"),
+                           F.col("_v.reason_code").alias("decision_reason_code"), F.col("_v.reason_zh").alias("decision_reason_zh"))
+    extra |= {"decision": F.col("score_decision"), "decision_reason_code": F.concat(F.lit("score_based_"), "score_decision")}
+    return scored.withColumns(extra).drop(*TEXT_COLUMNS)
+
+
+def screen(items: DataFrame, policy: Policy) -> DataFrame:
+    """Score, classify, deduplicate and prioritise items of any number of weeks.
+
+    The texts are read once and never shuffled: duplicates are found among the scored, narrow rows. What
+    is left is stored once, because the priority reads it twice (histogram, then rows).
+    """
+    unique = ranking.dedup_cross_feed(ranking.dedup_episode_id(decide(items, policy)))
+    stored = materialize(unique, "decisions")
     if policy.mode == "all_preview":
-        return ranking.relative_priority(out)
-    return out.withColumn("priority", ranking.fixed_priority(F.col("final_score")))
+        return ranking.relative_priority(stored)
+    limited = ranking.weekly_limits(stored.withColumn("reason", F.lit("")), policy)
+    return limited.withColumn("priority", ranking.fixed_priority(F.col("final_score")))
 
 
 def weekly_top(items: DataFrame, policy: Policy, k: int = 3) -> DataFrame:
