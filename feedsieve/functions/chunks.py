@@ -36,8 +36,8 @@ _GUARD = "\x03"
 
 def _pack(text: Column, limit: int, boundary: str) -> Column:
     """Longest pieces of at most `limit` characters ending on a boundary; an unbreakable run stays whole."""
-    pattern = rf"(?sd)\G(?:.{{1,{limit}}}|.+?)(?:{boundary}|\z)"
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pattern = rf"(?sd)\G(.{{1,{limit}}}|.+?)(?:{boundary}|\z)"
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
 
 
 def _paragraphs(text: Column, boundary: str) -> Column:
@@ -109,8 +109,8 @@ def _units(paragraph: Column, limit: int) -> Column:
         F.regexp_replace(paragraph, r"(?U)(?<=[.!?])\s+", _UNIT))
 
     def packed(joined: Column, glue: str) -> Column:
-        raw = _pack(joined, limit, f"(?={_UNIT})|{_UNIT}")
-        return F.filter(F.transform(raw, lambda p: strip(F.replace(F.btrim(p, F.lit(_UNIT)), F.lit(_UNIT), F.lit(glue)))),
+        raw = _pack(joined, limit, _UNIT)
+        return F.filter(F.transform(raw, lambda p: strip(F.replace(p, F.lit(_UNIT), F.lit(glue)))),
                         lambda p: p != "")
 
     return F.when(by_line, packed(lines, "\n")).otherwise(F.transform(packed(sentences, " "), _unguarded))
@@ -127,5 +127,5 @@ def pack_chunks(text: Column, limit: int = TRANSLATION_CHUNK_CHARS) -> Column:
                          .when(chunk_structure(p) != "", F.concat(F.lit(_HARD), p))
                          .otherwise(F.concat(F.lit("\n\n"), p)))
     runs = F.split(F.array_join(marked, ""), _HARD, -1)
-    chunks = F.flatten(F.transform(runs, lambda r: _pack(r, limit, r"(?=\n\n)|\n\n")))
+    chunks = F.flatten(F.transform(runs, lambda r: _pack(r, limit, r"\n\n")))
     return F.filter(F.transform(chunks, strip), lambda c: c != "")

@@ -86,8 +86,8 @@ def exclude_hosts(spark, sf):
 
 
 @query("cache_ttl_lookup", """
-WITH c AS (SELECT o_orderkey % 5000 AS key, max(o_orderdate) AS at FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1)
-SELECT c_custkey, coalesce(floor((epoch(TIMESTAMP '1999-06-01 00:00:00') - epoch(at)) / 86400) <= CASE WHEN c_custkey % 5000 % 2 = 0 THEN 900 ELSE 300 END, false) AS cache_valid FROM customer LEFT JOIN c ON c.key = c_custkey % 5000""")
+WITH c AS (SELECT o_orderkey % 5000 AS key, max(o_orderdate) AS seen FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1)
+SELECT c_custkey, coalesce(floor((epoch(TIMESTAMP '1999-06-01 00:00:00') - epoch(seen)) / 86400) <= CASE WHEN c_custkey % 5000 % 2 = 0 THEN 900 ELSE 300 END, false) AS cache_valid FROM customer LEFT JOIN c ON c.key = c_custkey % 5000""")
 def cache_ttl_lookup(spark, sf):
     cache = table(spark, sf, "orders").filter(F.col("o_orderstatus") != "P").groupBy((F.col("o_orderkey") % 5000).alias("key")).agg(
         F.max("o_orderdate").cast("timestamp").alias("cached_at"))
