@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedsieve.functions import keywords as kw
-from feedsieve.functions.bind import let
+from feedsieve.functions.bind import let, let_sql
 from feedsieve.functions.text import clean_title, strip, strip_html, unescape
 from feedsieve.policy import Interests, Policy
 
@@ -41,11 +41,10 @@ def sentence_parts(text: Column) -> Column:
 
 def length_score(length: Column) -> Column:
     """Piecewise-linear in the text length, rounded half to even."""
-    out = F.lit(float(LENGTH_CURVE[-1][1]))
-    for (x0, y0), (x1, y1) in reversed(list(zip(LENGTH_CURVE, LENGTH_CURVE[1:]))):
-        line = F.lit(float(y0)) + (length - x0).cast("double") / F.lit(float(x1 - x0)) * F.lit(float(y1 - y0))
-        out = F.when(length <= x1, line).otherwise(out)
-    return F.rint(out).cast("int")
+    pieces = " ".join(
+        f"WHEN x <= {x1} THEN {y0}D + cast(x - {x0} as double) / {x1 - x0}D * {y1 - y0}D"
+        for (x0, y0), (x1, y1) in zip(LENGTH_CURVE, LENGTH_CURVE[1:]))
+    return let_sql(length, f"cast(rint(CASE {pieces} ELSE {LENGTH_CURVE[-1][1]}D END) as int)")
 
 
 def information_density(notes: Column) -> Column:
@@ -55,7 +54,7 @@ def information_density(notes: Column) -> Column:
     def density(text: Column) -> Column:
         sentences = F.size(F.filter(sentence_parts(text), lambda p: F.regexp_count(p, F.lit(LETTER)) >= 12))
         marks = F.regexp_count(text, F.lit(BULLET_LINE)) + F.regexp_count(text, F.lit(CLOCK_TIME))
-        total = let(F.length(text), length_score) + F.least(F.lit(25), sentences * 3) + F.least(F.lit(15), marks * 2)
+        total = length_score(F.length(text)) + F.least(F.lit(25), sentences * 3) + F.least(F.lit(15), marks * 2)
         return F.when(text == "", F.lit(0)).otherwise(F.least(F.lit(100), total))
 
     return let(strip_html(notes), density)
@@ -81,32 +80,28 @@ def transcription_value(minutes: Column, notes: Column, hits: Column, strategic_
                    + F.when(kw.any_hit(hits, strategic_words), 15).otherwise(0))
 
 
+# Only sums ending in 5 hundredths can tie. There the double is compared with the tie, by an exact split
+# product (tie = upper + lower halves of its bits) where both look equal.
+_TENTHS = """transform(array(named_struct('total', x.total, 'cents', x.cents, 'tie', cast(x.cents as double) / 100D)), v ->
+  transform(array((v.tie * 134217729D) - ((v.tie * 134217729D) - v.tie)), upper ->
+    transform(array(if(v.total != v.tie, v.total - v.tie, (upper * 100D - cast(v.cents as double)) + (v.tie - upper) * 100D)), side ->
+      cast(floor(v.cents / 10) + cast(pmod(v.cents, 10) > 5 OR (pmod(v.cents, 10) = 5 AND (side > 0 OR (side = 0 AND floor(v.cents / 10) % 2 = 1))) as int) as double) / 10D
+    )[0])[0])[0]"""
+
+
 def tenths(total: Column, hundredths: Column) -> Column:
     """Round a double to one decimal exactly as its binary value demands, half to even.
 
-    `hundredths` is the ideal sum times 100 as an integer. Only sums ending in 5 can tie; there the
-    double is compared with the tie, by an exact split product where both look equal.
+    `hundredths` is the ideal sum times 100 as an integer.
     """
-
-    def rounded(v: Column) -> Column:
-        cents = v["cents"]
-        tie = cents.cast("double") / 100.0
-        big = tie * 134217729.0
-        upper = big - (big - tie)
-        residue = (upper * 100.0 - cents.cast("double")) + (tie - upper) * 100.0
-        side = F.when(v["total"] != tie, v["total"] - tie).otherwise(residue)
-        low = F.floor(cents / 10)
-        last = F.pmod(cents, F.lit(10))
-        up = (last > 5) | ((last == 5) & ((side > 0) | ((side == 0) & (low % 2 == 1))))
-        return (low + up.cast("int")).cast("double") / 10.0
-
-    return let(F.struct(total.alias("total"), hundredths.alias("cents")), rounded)
+    return let_sql(F.struct(total.alias("total"), hundredths.alias("cents")), _TENTHS)
 
 
-def weighted_score(dims: dict[str, Column]) -> Column:
-    ideal = reduce(lambda a, b: a + b, [dims[n] * w for n, w in WEIGHTS])
-    total = reduce(lambda a, b: a + b, [dims[n].cast("double") * (w / 100.0) for n, w in WEIGHTS])
-    return tenths(F.least(F.lit(100.0), F.greatest(F.lit(0.0), total)), clamp(ideal, 0, 10000))
+def weighted_score() -> Column:
+    """Score from the six dimension columns."""
+    ideal = " + ".join(f"{n} * {w}" for n, w in WEIGHTS)
+    total = " + ".join(f"cast({n} as double) * {w / 100.0!r}D" for n, w in WEIGHTS)
+    return tenths(F.expr(f"least(100D, greatest(0D, {total}))"), F.expr(f"least(10000, greatest(0, {ideal}))"))
 
 
 def score_decision(score: Column, policy: Policy) -> Column:
@@ -153,7 +148,7 @@ def add_scores(items: DataFrame, policy: Policy) -> DataFrame:
         "strategic_value": keyword_dimension(hits, policy.strategic_words),
         "transcription_value": transcription_value(F.col("duration_minutes"), notes, hits, policy.strategic_words),
     })
-    scored = dims.withColumn("final_score", weighted_score({n: F.col(n) for n, _ in WEIGHTS}))
+    scored = dims.withColumn("final_score", weighted_score())
     return scored.withColumn("score_decision", score_decision(F.col("final_score"), policy))
 
 

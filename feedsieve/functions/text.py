@@ -8,7 +8,7 @@ import json
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from feedsieve.functions.bind import let
+from feedsieve.functions.bind import let, let_sql
 
 # Characters that count as blank when trimming.
 BLANKS = (
@@ -52,75 +52,39 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(BLANKS))
 
 
-def _named_entities() -> Column:
+def _entity_names() -> str:
+    """The HTML5 entity table as JSON, the frequent names first (map lookups scan in order)."""
     names = html.entities.html5
     ordered = {k: names[k] for k in _COMMON_FIRST} | names
-    return F.from_json(F.lit(json.dumps(ordered)), "map<string,string>")
-
-
-def _code_point(cp: Column) -> Column:
-    """Character of a numeric reference; Windows-1252 range, bad and control points as in HTML5."""
-    high_controls = "".join(
-        bytes([b]).decode("cp1252") if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else chr(b)
-        for b in range(0x80, 0xA0)
-    )
-    char = F.decode(F.unhex(F.lpad(F.hex(cp), 8, "0")), "UTF-32")
-    dropped = (
-        cp.between(0x1, 0x8) | (cp == 0xB) | cp.between(0xE, 0x1F) | (cp == 0x7F)
-        | cp.between(0xFDD0, 0xFDEF) | (cp.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
-    )
-    return (
-        F.when((cp == 0) | cp.between(0xD800, 0xDFFF) | (cp > 0x10FFFF), F.lit("�"))
-        .when(cp.between(0x80, 0x9F), F.substring(F.lit(high_controls), (cp - 0x7F).cast("int"), F.lit(1)))
-        .when(dropped, F.lit(""))
-        .otherwise(char)
-    )
-
-
-def _named(part: Column) -> Column:
-    """What follows an '&' that starts no numeric reference: whole known name, else its longest known prefix."""
-    def prefixes(name: Column) -> Column:
-        return F.filter(
-            F.transform(
-                F.sequence(F.length(name), F.lit(2), F.lit(-1)),
-                lambda n: F.struct(n.alias("n"), F.try_element_at(_named_entities(), F.substring(name, F.lit(1), n)).alias("v")),
-            ),
-            lambda s: s["v"].isNotNull(),
-        )
-
-    def replaced(value: Column, used: Column) -> Column:
-        return F.concat(value, F.substring(part, used + 1, F.length(part)))
-
-    def by_name(name: Column) -> Column:
-        plain = F.concat(F.lit("&"), part)
-        by_prefix = let(F.get(prefixes(name), F.lit(0)),
-                        lambda hit: F.when(hit.isNotNull(), replaced(hit["v"], hit["n"])).otherwise(plain))
-        whole = let(F.try_element_at(_named_entities(), name),
-                    lambda v: F.when(v.isNotNull(), replaced(v, F.length(name))).otherwise(by_prefix))
-        return F.when(F.length(name) >= 2, whole).otherwise(plain)
-
-    return let(F.regexp_extract(part, r"^[^\t\n\f <&#;]{1,32};?", 0), by_name)
-
-
-def _numeric(part: Column) -> Column:
-    dec = F.regexp_extract(part, r"^#([0-9]+)", 1)
-    hexa = F.regexp_extract(part, r"^#[xX]([0-9a-fA-F]+)", 1)
-    cp = F.when(dec != "", F.right(F.concat(F.lit("0"), dec), F.lit(18)).cast("bigint")).otherwise(
-        F.conv(F.right(hexa, F.lit(15)), 16, 10).cast("bigint"))
-    rest = F.regexp_replace(part, r"^#(?:[0-9]+|[xX][0-9a-fA-F]+);?", "")
-    return F.concat(let(cp, _code_point), rest)
+    return json.dumps(ordered).replace("'", "\\u0027")
 
 
-def unescape(text: Column) -> Column:
-    """HTML5 entity decoding; text without '&' passes through untouched."""
+# Windows-1252 characters of the numeric references 128 to 159.
+_HIGH_CONTROLS = "".join(
+    bytes([b]).decode("cp1252") if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else chr(b) for b in range(0x80, 0xA0))
 
-    def one(part: Column) -> Column:
-        return F.when(part.rlike(r"^#(?:[0-9]|[xX][0-9a-fA-F])"), _numeric(part)).otherwise(_named(part))
+# What follows an '&' is p. Numeric references become their character; a name is taken whole if known, else by
+# its longest known prefix; anything else stays.
+_DECODE_NUMBER = rf"""concat(
+  transform(array(if(p rlike r'^#[0-9]', cast(right(concat('0', regexp_extract(p, r'^#([0-9]+)', 1)), 18) as bigint),
+                     cast(conv(right(regexp_extract(p, r'^#[xX]([0-9a-fA-F]+)', 1), 15), 16, 10) as bigint))), c -> CASE
+    WHEN c = 0 OR c BETWEEN 55296 AND 57343 OR c > 1114111 THEN '\ufffd'
+    WHEN c BETWEEN 128 AND 159 THEN substring('{"".join(f"{chr(92)}u{ord(ch):04x}" for ch in _HIGH_CONTROLS)}', cast(c - 127 as int), 1)
+    WHEN c BETWEEN 1 AND 8 OR c = 11 OR c BETWEEN 14 AND 31 OR c = 127 OR c BETWEEN 64976 AND 65007 OR (c & 65534) = 65534 THEN ''
+    ELSE decode(unhex(lpad(hex(c), 8, '0')), 'UTF-32') END)[0],
+  regexp_replace(p, r'^#(?:[0-9]+|[xX][0-9a-fA-F]+);?', ''))"""
+_DECODE_NAME = r"""transform(array(regexp_extract(p, r'^[^\t\n\f <&#;]{1,32};?', 0)), n -> CASE
+    WHEN length(n) < 2 THEN concat('&', p)
+    WHEN try_element_at(names, n) IS NOT NULL THEN concat(try_element_at(names, n), substring(p, length(n) + 1))
+    ELSE coalesce(get(filter(transform(sequence(length(n), 2, -1), k -> concat(try_element_at(names, substring(n, 1, k)), substring(p, k + 1))), v -> v IS NOT NULL), 0), concat('&', p)) END)[0]"""
 
-    def decoded(parts: Column) -> Column:
-        return F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), one), ""))
 
-    return let(text, lambda t: F.when(F.contains(t, F.lit("&")), let(F.split(t, "&", -1), decoded)).otherwise(t))
+def unescape(text: Column) -> Column:
+    """HTML5 entity decoding; text without '&' passes through untouched."""
+    one = f"if(p rlike r'^#(?:[0-9]|[xX][0-9a-fA-F])', {_DECODE_NUMBER}, {_DECODE_NAME})"
+    decoded = (f"transform(array(from_json(r'{_entity_names()}', 'map<string,string>')), names -> transform(array(split(x, '&', -1)), parts -> "
+               f"concat(parts[0], array_join(transform(slice(parts, 2, size(parts)), p -> {one}), '')))[0])[0]")
+    return let_sql(text, f"CASE WHEN contains(x, '&') THEN {decoded} ELSE x END")
 
 
 def _chain(text: Column, rules) -> Column:

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedsieve.functions.bind import let
+from feedsieve.functions.bind import let, let_sql, raw
 from feedsieve.functions.boilerplate import needed_literal
 from feedsieve.functions.text import strip, unescape
 from feedsieve.operators.joins import expand_alias, with_host_flag
@@ -166,8 +166,8 @@ def _uncaptured(pattern: str) -> str:
     return re.sub(r"(?<!\\)\((?!\?)", "(?:", pattern)
 
 
-def _matches(text: Column, family: Family, pattern: str, label: str, number: int, source: str, source_no: int) -> Column:
-    """Candidate structs of one pattern in one text."""
+def _matches(family: Family, pattern: str, label: str, number: int, source: str, source_no: int) -> str:
+    """SQL over the text x: candidate structs of one pattern."""
     flags = f"(?{family.flags})"
     full, offset = pattern, 0
     if family.before:
@@ -178,51 +178,48 @@ def _matches(text: Column, family: Family, pattern: str, label: str, number: int
     if family.after:
         full += rf"(?=([\s\S]{{0,{family.after}}}))"
 
-    def group(i: int) -> Column:
-        return F.regexp_extract_all(text, F.lit(flags + full), F.lit(i))
+    def group(i: int, name: str) -> str:
+        return f"regexp_extract_all(x, {raw(flags + full)}, {i}) AS {name}"
 
-    parts = [group(0).alias("whole"), *[group(offset + g).alias(f"g{g}") for g in range(1, family.groups + 1)]]
+    parts = [group(0, "whole"), *[group(offset + g, f"g{g}") for g in range(1, family.groups + 1)]]
+    context = []
     if family.before:
-        parts += [group(1).alias("l1"), group(2).alias("l2")]
+        parts += [group(1, "l1"), group(2, "l2")]
+        context += ["m.l1", "m.l2"]
+    if family.before or family.after:
+        context.append("m.whole")
     if family.after:
-        parts.append(group(n_groups + 1).alias("r"))
-
-    def structs(m: Column, i: Column) -> Column:
-        context = m["whole"]
-        if family.before:
-            context = F.concat(m["l1"], m["l2"], context)
-        if family.after:
-            context = F.concat(context, m["r"])
-        return F.array(*[F.struct(
-            F.lit(number).alias("pattern_no"), F.lit(source_no).alias("source_no"), (i * family.groups + g).cast("int").alias("match_no"),
-            F.lit(family.name).alias("family"), F.lit(source).alias("source"), F.lit(label).alias("pattern"), strip(m[f"g{g}"]).alias("raw"),
-            F.left(m["whole"], F.lit(family.cut)).alias("matched_text"),
-            (context if family.before or family.after else F.lit("")).alias("context")) for g in range(1, family.groups + 1)])
-
-    found = F.flatten(F.transform(F.arrays_zip(*parts), structs))
+        parts.append(group(n_groups + 1, "r"))
+        context.append("m.r")
+    shown = f"concat({', '.join(context)})" if context else "''"
+    structs = ", ".join(
+        f"named_struct('pattern_no', {number}, 'source_no', {source_no}, 'match_no', i * {family.groups} + {g}, 'family', '{family.name}', 'source', '{source}', "
+        f"'pattern', '{label}', 'raw', m.g{g}, 'matched_text', left(m.whole, {family.cut}), 'context', {shown})" for g in range(1, family.groups + 1))
+    names = ", ".join(p.rsplit(" AS ", 1)[0] for p in parts)
+    # arrays_zip of expressions names its fields by position.
+    for at, part in enumerate(parts):
+        structs = re.sub(rf"\bm\.{part.rsplit(' AS ', 1)[1]}\b", f"m.`{at}`", structs)
+    found = f"flatten(transform(arrays_zip({names}), (m, i) -> array({structs})))"
     literal = needed_literal(re.sub(r"\\x\{[0-9a-f]+\}", ".", pattern)).lower()
-    empty = F.array().cast(CANDIDATE)
-    return F.when(F.contains(F.lower(text), F.lit(literal)), found).otherwise(empty) if literal else found
+    return f"if(contains(low, {raw(literal)}), {found}, array())" if literal else found
 
 
 def _text_candidates(text: Column, source: str, source_no: int) -> Column:
-    def every(t: Column) -> Column:
-        found, number = [], 0
-        for family in FAMILIES:
-            for pattern, label in family.patterns:
-                found.append(_matches(t, family, pattern, label, number, source, source_no))
-                number += 1
-        return F.concat(*found)
-
-    return let(F.coalesce(text, F.lit("")), every)
+    found, number = [], 0
+    for family in FAMILIES:
+        for pattern, label in family.patterns:
+            found.append(_matches(family, pattern, label, number, source, source_no))
+            number += 1
+    every = f"transform(array(lower(x)), low -> concat({', '.join(found)}))[0]"
+    return let_sql(F.coalesce(text, F.lit("")), every).cast(CANDIDATE)
 
 
 def _title_candidates(title: Column) -> Column:
     def every(t: Column) -> Column:
-        def one(number: int, label: str, raw: Column, pattern: str) -> Column:
+        def one(number: int, label: str, name: Column, pattern: str) -> Column:
             return F.when(t.rlike(f"(?dU){pattern}"), F.struct(
                 F.lit(900 + number).alias("pattern_no"), F.lit(8).alias("source_no"), F.lit(number).alias("match_no"), F.lit("title").alias("family"),
-                F.lit("title").alias("source"), F.lit(label).alias("pattern"), raw.alias("raw"), F.left(t, F.lit(100)).alias("matched_text"),
+                F.lit("title").alias("source"), F.lit(label).alias("pattern"), name.alias("raw"), F.left(t, F.lit(100)).alias("matched_text"),
                 F.lit("").alias("context")))
 
         mma, lex, dash, numbered = TITLE_PATTERNS
@@ -251,9 +248,9 @@ def _feed_candidates(guests: Column) -> Column:
         F.left(g["name"], F.lit(80)).alias("matched_text"), F.lit("").alias("context")))
 
 
-def clean_guest_name(raw: Column) -> Column:
+def clean_guest_name(found: Column) -> Column:
     """A candidate without what clings to it: joined second names, topics, punctuation, quotes, roles."""
-    out = strip(F.regexp_replace(F.coalesce(raw, F.lit("")), r"(?U)\s+", " "))
+    out = strip(F.regexp_replace(F.coalesce(found, F.lit("")), r"(?U)\s+", " "))
     for pattern in (r"(?iU)\s+and\s+\S.*$", r"(?U)\s+&\s+\S.*$", r"(?iU)\s+about\s+\S.*$"):
         out = F.regexp_replace(out, pattern, "")
     out = strip(F.translate(F.rtrim(out, F.lit(".,;:")), "\"'", ""))
@@ -306,7 +303,9 @@ def raw_candidates(items: DataFrame, key: str = "item_pos") -> DataFrame:
 
 def guest_candidates(items: DataFrame, hosts: DataFrame, aliases: DataFrame | None = None, key: str = "item_pos") -> DataFrame:
     """Judged candidates: key, seq columns, name, source, pattern, matched_text, decision."""
-    named = raw_candidates(items, key).withColumn("name", clean_guest_name(F.col("raw")))
+    # The few matches are stored, so the texts are searched once whatever follows.
+    found = materialize(raw_candidates(items, key), "raw-candidates")
+    named = found.withColumn("name", clean_guest_name(F.col("raw")))
     kept = named.filter(~name_noise(F.col("name")))
     flagged = with_host_flag(kept, hosts).withColumn("is_entity", title_entity(F.col("name")))
     fam, host, entity = F.col("family"), F.col("is_host"), F.col("is_entity")
