@@ -221,17 +221,14 @@ def _mentions(low_text: Column, patterns) -> Column:
     """Cheap test that some pattern could match at all."""
     literals = sorted({needed_literal(p) for p in patterns}, key=len)
     kept = [w for i, w in enumerate(literals) if not any(v in w for v in literals[:i])]
-    out = F.lit(False)
-    for w in kept:
-        out = out | F.contains(low_text, F.lit(w))
-    return out
+    return F.exists(F.lit(kept), lambda w: F.contains(low_text, w))
 
 
 def _split_anchored(patterns) -> tuple[list[str], list[str]]:
     return [p for p in patterns if p.startswith("^")], [p for p in patterns if not p.startswith("^")]
 
 
-def line_letters(lines: Column, low_text: Column) -> Column:
+def line_letters(lines: Column) -> Column:
     """One letter per line.
 
     B blank, T content header, X boilerplate, H sponsor header; the rest W/V sponsor line (three or
@@ -239,29 +236,22 @@ def line_letters(lines: Column, low_text: Column) -> Column:
     """
     junk_start, junk_inside = _split_anchored(BOILERPLATE_LINES)
 
-    def letter(line: Column, scan: bool) -> Column:
-        return let(F.lower(line), lambda low: ranked(line, low, scan))
-
-    def ranked(line: Column, low: Column, scan: bool) -> Column:
-        junk = low.rlike(_any(junk_start))
-        if scan:
-            junk = junk | low.rlike(_any(junk_inside))
-            kind = F.when(low.rlike(CHINESE_THANKS), "V").when(low.rlike(_any(SPONSOR_LINES)), "W")
-        else:
-            kind = F.when(F.lit(False), "W")
-        kind = kind.when(low.rlike(_any(SPONSOR_FOLLOW_UPS)), "C").otherwise("O")
+    def letter(line: Column) -> Column:
+        inputs = F.struct(line.alias("line"), F.lower(line).alias("low"))
+        return F.when(line == "", "B").otherwise(let(inputs, lambda v: let(
+            _mentions(v["low"], tuple(junk_inside) + SPONSOR_LINES), lambda costly: ranked(v["line"], v["low"], costly))))
+
+    def ranked(line: Column, low: Column, costly: Column) -> Column:
+        kind = (F.when(costly & low.rlike(CHINESE_THANKS), "V").when(costly & low.rlike(_any(SPONSOR_LINES)), "W")
+                .when(low.rlike(_any(SPONSOR_FOLLOW_UPS)), "C").otherwise("O"))
         return (
-            F.when(line == "", "B")
-            .when(low.rlike(_any(CONTENT_HEADERS)), "T")
-            .when(junk, "X")
+            F.when(low.rlike(_any(CONTENT_HEADERS)), "T")
+            .when(low.rlike(_any(junk_start)) | (costly & low.rlike(_any(junk_inside))), "X")
             .when(low.rlike(_any(SPONSOR_HEADERS)), "H")
-            .when(line.rlike(rf"(?U){LIST_ITEM}"), F.lower(kind))
-            .otherwise(kind)
+            .otherwise(let(kind, lambda k: F.when(line.rlike(rf"(?U){LIST_ITEM}"), F.lower(k)).otherwise(k)))
         )
 
-    costly = _mentions(low_text, tuple(junk_inside) + SPONSOR_LINES)
-    return F.when(costly, F.array_join(F.transform(lines, lambda s: letter(s, True)), "")).otherwise(
-        F.array_join(F.transform(lines, lambda s: letter(s, False)), ""))
+    return F.array_join(F.transform(lines, letter), "")
 
 
 def dropped_lines(letters: Column) -> Column:
@@ -284,7 +274,7 @@ def _without_notices(body: Column) -> Column:
 
 def _kept_lines(body: Column) -> Column:
     def joined(lines: Column) -> Column:
-        marks = F.split(dropped_lines(let(F.lower(body), lambda low: line_letters(lines, low))), "", -1)
+        marks = F.split(dropped_lines(line_letters(lines)), "", -1)
         zipped = F.arrays_zip(lines.alias("line"), marks.alias("mark"))
         kept = F.filter(zipped, lambda z: z["mark"].isin("T", "B", "C", "c", "O", "o"))
         return F.array_join(F.transform(kept, lambda z: z["line"]), "\n")
@@ -316,30 +306,27 @@ LETTER_MEANING = {
 _KEPT = "[RrCc0-7]"
 
 
-def block_letters(blocks: Column, low_text: Column) -> Column:
+def block_letters(blocks: Column) -> Column:
     """One letter per block: section header, removal marker, or a digit holding three continuation bits."""
+    every = tuple(p for patterns in BLOCK_MARKERS.values() for p in patterns)
 
-    def letter(block: Column, scan: bool) -> Column:
-        inputs = F.struct(F.lower(block).alias("low"), F.lower(strip(F.substring_index(block, "\n", 1))).alias("first"))
-        return let(inputs, lambda v: ranked(block, v["low"], v["first"], scan))
+    def letter(block: Column) -> Column:
+        inputs = F.struct(block.alias("block"), F.lower(block).alias("low"), F.lower(strip(F.substring_index(block, "\n", 1))).alias("first"))
+        return let(inputs, lambda v: let(_mentions(v["first"], every), lambda costly: ranked(v["block"], v["low"], v["first"], costly)))
 
-    def ranked(block: Column, low: Column, first: Column, scan: bool) -> Column:
+    def ranked(block: Column, low: Column, first: Column, costly: Column) -> Column:
         out = F.when(F.lit(False), "0")
         for name, patterns in SECTION_HEADERS.items():
             out = out.when(first.rlike(_any(patterns)), _HEADER_LETTER[name])
-        if scan:
-            for name, patterns in BLOCK_MARKERS.items():
-                near = rf"(?sU)\A.{{0,{MARKER_REACH}}}?" + "(?:" + "|".join(patterns) + ")"
-                out = out.when(first.rlike(near), _MARKER_LETTER[name])
+        for name, patterns in BLOCK_MARKERS.items():
+            near = rf"(?sU)\A.{{0,{MARKER_REACH}}}?" + "(?:" + "|".join(patterns) + ")"
+            out = out.when(costly & first.rlike(near), _MARKER_LETTER[name])
         sponsor = block.rlike(rf"(?U){LIST_ITEM}") | block.rlike(rf"(?U){SPONSOR_ITEM}") | low.rlike(rf"(?U){SPONSOR_CONTINUES}")
         bits = (sponsor.cast("int") + low.rlike(rf"(?U){CTA_CONTINUES}").cast("int") * 2
                 + low.rlike(rf"(?U){CREDITS_CONTINUES}").cast("int") * 4)
         return out.otherwise(bits.cast("string"))
 
-    every = tuple(p for patterns in BLOCK_MARKERS.values() for p in patterns)
-    costly = _mentions(low_text, every)
-    return F.when(costly, F.array_join(F.transform(blocks, lambda b: letter(b, True)), "")).otherwise(
-        F.array_join(F.transform(blocks, lambda b: letter(b, False)), ""))
+    return F.array_join(F.transform(blocks, letter), "")
 
 
 def carried_sections(letters: Column) -> Column:
@@ -372,8 +359,7 @@ def filter_blocks(text: Column, separator: str = r"(?U)\n\s*\n", cleaned: bool =
 
     def judged(body: Column) -> Column:
         blocks = F.filter(F.transform(F.split(body, separator, -1), strip), lambda b: b != "")
-        return let(blocks, lambda bs: let(F.lower(body), lambda low: let(
-            carried_sections(block_letters(bs, low)), lambda letters: kept(bs, letters))))
+        return let(blocks, lambda bs: let(carried_sections(block_letters(bs)), lambda letters: kept(bs, letters)))
 
     def kept(blocks: Column, letters: Column) -> Column:
         zipped = F.arrays_zip(blocks.alias("block"), F.split(letters, "", -1).alias("mark"))

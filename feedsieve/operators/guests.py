@@ -95,6 +95,17 @@ ZH_CONTEXT_PATTERNS = (
     (r"[🎤🎧🎙️]\s*(?:本期嘉宾\s*)?([A-Za-z\x{4e00}-\x{9fff}]{2,20})(?=[@，,，\s]|$)", "emoji_guest"),
     (r"本期嘉宾\s*([A-Za-z\x{4e00}-\x{9fff}]{2,20})(?=[@，,，\s]|$)", "benqi_guoke"),
 )
+# Cheap conditions every match of the costly patterns implies; texts that fail them skip the pattern.
+GUARDS = {
+    "chinese_name_english_alias": r"[\x{4e00}-\x{9fff}]\s*[（(]\s*[A-Z]",
+    "description_multi_speaker": r"(?iU),\s+(?:discuss|talk|explain|share)",
+    "english_role_before_name": r"(?:founder|researcher|[wW]riter|author|trader|economist)",
+    "english_coordinated_multi_guest": r"(?U)(?:with|interviews)\s+(?:economist|analyst|investor|founder|researcher|writer|author)",
+    "english_bare_coordinated_multi_guest": r"(?U)[a-z]\s+(?:team\s+up|discuss|talk\s+about|explain|join)\b",
+    "zh_name_desc": r"[a-zA-Z](?:在|是|为|氏)",
+    "emoji_guest": r"[🎤🎧🎙️]",
+    "dash_name": r"(?U)[——~…]\s*[A-Z]",
+}
 INTRO_SIGNALS = ("——", "~", "…", "先介绍", "请到", "邀请", "嘉宾", "来做客")
 ENTITY_EXEMPT = ("本期嘉宾", "嘉宾", "特邀嘉宾", "访谈嘉宾")
 TITLE_PATTERNS = (
@@ -201,7 +212,10 @@ def _matches(family: Family, pattern: str, label: str, number: int, source: str,
         structs = re.sub(rf"\bm\.{part.rsplit(' AS ', 1)[1]}\b", f"m.`{at}`", structs)
     found = f"flatten(transform(arrays_zip({names}), (m, i) -> array({structs})))"
     literal = needed_literal(re.sub(r"\\x\{[0-9a-f]+\}", ".", pattern)).lower()
-    return f"if(contains(low, {raw(literal)}), {found}, array())" if literal else found
+    tests = [f"contains(low, {raw(literal)})"] if literal else []
+    if label in GUARDS:
+        tests.append(f"x rlike {raw(GUARDS[label])}")
+    return f"if({' AND '.join(tests)}, {found}, array())" if tests else found
 
 
 def _text_candidates(text: Column, source: str, source_no: int) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from feedsieve.functions import when
 from feedsieve.policy import Interests, Policy
+from feedsieve.session import spread
 
 # Keywords that occur in the test prose; lists are parameters of every operator.
 TEST_POLICY = Policy(
@@ -25,11 +26,16 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str, name: str = "documents", key: str = "doc_id") -> DataFrame:
+    """A table whose texts get a costly pass: small inputs are spread over all cores first."""
+    return spread(table(spark, sf, name), key)
+
+
 def _publish_second() -> Column:
     return F.lit(1704067200) + (F.col("doc_id") * 7919 % 43200) * 60
 
 
-def episodes(spark: SparkSession, sf: str, texts: bool = True) -> DataFrame:
+def episodes(spark: SparkSession, sf: str, with_texts: bool = True) -> DataFrame:
     """`documents` as published items; without texts only the columns derived from ids and counts are read."""
     at = F.timestamp_seconds(_publish_second())
     start = when.week_start(F.col("pub_ts"))
@@ -40,9 +46,10 @@ def episodes(spark: SparkSession, sf: str, texts: bool = True) -> DataFrame:
         F.when(F.col("doc_id") % 17 == 0, "").otherwise(F.concat(F.lit("http://audio.test/"), F.col("doc_id").cast("string"), F.lit(".mp3"))).alias("audio_url"),
         at.alias("pub_ts"),
     ]
-    if texts:
+    if with_texts:
         cols += [F.substring("text", 1, 60).alias("episode_title"), F.col("text").alias("show_notes")]
-    base = table(spark, sf, "documents").select(*cols).withColumn("duration_minutes", F.floor(F.col("duration_seconds") / 60).cast("int"))
+    source = texts(spark, sf) if with_texts else table(spark, sf, "documents")
+    base = source.select(*cols).withColumn("duration_minutes", F.floor(F.col("duration_seconds") / 60).cast("int"))
     dated = base.withColumns({
         "publish_date": F.date_format("pub_ts", "yyyy-MM-dd"), "pub_datetime": F.date_format("pub_ts", "yyyy-MM-dd'T'HH:mm:ssXXX"),
         "week_start": start})
@@ -71,7 +78,7 @@ def with_episodes(query: str, *ctes: str) -> str:
 
 def lite_decisions(spark: SparkSession, sf: str) -> DataFrame:
     """Items with a score and decision derived from ids and counts only (no text scan), for the relational operators."""
-    eps = episodes(spark, sf, texts=False)
+    eps = episodes(spark, sf, with_texts=False)
     score = (F.col("item_pos") * 37 % 1001) / 10.0
     mode = F.col("item_pos") % 10
     return eps.withColumns({

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from feedsieve.functions import boilerplate
 from feedsieve.operators import background, quality
 from feedsieve.plans import sql as q
-from feedsieve.plans.adapters import lite_decisions, table, with_lite
+from feedsieve.plans.adapters import lite_decisions, table, texts, with_lite
 from feedsieve.plans.catalog import query
 
 _COUNTS = ", ".join(f"count(*) FILTER (decision = '{d}') AS \"{d}\"" for d in ("full", "preview", "skip"))
@@ -105,7 +105,7 @@ WITH lines AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS b FRO
 c AS (SELECT doc_id, CASE WHEN regexp_matches(lower(b), '^(?:resources?|links|read more)\\s*:?$') THEN 'resources' ELSE 'body' END AS category FROM lines WHERE b <> '')
 SELECT doc_id, count(*) FILTER (category = 'body') AS body, count(*) FILTER (category = 'resources') AS resources FROM c GROUP BY doc_id""")
 def filter_category_counts(spark, sf):
-    out = table(spark, sf, "documents").select("doc_id", boilerplate.filter_blocks(F.col("text"), "\n").alias("f"))
+    out = texts(spark, sf).select("doc_id", boilerplate.filter_blocks(F.col("text"), "\n").alias("f"))
     zero = F.lit(0).cast("bigint")
     return out.select("doc_id", *[F.coalesce(F.try_element_at("f.kept_category_counts", F.lit(c)), zero).alias(c) for c in ("body", "resources")]).filter(
         F.col("body") + F.col("resources") > 0)

@@ -10,7 +10,7 @@ from feedsieve.operators import quality
 from feedsieve.operators.translate import SNAPSHOT_VERSION, valid_snapshot
 from feedsieve.plans import sql as q
 from feedsieve.plans.adapters import (
-    TEST_POLICY, episodes, lite_decisions, table, with_episodes, with_lite)
+    TEST_POLICY, episodes, lite_decisions, table, texts, with_episodes, with_lite)
 from feedsieve.plans.catalog import query
 from feedsieve.policy import SAFE_RUN_KEYS
 
@@ -19,17 +19,17 @@ P = TEST_POLICY
 
 @query("clean_html", f"SELECT page_id, {q.clean_html('html')} AS cleaned FROM pages")
 def clean_html(spark, sf):
-    return table(spark, sf, "pages").select("page_id", text.clean_html(F.col("html")).alias("cleaned"))
+    return texts(spark, sf, "pages", "page_id").select("page_id", text.clean_html(F.col("html")).alias("cleaned"))
 
 
 @query("clean_display_html", f"SELECT page_id, {q.clean_display('html')} AS cleaned FROM pages")
 def clean_display_html(spark, sf):
-    return table(spark, sf, "pages").select("page_id", text.clean_display_html(F.col("html")).alias("cleaned"))
+    return texts(spark, sf, "pages", "page_id").select("page_id", text.clean_display_html(F.col("html")).alias("cleaned"))
 
 
 @query("strip_html", f"SELECT page_id, {q.strip_html('html')} AS stripped FROM pages")
 def strip_html(spark, sf):
-    return table(spark, sf, "pages").select("page_id", text.strip_html(F.col("html")).alias("stripped"))
+    return texts(spark, sf, "pages", "page_id").select("page_id", text.strip_html(F.col("html")).alias("stripped"))
 
 
 _PAGE_TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
@@ -41,7 +41,7 @@ SELECT page_id, {q.strip(f"regexp_replace(rtrim({q.entities(_PAGE_TITLE)}, '\"''
 FROM pages""")
 def clean_display_title(spark, sf):
     title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
-    return table(spark, sf, "pages").select("page_id", text.clean_title(title).alias("title"), text.clean_block_title(title).alias("block_title"))
+    return texts(spark, sf, "pages", "page_id").select("page_id", text.clean_title(title).alias("title"), text.clean_block_title(title).alias("block_title"))
 
 
 _FIELDS = ("substring(html, 1, 6000)", "regexp_extract(html, '(?s)<article>(.*)</article>', 1)", "regexp_extract(html, '(?s)<p>(.*?)</p>', 1)",
@@ -66,7 +66,7 @@ def select_longest_text(spark, sf):
     html = F.col("html")
     raws = [F.substring(html, 1, 6000), F.regexp_extract(html, "(?s)<article>(.*)</article>", 1), F.regexp_extract(html, "(?s)<p>(.*?)</p>", 1),
             F.regexp_extract(html, "<title>([^<]*)</title>", 1)]
-    return table(spark, sf, "pages").select("page_id", it.select_longest_text(raws).alias("b")).select("page_id", "b.*").drop("show_notes_raw")
+    return texts(spark, sf, "pages", "page_id").select("page_id", it.select_longest_text(raws).alias("b")).select("page_id", "b.*").drop("show_notes_raw")
 
 
 @query("coalesce_text", f"""
@@ -78,7 +78,7 @@ def coalesce_text(spark, sf):
     a = F.when(F.col("page_id") % 3 == 0, "").otherwise(F.regexp_extract("html", "(?s)<p>(.*?)</p>", 1))
     b = F.when(F.col("page_id") % 2 != 0, F.regexp_extract("html", "<title>([^<]*)</title>", 1))
     lines = F.array(F.col("url"), F.concat(F.lit("page "), F.col("page_id").cast("string")))
-    return table(spark, sf, "pages").select("page_id", text.best_display_text(a, b, F.lit(None).cast("string"), lines, F.lit("")).alias("shown"))
+    return texts(spark, sf, "pages", "page_id").select("page_id", text.best_display_text(a, b, F.lit(None).cast("string"), lines, F.lit("")).alias("shown"))
 
 
 _SEC = "CAST((n_chars * 3) % 7200 AS BIGINT)"
@@ -208,7 +208,7 @@ def business_week(spark, sf):
 @query("check_week_id", with_episodes("""
 SELECT item_pos, item_pos % 13 <> 0 AS id_matches, item_pos % 11 <> 0 AND item_pos % 13 <> 0 AS partition_matches FROM episodes"""))
 def check_week_id(spark, sf):
-    eps = episodes(spark, sf, texts=False)
+    eps = episodes(spark, sf, with_texts=False)
     stored = F.when(F.col("item_pos") % 13 == 0, "1999W01").otherwise(F.col("week_id"))
     folder = F.when(F.col("item_pos") % 11 == 0, "1999W02").otherwise(F.col("week_id"))
     return eps.select("item_pos", (when.week_id(F.col("week_start")) == stored).alias("id_matches"), (folder == stored).alias("partition_matches"))
@@ -348,7 +348,7 @@ _LANG_WITH = f"WITH shown AS (SELECT doc_id, lang, {q.clean_display(_MIXED)} AS
 
 @query("detect_language", f"{_LANG_WITH} SELECT doc_id, detected FROM found")
 def detect_language(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", language.detect_language(_mixed()).alias("detected"))
+    return texts(spark, sf).select("doc_id", language.detect_language(_mixed()).alias("detected"))
 
 
 @query("needs_translation", f"""{_LANG_WITH}
@@ -356,12 +356,12 @@ SELECT doc_id, CASE WHEN lang = 'de' THEN false WHEN lang = 'en' THEN detected =
   ELSE detected = 'en' END AS needed FROM found""")
 def needs_translation(spark, sf):
     declared = F.when(F.col("lang") == "de", "zh").otherwise(F.col("lang"))
-    return table(spark, sf, "documents").select("doc_id", language.needs_translation(_mixed(), declared).alias("needed"))
+    return texts(spark, sf).select("doc_id", language.needs_translation(_mixed(), declared).alias("needed"))
 
 
 @query("residual_language")
 def residual_language(spark, sf):
-    out = table(spark, sf, "documents").select("doc_id", language.residual_latin(_mixed()).alias("r"))
+    out = texts(spark, sf).select("doc_id", language.residual_latin(_mixed()).alias("r"))
     return out.select("doc_id", "r.*")
 
 
@@ -401,7 +401,7 @@ SELECT doc_id, sha256({_flat('text')}) AS source_hash, 'show_notes_zh_' || sha25
 def cache_key(spark, sf):
     episode = F.concat(F.lit(" EP  "), F.col("doc_id").cast("string"))
     key = it.cache_key(F.upper("source"), episode, F.lit(None).cast("string"), F.col("text"), F.lit("Mock A"))
-    return table(spark, sf, "documents").select("doc_id", it.source_hash(F.col("text")).alias("source_hash"), key.alias("cache_key"))
+    return texts(spark, sf).select("doc_id", it.source_hash(F.col("text")).alias("source_hash"), key.alias("cache_key"))
 
 
 @query("guest_key", "SELECT c_custkey, left(sha256(lower(c_name) || '|' || lower(c_mktsegment) || '|nation ' || c_nationkey), 24) AS key FROM customer")

@@ -8,7 +8,7 @@ from feedsieve.functions import items as it
 from feedsieve.functions import keywords as kw
 from feedsieve.operators import background, delivery, guests, joins, translate
 from feedsieve.plans import sql as q
-from feedsieve.plans.adapters import episodes, lite_decisions, table, with_episodes, with_lite
+from feedsieve.plans.adapters import episodes, lite_decisions, table, texts, with_episodes, with_lite
 from feedsieve.plans.catalog import query
 
 START, END = "2024-01-14 14:00:00", "2024-01-21 14:00:00"
@@ -20,7 +20,7 @@ SELECT item_pos FROM episodes WHERE CASE item_pos % 10 WHEN 7 THEN false WHEN 8
 def week_filter(spark, sf):
     mode = F.col("item_pos") % 10
     rfc = F.concat(F.lit("Sun, "), F.date_format("pub_ts", "dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))
-    eps = episodes(spark, sf, texts=False).withColumns({
+    eps = episodes(spark, sf, with_texts=False).withColumns({
         "pub_datetime": F.when(mode == 7, "soon").when(mode.isin(8, 9), "").when(mode < 3, rfc).otherwise(F.col("pub_datetime")),
         "publish_date": F.when(mode == 9, "").otherwise(F.col("publish_date"))})
     return joins.week_filter(eps, F.lit(START).cast("timestamp"), F.lit(END).cast("timestamp")).select("item_pos")
@@ -31,7 +31,7 @@ WORDS = ("the", "haing", "AI", "of the", "edon", "und", "la", "reti")
 
 @query("keyword_match", f"SELECT doc_id, {', '.join(f'{q.kw('low', w)} AS k{i}' for i, w in enumerate(WORDS))} FROM (SELECT doc_id, lower(text) AS low FROM documents)")
 def keyword_match(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", *[kw.keyword_match(F.col("text"), w).alias(f"k{i}") for i, w in enumerate(WORDS)])
+    return texts(spark, sf).select("doc_id", *[kw.keyword_match(F.col("text"), w).alias(f"k{i}") for i, w in enumerate(WORDS)])
 
 
 _A, _B, _C = it.FALLBACKS

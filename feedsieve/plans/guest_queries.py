@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 
 from feedsieve.operators import background, guests
 from feedsieve.operators.quality import source_quality
-from feedsieve.plans.adapters import table
+from feedsieve.plans.adapters import table, texts
 from feedsieve.plans.catalog import query
 
 
 def guest_items(spark, sf):
     """`documents` as items whose notes name somebody in one of several ways; the names are words of the text."""
     words = F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0))
-    docs = table(spark, sf, "documents").select("doc_id", "text", "source", words.alias("w"))
+    docs = texts(spark, sf).select("doc_id", "text", "source", words.alias("w"))
     name = lambda i: F.initcap(F.concat_ws(" ", F.get("w", F.lit(i)), F.get("w", F.lit(i + 1))))
     named = docs.withColumns({"a": name(0), "b": name(4)})
     a, b, t = F.col("a"), F.col("b"), F.col("text")

@@ -8,7 +8,7 @@ from feedsieve.functions import keywords as kw
 from feedsieve.operators import joins, translate
 from feedsieve.plans import sql as q
 from feedsieve.plans.adapters import (
-    FEEDS, TEST_POLICY, episodes, feed_config, lite_decisions, table, with_episodes, with_lite)
+    FEEDS, TEST_POLICY, episodes, feed_config, lite_decisions, table, texts, with_episodes, with_lite)
 from feedsieve.plans.catalog import query
 from feedsieve.plans.filter_queries import QUEUE, queue_table
 
@@ -20,7 +20,7 @@ SELECT item_pos, coalesce(f.id, replace(lower(e.podcast_name), ' ', '')) AS podc
 FROM episodes e LEFT JOIN (SELECT * FROM feeds WHERE rss_url <> '') f ON f.name = e.podcast_name""", FEEDS))
 def join_feed_config(spark, sf):
     config = feed_config(spark, sf).filter(F.col("rss_url") != "").select(F.col("name").alias("podcast_name"), F.col("id").alias("podcast_id"), "language")
-    return joins.join_feed_config(episodes(spark, sf, texts=False).select("item_pos", "podcast_name"), config).select("item_pos", "podcast_id", "language")
+    return joins.join_feed_config(episodes(spark, sf, with_texts=False).select("item_pos", "podcast_name"), config).select("item_pos", "podcast_id", "language")
 
 
 CUT = "2024-01-14 14:00:00"
@@ -67,7 +67,7 @@ def keyword_hits(spark, sf):
     likes = P.interests
     lists = {"boost_hits": likes.boost, "negative_hits": likes.negative, "topic_hits": likes.topics, "action_hits": P.action_words, "strategic_hits": P.strategic_words}
     words = tuple(dict.fromkeys(w.lower() for ws in lists.values() for w in ws))
-    found = table(spark, sf, "documents").select("doc_id", kw.matched_words(F.lower("text"), words).alias("hits"))
+    found = texts(spark, sf).select("doc_id", kw.matched_words(F.lower("text"), words).alias("hits"))
     return found.select("doc_id", *[kw.count_hits(F.col("hits"), ws).alias(n) for n, ws in lists.items()])
 
 
@@ -97,7 +97,7 @@ def cache_ttl_lookup(spark, sf):
 
 
 def keyed_documents(spark, sf):
-    docs = table(spark, sf, "documents").select(
+    docs = texts(spark, sf).select(
         "doc_id", F.col("source").alias("podcast_id"), F.lit("").alias("episode_id"), F.lit("").alias("episode_url"), F.lit("en").alias("language"), "text")
     return translate.with_translation_key(docs, "text")
 

@@ -112,7 +112,7 @@ def union_decisions(spark, sf):
 
 @query("union_feeds", with_episodes("SELECT podcast_id, count(*) AS items, min(item_pos) AS first_pos, max(item_pos) AS last_pos FROM episodes GROUP BY podcast_id"))
 def union_feeds(spark, sf):
-    eps = episodes(spark, sf, texts=False)
+    eps = episodes(spark, sf, with_texts=False)
     # Items of every feed type from one scan each, put together again.
     both = eps.filter(F.col("feed_ord") % 5 == 4).unionByName(eps.filter(F.col("feed_ord") % 5 != 4))
     return both.groupBy("podcast_id").agg(F.count("*").alias("items"), F.min("item_pos").alias("first_pos"), F.max("item_pos").alias("last_pos"))

@@ -42,3 +42,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = new_folder(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+# Inputs below this size are worth one shuffle to occupy every core before a costly pass over their texts.
+SPREAD_BELOW_BYTES = 1 << 30
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread a small input over all cores; a large one already comes in many splits and is left alone."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if size < SPREAD_BELOW_BYTES else df
