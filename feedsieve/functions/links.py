@@ -26,22 +26,26 @@ def extract_urls(text: Column, pattern: str = ADDRESS) -> Column:
     return F.array_distinct(F.filter(F.transform(raw, lambda u: F.rtrim(u, F.lit(TRAILING))), lambda u: u != ""))
 
 
-def append_missing_urls(source: Column, output: Column, pattern: str = ADDRESS) -> Column:
-    """Output text plus a list of the source addresses it lost."""
-
+def append_urls(urls: Column, output: Column) -> Column:
+    """Output text plus a list of those addresses it does not hold."""
     def joined(out: Column) -> Column:
-        missing = F.filter(extract_urls(source, pattern), lambda u: ~F.contains(out, u))
+        missing = F.filter(urls, lambda u: ~F.contains(out, u))
 
-        def with_block(urls: Column) -> Column:
-            block = F.concat(F.lit(MISSING_HEADING), F.array_join(F.transform(urls, lambda u: F.concat(F.lit("\n- "), u)), ""))
+        def with_block(lost: Column) -> Column:
+            block = F.concat(F.lit(MISSING_HEADING), F.array_join(F.transform(lost, lambda u: F.concat(F.lit("\n- "), u)), ""))
             gap = F.when(out == "", F.lit("")).otherwise(F.lit("\n\n"))
-            return F.when(F.size(urls) == 0, out).otherwise(F.concat(out, gap, block))
+            return F.when(F.size(lost) == 0, out).otherwise(F.concat(out, gap, block))
 
         return let(missing, with_block)
 
     return let(strip(F.coalesce(output, F.lit(""))), joined)
 
 
+def append_missing_urls(source: Column, output: Column, pattern: str = ADDRESS) -> Column:
+    """Output text plus a list of the source addresses it lost."""
+    return append_urls(extract_urls(source, pattern), output)
+
+
 def _entity_label(label: Column) -> Column:
     """A label made only of capitalised words: kept names, except one plain heading word."""
 

@@ -18,7 +18,7 @@ from feedsieve.functions.chunks import DISPLAY_CHUNK_CHARS, TRANSLATION_CHUNK_CH
 from feedsieve.functions.items import cache_key, source_hash
 from feedsieve.functions.language import (
     language_of, letter_counts, needs_translation_from, residual_latin, source_completeness)
-from feedsieve.functions.links import RESOURCE_HEADING, append_missing_urls, resource_fallback, untranslated_lines
+from feedsieve.functions.links import RESOURCE_HEADING, append_missing_urls, append_urls, extract_urls, resource_fallback, untranslated_lines
 from feedsieve.functions.text import best_display_text, clean_display_html
 from feedsieve.session import materialize
 
@@ -133,25 +133,32 @@ def valid_partial(entry: str = "") -> Column:
     return F.coalesce(good, F.lit(False))
 
 
-def with_translation_key(docs: DataFrame, text: str, model: str = MOCK_MODEL) -> DataFrame:
-    """Adds detected language, need, source hash and cache key. Needs podcast_id, episode_id, episode_url, language."""
+def with_translation_key(docs: DataFrame, text: str, model: str = MOCK_MODEL, keep_text: bool = False) -> DataFrame:
+    """Detected language, need, source hash, addresses and cache key of each document; the text itself is dropped.
+
+    Needs podcast_id, episode_id, episode_url, language. What follows joins and stores these narrow rows.
+    """
     counted = docs.withColumn("_counts", letter_counts(F.col(text)))
-    return counted.withColumns({
+    keyed = counted.withColumns({
         "detected_language": language_of(F.col("_counts")),
         "should_translate": needs_translation_from(F.col("_counts"), F.col("language")),
-        "source_hash": source_hash(F.col(text)),
+        "source_hash": source_hash(F.col(text)), "source_urls": extract_urls(F.col(text)),
     }).withColumn("cache_key", F.when(F.col("should_translate"), cache_key(
         F.col("podcast_id"), F.col("episode_id"), F.col("episode_url"), F.col(text), F.lit(model)))).drop("_counts")
+    return keyed if keep_text else keyed.drop(text)
 
 
-def translation_cache_lookup(keyed: DataFrame, cache: DataFrame, text: str, check_copied: bool = False) -> DataFrame:
-    """Cache view of each keyed document: hit, partial_hit or miss, with the cached text."""
+def translation_cache_lookup(keyed: DataFrame, cache: DataFrame, text: str | None = None) -> DataFrame:
+    """Cache view of each keyed document: hit, partial_hit or miss, with the cached text.
+
+    With `text`, a cached translation that still holds lines of that source column does not count as a hit.
+    """
     entry = cache.select("cache_key", *[F.col(c).alias(f"c_{c}") for c in (
         "status", "translated_text", "chunk_count", "translated_chunk_count", "localized_fallback_chunk_indices", "errors")])
     joined = keyed.join(entry, "cache_key", "left")
-    shown = joined.withColumn("cached_text", F.when(F.col("c_translated_text").isNotNull(), append_missing_urls(F.col(text), F.col("c_translated_text"))))
+    shown = joined.withColumn("cached_text", F.when(F.col("c_translated_text").isNotNull(), append_urls(F.col("source_urls"), F.col("c_translated_text"))))
     whole = (F.col("c_status") == "ok") & (F.coalesce("c_translated_text", F.lit("")) != "")
-    if check_copied:
+    if text is not None:
         whole = whole & (F.size(untranslated_lines(F.col(text), F.col("cached_text"))) == 0)
     state = F.when(whole, "hit").when(valid_partial("c_"), "partial_hit").otherwise("miss")
     return shown.withColumn("cache_state", state)
@@ -166,10 +173,12 @@ def translation_cache_misses(keyed: DataFrame, cache: DataFrame) -> DataFrame:
 def translate_with_cache(docs: DataFrame, cache: DataFrame, key: str, text: str, translate: Callable = mock_translate,
                          model: str = MOCK_MODEL, limit: int = TRANSLATION_CHUNK_CHARS, attempts: int = 1, check_copied: bool = False) -> DataFrame:
     """Eligibility, cache lookup, translation of the misses only; one status row per document."""
-    keyed = with_translation_key(docs, text, model)
-    looked = translation_cache_lookup(keyed, cache, text, check_copied)
-    misses = looked.filter(F.col("should_translate") & (F.col("cache_state") == "miss"))
-    fresh = translate_chunks(misses.select(key, text), key, text, translate, limit, attempts, check_copied).select(
+    keyed = with_translation_key(docs, text, model, keep_text=check_copied)
+    # Stored narrow: the texts are not carried through the cache join, and are read again for the misses only.
+    looked = materialize(translation_cache_lookup(keyed, cache, text if check_copied else None).drop(text), "cache-states")
+    misses = looked.filter(F.col("should_translate") & (F.col("cache_state") == "miss")).select(key)
+    wanted = docs.select(key, text).join(misses, key, "left_semi")
+    fresh = translate_chunks(wanted, key, text, translate, limit, attempts, check_copied).select(
         key, *[F.col(c).alias(f"n_{c}") for c in ("status", "translated_text", "chunk_count", "translated_chunk_count", "errors",
                                                   "localized_fallback_chunk_indices")])
     out = looked.join(fresh, key, "left")

@@ -101,11 +101,10 @@ def guest_rollup(spark, sf):
 
 
 @query("filter_category_counts", """
-WITH lines AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS b FROM documents),
-c AS (SELECT doc_id, CASE WHEN regexp_matches(lower(b), '^(?:resources?|links|read more)\\s*:?$') THEN 'resources' ELSE 'body' END AS category FROM lines WHERE b <> '')
-SELECT doc_id, count(*) FILTER (category = 'body') AS body, count(*) FILTER (category = 'resources') AS resources FROM c GROUP BY doc_id""")
+WITH lines AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda b: lower(trim(b))), lambda b: b <> '') AS bs FROM documents)
+SELECT doc_id, len(bs) - len(list_filter(bs, lambda b: regexp_matches(b, '^(?:resources?|links|read more)\\s*:?$'))) AS body,
+  len(list_filter(bs, lambda b: regexp_matches(b, '^(?:resources?|links|read more)\\s*:?$'))) AS resources FROM lines""")
 def filter_category_counts(spark, sf):
     out = texts(spark, sf).select("doc_id", boilerplate.filter_blocks(F.col("text"), "\n").alias("f"))
     zero = F.lit(0).cast("bigint")
-    return out.select("doc_id", *[F.coalesce(F.try_element_at("f.kept_category_counts", F.lit(c)), zero).alias(c) for c in ("body", "resources")]).filter(
-        F.col("body") + F.col("resources") > 0)
+    return out.select("doc_id", *[F.coalesce(F.try_element_at("f.kept_category_counts", F.lit(c)), zero).alias(c) for c in ("body", "resources")])

@@ -121,7 +121,7 @@ cache AS (SELECT k, CASE WHEN max(doc_id) % 2 = 0 THEN 'ok' ELSE 'failed' END AS
 @query("translation_cache_lookup", f"""
 WITH {CACHE.strip()} SELECT doc_id, CASE WHEN wanted AND status = 'ok' THEN 'hit' ELSE 'miss' END AS cache_state, CASE WHEN wanted THEN cached END AS cached_text FROM keyed LEFT JOIN cache USING (k)""")
 def translation_cache_lookup(spark, sf):
-    return translate.translation_cache_lookup(keyed_documents(spark, sf), cache_table(spark, sf), "text").select("doc_id", "cache_state", "cached_text")
+    return translate.translation_cache_lookup(keyed_documents(spark, sf), cache_table(spark, sf)).select("doc_id", "cache_state", "cached_text")
 
 
 @query("translation_cache_misses", f"WITH {CACHE.strip()} SELECT doc_id FROM keyed LEFT JOIN cache USING (k) WHERE wanted AND coalesce(status, '') <> 'ok'")
