@@ -217,6 +217,11 @@ def _any(patterns, flags: str = "dU") -> str:
     return f"(?{flags})(?:" + "|".join(patterns) + ")"
 
 
+def _start(patterns, flags: str = "dU") -> str:
+    """Alternatives that all begin at the start: one shared anchor, so no other position is tried."""
+    return f"(?{flags})^(?:" + "|".join(p.removeprefix("^") for p in patterns) + ")"
+
+
 def _mentions(low_text: Column, patterns) -> Column:
     """Cheap test that some pattern could match at all."""
     literals = sorted({needed_literal(p) for p in patterns}, key=len)
@@ -243,11 +248,11 @@ def line_letters(lines: Column) -> Column:
 
     def ranked(line: Column, low: Column, costly: Column) -> Column:
         kind = (F.when(costly & low.rlike(CHINESE_THANKS), "V").when(costly & low.rlike(_any(SPONSOR_LINES)), "W")
-                .when(low.rlike(_any(SPONSOR_FOLLOW_UPS)), "C").otherwise("O"))
+                .when(low.rlike(_start(SPONSOR_FOLLOW_UPS)), "C").otherwise("O"))
         return (
-            F.when(low.rlike(_any(CONTENT_HEADERS)), "T")
-            .when(low.rlike(_any(junk_start)) | (costly & low.rlike(_any(junk_inside))), "X")
-            .when(low.rlike(_any(SPONSOR_HEADERS)), "H")
+            F.when(low.rlike(_start(CONTENT_HEADERS)), "T")
+            .when(low.rlike(_start(junk_start)) | (costly & low.rlike(_any(junk_inside))), "X")
+            .when(low.rlike(_start(SPONSOR_HEADERS)), "H")
             .otherwise(let(kind, lambda k: F.when(line.rlike(rf"(?U){LIST_ITEM}"), F.lower(k)).otherwise(k)))
         )
 
@@ -317,7 +322,7 @@ def block_letters(blocks: Column) -> Column:
     def ranked(block: Column, low: Column, first: Column, costly: Column) -> Column:
         out = F.when(F.lit(False), "0")
         for name, patterns in SECTION_HEADERS.items():
-            out = out.when(first.rlike(_any(patterns)), _HEADER_LETTER[name])
+            out = out.when(first.rlike(_start(patterns)), _HEADER_LETTER[name])
         for name, patterns in BLOCK_MARKERS.items():
             near = rf"(?sU)\A.{{0,{MARKER_REACH}}}?" + "(?:" + "|".join(patterns) + ")"
             out = out.when(costly & first.rlike(near), _MARKER_LETTER[name])

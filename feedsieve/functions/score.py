@@ -52,7 +52,8 @@ def information_density(notes: Column) -> Column:
 
 
     def density(text: Column) -> Column:
-        sentences = F.size(F.filter(sentence_parts(text), lambda p: F.regexp_count(p, F.lit(LETTER)) >= 12))
+        # "At least twelve letters" stops at the twelfth instead of collecting them all.
+        sentences = F.size(F.filter(sentence_parts(text), lambda p: p.rlike(rf"(?s)(?:{LETTER}[^A-Za-z\x{{4e00}}-\x{{9fff}}]*){{12}}")))
         marks = F.regexp_count(text, F.lit(BULLET_LINE)) + F.regexp_count(text, F.lit(CLOCK_TIME))
         total = length_score(F.length(text)) + F.least(F.lit(25), sentences * 3) + F.least(F.lit(15), marks * 2)
         return F.when(text == "", F.lit(0)).otherwise(F.least(F.lit(100), total))

@@ -210,10 +210,13 @@ def best_match(requests: DataFrame, items: DataFrame) -> DataFrame:
         F.transform("_words", lambda w: F.concat(F.lit("w"), w)),
         F.filter(F.array(F.concat(F.lit("g"), F.left("_low", F.lit(3))), F.concat(F.lit("d"), F.col("want_date"))),
                  lambda k: F.length(k) > 1))
+    # Hints are led by at most three letters; which lengths occur is three values at most.
+    sizes = [r.n for r in rest.filter("_low <> ''").select(F.least(F.length("_low"), F.lit(3)).alias("n")).distinct().collect()]
     title = F.col("title")
+    grams = [_grams(title, n) for n in sorted(sizes)] or [F.array().cast("array<string>")]
     item_keys = F.concat(
         F.transform(_words(title), lambda w: F.concat(F.lit("w"), w)),
-        F.transform(F.concat(_grams(title, 1), _grams(title, 2), _grams(title, 3)), lambda g: F.concat(F.lit("g"), g)),
+        F.transform(F.concat(*grams), lambda g: F.concat(F.lit("g"), g)),
         F.transform(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(10)), lambda n: F.left("pub_date", n))),
                     lambda d: F.concat(F.lit("d"), d)))
     pairs = (rest.select("*", F.explode(req_keys).alias("k"))
