@@ -20,9 +20,13 @@ PLAIN_LABELS = ("chapter", "chapters", "conclusion", "intro", "introduction", "o
                 "summary", "welcome")
 
 
-def extract_urls(text: Column, pattern: str = ADDRESS) -> Column:
+def extract_urls(text: Column) -> Column:
     """Distinct addresses in order of first occurrence."""
-    raw = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))
+    def found(t: Column) -> Column:
+        linked = F.contains(t, F.lit("://")) | F.contains(t, F.lit("www."))
+        return F.when(linked, F.regexp_extract_all(t, F.lit(ADDRESS), F.lit(0))).otherwise(F.array().cast("array<string>"))
+
+    raw = let(F.coalesce(text, F.lit("")), found)
     return F.array_distinct(F.filter(F.transform(raw, lambda u: F.rtrim(u, F.lit(TRAILING))), lambda u: u != ""))
 
 
@@ -41,9 +45,9 @@ def append_urls(urls: Column, output: Column) -> Column:
     return let(strip(F.coalesce(output, F.lit(""))), joined)
 
 
-def append_missing_urls(source: Column, output: Column, pattern: str = ADDRESS) -> Column:
+def append_missing_urls(source: Column, output: Column) -> Column:
     """Output text plus a list of the source addresses it lost."""
-    return append_urls(extract_urls(source, pattern), output)
+    return append_urls(extract_urls(source), output)
 
 
 def _entity_label(label: Column) -> Column:

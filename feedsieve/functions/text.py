@@ -139,7 +139,8 @@ def clean_block_title(text: Column) -> Column:
 
 
 def collapse_blanks(text: Column) -> Column:
-    return strip(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
+    # Single plain blanks, the common case, are left alone.
+    return strip(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s{2,}|[\s&&[^ ]]", " "))
 
 
 def first_text(*columns: Column) -> Column:

@@ -286,13 +286,14 @@ def transcript_text(segments: DataFrame) -> DataFrame:
 
 
 def render_subtitles(segments: DataFrame) -> DataFrame:
-    """SRT and VTT text per document."""
-    ordered = F.sort_array(F.collect_list(F.struct("idx", "start", "end", "text")))
-    docs = normalize_segments(segments).groupBy("doc").agg(ordered.alias("segs"))
+    """SRT and VTT cues, numbered per document: doc, cue_no, srt, vtt.
 
-    def cue(s: Column, mark: str) -> Column:
-        return F.concat(clock(s["start"], mark), F.lit(" --> "), clock(s["end"], mark), F.lit("\n"), s["text"])
+    Cues stay rows, so a transcript of any length is spread over tasks; `write_lines` style range output
+    stores them in order.
+    """
+    numbered = ordinal(normalize_segments(segments).withColumn("_part", F.lit(0)), ["doc"], ["_part"], "idx", "cue_no")
+
+    def cue(mark: str) -> Column:
+        return F.concat(clock(F.col("start"), mark), F.lit(" --> "), clock(F.col("end"), mark), F.lit("\n"), F.col("text"))
 
-    srt = F.array_join(F.transform("segs", lambda s, i: F.concat((i + 1).cast("string"), F.lit("\n"), cue(s, ","))), "\n\n")
-    vtt = F.array_join(F.transform("segs", lambda s: cue(s, ".")), "\n\n")
-    return docs.select("doc", F.concat(srt, F.lit("\n")).alias("srt"), F.concat(F.lit("WEBVTT\n\n"), vtt, F.lit("\n")).alias("vtt"))
+    return numbered.select("doc", "cue_no", F.concat(F.col("cue_no").cast("string"), F.lit("\n"), cue(",")).alias("srt"), cue(".").alias("vtt"))

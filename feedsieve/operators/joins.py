@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from feedsieve.functions.text import strip
 from feedsieve.functions.when import in_window
 from feedsieve.operators.ranking import first_per_key
+from feedsieve.session import materialize
 
 # A lookup table is broadcast only up to this many rows; beyond it the join is an ordinary shuffle join,
 # where adaptive execution splits hot keys.
@@ -170,63 +171,73 @@ def _grams(text: Column, size: int) -> Column:
         F.array().cast("array<string>"))
 
 
+# Leading letters of a hint that find the titles it can occur in.
+LEAD_GRAM = 8
+
+
 def best_match(requests: DataFrame, items: DataFrame) -> DataFrame:
     """Best item per request within its feed.
 
     Points: 100 for the date, 5 per shared word, 20 if the hint occurs in the title, 3 if its first
     three characters do (hints of four or more). Ties go to the latest date, then the first item.
 
-    Only items that can score are paired with a request, through an equality join on shared keys (date,
-    word, leading letters); requests a date already decides skip the word stage; requests nothing scores
-    for take the feed's latest item, found by one aggregate per feed.
+    Items meet requests only through equality joins, in stages that each settle most of what is left:
+    the wanted date; then the longest word or the first letters of the hint, which settles a request as
+    soon as its best item beats anything an item with neither could reach; then every word. Requests
+    nothing scores for take the feed's latest item, found by one aggregate per feed.
     """
     reqs = requests.select("request_id", "podcast_name", F.coalesce("hint", F.lit("")).alias("hint"),
                            F.left(F.coalesce("publish_date", F.lit("")), F.lit(10)).alias("want_date"))
     reqs = reqs.withColumns({"_low": F.lower("hint"), "_words": _words(F.col("hint"))})
     its = items.select("podcast_name", "item_pos", "title", "pub_date")
 
-    def points(pair: DataFrame) -> Column:
+    def best(pairs: DataFrame) -> DataFrame:
         dated = (F.col("want_date") != "") & F.startswith("pub_date", F.col("want_date"))
         shared = F.size(F.array_intersect("_words", _words(F.col("title"))))
         low_title = F.lower("title")
         inside = (F.col("_low") != "") & F.contains(low_title, F.col("_low"))
         lead = (F.length("_low") >= 4) & F.contains(low_title, F.left(F.col("_low"), F.lit(3)))
-        return (F.when(dated, 100).otherwise(0) + shared * 5 + F.when(inside, 20).otherwise(0) + F.when(lead, 3).otherwise(0))
-
-    def best(pairs: DataFrame) -> DataFrame:
-        scored = pairs.withColumn("score", points(pairs))
-        order = F.struct(F.col("score"), F.col("pub_date"), (-F.col("item_pos")).alias("neg_pos"))
-        return scored.groupBy("request_id").agg(F.max(order).alias("top")).select(
+        score = F.when(dated, 100).otherwise(0) + shared * 5 + F.when(inside, 20).otherwise(0) + F.when(lead, 3).otherwise(0)
+        order = F.struct(score.alias("score"), F.col("pub_date"), (-F.col("item_pos")).alias("neg_pos"))
+        return pairs.groupBy("request_id").agg(F.max(order).alias("top")).select(
             "request_id", "top.score", (-F.col("top.neg_pos")).alias("item_pos"))
 
-    by_date = reqs.filter(F.length("want_date") == 10).join(
-        its.withColumn("want_date", F.left("pub_date", F.lit(10))), ["podcast_name", "want_date"])
-    first = best(by_date)
+    def sizes(rows: DataFrame, most: int) -> list[int]:
+        """Gram lengths that occur: at most `most` numbers reach the driver."""
+        found = rows.filter("_low <> ''").select(F.least(F.length("_low"), F.lit(most)).alias("n")).distinct().collect()
+        return sorted(r.n for r in found)
+
+    def keyed(letters: list[int]) -> Column:
+        grams = [_grams(F.col("title"), n) for n in letters] or [F.array().cast("array<string>")]
+        return F.concat(F.transform(_words(F.col("title")), lambda w: F.concat(F.lit("w"), w)),
+                        F.transform(F.concat(*grams), lambda g: F.concat(F.lit("g"), g)))
+
+    def meet(rows: DataFrame, request_keys: Column, item_keys: Column) -> DataFrame:
+        named = F.filter(request_keys, lambda k: F.length(k) > 1)
+        pairs = rows.select("*", F.explode(named).alias("k")).join(its.select("*", F.explode(item_keys).alias("k")), ["podcast_name", "k"])
+        return pairs.dropDuplicates(["request_id", "item_pos"])
+
+    whole_date = F.length("want_date") == 10
+    first = best(reqs.filter(whole_date).join(its.withColumn("want_date", F.left("pub_date", F.lit(10))), ["podcast_name", "want_date"]))
     sure = first.join(reqs.filter(F.size("_words") <= DATE_DECIDES_WORDS).select("request_id"), "request_id", "left_semi")
-    rest = reqs.join(sure.select("request_id"), "request_id", "left_anti")
-
-    # Keys: 'w' + word, 'g' + leading letters (whole hint if shorter), 'd' + date for the long hints above.
-    req_keys = F.concat(
-        F.transform("_words", lambda w: F.concat(F.lit("w"), w)),
-        F.filter(F.array(F.concat(F.lit("g"), F.left("_low", F.lit(3))), F.concat(F.lit("d"), F.col("want_date"))),
-                 lambda k: F.length(k) > 1))
-    # Hints are led by at most three letters; which lengths occur is three values at most.
-    sizes = [r.n for r in rest.filter("_low <> ''").select(F.least(F.length("_low"), F.lit(3)).alias("n")).distinct().collect()]
-    title = F.col("title")
-    grams = [_grams(title, n) for n in sorted(sizes)] or [F.array().cast("array<string>")]
-    item_keys = F.concat(
-        F.transform(_words(title), lambda w: F.concat(F.lit("w"), w)),
-        F.transform(F.concat(*grams), lambda g: F.concat(F.lit("g"), g)),
-        F.transform(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(10)), lambda n: F.left("pub_date", n))),
-                    lambda d: F.concat(F.lit("d"), d)))
-    pairs = (rest.select("*", F.explode(req_keys).alias("k"))
-             .join(its.select("*", F.explode(item_keys).alias("k")), ["podcast_name", "k"])
-             .dropDuplicates(["request_id", "item_pos"]))
-    second = best(pairs)
-    found = sure.unionByName(second)
+
+    # No date points are possible here: none wanted, or no item of that date.
+    undated = reqs.filter((F.col("want_date") == "") | whole_date).join(first.select("request_id"), "request_id", "left_anti")
+    longest = F.coalesce(F.array_max(F.transform("_words", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"], F.lit(""))
+    lead_keys = F.array(F.concat(F.lit("w"), longest), F.concat(F.lit("g"), F.left("_low", F.lit(LEAD_GRAM))))
+    second = best(meet(undated, lead_keys, keyed(sizes(undated, LEAD_GRAM))))
+    # Without that word and without the hint itself an item gets at most this much.
+    reach = undated.select("request_id", (F.greatest(F.size("_words") - 1, F.lit(0)) * 5 + 3).alias("reach"))
+    settled = materialize(second.join(reach, "request_id").filter(F.col("score") > F.col("reach")).drop("reach").unionByName(sure), "settled-matches")
+
+    rest = reqs.join(settled.select("request_id"), "request_id", "left_anti")
+    every_key = F.concat(F.transform("_words", lambda w: F.concat(F.lit("w"), w)),
+                         F.array(F.concat(F.lit("g"), F.left("_low", F.lit(3))), F.concat(F.lit("d"), F.col("want_date"))))
+    dates = F.transform(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(10)), lambda n: F.left("pub_date", n))), lambda d: F.concat(F.lit("d"), d))
+    third = best(meet(rest, every_key, F.concat(keyed(sizes(rest, 3)), dates)))
     latest = its.groupBy("podcast_name").agg(F.max(F.struct("pub_date", (-F.col("item_pos")).alias("neg_pos"))).alias("top")).select(
         "podcast_name", (-F.col("top.neg_pos")).alias("latest_pos"))
-    out = lookup(reqs.select("request_id", "podcast_name").join(found, "request_id", "left"), latest, ["podcast_name"])
+    out = lookup(reqs.select("request_id", "podcast_name").join(settled.unionByName(third), "request_id", "left"), latest, ["podcast_name"])
     return out.select("request_id", "podcast_name", F.coalesce("item_pos", "latest_pos").alias("item_pos"),
                       F.when(F.col("latest_pos").isNotNull(), F.coalesce("score", F.lit(0))).alias("score"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from feedsieve.functions import items as it
 from feedsieve.functions import language, score, text, when
 from feedsieve.operators import quality
+from feedsieve.operators.joins import lookup
 from feedsieve.operators.translate import SNAPSHOT_VERSION, valid_snapshot
 from feedsieve.plans import sql as q
 from feedsieve.plans.adapters import (
@@ -322,7 +323,7 @@ SELECT doc_id, concat_ws(' / ', CASE WHEN cjk < 45 THEN 'quality_warning: reason
 def quality_warnings(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", F.left("text", F.lit(200)).alias("reason"))
     same = quality.duplicate_reasons(docs, "reason")
-    joined = docs.join(same, "reason", "left")
+    joined = lookup(docs, same, ["reason"])
     found = quality.quality_warnings(F.col("reason"), F.col("text"), F.when(F.col("doc_id") % 5 != 0, "2024-01-01"),
                                      F.when(F.col("doc_id") % 7 != 0, 10), F.coalesce("same_count", F.lit(1)))
     return joined.select("doc_id", F.array_join(found, " / ").alias("warnings"))

@@ -186,8 +186,8 @@ segs AS (SELECT conv_id AS doc, turn AS idx, turn * 700 AS s, CASE WHEN turn % 7
 
 
 @query("render_subtitles", f"""
-WITH {_SEGMENTS.strip()} SELECT doc, string_agg(n || chr(10) || {_stamp('s', ',')} || ' --> ' || {_stamp('e', ',')} || chr(10) || text, chr(10) || chr(10) ORDER BY idx) || chr(10) AS srt,
-  'WEBVTT' || chr(10) || chr(10) || string_agg({_stamp('s', '.')} || ' --> ' || {_stamp('e', '.')} || chr(10) || text, chr(10) || chr(10) ORDER BY idx) || chr(10) AS vtt FROM segs GROUP BY doc""")
+WITH {_SEGMENTS.strip()} SELECT doc, n AS cue_no, n || chr(10) || {_stamp('s', ',')} || ' --> ' || {_stamp('e', ',')} || chr(10) || text AS srt,
+  {_stamp('s', '.')} || ' --> ' || {_stamp('e', '.')} || chr(10) || text AS vtt FROM segs""")
 def render_subtitles(spark, sf):
     return documents.render_subtitles(segments(spark, sf))
 
