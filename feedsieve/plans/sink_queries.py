@@ -9,7 +9,7 @@ from feedsieve.plans import sql as q
 from feedsieve.plans.adapters import lite_decisions, run_heads, table, with_heads, with_lite
 from feedsieve.plans.catalog import query
 from feedsieve.plans.filter_queries import queue_table
-from feedsieve.plans.join_queries import cache_table
+from feedsieve.plans.join_queries import CACHE, cache_table
 from feedsieve.plans.source_queries import _stored_runs
 from feedsieve.session import new_folder
 from feedsieve.sources import runs
@@ -224,9 +224,9 @@ def append_delivery_log(spark, sf):
     return spark.read.schema(log.schema).parquet(path).select("event", "run_id", "week_id", "status")
 
 
-@query("write_cache_entries")
+@query("write_cache_entries", f"WITH {CACHE.strip()} SELECT status, cached AS translated_text FROM cache WHERE status = 'ok'")
 def write_cache_entries(spark, sf):
     path = new_folder(spark, "translation-cache")
     entries = cache_table(spark, sf)
     runs.write_cache_entries(entries, path)
-    return spark.read.schema(entries.schema).parquet(path).select("cache_key", "status", "translated_text")
+    return spark.read.schema(entries.schema).parquet(path).select("status", "translated_text")
