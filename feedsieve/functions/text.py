@@ -143,11 +143,6 @@ def collapse_blanks(text: Column) -> Column:
     return strip(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s{2,}|[\s&&[^ ]]", " "))
 
 
-def first_text(*columns: Column) -> Column:
-    """First non-empty of the cleaned display texts."""
-    cleaned = [F.nullif(clean_display_html(c), F.lit("")) for c in columns]
-    return F.coalesce(*cleaned, F.lit(""))
-
 
 def best_display_text(notes_text, notes, description, summary_items, one_liner) -> Column:
     """Display text of an item: notes fields, then joined summary lines, then the one-liner."""
@@ -156,7 +151,3 @@ def best_display_text(notes_text, notes, description, summary_items, one_liner)
     joined = F.nullif(F.array_join(lines, "\n"), F.lit(""))
     direct = [F.nullif(clean_display_html(c), F.lit("")) for c in (notes_text, notes, description)]
     return F.coalesce(*direct, joined, clean_display_html(one_liner))
-
-
-def split_lines(text: Column) -> Column:
-    return F.split(text, "\n", -1)

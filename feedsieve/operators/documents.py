@@ -45,9 +45,6 @@ def _score(value: Column) -> Column:
     return F.format_string("%.1f", value)
 
 
-def _rest(items: Column, start: int) -> Column:
-    return F.slice(items, start, F.greatest(F.size(items), F.lit(1)))
-
 
 def _notes_lines(sections: Column, heading: Column) -> Column:
     title = F.when(heading == "translated", TRANSLATED_HEADING).otherwise(FULL_NOTES_HEADING)
@@ -97,9 +94,6 @@ def _numbered(parts: DataFrame, column: str, out: str) -> DataFrame:
         "run_id", (F.col("_first") + F.col("_at")).alias("n"), out)
 
 
-def _with_head(heads: DataFrame, items: DataFrame) -> DataFrame:
-    return heads.unionByName(items)
-
 
 def render_report(decisions: DataFrame, runs: DataFrame) -> DataFrame:
     """Numbered report lines (run_id, line_no, line).
@@ -123,7 +117,7 @@ def render_report(decisions: DataFrame, runs: DataFrame) -> DataFrame:
     body = decisions.select(
         "run_id", _section_order(F.col("decision")).alias("section"), F.lit(1).alias("slot"), (-F.col("final_score")).alias("rank_key"),
         F.col("item_pos").cast("bigint").alias("pos"), item_lines().alias("lines"))
-    return _numbered(_with_head(tops, body), "lines", "line").withColumnRenamed("n", "line_no")
+    return _numbered(tops.unionByName(body), "lines", "line").withColumnRenamed("n", "line_no")
 
 
 def _block(kind: str, text: Column) -> Column:
@@ -187,7 +181,7 @@ def report_blocks(decisions: DataFrame, runs: DataFrame) -> DataFrame:
     body = decisions.select(
         "run_id", _section_order(F.col("decision")).alias("section"), F.lit(1).alias("slot"), (-F.col("final_score")).alias("rank_key"),
         F.col("item_pos").cast("bigint").alias("pos"), item_blocks().alias("blocks"))
-    rows = _numbered(_with_head(tops, body), "blocks", "block")
+    rows = _numbered(tops.unionByName(body), "blocks", "block")
     return rows.select("run_id", F.col("n").alias("block_no"), "block.type", "block.text")
 
 

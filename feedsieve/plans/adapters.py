@@ -19,7 +19,6 @@ TEST_POLICY = Policy(
         boost=("The", "of", "and", "la", "der", "haing", "edon", "enti", "on the"), negative=("haea", "reti", "nder"),
         topics=("that", "les", "die", "ing"), people=("haing", "Edon")),
 )
-NOW = "2024-02-05T00:00:00Z"
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from feedsieve import schemas
 from feedsieve.plans import sql as q
 from feedsieve.plans.adapters import FEEDS, feed_config, landed_bodies, lite_decisions, table, texts, with_episodes, with_lite
 from feedsieve.plans.catalog import query
@@ -84,7 +85,7 @@ def scan_jsonl_state(spark, sf):
     line = F.when(F.col("event_id") % 9 == 1, "").when(F.col("event_id") % 9 == 2, "{broken").otherwise(good)
     path = new_folder(spark, "jsonl-state")
     table(spark, sf, "events").select(line.alias("value")).write.text(path)
-    return feeds.scan_jsonl_state(spark, path, "selection_id string, status string", "selection_id")
+    return feeds.scan_jsonl_state(spark, path, schemas.QUEUE, "selection_id").select("selection_id", "status")
 
 
 def _stored_runs(spark, sf):

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-FEED_REGISTRY = "id string, name string, rss_url string, feed_type string, language string, network_mode string, topics array<string>"
 JSONLD_PAGE = (
     "workExample array<struct<name:string,datePublished:string,duration:string,description:string,"
     "offers:array<struct<url:string>>>>"
@@ -18,5 +15,3 @@ QUEUE = (
     "selection_id string, run_id string, week_id string, episode_id string, podcast_id string, action string, "
     "selected_at string, status string, doc_id string, doc_url string, finished_at string"
 )
-SEGMENT = T.StructType([
-    T.StructField("start", T.DoubleType()), T.StructField("end", T.DoubleType()), T.StructField("text", T.StringType())])

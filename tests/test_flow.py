@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from feedsieve import schemas
 from feedsieve.functions import when
 from feedsieve.operators import delivery, documents, joins, translate
 from feedsieve.plans.weekly import decide, screen
@@ -132,10 +133,12 @@ def test_report_lines_stored_in_order(spark):
 
 def test_versioned_state(spark):
     root = new_folder(spark, "state")
-    assert runs.read_version(spark, root, "k string").count() == 0
-    runs.write_version(spark.createDataFrame([("a",)], "k string"), root, 1)
-    runs.write_version(spark.createDataFrame([("a",), ("b",)], "k string"), root, 2)
-    assert runs.read_version(spark, root, "k string").count() == 2
+    assert runs.read_version(spark, root, schemas.REGISTRY).count() == 0
+    row = lambda e, d: (e, "p", "t", "f", "w", "l", 1, d, [d])
+    runs.write_version(spark.createDataFrame([row("a", "skip")], schemas.REGISTRY), root, 1)
+    merged = joins.upsert_registry(runs.read_version(spark, root, schemas.REGISTRY), spark.createDataFrame([row("a", "full"), row("b", "skip"), row("", "skip")], schemas.REGISTRY))
+    runs.write_version(merged, root, 2)
+    assert {r.episode_id: r.decision for r in runs.read_version(spark, root, schemas.REGISTRY).collect()} == {"a": "full", "b": "skip"}
 
 
 def test_registry_batch_replay_changes_nothing(spark):
