@@ -25,7 +25,8 @@ WEIGHTS = (
 SENTENCE_END = "[。！？.!?]+"
 BULLET_LINE = r"(?mdU)^\s*(?:[-*•·]|\d+[.)])\s+"
 CLOCK_TIME = r"(?U)\b\d{1,2}:\d{2}(?::\d{2})?\b"
-LETTER = r"[A-Za-z\x{4e00}-\x{9fff}]"
+# "At least twelve letters", written out: stops at the twelfth instead of collecting them all.
+TWELVE_LETTERS = "(?s)" + r"[A-Za-z\x{4e00}-\x{9fff}][^A-Za-z\x{4e00}-\x{9fff}]*+" * 11 + r"[A-Za-z\x{4e00}-\x{9fff}]"
 TRAILER_PHRASES = ("trailer", "preview episode", "announcement", "sneak peek", "节目预告", "内容预告")
 PAYWALL_NOTES = r"(?isU)\bsubscribe\b.{0,160}\bfull[- ]length episodes?\b"
 CROSS_PROMO_NOTES = r"(?dU)\blisten to (?:episode|the full|.+? on )"
@@ -52,8 +53,7 @@ def information_density(notes: Column) -> Column:
 
 
     def density(text: Column) -> Column:
-        # "At least twelve letters" stops at the twelfth instead of collecting them all.
-        sentences = F.size(F.filter(sentence_parts(text), lambda p: p.rlike(rf"(?s)(?:{LETTER}[^A-Za-z\x{{4e00}}-\x{{9fff}}]*){{12}}")))
+        sentences = F.size(F.filter(sentence_parts(text), lambda p: p.rlike(TWELVE_LETTERS)))
         marks = F.regexp_count(text, F.lit(BULLET_LINE)) + F.regexp_count(text, F.lit(CLOCK_TIME))
         total = length_score(F.length(text)) + F.least(F.lit(25), sentences * 3) + F.least(F.lit(15), marks * 2)
         return F.when(text == "", F.lit(0)).otherwise(F.least(F.lit(100), total))
