@@ -38,9 +38,9 @@ def run_log_append(spark, sf):
 SELECT run_id, week_id FROM (SELECT DISTINCT run_id, week_id FROM lite) WHERE week_id NOT IN (SELECT max(week_id) FROM lite) ORDER BY run_id DESC LIMIT 1"""))
 def latest_run(spark, sf):
     rows = lite_decisions(spark, sf).withColumns({"dir_run_id": F.col("run_id"), "dir_week_id": F.col("week_id")})
-    newest = F.broadcast(rows.agg(F.max("week_id").alias("newest")))  # one row
+    newest = F.broadcast(rows.agg(F.max("week_id").alias("week_id")).withColumn("moved", F.lit(True)))  # one row
     # The newest run lies in the folder of another week, so it must be passed over.
-    moved = rows.join(newest, F.lit(True)).withColumn("dir_week_id", F.when(F.col("week_id") == F.col("newest"), "1999W01").otherwise(F.col("week_id")))
+    moved = rows.join(newest, "week_id", "left").withColumn("dir_week_id", F.when(F.col("moved"), "1999W01").otherwise(F.col("week_id")))
     reports = rows.select("run_id", "week_id")
     return runs.latest_run(moved, reports)
 

@@ -30,6 +30,26 @@ def test_row_order_does_not_change_results(spark):
     assert results[0] == results[1] and len(results[0]) == 7
 
 
+def test_a_third_of_all_rows_on_one_key(spark):
+    n = 9000
+    hot = F.col("id") % 3 == 0
+    rows = spark.range(n).select(
+        F.when(hot, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 500).cast("string"))).alias("key"), F.lit("w").alias("week_id"), F.col("id").alias("item_pos"),
+        F.lit(0).alias("feed_ord"), (F.col("id") * 37 % 1001 / 10.0).alias("final_score"), F.when(hot, "preview").otherwise("skip").alias("decision"))
+    firsts = {r.key: r.item_pos for r in ranking.first_per_key(rows, ["key"], [F.col("item_pos")]).collect()}
+    want = {}
+    for i in range(n):
+        want.setdefault("hot" if i % 3 == 0 else f"k{i % 500}", i)
+    assert firsts == want
+    scores = sorted((i * 37 % 1001 / 10.0 for i in range(0, n, 3)), reverse=True)
+    upper, lower = scores[int(3000 * 0.2) - 1], scores[int(3000 * 0.6) - 1]
+    counts = {r.priority: r["count"] for r in ranking.relative_priority(rows).filter("decision = 'preview'").groupBy("priority").count().collect()}
+    assert counts == {"high": sum(s >= upper for s in scores), "medium": sum(lower <= s < upper for s in scores), "low": sum(s < lower for s in scores)}
+    table = spark.createDataFrame([("hot", 1), ("k1", 2)], "key string, v int")
+    for joined in (joins.lookup(rows, table, ["key"]), rows.join(joins.small_or_not(table, 1), "key", "left")):
+        assert joined.count() == n and joined.filter("v = 1").count() == n // 3
+
+
 def test_first_per_key_limits_each_task_before_the_shuffle(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("k"), "id")
     plan = ranking.first_per_key(df, ["k"], [F.col("id")])._jdf.queryExecution().executedPlan().toString()
