@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedsieve.llm import jaccard, mixing, sharding, substrings
+from feedsieve.llm import jaccard, mixing, sharding, substrings, vectors
 from feedsieve.llm.common import WORD, table
 from feedsieve.session import prepare
 
@@ -60,6 +60,11 @@ SELECT doc_id, size, source_size, target, (coalesce(copies, 0) * size)::BIGINT A
 """
 
 
+@query("op3_embedding_dedup")
+def op3(spark, sf):
+    return vectors.near_duplicate_vectors(table(spark, sf, "embeddings").select("vec_id", "embedding"))
+
+
 @query("op5_jaccard_join")
 def op5(spark, sf):
     return jaccard.near_duplicates(table(spark, sf, "documents").select("doc_id", "text"))
