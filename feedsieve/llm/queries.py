@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedsieve.llm import jaccard, mixing, sharding, substrings, vectors
+from feedsieve.llm import jaccard, lines, mixing, pages, sharding, substrings, vectors
 from feedsieve.llm.common import WORD, table
 from feedsieve.session import prepare
 
@@ -60,6 +60,32 @@ SELECT doc_id, size, source_size, target, (coalesce(copies, 0) * size)::BIGINT A
 """
 
 
+@query("op1_extract_html")
+def op1(spark, sf):
+    return pages.extract(table(spark, sf, "pages"))
+
+
+LINES_SQL = r"""
+WITH cleaned AS (
+  SELECT page_id, coalesce(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '') AS host, row_number() OVER () AS r,
+         regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<!--.*?-->|<(?:script|style|head)\b.*?</(?:script|style|head)\s*>', chr(10), 'g'),
+           '(?i)</?(?:a|abbr|b|big|code|em|font|i|mark|q|s|small|span|strong|sub|sup|time|u)(?:\s[^>]*)?/?>', '', 'g'), '<[a-zA-Z/!?][^>]*>', chr(10), 'g'), '[ \t\f\r\x0B]+', ' ', 'g') AS text
+  FROM pages),
+split AS (SELECT page_id, host, r, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines FROM cleaned),
+seen AS (SELECT DISTINCT host, r, unnest(lines) AS line FROM split),
+totals AS (SELECT host, count(*) AS pages FROM split GROUP BY host),
+frequent AS (SELECT host, line FROM (SELECT host, line, count(*) AS n FROM seen GROUP BY host, line) JOIN totals USING (host) WHERE n >= 3 AND n > 0.1 * pages),
+placed AS (SELECT r, host, line, pos FROM (SELECT r, host, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM split)),
+kept AS (SELECT r, count(*) AS n, string_agg(line, chr(10) ORDER BY pos) AS text FROM placed p WHERE NOT EXISTS (SELECT 1 FROM frequent f WHERE f.host = p.host AND f.line = p.line) GROUP BY r)
+SELECT page_id, host, len(lines)::BIGINT AS n_lines, (len(lines) - coalesce(n, 0))::BIGINT AS n_dropped, coalesce(text, '') AS text FROM split LEFT JOIN kept USING (r)
+"""
+
+
+@query("op2_line_dedup", LINES_SQL)
+def op2(spark, sf):
+    return lines.drop_boilerplate(table(spark, sf, "pages").select("page_id", lines.host_of(F.col("url")).alias("host"), lines.lines_of(F.col("html")).alias("lines")))
+
+
 @query("op3_embedding_dedup")
 def op3(spark, sf):
     return vectors.near_duplicate_vectors(table(spark, sf, "embeddings").select("vec_id", "embedding"))
