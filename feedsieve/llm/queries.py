@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedsieve.llm import jaccard, lines, mixing, pages, sharding, substrings, vectors
+from feedsieve.llm import jaccard, lines, mixing, pages, quality, sharding, substrings, vectors
 from feedsieve.llm.common import WORD, table
 from feedsieve.session import prepare
 
@@ -91,6 +91,11 @@ def op3(spark, sf):
     return vectors.near_duplicate_vectors(table(spark, sf, "embeddings").select("vec_id", "embedding"))
 
 
+@query("op4_quality_classifier")
+def op4(spark, sf):
+    return quality.classify(table(spark, sf, "documents").select("doc_id", "text")).drop("row")
+
+
 @query("op5_jaccard_join")
 def op5(spark, sf):
     return jaccard.near_duplicates(table(spark, sf, "documents").select("doc_id", "text"))
