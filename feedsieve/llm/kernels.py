@@ -15,7 +15,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
-_BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=U64) * U64(2) + U64(1)
+BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=U64) * U64(2) + U64(1)
 _BASE, _WORD_BASE = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -83,7 +83,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[n
     starts, ends = np.flatnonzero(solid & before), np.flatnonzero(solid & after) + 1
     up, down = _powers(_BASE, len(data) + 1)
     total = np.zeros(len(data) + 1, U64)
-    np.cumsum(_BYTE[_LOWER[data] if lower else data] * up[: len(data)], out=total[1:])
+    np.cumsum(BYTE[_LOWER[data] if lower else data] * up[: len(data)], out=total[1:])
     hashes = mix((total[ends] - total[starts]) * down[starts])
     return hashes, starts, ends, np.searchsorted(starts, offsets)
 

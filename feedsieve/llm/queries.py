@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedsieve.llm import benchmark, jaccard, lines, mixing, pages, quality, sharding, substrings, vectors
+from feedsieve.llm import benchmark, jaccard, lines, mixing, pages, quality, sharding, substrings, suffixes, vectors
 from feedsieve.llm.common import WORD, table
 from feedsieve.session import prepare
 
@@ -106,6 +106,11 @@ def op6(spark, sf):
     return benchmark.contaminated(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark").select("item_id", "text")).drop("row")
 
 
+@query("op7_suffix_dedup")
+def op7(spark, sf):
+    return suffixes.remove_repeated_bytes(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 @query("op8_mix_sources", MIX_SQL)
 def op8(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "source", n_words().alias("size"))

@@ -24,8 +24,8 @@ _WINDOWS = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("text", pa.s
 _RESULT = pa.schema([("row", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
 
-def _runs(w: np.ndarray, at: np.ndarray, window: int, anchor: int):
-    """All windows of a slice of texts, cut into runs that share the place of their smallest anchor hash.
+def runs_of(w: np.ndarray, at: np.ndarray, window: int, anchor: int):
+    """All windows of a slice of texts (hashes of their words or bytes), cut into runs that share the place of their smallest anchor hash.
 
     Returns the window hashes and, per run, its text, first window (within the slice), number of windows, cell and a
     hash of its whole content.
@@ -53,7 +53,7 @@ def _scan(window: int, anchor: int):
             for a, b in K.slices(offsets):
                 part, inner = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 w, _, _, at = K.words(part, inner)
-                _, doc, p1, length, cell, content = _runs(w, at, window, anchor)
+                _, doc, p1, length, cell, content = runs_of(w, at, window, anchor)
                 per = np.searchsorted(doc, np.arange(b - a + 1))
                 raw = part.tobytes()
                 sha = [hashlib.sha256(b" ".join(raw[inner[i] : inner[i + 1]].split())).hexdigest() for i in range(b - a)]
