@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from feedsieve.llm.common import WORD
 from feedsieve.session import materialize
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -12,6 +13,11 @@ MAX_EPOCHS = 3
 CELLS = 4096  # parts of a source's shuffled order, and of the merged queue, whose sums are carried over
 
 
+def words_in(text: Column) -> Column:
+    """Words of a text; null has none."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
+
+
 def _shuffle_key(seed: int):
     """A fixed pseudo-random 60-bit number for each document."""
     return F.conv(F.substring(F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(str(seed)))), 1, 15), 16, 10).cast("bigint")

@@ -6,8 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from feedsieve.llm import kernels as K
 from feedsieve.llm.common import row_key
@@ -180,22 +182,28 @@ def _score(stop: np.ndarray, weight: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = K.binary(batch.column("text"))
+            doc = batch.column("doc")
+            data, offsets = K.binary(pc.struct_field(doc, "text"))
+            counts, scores = [], []
             for a, b in K.slices(offsets):
                 n, table, h, shape, at = measures(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], stop)
                 z = (_sums(kinds[shape] + hashed[(h % K.U64(BUCKETS)).astype(np.int64)], at) + n * (weight[0] + _scaled(table) @ numbers)) / (n + SMOOTHING) + weight[-1]
-                score = np.where(n > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("row").slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(score)], ["doc_id", "row", "n_words", "score"])
+                counts.append(n.astype(np.int64))
+                scores.append(np.where(n > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0))
+            if counts:
+                yield pa.RecordBatch.from_arrays([doc, pa.array(np.concatenate(counts)), pa.array(np.concatenate(scores))], ["doc", "n_words", "score"])
     return run
 
 
 def classify(docs: DataFrame, threshold: float = 0.5, training: int = TRAINING) -> DataFrame:
-    """Score every row of `docs` (doc_id, text): doc_id, row, n_words, score (probability of good quality) and kept.
+    """Score every row of `docs` (doc_id, text and any other columns).
+
+    Returns doc (all columns of the row), n_words, score (probability of good quality) and kept, one row per input row.
 
     Labellers vote good, bad or not at all on measures of the whole text. Their accuracies come from all documents: only
     the counts of the vote patterns (at most 3 to the number of labellers) reach the driver, where expectation-maximisation
     runs. The scorer is fitted on the posterior labels of about `training` documents, chosen by a hash of their content, and
-    applied to all. `row` is a key of the row's content.
+    applied to all.
 
     Null or empty text, or no words: score 0, not kept. Null doc_id is passed on; equal rows get equal scores. Empty input:
     empty result.
@@ -212,5 +220,6 @@ def classify(docs: DataFrame, threshold: float = 0.5, training: int = TRAINING)
         weight = fit(found["p"].to_numpy(), [np.array(x, np.int64) for x in found["columns"].to_pylist()], [np.array(x) for x in found["values"].to_pylist()])
     else:
         weight = np.zeros(65 + len(NUMBERS) + BUCKETS + 1)
-    scored = rows.mapInArrow(_score(stop, weight), "doc_id bigint, row bigint, n_words bigint, score double")
+    schema = T.StructType([T.StructField("doc", docs.schema), T.StructField("n_words", T.LongType()), T.StructField("score", T.DoubleType())])
+    scored = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc")).mapInArrow(_score(stop, weight), schema)
     return scored.withColumn("kept", (F.col("score") >= threshold) & (F.col("n_words") > 0))

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from feedsieve.llm import benchmark, jaccard, lines, mixing, pages, quality, sharding, substrings, suffixes, vectors
-from feedsieve.llm.common import WORD, table
+from feedsieve.llm.common import table
 from feedsieve.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,11 +29,6 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def n_words():
-    """Words of a text; null has none."""
-    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
-
-
 MIX_SQL = r"""
 WITH docs AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -93,7 +89,7 @@ def op3(spark, sf):
 
 @query("op4_quality_classifier")
 def op4(spark, sf):
-    return quality.classify(table(spark, sf, "documents").select("doc_id", "text")).drop("row")
+    return quality.classify(table(spark, sf, "documents").select("doc_id", "text")).select("doc.doc_id", "n_words", "score", "kept")
 
 
 @query("op5_jaccard_join")
@@ -113,17 +109,21 @@ def op7(spark, sf):
 
 @query("op8_mix_sources", MIX_SQL)
 def op8(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "source", n_words().alias("size"))
+    docs = table(spark, sf, "documents").select("doc_id", "source", mixing.words_in(F.col("text")).alias("size"))
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
 @query("op9_shard")
 def op9(spark, sf):
-    text = F.coalesce(F.col("text"), F.lit(""))
-    docs = table(spark, sf, "documents").select("doc_id", (F.octet_length(text) + 16).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    return sharding.shard(docs).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    docs = table(spark, sf, "documents").select("doc_id", *sharding.size_and_digest(F.col("text")))
+    return sharding.every_slot(sharding.shard(docs)).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 @query("op10_substring_dedup")
 def op10(spark, sf):
     return substrings.remove_repeated_windows(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, sf):
+    return corpus_pipeline.run(spark, sf)

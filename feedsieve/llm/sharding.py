@@ -6,7 +6,7 @@ import hashlib
 from bisect import bisect_left
 from collections import deque
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedsieve.session import materialize
@@ -16,6 +16,12 @@ REPLICAS = 16  # virtual nodes of a shard
 POSITIONS = 1 << 14  # places on the ring
 
 
+def size_and_digest(text: Column) -> tuple[Column, Column]:
+    """`size` (UTF-8 bytes and 16) and `text_crc32` of a text; null counts as empty."""
+    whole = F.coalesce(text, F.lit(""))
+    return (F.octet_length(whole) + 16).cast("bigint").alias("size"), F.crc32(whole.cast("binary")).alias("text_crc32")
+
+
 def ring(shards: int, replicas: int = REPLICAS, positions: int = POSITIONS) -> list[tuple[int, int]]:
     """(position, shard) of all virtual nodes, in ring order. A shard's nodes do not depend on the other shards."""
     nodes = [(int.from_bytes(hashlib.md5(f"{s}/{r}".encode()).digest()[:8], "big") % positions, s) for s in range(shards) for r in range(replicas)]
@@ -72,7 +78,8 @@ def placements(counts: dict[int, int], shards: int, replicas: int = REPLICAS, po
 def shard(docs: DataFrame, shards: int = SHARDS, replicas: int = REPLICAS, positions: int = POSITIONS) -> DataFrame:
     """Put every row of `docs` (doc_id, size, text_crc32) into a shard; law `rows`: counts are at most one apart.
 
-    Returns doc_id, size, text_crc32, shard and slot (0, 1, ... within the shard), one row per input row. A row's
+    Returns doc_id, size, text_crc32, shard, slot and n: n of the rows with these values take the shard's places slot,
+    slot + 1, ... (rows that agree in all may lie in two shards). Within a shard the places run from 0 without gaps. A row's
     place on the ring is a hash of all three columns, so null or repeated ids spread with their texts; rows that agree
     in all are counted together and placed side by side. Only the row counts of the ring's `positions` reach the
     driver, a number that does not grow with the data. Empty input: empty result.
@@ -83,7 +90,13 @@ def shard(docs: DataFrame, shards: int = SHARDS, replicas: int = REPLICAS, posit
     counts = {r["position"]: r["n"] for r in rows.groupBy("position").agg(F.sum("times").alias("n")).collect()}
     ranges = spark.createDataFrame(placements(counts, shards, replicas, positions), "position int, low long, high long, shard int, first long")
     order = Window.partitionBy("position").orderBy("hash", "doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = rows.withColumn("upto", F.sum("times").over(order)).withColumn("rank", F.explode(F.sequence(F.col("upto") - F.col("times"), F.col("upto") - 1)))
+    ranked = rows.withColumn("upto", F.sum("times").over(order)).withColumn("from", F.col("upto") - F.col("times"))
     # At most one range per position and two per node: bounded by the ring's size.
-    placed = ranked.join(F.broadcast(ranges), "position").where("rank >= low AND rank < high")
-    return placed.select("doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("rank") - F.col("low")).alias("slot"))
+    placed = ranked.join(F.broadcast(ranges), "position").where("from < high AND upto > low")
+    start = F.greatest("from", "low")
+    return placed.select("doc_id", "size", "text_crc32", "shard", (F.col("first") + start - F.col("low")).alias("slot"), (F.least("upto", "high") - start).alias("n"))
+
+
+def every_slot(placed: DataFrame) -> DataFrame:
+    """One row for each place of `shard`'s result."""
+    return placed.withColumn("slot", F.explode(F.sequence(F.col("slot"), F.col("slot") + F.col("n") - 1))).drop("n")
