@@ -21,9 +21,12 @@ MAX_HEAVY = 1 << 16
 PER_BUCKET = 500_000  # signatures of a bucket, about
 CHUNK = 1_000_000  # signatures that a task holds before it hands them on
 
+PART = 2048  # members of one side of a tile of a large group, about
+
 SMALLEST, RATIO = 64, 8  # sets below SMALLEST are sketched with one block per shingle; bands grow by RATIO
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("x", pa.int64()), ("y", pa.int64()), ("heavy", pa.list_(pa.int64()))])
+_SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("x", pa.int64()), ("y", pa.int64()), ("heavy", pa.list_(pa.int64())), ("sketch", pa.binary())])
+_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _BLOBS = pa.schema([("bucket", pa.int32()), ("signatures", pa.binary()), ("docs", pa.binary()), ("counts", pa.binary())])
 _MEMBERS = pa.schema([("signature", pa.int64()), ("doc_id", pa.int64())])
 
@@ -70,6 +73,59 @@ def signatures(found: np.ndarray, heavy: np.ndarray, percent: int = PERCENT) ->
     return np.concatenate(out), np.concatenate(often)
 
 
+def sketch_bits(n: int) -> int:
+    """Length of the parity sketch of a set of n shingles: a power of two, at least 2 n and 64."""
+    return max(64, 1 << (2 * n - 1).bit_length()) if n else 64
+
+
+def sketch(found: np.ndarray) -> np.ndarray:
+    """Parity bits of a set: each shingle flips the bit its hash names. Packed in 64-bit words."""
+    bits = np.bincount((found & K.U64(sketch_bits(len(found)) - 1)).astype(np.int64), minlength=sketch_bits(len(found))) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(K.U64)
+
+
+def fold(rows: np.ndarray) -> np.ndarray:
+    """Sketches of half the length: those of the same sets, as the upper half of the positions wraps around."""
+    half = rows.shape[1] // 2
+    return rows[:, :half] ^ rows[:, half:]
+
+
+def most_apart(n, m, percent: int):
+    """Largest symmetric difference of sets of n and m shingles that are similar enough."""
+    return (100 - percent) * (n + m) // (100 + percent)
+
+
+def possible(n: np.ndarray, sketches: list[np.ndarray], apart: np.ndarray, percent: int, left: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+    """Pairs (i, j) of sets that sizes and sketches do not exclude, among those with different values of `apart`.
+
+    With `left`, only pairs of which just one is marked.
+    """
+    order = np.argsort(n, kind="stable")
+    length = np.array([len(x) for x in sketches])
+    tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+    for size in np.unique(length):
+        at = order[length[order] == size]
+        tables[int(size)] = (at, np.stack([sketches[i] for i in at]), n[at])
+    for size, (at, rows, sizes) in tables.items():
+        for wide in (size, 2 * size):
+            if wide not in tables:
+                continue
+            others, shown, larger = tables[wide]
+            shown = shown if wide == size else fold(shown)
+            for k, i in enumerate(at):
+                first = k + 1 if wide == size else 0
+                last = int(np.searchsorted(larger, sizes[k] * 100 // percent, "right"))
+                if first < last:
+                    j = others[first:last]
+                    good = apart[j] != apart[i]
+                    if left is not None:
+                        good &= left[j] != left[i]
+                    if good.any():
+                        differ = np.bitwise_count(shown[first:last][good] ^ rows[k]).sum(axis=1)
+                        for x in j[good][differ <= most_apart(sizes[k], larger[first:last][good], percent)]:
+                            yield int(i), int(x)
+
+
 def _sample(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,7 +147,7 @@ def _sets(size: int, percent: int, heavy: np.ndarray):
                     seen.add((len(found), x, y))
                     values, often = signatures(found, heavy, percent)
                     values = values[often]
-                out.append((doc, len(found), x - (x >> 63 << 64), y - (y >> 63 << 64), K.signed(values)))
+                out.append((doc, len(found), x - (x >> 63 << 64), y - (y >> 63 << 64), K.signed(values), sketch(found).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _SETS)], schema=_SETS) if out else pa.RecordBatch.from_pylist([], _SETS)
     return run
 
@@ -150,6 +206,39 @@ def _repeated(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(values[keep]), pa.array(docs[keep])], schema=_MEMBERS)
 
 
+def _near(percent: int):
+    """Pairs whose sketches are close enough."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = np.stack([batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()])
+            keep = np.zeros(batch.num_rows, bool)
+            for i, (x, y) in enumerate(zip(batch.column("sketch_a"), batch.column("sketch_b"))):
+                x, y = np.frombuffer(x.as_py(), K.U64)[None], np.frombuffer(y.as_py(), K.U64)[None]
+                while x.shape[1] != y.shape[1]:
+                    x, y = (fold(x), y) if x.shape[1] > y.shape[1] else (x, fold(y))
+                keep[i] = np.bitwise_count(x ^ y).sum() <= most_apart(n[0, i], n[1, i], percent)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+    return run
+
+
+def _tiles(percent: int):
+    """Pairs of a group's members that are in different components and whose sketches are close enough."""
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("signature", "ascending"), ("low", "ascending"), ("high", "ascending")])
+        key = np.stack([table[c].to_numpy() for c in ("signature", "low", "high")])
+        cuts = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0))).tolist() + [table.num_rows]
+        ids, n, apart, part = (table[c].to_numpy() for c in ("doc_id", "n_shingles", "c", "part"))
+        raw, out = table["sketch"].to_pylist(), set()
+        for first, last in zip(cuts[:-1], cuts[1:]):
+            own = slice(first, last)
+            left = None if key[1, first] == key[2, first] else part[own] == key[1, first]
+            for i, j in possible(n[own], [np.frombuffer(x, K.U64) for x in raw[own]], apart[own], percent, left):
+                a, b = int(ids[first + i]), int(ids[first + j])
+                out.add((min(a, b), max(a, b)))
+        return pa.Table.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], schema=_PAIRS)
+    return run
+
+
 def _verify(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,7 +246,7 @@ def _verify(size: int, percent: int):
             for left, right in zip(K.shingles(batch.column("text_a"), size), K.shingles(batch.column("text_b"), size)):
                 both = len(np.intersect1d(left, right, assume_unique=True))
                 linked.append(bool(both) and 100 * both >= percent * (len(left) + len(right) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
+            yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
     return run
 
 
@@ -168,10 +257,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     sequence as one if there are fewer words. Returns doc_id, n_shingles and component_id (smallest linked doc_id, itself
     included), one row per input row.
 
-    Candidates are the documents that share a block signature of their parity sketches (see `signatures`); verification
-    compares whole sets (64-bit shingle hashes) exactly. Members of a signature's group are checked against its smallest
-    document first; only pairs of a group that are not connected then are checked one by one, so a group of many
-    copies costs as many checks as it has members, and no link between components is missed.
+    Candidates are documents that share a block signature of their parity sketches (see `signatures`). Of a signature's
+    group, first all members meet its smallest document, then only members that are not connected by then meet each
+    other, in tiles of about PART members, so that no group is one task and no link between components is missed. A pair
+    that the sizes or the Hamming distance of the bit sketches exclude goes no further; for the others the whole
+    sets (64-bit shingle hashes) are compared exactly.
 
     Which shingles are frequent is learnt from about `sample` documents; this changes the order of blocks and thereby the
     cost, never the result. Frequent signatures travel as plain rows, whose groups Spark can split; the others are packed.
@@ -184,7 +274,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     few = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(n, 1))))
     often = few.mapInArrow(_sample(size), "shingle bigint").groupBy("shingle").count().where(F.col("count") >= max(3, int(HEAVY_SHARE * min(n, sample))))
     heavy = np.sort(np.array([r[0] for r in often.orderBy(F.desc("count"), "shingle").limit(MAX_HEAVY).collect()], np.int64).view(K.U64))
-    sets = materialize(docs.mapInArrow(_sets(size, percent, heavy), "doc_id bigint, n_shingles bigint, x bigint, y bigint, heavy array<bigint>"), "jaccard-sets")
+    sets = materialize(docs.mapInArrow(_sets(size, percent, heavy), "doc_id bigint, n_shingles bigint, x bigint, y bigint, heavy array<bigint>, sketch binary"), "jaccard-sets")
 
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = int(max(1, -(-total * (100 - percent) * 2 // (100 + percent) // PER_BUCKET)))
@@ -192,44 +282,40 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     light = packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_repeated, "signature bigint, doc_id bigint")
     frequent = sets.select(F.explode("heavy").alias("signature"), "doc_id")
     members = materialize(light.unionByName(frequent).distinct(), "jaccard-members")
-    leaders = materialize(members.groupBy("signature").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").drop("z"), "jaccard-leaders")
-    members = materialize(members.join(leaders, "signature"), "jaccard-groups")
+    groups = members.groupBy("signature").agg(F.min("doc_id").alias("a"), F.count("*").alias("m"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("who")).where("m > 1")
+    # Signatures with the same members say the same.
+    groups = materialize(groups.groupBy("a", "m", "who").agg(F.min("signature").alias("signature")).drop("who"), "jaccard-groups")
+    members = materialize(members.join(groups, "signature"), "jaccard-grouped")
 
     # Equal sets are one class, linked through its smallest document.
     classes = sets.where("n_shingles > 0").groupBy("n_shingles", "x", "y").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").drop("z")
-    same = sets.join(materialize(classes, "jaccard-classes"), ["n_shingles", "x", "y"]).where("doc_id <> a").select("a", F.col("doc_id").alias("b"))
-    links, checked = materialize(same, "jaccard-links"), None
-    texts = materialize(docs.join(members.select("doc_id").distinct(), "doc_id").dropDuplicates(["doc_id", "text"]), "jaccard-texts")
+    same = sets.select("doc_id", "n_shingles", "x", "y").join(materialize(classes, "jaccard-classes"), ["n_shingles", "x", "y"]).where("doc_id <> a").select("a", F.col("doc_id").alias("b"))
+    same = materialize(same, "jaccard-same")
+    # Rows that share a doc_id but not their text keep a sketch each.
+    sketches = sets.where("n_shingles > 0").select("doc_id", "n_shingles", "sketch").distinct()
 
-    def check(pairs: DataFrame) -> DataFrame:
+    def linked(pairs: DataFrame) -> DataFrame:
+        """The pairs whose whole sets are similar enough."""
         pairs = materialize(pairs, "jaccard-pairs")
-        left = pairs.join(texts.toDF("a", "text_a"), "a")
-        both = left.join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
-        return materialize(both.mapInArrow(_verify(size, percent), "a bigint, b bigint, linked boolean"), "jaccard-checked")
-
-    def part(of: DataFrame) -> DataFrame:
-        """Members of groups that lie in several components, each with its own."""
-        known = materialize(components(of), "jaccard-components").toDF("doc_id", "c")
-        placed = materialize(members.join(known, "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id")), "jaccard-placed")
-        mixed = placed.groupBy("signature").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("signature")
-        return materialize(placed.join(materialize(mixed, "jaccard-mixed"), "signature"), "jaccard-open")
-
-    # First each document against one leader, then against all its leaders, then whatever pairs of a group remain apart.
-    for step in range(3):
-        if step == 0:
-            pairs = members.where("doc_id <> a").groupBy("doc_id").agg(F.min("a").alias("a")).select("a", F.col("doc_id").alias("b"))
-        else:
-            rest = part(links)
-            if rest.isEmpty():
-                break
-            if step == 1:
-                at = rest.where("doc_id = a").select("signature", F.col("c").alias("ca"))
-                pairs = rest.join(at, "signature").where("c <> ca").select("a", F.col("doc_id").alias("b")).distinct()
-            else:
-                pairs = rest.alias("l").join(rest.alias("r"), "signature").where("l.c <> r.c AND l.doc_id < r.doc_id").select(F.col("l.doc_id").alias("a"), F.col("r.doc_id").alias("b")).distinct()
-            pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        new = check(pairs)
-        checked = new if checked is None else checked.unionByName(new)
-        links = links.unionByName(new.where("linked").select("a", "b"))
-    final = components(links).toDF("doc_id", "component_id")
+        wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "jaccard-wanted")
+        texts = materialize(docs.join(wanted, "doc_id").distinct(), "jaccard-texts")
+        both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
+        return materialize(both.mapInArrow(_verify(size, percent), "a bigint, b bigint").distinct(), "jaccard-links")
+
+    stars = materialize(members.where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct(), "jaccard-stars")
+    sized = stars.join(sketches.toDF("a", "n_a", "sketch_a"), "a").join(sketches.toDF("b", "n_b", "sketch_b"), "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+    links = same.unionByName(linked(sized.mapInArrow(_near(percent), "a bigint, b bigint").distinct()))
+    known = materialize(components(links).toDF("doc_id", "c"), "jaccard-components")
+
+    placed = materialize(members.where("m > 2").join(known, "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id")), "jaccard-placed")
+    mixed = placed.groupBy("signature").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("signature")
+    # The smallest member has met all others.
+    rest = placed.where("doc_id <> a").join(materialize(mixed, "jaccard-mixed"), "signature").join(sketches, "doc_id")
+    parts = F.ceil(F.col("m") / PART).cast("int")
+    rest = rest.withColumn("part", F.pmod(F.xxhash64("doc_id"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    rest = rest.select("signature", "doc_id", "c", "n_shingles", "sketch", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+    rest = rest.withColumn("bucket", F.pmod(F.xxhash64("signature", "low", "high"), F.lit(4 * buckets)).cast("int"))
+    apart = rest.repartition(4 * buckets, "bucket").groupBy("bucket").applyInArrow(_tiles(percent), "a bigint, b bigint").distinct()
+    links = links.unionByName(linked(apart))
+    final = materialize(components(links).toDF("doc_id", "component_id"), "jaccard-result")
     return sets.select("doc_id", "n_shingles").join(final, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
