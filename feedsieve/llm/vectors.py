@@ -16,7 +16,7 @@ THRESHOLD = 0.95
 GROUP_ROWS = 8192  # vectors of one side of a tile, about
 ROWS, COLUMNS = 512, 2048  # part of a tile whose products are held at once
 
-_TILE = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+_TILE = pa.schema([("class", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,7 +88,7 @@ def _tile(threshold: float):
                 np.add.at(count, j, weight[i])
                 label = _unite(label, i, j)
         some = np.flatnonzero(count)
-        return pa.Table.from_arrays([pa.array(ids[some]), pa.array(ids[label[some]]), pa.array(count[some])], schema=_TILE)
+        return pa.Table.from_arrays([pa.array(table["class"].to_numpy()[some]), pa.array(ids[some]), pa.array(ids[label[some]]), pa.array(count[some])], schema=_TILE)
     return run
 
 
@@ -109,15 +109,15 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, gro
     rows = vectors.select("vec_id", "embedding")
     sound = F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0)
     good = rows.where(F.coalesce(sound, F.lit(False)))
-    classes = materialize(good.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")), "vector-classes")
-    # Equal vectors share a representative; two unequal vectors of one id (repeated ids) meet in it as one node.
+    classes = materialize(good.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")).withColumn("class", F.xxhash64("embedding")), "vector-classes")
+    # Links are counted by class; in the graph, unequal vectors of one id (repeated ids) are one node.
     groups = max(1, -(-classes.count() // group_rows))
-    dealt = classes.withColumn("length", F.size("embedding")).withColumn("part", F.pmod(F.xxhash64("embedding"), F.lit(groups)).cast("int"))
+    dealt = classes.withColumn("length", F.size("embedding")).withColumn("part", F.pmod("class", F.lit(groups)).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")}).drop("other")
-    found = materialize(dealt.repartition(groups * (groups + 1) // 2, "length", "low", "high").groupBy("length", "low", "high").applyInArrow(_tile(threshold), "a bigint, b bigint, n bigint"), "vector-tiles")
-    counts = materialize(found.groupBy("a").agg(F.sum("n").alias("near")).withColumnRenamed("a", "rep"), "vector-counts")
+    found = materialize(dealt.repartition(groups * (groups + 1) // 2, "length", "low", "high").groupBy("length", "low", "high").applyInArrow(_tile(threshold), "class bigint, a bigint, b bigint, n bigint"), "vector-tiles")
+    counts = materialize(found.groupBy("class").agg(F.sum("n").alias("near")), "vector-counts")
     placed = materialize(components(found.select("a", "b")).toDF("rep", "component"), "vector-components")
-    ends = classes.join(counts, "rep", "left").join(placed, "rep", "left").select(
+    ends = classes.join(counts, "class", "left").join(placed, "rep", "left").select(
         "embedding", F.coalesce("near", F.lit(0)).alias("near"), "weight", F.coalesce("component", "rep").alias("component"))
     ends = materialize(ends, "vector-ends")
     return rows.join(ends, (rows["embedding"] == ends["embedding"]) & rows["vec_id"].isNotNull(), "left").select(
