@@ -7,8 +7,7 @@ that short letter string. Everything stays in one row, in linear time, without P
 
 from __future__ import annotations
 
-from re import _constants as rec
-from re import _parser as rep
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -201,13 +200,28 @@ CTA_CONTINUES = r"^(?:find|follow|listen|subscribe|email|join|download|访问|
 CREDITS_CONTINUES = r"\b(?:produced|edited|music|engineering|post-production|executive editor)\b"
 
 
+# One part of a pattern: an escape, a set, an opening or closing bracket, a bar, an anchor, or a character; and what repeats it.
+_PART = re.compile(r"(?P<one>\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|\((?:\?(?:<?[=!]|[a-zA-Z:-]*[:)]|P?<\w+>))?|[)|^$.]|[^\\\[(){}?*+|^$.])(?P<times>[?*+]|\{[\d,]*\})?\??", re.S)
+
+
 def needed_literal(pattern: str) -> str:
-    """Longest plain text every match of a pattern must contain."""
+    """Longest plain text every match of a pattern must contain: characters outside brackets that are neither optional nor repeated."""
     best = run = ""
-    for op, arg in rep.parse(pattern):
-        if op is rec.LITERAL:
-            run += chr(arg)
-        elif op is not rec.AT:
+    depth = 0
+    for m in _PART.finditer(pattern):
+        one, times = m["one"], m["times"]
+        if one.startswith("(") and one.endswith(")"):
+            continue  # flags
+        depth += one.startswith("(") - (one == ")")
+        if one == "|" and depth == 0:
+            return ""
+        if depth or one == ")" or one in (r"\b", r"\B", "^", "$"):
+            run = run if not depth and one != ")" else ""
+            continue
+        plain = one[1] if re.fullmatch(r"\\[^a-zA-Z0-9]", one) else one if len(one) == 1 and one != "." else ""
+        if plain and times is None:
+            run += plain
+        else:
             run = ""
         best = max(best, run, key=len)
     return best

@@ -32,6 +32,8 @@ STOPS = "。！？.!?"
 _UNIT = "\x01"
 _HARD = "\x02"
 _GUARD = "\x03"
+_ADDRESS_END = "\x06"
+SENTENCE_END = r"(?U)(?<=[.!?])\s+"
 
 
 def _pack(text: Column, limit: int, boundary: str) -> Column:
@@ -104,9 +106,9 @@ def _units(paragraph: Column, limit: int) -> Column:
     lines = F.array_join(F.filter(F.transform(F.split(paragraph, "\n", -1), strip), lambda x: x != ""), _UNIT)
     # An address runs up to the next blank, so its last full stop ends no sentence.
     linked = F.contains(paragraph, F.lit("://")) | F.contains(paragraph, F.lit("www."))
-    sentences = F.when(linked, F.regexp_replace(
-        _guarded(paragraph), r"(?U)(?<=[.!?])(?<!(?:https?://|www\.)\S{1,500})\s+", _UNIT)).otherwise(
-        F.regexp_replace(paragraph, r"(?U)(?<=[.!?])\s+", _UNIT))
+    marked = F.regexp_replace(_guarded(paragraph), r"(?U)((?:https?://|www\.)\S+)", "$1" + _ADDRESS_END)
+    sentences = F.when(linked, F.replace(F.regexp_replace(marked, SENTENCE_END, _UNIT), F.lit(_ADDRESS_END), F.lit(""))).otherwise(
+        F.regexp_replace(paragraph, SENTENCE_END, _UNIT))
 
     def packed(joined: Column, glue: str) -> Column:
         raw = _pack(joined, limit, _UNIT)

@@ -151,3 +151,41 @@ def best_display_text(notes_text, notes, description, summary_items, one_liner)
     joined = F.nullif(F.array_join(lines, "\n"), F.lit(""))
     direct = [F.nullif(clean_display_html(c), F.lit("")) for c in (notes_text, notes, description)]
     return F.coalesce(*direct, joined, clean_display_html(one_liner))
+
+
+MARKS = ("\x01\x02", "\x03\x04", "\x05\x06")  # opening and closing signs around a name in a text
+_SIGNS = "".join(MARKS)
+NAME_START = rf"(?<!\w[{_SIGNS}]{{0,6}})"
+NAME_END = rf"[{_SIGNS}]*"
+
+
+def marked_name(signs: str = MARKS[0]) -> str:
+    """Pattern of a name that `mark` has put between the signs."""
+    return f"{signs[0]}[^{signs}]*{signs[1]}"
+
+
+def unmarked(text: Column) -> Column:
+    return F.translate(text, _SIGNS, "")
+
+
+def mark(text: Column, name: Column, signs: str = MARKS[0], same_case: bool = False) -> Column:
+    """The text with signs around each occurrence of a name, upper and lower case alike unless `same_case`.
+
+    Later patterns look for the signs, so no pattern is made from data.
+    """
+    around = F.concat(F.lit(signs[0]), name, F.lit(signs[1]))
+    if same_case:
+        return F.when(F.length(name) > 0, F.replace(text, name, around)).otherwise(text)
+
+    def cut(t: Column) -> Column:
+        # Pieces between the names, taken from the original by their lengths in the lower-case text.
+        pieces = F.split(F.replace(F.lower(t), F.lower(name), F.lit(signs[0])), signs[0], -1)
+        start = F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("out"))
+        walked = F.aggregate(pieces, start, lambda acc, p: F.struct(
+            (acc["at"] + F.length(p) + F.length(name)).alias("at"),
+            F.concat(acc["out"], F.array(F.substring(t, acc["at"], F.length(p)), F.lit(signs[0]), F.substring(t, acc["at"] + F.length(p), F.length(name)), F.lit(signs[1]))).alias("out")))
+        whole = F.array_join(F.slice(walked["out"], 1, F.size(walked["out"]) - 3), "")
+        even = (F.length(F.lower(t)) == F.length(t)) & (F.length(F.lower(name)) == F.length(name))
+        return F.when(even, whole).otherwise(F.replace(t, name, around))
+
+    return let(text, lambda t: F.when(F.length(name) > 0, cut(t)).otherwise(t))

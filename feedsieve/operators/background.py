@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from feedsieve import schemas
 from feedsieve.functions.bind import let
 from feedsieve.functions.items import FALLBACKS, TOPIC_PHRASES, guest_key
-from feedsieve.functions.text import collapse_blanks, strip
+from feedsieve.functions.text import MARKS, NAME_END, NAME_START, collapse_blanks, mark, marked_name, strip, unmarked
 from feedsieve.operators.guests import name_noise
 from feedsieve.operators.joins import cache_ttl_lookup
 from feedsieve.operators.quality import quality_label, source_quality
@@ -89,9 +89,23 @@ ROLE_BODY_CUTS = (
     r"(?iU)\s+whose\b.*$", r'(?iU)(?:,\s*)?(?:and\s+)?host of (?:the\s+)?podcasts?\s+["“].*$', r"(?iU)(?:,\s*)?(?:and\s+)?co-host\b.*$",
     r'(?iU)(?:,\s*)?(?:and\s+)?author of\s+["“].*$', r"(?iU)^(?:a|an|the)\s+",
 )
+# Patterns around a guest's name, which stands between signs.
+CREDENTIAL = rf"(?dU){NAME_START}{marked_name()},\s*(Ph\.?D\.?|MD|MBA|CFA),\s+is\s+(.+?)\s+at\s+([^.,]+?)(?:,|\.|$)"
+STATED = tuple(rf"(?idU){NAME_START}{marked_name()}{join}(?:the|a|an)\s+({_LIST_TITLES})\s+(?:of|at)\s+" + _LIST_ORG for join in (r"\s+is\s+", r",\s+"))
+SENTENCE = rf"(?idU)(?:{NAME_START}(?:{'|'.join(marked_name(m) for m in MARKS)}){NAME_END}|He{NAME_END}|She{NAME_END})\s+is{NAME_END}\s+(?:also\s+)?([^.]+)(?:\.|$)"
 HELP_MARKS = ("unknown command", "unknown option", "commands:", "display help for command")
 MAX_SENTENCE, MAX_BACKGROUND = 150, 300
 NO_SOURCES, NO_NAME = FALLBACKS[1], FALLBACKS[2]
+NOTES_TITLE = "节目元数据（show_notes）"
+CACHED_NOTE, NOTES_ONLY, NOTES_AND_WEB = "来自缓存", "来自节目元数据（show_notes）", "来自节目元数据 + 网络搜索"
+NO_SEARCH, WEAK_ONLY, DEGRADED = "搜索失败，无来源", "仅有弱来源（聚合页/标题片段），无法生成可靠背景", "模型生成不可用，降级处理"
+NO_GUEST, DISCUSSED, MAYBE, MANY = "未识别到嘉宾", "是节目讨论对象，非本期嘉宾", "可能是嘉宾但证据不足，默认不补", "，同名风险，默认不补"
+PROMPT_HEAD, PROMPT_TAIL = "你是一个人物背景研究助手。请根据以下搜索结果，为嘉宾「", "\n\n背景介绍："
+PROMPT_BODY = (
+    "」生成一段80-150字的中文背景介绍。\n\n要求：\n- 只基于搜索结果总结，不要编造信息\n"
+    "- 结构：（1）一句话身份；（2）与本期主题相关的经历/专长；（3）为什么他的背景有助于理解本期讨论\n"
+    "- 每位嘉宾背景单独成段，总字数不超过150字\n"
+    "- 禁止：夸大形容（\"著名/顶级/权威\"），职务写死但来源不新，私生活八卦\n\n搜索结果：\n")
 _EMPTY = "array<string>"
 
 
@@ -167,10 +181,6 @@ def guest_identity(guests: DataFrame) -> DataFrame:
     return guests.withColumn("context", name_context(F.col("guest_name"), F.col("show_notes"))).withColumn("facts", facts_around(F.col("context")))
 
 
-def _quoted(name: Column) -> Column:
-    return F.concat(F.lit(r"\Q"), name, F.lit(r"\E"))
-
-
 def guest_role_list(guests: DataFrame, text: str = "context") -> DataFrame:
     """Adds `role_info` struct(roles, host_of, org, title, credential, source), null when nothing is said. Needs guest_name."""
     name, body = F.col("guest_name"), F.coalesce(F.col(text), F.lit(""))
@@ -179,16 +189,22 @@ def guest_role_list(guests: DataFrame, text: str = "context") -> DataFrame:
     def pick(pattern: Column, i: int, source: Column = body) -> Column:
         return F.nullif(strip(F.coalesce(F.get(F.regexp_extract_all(source, pattern, F.lit(i)), F.lit(0)), F.lit(""))), F.lit(""))
 
-    credential = F.concat(F.lit(r"(?dU)\b"), _quoted(name), F.lit(r",\s*(Ph\.?D\.?|MD|MBA|CFA),\s+is\s+(.+?)\s+at\s+([^.,]+?)(?:,|\.|$)"))
-    stated = [F.concat(F.lit(r"(?idU)\b"), _quoted(name), F.lit(join + rf"(?:the|a|an)\s+({_LIST_TITLES})\s+(?:of|at)\s+" + _LIST_ORG))
-              for join in (r"\s+is\s+", r",\s+")]
-    staged = guests.withColumns({
-        "_cred": pick(credential, 1), "_ctitle": pick(credential, 2), "_corg": F.regexp_replace(pick(credential, 3), r"(?iU)^the\s+", ""),
-        **{f"_t{i}": pick(p, 1) for i, p in enumerate(stated)}, **{f"_o{i}": pick(p, 2) for i, p in enumerate(stated)}})
     words = F.split(name, r"(?U)\s+", -1)
-    alternatives = F.when(F.size(words) >= 2, F.concat_ws("|", _quoted(name), _quoted(F.get(words, F.lit(0))), _quoted(F.element_at(words, -1)))).otherwise(_quoted(name))
-    sentence = F.concat(F.lit(r"(?idU)(?:\b(?:"), alternatives, F.lit(r")|He|She)\s+is\s+(?:also\s+)?([^.]+)(?:\.|$)"))
-    whole, bodies = F.regexp_extract_all(body, sentence, F.lit(0)), F.regexp_extract_all(body, sentence, F.lit(1))
+    several = F.size(words) >= 2
+    first, last = F.get(words, F.lit(0)), F.element_at(words, -1)
+    # Names are marked in the text, so that the patterns are constant whatever a name holds.
+    clear = unmarked(body)
+    any_case = mark(clear, name)
+    every = F.when(several, mark(mark(any_case, first, MARKS[1]), last, MARKS[2])).otherwise(any_case)
+    staged = guests.withColumns({"_exact": mark(clear, name, same_case=True), "_any": any_case, "_every": every})
+
+    def said(source: str, pattern: str, i: int) -> Column:
+        return unmarked(pick(F.lit(pattern), i, F.col(source)))
+
+    staged = staged.withColumns({
+        "_cred": said("_exact", CREDENTIAL, 1), "_ctitle": said("_exact", CREDENTIAL, 2), "_corg": F.regexp_replace(said("_exact", CREDENTIAL, 3), r"(?iU)^the\s+", ""),
+        **{f"_t{i}": said("_any", p, 1) for i, p in enumerate(STATED)}, **{f"_o{i}": said("_any", p, 2) for i, p in enumerate(STATED)}})
+    whole, bodies = (F.transform(F.regexp_extract_all("_every", F.lit(SENTENCE), F.lit(i)), unmarked) for i in (0, 1))
 
     def roles(text_body: Column) -> Column:
         cut = strip(text_body)
@@ -349,11 +365,7 @@ def guest_prompt(name: Column, sources: Column) -> Column:
                 .when(s["url"] != "", F.concat(head, F.lit(" ("), s["url"], F.lit(")"))).otherwise(head))
 
     context = F.array_join(F.transform(F.slice(sources, 1, 3), line), "\n")
-    return F.concat(F.lit("你是一个人物背景研究助手。请根据以下搜索结果，为嘉宾「"), name, F.lit(
-        "」生成一段80-150字的中文背景介绍。\n\n要求：\n- 只基于搜索结果总结，不要编造信息\n"
-        "- 结构：（1）一句话身份；（2）与本期主题相关的经历/专长；（3）为什么他的背景有助于理解本期讨论\n"
-        "- 每位嘉宾背景单独成段，总字数不超过150字\n"
-        "- 禁止：夸大形容（\"著名/顶级/权威\"），职务写死但来源不新，私生活八卦\n\n搜索结果：\n"), context, F.lit("\n\n背景介绍："))
+    return F.concat(F.lit(PROMPT_HEAD), name, F.lit(PROMPT_BODY), context, F.lit(PROMPT_TAIL))
 
 
 _SOURCE = "struct<title:string,url:string,snippet:string,quality:string>"
@@ -388,7 +400,7 @@ def enrich_guests(items: DataFrame, status: DataFrame, cache: DataFrame, found:
                   key: str = "item_pos") -> DataFrame:
     """Backgrounds for confirmed guests only, at most two per item: cache, else notes, else graded sources.
 
-    `cache`: key, cached_at, detection_status, payload struct(background_zh, confidence, note). `found`:
+    `cache`: key, cached_at, detection_status, payload struct(background_zh, sources, confidence, note). `found`:
     guest_name, rank, title, url, snippet. Items without a confirmed guest keep the default text and a note why.
     """
     base = items.select(key, "podcast_name", "show_notes").join(status.drop("podcast_name"), key)
@@ -410,25 +422,31 @@ def enrich_guests(items: DataFrame, status: DataFrame, cache: DataFrame, found:
         return F.size(F.filter("_found", lambda s: s["quality"] == q))
 
     grade = quality_label(count("primary"), count("secondary"), count("weak"))
-    noted = F.struct(F.lit("节目元数据（show_notes）").alias("title"), F.lit("").alias("url"), F.array_join("facts", " | ").alias("snippet"), F.lit("primary").alias("quality"))
+    noted = F.struct(F.lit(NOTES_TITLE).alias("title"), F.lit("").alias("url"), F.array_join("facts", " | ").alias("snippet"), F.lit("primary").alias("quality"))
     from_notes = F.col("background_zh").isNotNull()
-    web = (F.size("_found") > 0) & grade.isin("primary", "secondary")
+    has_facts, has_found = F.size("facts") > 0, F.size("_found") > 0
+    web = has_found & grade.isin("primary", "secondary")
     cached = F.col("cache_valid")
-    weak = grade == "weak"
+    # Facts that make no sentence leave it to the sources; without any facts, weak or no sources settle it.
+    nothing = has_facts & ~has_found
+    weak = ~has_facts & (grade == "weak")
+    graded_confidence = F.when(grade == "primary", "medium").when(grade == "secondary", "low").otherwise("unknown")
     per_guest = told.select(
         key, "guest_no", "guest_name",
-        F.when(cached, F.col("payload.background_zh")).when(from_notes, F.col("background_zh")).otherwise(NO_SOURCES).alias("background_zh"),
-        F.when(cached, none).when(from_notes, F.slice(F.concat(F.array(noted), F.col("_found")), 1, 2)).otherwise(F.slice("_found", 1, 5)).alias("sources"),
-        F.when(cached, F.col("payload.confidence")).when(from_notes, F.col("confidence")).when(weak, "low").when(grade == "primary", "medium").otherwise("low").alias("confidence"),
-        F.when(cached, F.coalesce("payload.note", F.lit("来自缓存"))).when(from_notes, F.when(web, "来自节目元数据 + 网络搜索").otherwise("来自节目元数据（show_notes）"))
-        .when(weak, "仅有弱来源（聚合页/标题片段），无法生成可靠背景").otherwise("模型生成不可用，降级处理").alias("note"))
+        F.when(cached, F.coalesce("payload.background_zh", F.lit(""))).when(from_notes, F.col("background_zh")).otherwise(NO_SOURCES).alias("background_zh"),
+        F.when(cached, F.coalesce(F.col("payload.sources").cast(f"array<{_SOURCE}>"), none)).when(from_notes, F.slice(F.concat(F.array(noted), F.col("_found")), 1, 2))
+        .otherwise(F.slice("_found", 1, 5)).alias("sources"),
+        F.when(cached, F.coalesce("payload.confidence", F.lit("unknown"))).when(from_notes, F.col("confidence")).when(nothing, "unknown").when(weak, "low")
+        .otherwise(graded_confidence).alias("confidence"),
+        F.when(cached, F.coalesce("payload.note", F.lit(CACHED_NOTE))).when(from_notes, F.when(web, NOTES_AND_WEB).otherwise(NOTES_ONLY))
+        .when(nothing, NO_SEARCH).when(weak, WEAK_ONLY).otherwise(DEGRADED).alias("note"))
     rolled = guest_rollup(per_guest, key)
     who = F.get("guest_names", F.lit(0))
     kind = F.col("guest_detection_status")
     reason = (
-        F.when(kind == "no_guest_detected", "未识别到嘉宾").when(kind == "mentioned_entity", F.concat(F.lit("'"), who, F.lit("'是节目讨论对象，非本期嘉宾")))
-        .when(kind == "possible_guest", F.concat(F.lit("'"), who, F.lit("'可能是嘉宾但证据不足，默认不补")))
-        .when(kind == "ambiguous", F.concat(F.lit("多候选嘉宾 ['"), F.array_join("guest_names", "', '"), F.lit("']，同名风险，默认不补"))).otherwise(""))
+        F.when(kind == "no_guest_detected", NO_GUEST).when(kind == "mentioned_entity", F.concat(F.lit("'"), who, F.lit("'" + DISCUSSED)))
+        .when(kind == "possible_guest", F.concat(F.lit("'"), who, F.lit("'" + MAYBE)))
+        .when(kind == "ambiguous", F.concat(F.lit("多候选嘉宾 ['"), F.array_join("guest_names", "', '"), F.lit("']" + MANY))).otherwise(""))
     out = base.drop("show_notes").join(rolled, key, "left")
     return out.select(
         key, "podcast_name", "guest_detection_status", "guest_names", F.coalesce("guest_background_zh", F.lit(NO_NAME)).alias("guest_background_zh"),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from feedsieve.functions.bind import let, let_sql, raw
 from feedsieve.functions.boilerplate import needed_literal
-from feedsieve.functions.text import strip, unescape
+from feedsieve.functions.text import mark, marked_name, strip, unescape, unmarked
 from feedsieve.operators.joins import expand_alias, with_host_flag
 from feedsieve.session import materialize
 
@@ -323,8 +323,7 @@ def guest_candidates(items: DataFrame, hosts: DataFrame, aliases: DataFrame | No
     kept = named.filter(~name_noise(F.col("name")))
     flagged = with_host_flag(kept, hosts).withColumn("is_entity", title_entity(F.col("name")))
     fam, host, entity = F.col("family"), F.col("is_host"), F.col("is_entity")
-    said = F.concat(F.lit(r"(?iU)\Q"), F.col("name"), F.lit(r"\E\s+(?:is|was|are)\s+(?:a|an|the)"))
-    confirmed = F.regexp_like(F.col("context"), said)
+    confirmed = mark(unmarked(F.col("context")), F.col("name")).rlike(rf"(?iU){marked_name()}\s+(?:is|was|are)\s+(?:a|an|the)")
     signal = F.col("context").rlike("|".join(INTRO_SIGNALS)) | (F.col("pattern") == "dash_name")
     drop_some = F.startswith(F.col("name"), F.lit("某"))
     cn_title = F.col("pattern") == "title_cn_num_name"
@@ -428,10 +427,10 @@ def guest_status(items: DataFrame, candidates: DataFrame, hosts: DataFrame, key:
 
 def split_multi_guest(matched: Column, name: Column) -> Column:
     """Names in "with X and Y": the known X and, if it is a name, Y."""
-    pattern = F.concat(F.lit(r"(?iU)^.*?\bwith\s+\Q"), name, F.lit(r"\E\s+and\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,2}).*$"))
+    pattern = F.lit(rf"(?iU)^.*?\bwith\s+{marked_name()}\s+and\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+){{0,2}}).*$")
 
     def both(second: Column) -> Column:
         return F.when((second == "") | name_noise(second), F.array(clean_guest_name(name))).otherwise(F.array(clean_guest_name(name), second))
 
-    found = F.get(F.regexp_extract_all(matched, pattern, F.lit(1)), F.lit(0))
+    found = F.get(F.regexp_extract_all(mark(unmarked(matched), name), pattern, F.lit(1)), F.lit(0))
     return let(clean_guest_name(F.coalesce(found, F.lit(""))), both)

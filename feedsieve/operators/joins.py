@@ -10,24 +10,10 @@ from feedsieve.functions.when import in_window
 from feedsieve.operators.ranking import first_per_key
 from feedsieve.session import materialize
 
-# A lookup table is broadcast only up to this many rows; beyond it the join is an ordinary shuffle join,
-# where adaptive execution splits hot keys.
-BROADCAST_ROWS = 200_000
-
-
-def small_or_not(table: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """The table, marked for broadcast if and only if it holds at most `limit` rows (counted, with early stop)."""
-    return F.broadcast(table) if table.limit(limit + 1).count() <= limit else table
-
-
-def lookup(items: DataFrame, table: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
-    return items.join(small_or_not(table), keys, how)
-
-
 def join_feed_config(items: DataFrame, config: DataFrame) -> DataFrame:
     """Feed id and language by feed name; unknown feeds get a name-based id and Chinese."""
     named = config.select("podcast_name", F.col("podcast_id").alias("_id"), F.col("language").alias("_lang"))
-    out = lookup(items, named, ["podcast_name"])
+    out = items.join(named, ["podcast_name"], "left")
     fallback = F.replace(F.lower("podcast_name"), F.lit(" "), F.lit(""))
     return out.withColumns({"podcast_id": F.coalesce("_id", fallback), "language": F.coalesce("_lang", F.lit("zh"))}).drop("_id", "_lang")
 
@@ -62,19 +48,21 @@ def new_vs_known(items: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def exclude_hosts(names: DataFrame, hosts: DataFrame) -> DataFrame:
-    """Drop names that equal, contain or are contained in a host of the same feed (3 characters or more).
-
-    Hosts of a feed arrive as one array, so a name is compared in place and no pairs are emitted.
-    """
+    """Drop names that equal, contain or are contained in a host of the same feed (3 characters or more)."""
     return with_host_flag(names, hosts).filter(~F.col("is_host")).drop("is_host")
 
 
 def with_host_flag(names: DataFrame, hosts: DataFrame) -> DataFrame:
-    per_feed = hosts.groupBy("podcast_name").agg(F.collect_set(F.lower(F.trim("host"))).alias("_hosts"))
-    low = F.lower(strip(F.col("name")))
-    near = F.exists("_hosts", lambda h: (h == low) | (
-        (F.length(h) >= 3) & (F.length(low) >= 3) & (F.contains(h, low) | F.contains(low, h))))
-    return lookup(names, per_feed, ["podcast_name"]).withColumn("is_host", F.coalesce(near, F.lit(False))).drop("_hosts")
+    """Names flagged as hosts. Distinct names and hosts of a feed meet by equality, or where one holds the other's first three letters."""
+    mine = names.select("podcast_name", F.lower(strip(F.col("name"))).alias("_low")).distinct()
+    theirs = hosts.select("podcast_name", F.lower(F.trim("host")).alias("_host")).distinct()
+    lead = lambda c: F.when(F.length(c) >= 3, F.left(c, F.lit(3)))
+    equal = mine.join(theirs.withColumnRenamed("_host", "_low"), ["podcast_name", "_low"])
+    holds = mine.withColumn("k", F.explode(_grams(F.col("_low"), 3))).join(theirs.withColumn("k", lead(F.col("_host"))), ["podcast_name", "k"]).filter(F.contains("_low", F.col("_host")))
+    held = mine.withColumn("k", lead(F.col("_low"))).join(theirs.withColumn("k", F.explode(_grams(F.col("_host"), 3))), ["podcast_name", "k"]).filter(F.contains("_host", F.col("_low")))
+    found = equal.unionByName(holds.select("podcast_name", "_low")).unionByName(held.select("podcast_name", "_low")).distinct().withColumn("_found", F.lit(True))
+    flagged = names.withColumn("_low", F.lower(strip(F.col("name")))).join(found, ["podcast_name", "_low"], "left")
+    return flagged.withColumn("is_host", F.coalesce("_found", F.lit(False))).drop("_found", "_low")
 
 
 def cache_ttl_lookup(requests: DataFrame, cache: DataFrame, now: Column, confirmed_days: int = 90, other_days: int = 30) -> DataFrame:
@@ -89,13 +77,13 @@ def cache_ttl_lookup(requests: DataFrame, cache: DataFrame, now: Column, confirm
 
 def join_folder_targets(items: DataFrame, folders: DataFrame, keys: list[str]) -> DataFrame:
     """Destination of each item; nothing configured means an empty destination, never a guess."""
-    out = lookup(items, folders, keys)
+    out = items.join(folders, keys, "left")
     return out.withColumns({c: F.coalesce(c, F.lit("")) for c in ("folder_id", "folder_url")})
 
 
 def selection_in_window(selections: DataFrame, runs: DataFrame) -> DataFrame:
     """Selections whose item time lies in the half-open window of the run they name."""
-    joined = lookup(selections, runs.select("run_id", "window_start", "window_end"), ["run_id"], "inner")
+    joined = selections.join(runs.select("run_id", "window_start", "window_end"), "run_id")
     return joined.filter((F.col("published_at") >= F.col("window_start")) & (F.col("published_at") < F.col("window_end"))).drop(
         "window_start", "window_end")
 
@@ -103,7 +91,7 @@ def selection_in_window(selections: DataFrame, runs: DataFrame) -> DataFrame:
 def update_queue_status(queue: DataFrame, updates: DataFrame) -> DataFrame:
     """Queue with status, document and finish time replaced where an update names the selection."""
     new = updates.select("selection_id", *[F.col(c).alias(f"_{c}") for c in ("status", "doc_id", "doc_url", "finished_at")])
-    out = lookup(queue, new, ["selection_id"])
+    out = queue.join(new, ["selection_id"], "left")
     return out.withColumns({
         "status": F.coalesce("_status", "status"),
         **{c: F.coalesce(F.nullif(F.col(f"_{c}"), F.lit("")), F.col(c)) for c in ("doc_id", "doc_url", "finished_at")},
@@ -152,12 +140,15 @@ def notified_consistently(notifications: DataFrame, deliveries: DataFrame) -> Da
 
 
 def week_filter(items: DataFrame, start: Column, end: Column) -> DataFrame:
-    """Items published inside [start, end)."""
-    return items.filter(in_window(F.col("pub_datetime"), F.col("publish_date"), start, end))
-
+    """Items published inside [start, end).
 
-# Longest hint for which a date match always outranks any mix of word, containment and prefix points.
-DATE_DECIDES_WORDS = 15
+    A typed `pub_ts`, where the items have one, narrows the scan to the days around the window first; the exact rule on the
+    published text decides.
+    """
+    if "pub_ts" in items.columns:
+        near = (F.col("pub_ts") >= start - F.expr("INTERVAL 2 DAYS")) & (F.col("pub_ts") < end + F.expr("INTERVAL 2 DAYS"))
+        items = items.filter(F.col("pub_ts").isNull() | near)
+    return items.filter(in_window(F.col("pub_datetime"), F.col("publish_date"), start, end))
 
 
 def _words(text: Column) -> Column:
@@ -171,8 +162,7 @@ def _grams(text: Column, size: int) -> Column:
         F.array().cast("array<string>"))
 
 
-# Leading letters of a hint that find the titles it can occur in.
-LEAD_GRAM = 8
+POINTS = {"d": 100, "w": 5, "h": 20, "l": 3}  # date, shared word, whole hint, first three letters
 
 
 def best_match(requests: DataFrame, items: DataFrame) -> DataFrame:
@@ -181,63 +171,56 @@ def best_match(requests: DataFrame, items: DataFrame) -> DataFrame:
     Points: 100 for the date, 5 per shared word, 20 if the hint occurs in the title, 3 if its first
     three characters do (hints of four or more). Ties go to the latest date, then the first item.
 
-    Items meet requests only through equality joins, in stages that each settle most of what is left:
-    the wanted date; then the longest word or the first letters of the hint, which settles a request as
-    soon as its best item beats anything an item with neither could reach; then every word. Requests
-    nothing scores for take the feed's latest item, found by one aggregate per feed.
+    Whatever gives points is a token: a date prefix, a word, a piece of the title as long as some hint of the feed, three
+    letters. Tokens that only one side has are dropped; then items with the same tokens are one class, of which the
+    tie rule leaves one item, and so are requests. A request class first meets the item classes that hold its rarest
+    token, which settles it if the best of them beats all that its other tokens could give; only the rest meet
+    through every token. Requests nothing scores for take the feed's latest item.
     """
-    reqs = requests.select("request_id", "podcast_name", F.coalesce("hint", F.lit("")).alias("hint"),
-                           F.left(F.coalesce("publish_date", F.lit("")), F.lit(10)).alias("want_date"))
-    reqs = reqs.withColumns({"_low": F.lower("hint"), "_words": _words(F.col("hint"))})
-    its = items.select("podcast_name", "item_pos", "title", "pub_date")
-
-    def best(pairs: DataFrame) -> DataFrame:
-        dated = (F.col("want_date") != "") & F.startswith("pub_date", F.col("want_date"))
-        shared = F.size(F.array_intersect("_words", _words(F.col("title"))))
-        low_title = F.lower("title")
-        inside = (F.col("_low") != "") & F.contains(low_title, F.col("_low"))
-        lead = (F.length("_low") >= 4) & F.contains(low_title, F.left(F.col("_low"), F.lit(3)))
-        score = F.when(dated, 100).otherwise(0) + shared * 5 + F.when(inside, 20).otherwise(0) + F.when(lead, 3).otherwise(0)
-        order = F.struct(score.alias("score"), F.col("pub_date"), (-F.col("item_pos")).alias("neg_pos"))
-        return pairs.groupBy("request_id").agg(F.max(order).alias("top")).select(
-            "request_id", "top.score", (-F.col("top.neg_pos")).alias("item_pos"))
-
-    def sizes(rows: DataFrame, most: int) -> list[int]:
-        """Gram lengths that occur: at most `most` numbers reach the driver."""
-        found = rows.filter("_low <> ''").select(F.least(F.length("_low"), F.lit(most)).alias("n")).distinct().collect()
-        return sorted(r.n for r in found)
-
-    def keyed(letters: list[int]) -> Column:
-        grams = [_grams(F.col("title"), n) for n in letters] or [F.array().cast("array<string>")]
-        return F.concat(F.transform(_words(F.col("title")), lambda w: F.concat(F.lit("w"), w)),
-                        F.transform(F.concat(*grams), lambda g: F.concat(F.lit("g"), g)))
-
-    def meet(rows: DataFrame, request_keys: Column, item_keys: Column) -> DataFrame:
-        named = F.filter(request_keys, lambda k: F.length(k) > 1)
-        pairs = rows.select("*", F.explode(named).alias("k")).join(its.select("*", F.explode(item_keys).alias("k")), ["podcast_name", "k"])
-        return pairs.dropDuplicates(["request_id", "item_pos"])
-
-    whole_date = F.length("want_date") == 10
-    first = best(reqs.filter(whole_date).join(its.withColumn("want_date", F.left("pub_date", F.lit(10))), ["podcast_name", "want_date"]))
-    sure = first.join(reqs.filter(F.size("_words") <= DATE_DECIDES_WORDS).select("request_id"), "request_id", "left_semi")
-
-    # No date points are possible here: none wanted, or no item of that date.
-    undated = reqs.filter((F.col("want_date") == "") | whole_date).join(first.select("request_id"), "request_id", "left_anti")
-    longest = F.coalesce(F.array_max(F.transform("_words", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"], F.lit(""))
-    lead_keys = F.array(F.concat(F.lit("w"), longest), F.concat(F.lit("g"), F.left("_low", F.lit(LEAD_GRAM))))
-    second = best(meet(undated, lead_keys, keyed(sizes(undated, LEAD_GRAM))))
-    # Without that word and without the hint itself an item gets at most this much.
-    reach = undated.select("request_id", (F.greatest(F.size("_words") - 1, F.lit(0)) * 5 + 3).alias("reach"))
-    settled = materialize(second.join(reach, "request_id").filter(F.col("score") > F.col("reach")).drop("reach").unionByName(sure), "settled-matches")
-
-    rest = reqs.join(settled.select("request_id"), "request_id", "left_anti")
-    every_key = F.concat(F.transform("_words", lambda w: F.concat(F.lit("w"), w)),
-                         F.array(F.concat(F.lit("g"), F.left("_low", F.lit(3))), F.concat(F.lit("d"), F.col("want_date"))))
-    dates = F.transform(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(10)), lambda n: F.left("pub_date", n))), lambda d: F.concat(F.lit("d"), d))
-    third = best(meet(rest, every_key, F.concat(keyed(sizes(rest, 3)), dates)))
-    latest = its.groupBy("podcast_name").agg(F.max(F.struct("pub_date", (-F.col("item_pos")).alias("neg_pos"))).alias("top")).select(
-        "podcast_name", (-F.col("top.neg_pos")).alias("latest_pos"))
-    out = lookup(reqs.select("request_id", "podcast_name").join(settled.unionByName(third), "request_id", "left"), latest, ["podcast_name"])
+    reqs = requests.select("request_id", "podcast_name", F.lower(F.coalesce("hint", F.lit(""))).alias("low"), F.coalesce("hint", F.lit("")).alias("hint"),
+                           F.left(F.coalesce("publish_date", F.lit("")), F.lit(10)).alias("want"))
+    its = items.select("podcast_name", "item_pos", F.coalesce("title", F.lit("")).alias("title"), "pub_date")
+
+    def named(kind: str, values: Column) -> Column:
+        return F.transform(values, lambda v: F.concat(F.lit(kind), v))
+
+    wanted = F.concat(
+        named("w", _words(F.col("hint"))), F.when(F.col("low") != "", F.array(F.concat(F.lit("h"), "low"))).otherwise(F.array().cast("array<string>")),
+        F.when(F.length("low") >= 4, F.array(F.concat(F.lit("l"), F.left("low", F.lit(3))))).otherwise(F.array().cast("array<string>")),
+        F.when(F.col("want") != "", F.array(F.concat(F.lit("d"), "want"))).otherwise(F.array().cast("array<string>")))
+    asked = reqs.select("request_id", "podcast_name", F.explode(wanted).alias("token"))
+    # Lengths of a feed's hints: at most as many as a title has characters matter.
+    lengths = reqs.filter("low <> ''").groupBy("podcast_name").agg(F.collect_set(F.length("low")).alias("lengths"))
+    dates = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(10)), lambda n: F.left("pub_date", n)))
+    pieces = F.flatten(F.transform(F.coalesce("lengths", F.array().cast("array<int>")), lambda n: _grams(F.col("title"), n)))
+    offered = its.join(lengths, "podcast_name", "left").select("podcast_name", "item_pos", "pub_date", F.explode(F.array_distinct(F.concat(
+        named("w", _words(F.col("title"))), named("h", pieces), named("l", _grams(F.col("title"), 3)), F.coalesce(named("d", dates), F.array().cast("array<string>"))))).alias("token"))
+    offered = offered.join(asked.select("podcast_name", "token").distinct(), ["podcast_name", "token"], "left_semi")
+    classes = offered.groupBy("podcast_name", "item_pos", "pub_date").agg(F.sort_array(F.collect_set("token")).alias("tokens")).groupBy("podcast_name", "tokens").agg(
+        F.max(F.struct("pub_date", (-F.col("item_pos")).alias("back"))).alias("top"))
+    classes = materialize(classes.withColumn("item_class", F.xxhash64("podcast_name", "tokens")), "match-items")
+    by_token = classes.select("podcast_name", "item_class", "tokens", "top", F.explode("tokens").alias("token"))
+    often = by_token.groupBy("podcast_name", "token").agg(F.count("*").alias("n"))
+
+    points = F.create_map(*[F.lit(x) for pair in POINTS.items() for x in pair])
+    known = asked.join(often, ["podcast_name", "token"]).groupBy("request_id", "podcast_name").agg(
+        F.sort_array(F.collect_set(F.struct("n", "token", points[F.left("token", F.lit(1))].alias("points")))).alias("tokens"))
+    known = materialize(known.withColumn("request_class", F.xxhash64("podcast_name", "tokens")), "match-requests")
+    asking = known.select("request_class", "podcast_name", "tokens").dropDuplicates(["request_class"])
+
+    rarest = asking.select("request_class", "podcast_name", F.col("tokens").alias("mine"), F.get("tokens", F.lit(0))["token"].alias("token"))
+    shared = F.aggregate(F.filter("mine", lambda t: F.array_contains("tokens", t["token"])), F.lit(0), lambda acc, t: acc + t["points"])
+    rest = F.aggregate(F.slice("mine", 2, F.size("mine")), F.lit(0), lambda acc, t: acc + t["points"])
+    first = rarest.join(by_token, ["podcast_name", "token"]).select("request_class", rest.alias("rest"), F.struct(shared.alias("score"), "top").alias("best"))
+    first = first.groupBy("request_class", "rest").agg(F.max("best").alias("best"))
+    sure = materialize(first.filter(F.col("best.score") > F.col("rest")).select("request_class", "best"), "match-sure")
+    others = asking.join(sure.select("request_class"), "request_class", "left_anti").select("request_class", "podcast_name", F.explode("tokens").alias("t"))
+    pairs = others.select("request_class", "podcast_name", "t.token", "t.points").join(by_token.drop("tokens"), ["podcast_name", "token"])
+    second = pairs.groupBy("request_class", "item_class", "top").agg(F.sum("points").cast("int").alias("score")).groupBy("request_class").agg(F.max(F.struct("score", "top")).alias("best"))
+    found = known.select("request_id", "request_class").join(sure.unionByName(second), "request_class").select(
+        "request_id", "best.score", (-F.col("best.top.back")).alias("item_pos"))
+    latest = its.groupBy("podcast_name").agg(F.max(F.struct("pub_date", (-F.col("item_pos")).alias("back"))).alias("top")).select("podcast_name", (-F.col("top.back")).alias("latest_pos"))
+    out = reqs.select("request_id", "podcast_name").join(found, "request_id", "left").join(latest, "podcast_name", "left")
     return out.select("request_id", "podcast_name", F.coalesce("item_pos", "latest_pos").alias("item_pos"),
                       F.when(F.col("latest_pos").isNotNull(), F.coalesce("score", F.lit(0))).alias("score"))
 
@@ -247,7 +230,7 @@ def resolve_audio(requests: DataFrame, feeds: DataFrame, items: DataFrame) -> Da
     matched = best_match(requests, items)
     detail = items.select("podcast_name", "item_pos", "title", "pub_date", "enclosure_url")
     known = feeds.select("podcast_name", F.col("rss_url"), F.col("has_body"))
-    out = lookup(matched, known, ["podcast_name"]).join(detail, ["podcast_name", "item_pos"], "left")
+    out = matched.join(known, ["podcast_name"], "left").join(detail, ["podcast_name", "item_pos"], "left")
     error = (
         F.when(F.coalesce("rss_url", F.lit("")) == "", F.concat(F.lit("No RSS feed found for: "), F.col("podcast_name")))
         .when(~F.coalesce("has_body", F.lit(False)), F.concat(F.lit("Failed to fetch RSS: "), F.col("rss_url")))
@@ -264,14 +247,24 @@ def resolve_audio(requests: DataFrame, feeds: DataFrame, items: DataFrame) -> Da
 def expand_alias(names: DataFrame, aliases: DataFrame) -> DataFrame:
     """Short name to full name where the full name occurs in the item's text, else a longer form found there.
 
-    Needs name, text. Names of one or two characters may also grow by what directly follows them.
+    Needs name, text. Names of one or two characters may also grow by what directly follows them. Their places in the
+    text are marked first, so that the patterns are constant whatever the name holds.
     """
     table = aliases.select(F.col("short").alias("name"), F.col("full").alias("_full"))
-    out = lookup(names, table, ["name"])
+    out = names.join(table, "name", "left")
     listed = F.when(F.contains(F.lower("text"), F.lower("_full")), F.col("_full"))
-    pattern = F.concat(F.lit(r"\Q"), F.col("name"), F.lit(r"\E[\x{4e00}-\x{9fff}]{0,2}(?:先生|女士|博士|教授)?"))
-    forms = F.filter(F.regexp_extract_all("text", pattern, F.lit(0)), lambda f: (
-        (f != F.col("name")) & ~f.rlike("(?:会怎|认为|也是|多次)$")))
-    grown = F.when(F.contains(F.col("text"), F.col("name")) & (F.length("name") <= 2), F.get(forms, F.lit(0)))
+    small = (F.length("name") >= 1) & (F.length("name") <= 2) & F.contains(F.col("text"), F.col("name"))
+    marked = F.when(small, F.replace(F.replace("text", F.lit(_MARK), F.lit("")), F.col("name"), F.concat(F.lit(_MARK), "name")))
+
+    def grown(size: int) -> Column:
+        forms = F.regexp_extract_all(marked, F.lit(f"(?s){_MARK}.{{{size}}}(?:{_MARK}?[\\x{{4e00}}-\\x{{9fff}}]){{0,2}}(?:{_TITLES})?"), F.lit(0))
+        plain = F.transform(forms, lambda f: F.replace(f, F.lit(_MARK), F.lit("")))
+        return F.get(F.filter(plain, lambda f: (f != F.col("name")) & ~f.rlike("(?:会怎|认为|也是|多次)$")), F.lit(0))
+
+    longer = F.when(F.length("name") == 1, grown(1)).otherwise(grown(2))
     short = F.length("name") <= 4
-    return out.withColumn("resolved_name", F.when(short, F.coalesce(listed, grown, F.col("name"))).otherwise(F.col("name"))).drop("_full")
+    return out.withColumn("resolved_name", F.when(short, F.coalesce(listed, longer, F.col("name"))).otherwise(F.col("name"))).drop("_full")
+
+
+_MARK = "\x01"
+_TITLES = "|".join(f"{_MARK}?{a}{_MARK}?{b}" for a, b in ("先生", "女士", "博士", "教授"))

@@ -149,7 +149,7 @@ def reason_text(items: DataFrame, policy: Policy) -> DataFrame:
         F.lit("涉及话题："), F.array_join(F.slice(m, 1, 5), "、"), F.lit("，与兴趣方向存在关联。")))
         .when(topic >= 40, F.concat(F.lit("主题相关性中等（相关度"), digits(topic), F.lit("分），未直接命中核心兴趣词。")))
         .otherwise(F.concat(F.lit("主题相关性较弱（"), digits(topic), F.lit("分），兴趣方向匹配度一般。"))))
-    # The first sentence that holds any interest word; only texts with a hit, or whose sentences could open with one, are split.
+    # The first sentence that holds any interest word.
     sentences = F.filter(F.split(notes, SENTENCE_GAP, -1), lambda s: F.size(kw.matched_words(F.lower(s), likes.boost)) > 0)
     sentence = F.left(strip(F.coalesce(F.get(sentences, F.lit(0)), F.lit(""))), F.lit(60))
     concrete = let(sentence, lambda s: F.when(s != "", F.concat(F.lit("节目中涉及："), s, F.lit("。"))).otherwise(""))

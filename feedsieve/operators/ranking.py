@@ -32,8 +32,8 @@ def dedup_episode_id(items: DataFrame) -> DataFrame:
 
 
 def dedup_cross_feed(items: DataFrame) -> DataFrame:
-    """First item per title+date (joined without a separator) over all feeds."""
-    keyed = items.withColumn("_key", F.concat("episode_title", "publish_date"))
+    """First item per title+date (joined without a separator) over all feeds; a missing title or date counts as ''."""
+    keyed = items.withColumn("_key", F.concat(F.coalesce("episode_title", F.lit("")), F.coalesce("publish_date", F.lit(""))))
     return first_per_key(keyed, ["_key"], [F.col("feed_ord"), F.col("item_pos")]).drop("_key")
 
 
@@ -104,8 +104,24 @@ def weekly_limits(items: DataFrame, policy: Policy, group: str = "week_id") -> D
 
 
 def rank_by_score(items: DataFrame) -> DataFrame:
-    """Best score first, earlier items first among equals."""
-    return items.orderBy(F.col("final_score").desc(), "feed_ord", "item_pos")
+    """Best score first, earlier items first among equals, with the place from 1 on in `place`."""
+    ranked = ordinal(items.withColumn("_worst", -F.col("final_score")), [], ["_worst", "feed_ord"], "item_pos", "place")
+    return ranked.drop("_worst").orderBy("place")
+
+
+def union_decisions(full: DataFrame, preview: DataFrame, skip: DataFrame) -> DataFrame:
+    """Items of the three decisions as one table with a `decision` column."""
+    parts = [df.withColumn("decision", F.lit(name)) for name, df in (("full", full), ("preview", preview), ("skip", skip))]
+    return parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
+
+
+def union_feeds(*feeds: DataFrame) -> DataFrame:
+    """Items of several feeds in the order of the feeds (`feed_ord`); a column that a feed lacks is null there."""
+    out = None
+    for i, feed in enumerate(feeds):
+        part = feed.withColumn("feed_ord", F.lit(i))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
 
 
 def ordinal(df: DataFrame, group: list[str], sort: list[str], pos: str, name: str = "ordinal",

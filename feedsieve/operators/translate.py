@@ -155,7 +155,9 @@ def translation_cache_lookup(keyed: DataFrame, cache: DataFrame, text: str | Non
     """
     entry = cache.select("cache_key", *[F.col(c).alias(f"c_{c}") for c in (
         "status", "translated_text", "chunk_count", "translated_chunk_count", "localized_fallback_chunk_indices", "errors")])
-    joined = keyed.join(entry, "cache_key", "left")
+    # Documents without a key match nothing; keyed by their content here, they spread over all tasks instead of one.
+    spread = keyed.withColumn("_key", F.coalesce("cache_key", F.concat(F.lit("none "), "source_hash")))
+    joined = spread.join(entry.withColumnRenamed("cache_key", "_key"), "_key", "left").drop("_key")
     shown = joined.withColumn("cached_text", F.when(F.col("c_translated_text").isNotNull(), append_urls(F.col("source_urls"), F.col("c_translated_text"))))
     whole = (F.col("c_status") == "ok") & (F.coalesce("c_translated_text", F.lit("")) != "")
     if text is not None:

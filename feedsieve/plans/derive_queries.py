@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 from feedsieve.functions import items as it
 from feedsieve.functions import language, score, text, when
 from feedsieve.operators import quality
-from feedsieve.operators.joins import lookup
 from feedsieve.operators.translate import SNAPSHOT_VERSION, valid_snapshot
 from feedsieve.plans import sql as q
-from feedsieve.plans.adapters import (
-    TEST_POLICY, episodes, lite_decisions, table, texts, with_episodes, with_lite)
+from feedsieve.plans.adapters import episodes, lite_decisions, table, TEST_POLICY, with_episodes, with_lite
 from feedsieve.plans.catalog import query
 from feedsieve.policy import SAFE_RUN_KEYS
 
@@ -20,17 +18,17 @@ P = TEST_POLICY
 
 @query("clean_html", f"SELECT page_id, {q.clean_html('html')} AS cleaned FROM pages")
 def clean_html(spark, sf):
-    return texts(spark, sf, "pages", "page_id").select("page_id", text.clean_html(F.col("html")).alias("cleaned"))
+    return table(spark, sf, "pages").select("page_id", text.clean_html(F.col("html")).alias("cleaned"))
 
 
 @query("clean_display_html", f"SELECT page_id, {q.clean_display('html')} AS cleaned FROM pages")
 def clean_display_html(spark, sf):
-    return texts(spark, sf, "pages", "page_id").select("page_id", text.clean_display_html(F.col("html")).alias("cleaned"))
+    return table(spark, sf, "pages").select("page_id", text.clean_display_html(F.col("html")).alias("cleaned"))
 
 
 @query("strip_html", f"SELECT page_id, {q.strip_html('html')} AS stripped FROM pages")
 def strip_html(spark, sf):
-    return texts(spark, sf, "pages", "page_id").select("page_id", text.strip_html(F.col("html")).alias("stripped"))
+    return table(spark, sf, "pages").select("page_id", text.strip_html(F.col("html")).alias("stripped"))
 
 
 _PAGE_TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
@@ -42,10 +40,10 @@ SELECT page_id, {q.strip(f"regexp_replace(rtrim({q.entities(_PAGE_TITLE)}, '\"''
 FROM pages""")
 def clean_display_title(spark, sf):
     title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
-    return texts(spark, sf, "pages", "page_id").select("page_id", text.clean_title(title).alias("title"), text.clean_block_title(title).alias("block_title"))
+    return table(spark, sf, "pages").select("page_id", text.clean_title(title).alias("title"), text.clean_block_title(title).alias("block_title"))
 
 
-_FIELDS = ("substring(html, 1, 6000)", "regexp_extract(html, '(?s)<article>(.*)</article>', 1)", "regexp_extract(html, '(?s)<p>(.*?)</p>', 1)",
+_FIELDS = ("html", "regexp_extract(html, '(?s)<article>(.*)</article>', 1)", "regexp_extract(html, '(?s)<p>(.*?)</p>', 1)",
            "regexp_extract(html, '<title>([^<]*)</title>', 1)")
 
 
@@ -65,9 +63,9 @@ FROM chosen"""
 @query("select_longest_text", _field_sql())
 def select_longest_text(spark, sf):
     html = F.col("html")
-    raws = [F.substring(html, 1, 6000), F.regexp_extract(html, "(?s)<article>(.*)</article>", 1), F.regexp_extract(html, "(?s)<p>(.*?)</p>", 1),
+    raws = [html, F.regexp_extract(html, "(?s)<article>(.*)</article>", 1), F.regexp_extract(html, "(?s)<p>(.*?)</p>", 1),
             F.regexp_extract(html, "<title>([^<]*)</title>", 1)]
-    return texts(spark, sf, "pages", "page_id").select("page_id", it.select_longest_text(raws).alias("b")).select("page_id", "b.*").drop("show_notes_raw")
+    return table(spark, sf, "pages").select("page_id", it.select_longest_text(raws).alias("b")).select("page_id", "b.*").drop("show_notes_raw")
 
 
 @query("coalesce_text", f"""
@@ -79,7 +77,7 @@ def coalesce_text(spark, sf):
     a = F.when(F.col("page_id") % 3 == 0, "").otherwise(F.regexp_extract("html", "(?s)<p>(.*?)</p>", 1))
     b = F.when(F.col("page_id") % 2 != 0, F.regexp_extract("html", "<title>([^<]*)</title>", 1))
     lines = F.array(F.col("url"), F.concat(F.lit("page "), F.col("page_id").cast("string")))
-    return texts(spark, sf, "pages", "page_id").select("page_id", text.best_display_text(a, b, F.lit(None).cast("string"), lines, F.lit("")).alias("shown"))
+    return table(spark, sf, "pages").select("page_id", text.best_display_text(a, b, F.lit(None).cast("string"), lines, F.lit("")).alias("shown"))
 
 
 _SEC = "CAST((n_chars * 3) % 7200 AS BIGINT)"
@@ -311,7 +309,7 @@ def reason_text(spark, sf):
 
 
 @query("quality_warnings", f"""
-WITH r AS (SELECT doc_id, text, n_chars, left(text, 200) AS reason, lang FROM documents),
+WITH r AS (SELECT doc_id, text, n_chars, text AS reason, lang FROM documents),
 c AS (SELECT *, count(*) OVER (PARTITION BY reason) AS same, length(regexp_replace(reason, '[^\\x{{4e00}}-\\x{{9fff}}]', '', 'g')) AS cjk,
   len(regexp_extract_all(reason, '[a-zA-Z]{{4,}}')) AS en FROM r)
 SELECT doc_id, concat_ws(' / ', CASE WHEN cjk < 45 THEN 'quality_warning: reason_zh 汉字不足45个（仅' || cjk || '个）' END,
@@ -321,9 +319,9 @@ SELECT doc_id, concat_ws(' / ', CASE WHEN cjk < 45 THEN 'quality_warning: reason
   CASE WHEN length({q.strip_html('text')}) < 20 THEN 'quality_warning: show_notes 为空或过短，无法生成有效摘要' END,
   CASE WHEN doc_id % 5 = 0 THEN 'quality_warning: pub_datetime 缺失' END, CASE WHEN doc_id % 7 = 0 THEN 'quality_warning: duration_minutes 缺失' END) AS warnings FROM c""")
 def quality_warnings(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text", F.left("text", F.lit(200)).alias("reason"))
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.col("text").alias("reason"))
     same = quality.duplicate_reasons(docs, "reason")
-    joined = lookup(docs, same, ["reason"])
+    joined = docs.join(same, "reason", "left")
     found = quality.quality_warnings(F.col("reason"), F.col("text"), F.when(F.col("doc_id") % 5 != 0, "2024-01-01"),
                                      F.when(F.col("doc_id") % 7 != 0, 10), F.coalesce("same_count", F.lit(1)))
     return joined.select("doc_id", F.array_join(found, " / ").alias("warnings"))
@@ -335,13 +333,13 @@ counted AS (SELECT doc_id, lang, length(regexp_replace(p, '[^\\x{4e00}-\\x{9fff}
 found AS (SELECT *, CASE WHEN cjk + latin = 0 THEN 'unknown' WHEN cjk >= 20 AND cjk / (cjk + latin) >= 25e-2 THEN 'zh' WHEN latin >= 80 AND latin / (cjk + latin) >= 65e-2 THEN 'en'
   WHEN cjk + latin < 80 THEN 'unknown' WHEN cjk >= 10 AND latin >= 40 THEN 'mixed' ELSE 'unknown' END AS detected FROM counted)"""
 _ZH = "节目讨论能源与市场"
-_MIXED = f"CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN repeat('{_ZH}', 5) || left(text, 60) WHEN 2 THEN '{_ZH}一二三' || left(text, 120) ELSE left(text, 50) END"
+_MIXED = f"CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN repeat('{_ZH}', 5) || text WHEN 2 THEN '{_ZH}一二三' || text ELSE lang || text END"
 
 
 def _mixed():
     d = F.col("doc_id") % 4
-    return (F.when(d == 0, F.col("text")).when(d == 1, F.concat(F.repeat(F.lit(_ZH), 5), F.left("text", F.lit(60))))
-            .when(d == 2, F.concat(F.lit(_ZH + "一二三"), F.left("text", F.lit(120)))).otherwise(F.left("text", F.lit(50))))
+    return (F.when(d == 0, F.col("text")).when(d == 1, F.concat(F.repeat(F.lit(_ZH), 5), F.col("text")))
+            .when(d == 2, F.concat(F.lit(_ZH + "一二三"), F.col("text"))).otherwise(F.concat("lang", "text")))
 
 
 _LANG_WITH = f"WITH shown AS (SELECT doc_id, lang, {q.clean_display(_MIXED)} AS t FROM documents), {_LANG.strip()}"
@@ -349,7 +347,7 @@ _LANG_WITH = f"WITH shown AS (SELECT doc_id, lang, {q.clean_display(_MIXED)} AS
 
 @query("detect_language", f"{_LANG_WITH} SELECT doc_id, detected FROM found")
 def detect_language(spark, sf):
-    return texts(spark, sf).select("doc_id", language.detect_language(_mixed()).alias("detected"))
+    return table(spark, sf, "documents").select("doc_id", language.detect_language(_mixed()).alias("detected"))
 
 
 @query("needs_translation", f"""{_LANG_WITH}
@@ -357,12 +355,12 @@ SELECT doc_id, CASE WHEN lang = 'de' THEN false WHEN lang = 'en' THEN detected =
   ELSE detected = 'en' END AS needed FROM found""")
 def needs_translation(spark, sf):
     declared = F.when(F.col("lang") == "de", "zh").otherwise(F.col("lang"))
-    return texts(spark, sf).select("doc_id", language.needs_translation(_mixed(), declared).alias("needed"))
+    return table(spark, sf, "documents").select("doc_id", language.needs_translation(_mixed(), declared).alias("needed"))
 
 
 @query("residual_language")
 def residual_language(spark, sf):
-    out = texts(spark, sf).select("doc_id", language.residual_latin(_mixed()).alias("r"))
+    out = table(spark, sf, "documents").select("doc_id", language.residual_latin(_mixed()).alias("r"))
     return out.select("doc_id", "r.*")
 
 
@@ -384,9 +382,9 @@ def source_completeness(spark, sf):
 
 @query("valid_snapshot", f"""
 SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND doc_id % 5 <> 0 AND len(s) > 0 THEN array_to_string(s, '|') END AS sections
-FROM (SELECT doc_id, list_filter(string_split(left(text, 300), chr(10)), lambda x: trim(x) <> '') AS s FROM documents)""")
+FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS s FROM documents)""")
 def valid_snapshot_query(spark, sf):
-    sections = F.split(F.left("text", F.lit(300)), "\n", -1)
+    sections = F.split("text", "\n", -1)
     version = F.when(F.col("doc_id") % 3 == 0, SNAPSHOT_VERSION).otherwise("older")
     heading = F.when(F.col("doc_id") % 5 == 0, "none").otherwise("full")
     return table(spark, sf, "documents").select("doc_id", F.array_join(valid_snapshot(version, heading, sections), "|").alias("sections"))
@@ -402,7 +400,7 @@ SELECT doc_id, sha256({_flat('text')}) AS source_hash, 'show_notes_zh_' || sha25
 def cache_key(spark, sf):
     episode = F.concat(F.lit(" EP  "), F.col("doc_id").cast("string"))
     key = it.cache_key(F.upper("source"), episode, F.lit(None).cast("string"), F.col("text"), F.lit("Mock A"))
-    return texts(spark, sf).select("doc_id", it.source_hash(F.col("text")).alias("source_hash"), key.alias("cache_key"))
+    return table(spark, sf, "documents").select("doc_id", it.source_hash(F.col("text")).alias("source_hash"), key.alias("cache_key"))
 
 
 @query("guest_key", "SELECT c_custkey, left(sha256(lower(c_name) || '|' || lower(c_mktsegment) || '|nation ' || c_nationkey), 24) AS key FROM customer")

@@ -8,7 +8,7 @@ from feedsieve.functions import items as it
 from feedsieve.functions import keywords as kw
 from feedsieve.operators import background, delivery, guests, joins, translate
 from feedsieve.plans import sql as q
-from feedsieve.plans.adapters import episodes, lite_decisions, table, texts, with_episodes, with_lite
+from feedsieve.plans.adapters import episodes, lite_decisions, table, with_episodes, with_lite
 from feedsieve.plans.catalog import query
 
 START, END = "2024-01-14 14:00:00", "2024-01-21 14:00:00"
@@ -31,7 +31,7 @@ WORDS = ("the", "haing", "AI", "of the", "edon", "und", "la", "reti")
 
 @query("keyword_match", f"SELECT doc_id, {', '.join(f'{q.kw('low', w)} AS k{i}' for i, w in enumerate(WORDS))} FROM (SELECT doc_id, lower(text) AS low FROM documents)")
 def keyword_match(spark, sf):
-    return texts(spark, sf).select("doc_id", *[kw.keyword_match(F.col("text"), w).alias(f"k{i}") for i, w in enumerate(WORDS)])
+    return table(spark, sf, "documents").select("doc_id", *[kw.keyword_match(F.col("text"), w).alias(f"k{i}") for i, w in enumerate(WORDS)])
 
 
 _A, _B, _C = it.FALLBACKS
@@ -39,8 +39,8 @@ _A, _B, _C = it.FALLBACKS
 
 @query("fallback_text", "SELECT doc_id, doc_id % 7 IN (0, 1, 2, 4) AS is_fallback FROM documents")
 def fallback_text(spark, sf):
-    mode, head = F.col("doc_id") % 7, F.left("text", F.lit(40))
-    shown = (F.when(mode == 0, "").when(mode == 1, _A).when(mode == 2, f"{_A}；{_B}").when(mode == 3, F.concat(F.lit(_A + "；"), F.left("text", F.lit(20))))
+    mode, head = F.col("doc_id") % 7, F.col("text")
+    shown = (F.when(mode == 0, "").when(mode == 1, _A).when(mode == 2, f"{_A}；{_B}").when(mode == 3, F.concat(F.lit(_A + "；"), F.col("text")))
              .when(mode == 4, _C).when(mode == 5, f"{_B}；{_C}").otherwise(head))
     return table(spark, sf, "documents").select("doc_id", it.is_fallback(shown).alias("is_fallback"))
 
@@ -118,10 +118,10 @@ def queued_items(spark, sf):
 
 @query("accept_generated_text", f"""
 SELECT conv_id, turn, length({q.strip('t')}) >= 20 AND NOT contains(t, '信息不足') AS accepted
-FROM (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN left(text, 25) WHEN 1 THEN text ELSE text || '信息不足' END AS t FROM conversations)""")
+FROM (SELECT conv_id, turn, CASE WHEN turn % 3 < 2 THEN text ELSE text || '信息不足' END AS t FROM conversations)""")
 def accept_generated_text(spark, sf):
     mode = F.col("turn") % 3
-    shown = F.when(mode == 0, F.left("text", F.lit(25))).when(mode == 1, F.col("text")).otherwise(F.concat("text", F.lit("信息不足")))
+    shown = F.when(mode < 2, F.col("text")).otherwise(F.concat("text", F.lit("信息不足")))
     return table(spark, sf, "conversations").select("conv_id", "turn", it.accept_generated(shown).alias("accepted"))
 
 
@@ -132,6 +132,6 @@ def valid_partial_cache(spark, sf):
     spots = F.when(mode == 2, F.array(F.lit(1), F.lit(1))).when(mode == 3, F.array(F.lit(9))).when(mode == 4, F.array().cast("array<int>")).otherwise(F.array(F.lit(1)))
     error = F.struct(F.when(mode == 5, 0).otherwise(1).alias("chunk_index"), (mode != 6).alias("localized_fallback"))
     entry = table(spark, sf, "documents").select(
-        "doc_id", F.when(mode == 0, "ok").otherwise("partial_ok").alias("status"), F.concat(F.left("text", F.lit(50)), F.lit("\n延伸阅读（原文）：\nx")).alias("translated_text"),
+        "doc_id", F.when(mode == 0, "ok").otherwise("partial_ok").alias("status"), F.concat("text", F.lit("\n延伸阅读（原文）：\nx")).alias("translated_text"),
         F.lit(3).alias("chunk_count"), F.when(mode == 7, 3).otherwise(2).alias("translated_chunk_count"), spots.alias("localized_fallback_chunk_indices"), F.array(error).alias("errors"))
     return entry.select("doc_id", translate.valid_partial().alias("is_valid"))

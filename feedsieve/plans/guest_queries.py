@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 
 from feedsieve.operators import background, guests
 from feedsieve.operators.quality import source_quality
-from feedsieve.plans.adapters import table, texts
+from feedsieve.plans.adapters import table
 from feedsieve.plans.catalog import query
 
 
 def guest_items(spark, sf):
     """`documents` as items whose notes name somebody in one of several ways; the names are words of the text."""
     words = F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0))
-    docs = texts(spark, sf).select("doc_id", "text", "source", words.alias("w"))
+    docs = table(spark, sf, "documents").select("doc_id", "text", "source", words.alias("w"))
     name = lambda i: F.initcap(F.concat_ws(" ", F.get("w", F.lit(i)), F.get("w", F.lit(i + 1))))
     named = docs.withColumns({"a": name(0), "b": name(4)})
     a, b, t = F.col("a"), F.col("b"), F.col("text")
@@ -101,7 +101,7 @@ def guest_status(spark, sf):
 
 
 def named_guests(spark, sf):
-    return guest_items(spark, sf).filter(F.col("item_pos") % 9 < 6).select(
+    return guest_items(spark, sf).select(
         "item_pos", F.when(F.col("item_pos") % 9 == 3, "张璐").otherwise(F.col("a")).alias("guest_name"), "show_notes")
 
 
@@ -158,7 +158,7 @@ def guest_prompt(spark, sf):
 def enrich_guests(spark, sf):
     items = guest_items(spark, sf)
     status = statuses(spark, sf)
-    none = F.struct(F.lit("cached text").alias("background_zh"), F.lit("high").alias("confidence"), F.lit("cached").alias("note"))
+    none = F.struct(F.lit("cached text").alias("background_zh"), F.array(F.struct(F.lit("t").alias("title"), F.lit("u").alias("url"), F.lit("s").alias("snippet"), F.lit("secondary").alias("quality"))).alias("sources"), F.lit("high").alias("confidence"), F.lit("cached").alias("note"))
     cache = items.filter(F.col("item_pos") % 27 == 0).select(
         background.guest_key(F.col("a"), F.lit(""), F.col("podcast_name")).alias("key"), F.lit("2024-01-20 00:00:00").cast("timestamp").alias("cached_at"),
         F.lit("confirmed_guest").alias("detection_status"), none.alias("payload")).dropDuplicates(["key"])

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from feedsieve.functions import keywords as kw
 from feedsieve.operators import joins, translate
 from feedsieve.plans import sql as q
-from feedsieve.plans.adapters import (
-    FEEDS, TEST_POLICY, episodes, feed_config, lite_decisions, table, texts, with_episodes, with_lite)
+from feedsieve.plans.adapters import episodes, feed_config, FEEDS, lite_decisions, table, TEST_POLICY, with_episodes, with_lite
 from feedsieve.plans.catalog import query
 from feedsieve.plans.filter_queries import QUEUE, queue_table
 
@@ -67,7 +66,7 @@ def keyword_hits(spark, sf):
     likes = P.interests
     lists = {"boost_hits": likes.boost, "negative_hits": likes.negative, "topic_hits": likes.topics, "action_hits": P.action_words, "strategic_hits": P.strategic_words}
     words = tuple(dict.fromkeys(w.lower() for ws in lists.values() for w in ws))
-    found = texts(spark, sf).select("doc_id", kw.matched_words(F.lower("text"), words).alias("hits"))
+    found = table(spark, sf, "documents").select("doc_id", kw.matched_words(F.lower("text"), words).alias("hits"))
     return found.select("doc_id", *[kw.count_hits(F.col("hits"), ws).alias(n) for n, ws in lists.items()])
 
 
@@ -97,7 +96,7 @@ def cache_ttl_lookup(spark, sf):
 
 
 def keyed_documents(spark, sf):
-    docs = texts(spark, sf).select(
+    docs = table(spark, sf, "documents").select(
         "doc_id", F.col("source").alias("podcast_id"), F.lit("").alias("episode_id"), F.lit("").alias("episode_url"), F.lit("en").alias("language"), "text")
     return translate.with_translation_key(docs, "text")
 
@@ -162,8 +161,8 @@ def match_items(spark, sf):
 
 
 def match_requests(spark, sf):
-    """Every eleventh item asked for by a date, a piece of its title, both, or words that fit nothing."""
-    eps = episodes(spark, sf).filter(F.col("item_pos") % 11 == 0)
+    """Every item asked for by a date, a piece of its title, both, or words that fit nothing."""
+    eps = episodes(spark, sf)
     mode = F.col("item_pos") % 5
     return eps.select(
         F.col("item_pos").alias("request_id"), "podcast_name", F.when(mode == 0, "").when(mode == 4, "zq").otherwise(F.substring("episode_title", 1, 12)).alias("hint"),
@@ -172,7 +171,7 @@ def match_requests(spark, sf):
 
 _MATCH = """
 req AS (SELECT item_pos AS request_id, podcast_name, CASE item_pos % 5 WHEN 0 THEN '' WHEN 4 THEN 'zq' ELSE substring(episode_title, 1, 12) END AS hint,
-  CASE WHEN item_pos % 5 IN (0, 2) THEN publish_date ELSE '' END AS want FROM episodes WHERE item_pos % 11 = 0),
+  CASE WHEN item_pos % 5 IN (0, 2) THEN publish_date ELSE '' END AS want FROM episodes),
 scored AS (SELECT r.request_id, e.podcast_name, e.item_pos, e.publish_date, CASE WHEN want <> '' AND e.publish_date = want THEN 100 ELSE 0 END
   + 5 * len(list_intersect(list_distinct(regexp_extract_all(lower(hint), '[\\p{L}\\p{N}_]+')), list_distinct(regexp_extract_all(lower(episode_title), '[\\p{L}\\p{N}_]+'))))
   + CASE WHEN hint <> '' AND contains(lower(episode_title), lower(hint)) THEN 20 ELSE 0 END

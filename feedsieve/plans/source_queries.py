@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from feedsieve import schemas
 from feedsieve.plans import sql as q
-from feedsieve.plans.adapters import FEEDS, feed_config, landed_bodies, lite_decisions, table, texts, with_episodes, with_lite
+from feedsieve.plans.adapters import feed_config, FEEDS, landed_bodies, lite_decisions, table, with_episodes, with_lite
 from feedsieve.plans.catalog import query
 from feedsieve.session import new_folder
 from feedsieve.sources import feeds, runs
@@ -45,7 +45,7 @@ def scan_feed_items(spark, sf):
 WITH m AS (SELECT page_id, regexp_extract_all(html, '(?s)<li>(.*?)</li>', 1) AS items FROM pages)
 SELECT page_id, CAST(i - 1 AS INT) AS item_no, regexp_extract(items[i], 'href="([^"]*)"', 1) AS href FROM (SELECT *, unnest(range(1, len(items) + 1)) AS i FROM m)""")
 def scan_page_items(spark, sf):
-    items = feeds.explode_items(texts(spark, sf, "pages", "page_id").select("page_id", "html"), "(?s)<li>(.*?)</li>", "html")
+    items = feeds.explode_items(table(spark, sf, "pages").select("page_id", "html"), "(?s)<li>(.*?)</li>", "html")
     return items.select("page_id", "item_no", F.regexp_extract("item", 'href="([^"]*)"', 1).alias("href"))
 
 

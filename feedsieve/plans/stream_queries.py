@@ -41,9 +41,9 @@ def stream_registry(spark, sf):
     events = table(spark, sf, "events").select(
         F.col("user_id").cast("string").alias("episode_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("event_type").alias("decision"))
     landed = new_folder(spark, "landed-events")
-    events.repartition(3).write.parquet(landed)  # three files, one per batch
+    events.write.option("maxRecordsPerFile", 20_000).parquet(landed)
     root = new_folder(spark, "registry")
-    st.stream_registry(st.read_stream(spark, landed, events.schema, files_per_batch=1), root)
+    st.stream_registry(st.read_stream(spark, landed, events.schema, files_per_batch=2), root)
     shape = "yyyy-MM-dd HH:mm:ss"
     return st.runs.read_version(spark, root, st.REGISTRY).select(
         "episode_id", "seen_count", F.date_format("first_seen", shape).alias("first_seen"), F.date_format("last_seen", shape).alias("last_seen"), "decision")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from feedsieve.operators import guests, joins, quality, ranking
-from feedsieve.plans.adapters import TEST_POLICY, episodes, lite_decisions, table, with_episodes, with_lite
+from feedsieve.plans.adapters import episodes, lite_decisions, table, TEST_POLICY, with_episodes, with_lite
 from feedsieve.plans.catalog import query
 from feedsieve.plans.weekly_queries import EPISODE_ID
 from feedsieve.functions.items import episode_id
@@ -77,11 +77,9 @@ def guest_candidate_dedup(spark, sf):
 
 
 @query("rank_by_score", with_lite("""
-SELECT item_pos, final_score, row_number() OVER (ORDER BY final_score DESC, item_pos) AS place FROM lite"""))
+SELECT item_pos, final_score, row_number() OVER (ORDER BY final_score DESC, feed_ord, item_pos) AS place FROM lite"""))
 def rank_by_score(spark, sf):
-    rows = lite_decisions(spark, sf).select("item_pos", "final_score", (-F.col("final_score")).alias("worst"), F.lit(0).alias("run"))
-    ranked = ranking.ordinal(rows, ["run"], ["worst"], "item_pos", "place")
-    return ranked.select("item_pos", "final_score", "place").orderBy("place")
+    return ranking.rank_by_score(lite_decisions(spark, sf).select("item_pos", "feed_ord", "final_score")).drop("feed_ord")
 
 
 @query("top_recommendations", with_lite("""
@@ -105,17 +103,19 @@ def bounded_lists(spark, sf):
 
 @query("union_decisions", with_lite("SELECT item_pos, decision, run_id FROM lite"))
 def union_decisions(spark, sf):
-    rows = lite_decisions(spark, sf).select("item_pos", "decision", "run_id")
-    full, preview, skip = (rows.filter(F.col("decision") == d) for d in ("full", "preview", "skip"))
-    return full.unionByName(preview).unionByName(skip)
+    rows = lite_decisions(spark, sf)
+    full, preview, skip = (rows.filter(F.col("decision") == d).select("item_pos", "run_id") for d in ("full", "preview", "skip"))
+    return ranking.union_decisions(full, preview, skip)
 
 
-@query("union_feeds", with_episodes("SELECT podcast_id, count(*) AS items, min(item_pos) AS first_pos, max(item_pos) AS last_pos FROM episodes GROUP BY podcast_id"))
+@query("union_feeds", with_episodes("""
+SELECT podcast_id, feed_ord, count(*) AS items, min(item_pos) AS first_pos, max(item_pos) AS last_pos, count(audio_url) AS with_audio FROM (
+  SELECT podcast_id, 0 AS feed_ord, item_pos, audio_url FROM episodes UNION ALL SELECT 'page ' || page_id % 10, 1, page_id, NULL FROM pages) GROUP BY podcast_id, feed_ord"""))
 def union_feeds(spark, sf):
-    eps = episodes(spark, sf, with_texts=False)
-    # Items of every feed type from one scan each, put together again.
-    both = eps.filter(F.col("feed_ord") % 5 == 4).unionByName(eps.filter(F.col("feed_ord") % 5 != 4))
-    return both.groupBy("podcast_id").agg(F.count("*").alias("items"), F.min("item_pos").alias("first_pos"), F.max("item_pos").alias("last_pos"))
+    eps = episodes(spark, sf, with_texts=False).select("podcast_id", "item_pos", "audio_url")
+    page = table(spark, sf, "pages").select(F.concat(F.lit("page "), (F.col("page_id") % 10).cast("string")).alias("podcast_id"), F.col("page_id").alias("item_pos"))
+    return ranking.union_feeds(eps, page).groupBy("podcast_id", "feed_ord").agg(
+        F.count("*").alias("items"), F.min("item_pos").alias("first_pos"), F.max("item_pos").alias("last_pos"), F.count("audio_url").alias("with_audio"))
 
 
 @query("new_vs_known", with_lite("""
@@ -126,6 +126,6 @@ def new_vs_known(spark, sf):
     return joins.new_vs_known(rows, registry).select("item_pos", "is_new")
 
 
-@query("duplicate_reasons", "SELECT left(text, 80) AS reason_zh, count(*) AS same_count FROM documents GROUP BY 1 HAVING count(*) > 1")
+@query("duplicate_reasons", "SELECT text AS reason_zh, count(*) AS same_count FROM documents GROUP BY 1 HAVING count(*) > 1")
 def duplicate_reasons(spark, sf):
-    return quality.duplicate_reasons(table(spark, sf, "documents").select(F.left("text", F.lit(80)).alias("reason_zh")))
+    return quality.duplicate_reasons(table(spark, sf, "documents").select(F.col("text").alias("reason_zh")))

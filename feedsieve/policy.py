@@ -27,24 +27,15 @@ AD_WORDS = (
     "sponsored by", "support for this podcast", "this episode is brought to you by", "advertisement",
     "本期节目由", "感谢赞助", "广告", "赞助商",
 )
-INTEREST_BOOST = (
-    "储能", "电力市场", "现货", "电力交易", "交易", "量化", "数字货币", "AI", "inference", "GPU",
-    "芯片", "半导体", "利率", "通胀", "投资", "美股",
-)
-INTEREST_NEGATIVE = ("News", "sports", "celebrity", "lifestyle")
-INTEREST_TOPICS = (
-    "power_market", "storage", "American stock market", "ai", "semiconductor", "macro", "interest_rate",
-    "invest", "cryptocurrenvy",
-)
-INTEREST_PEOPLE = ("Jensen Huang", "Sam Altman", "Elon Musk", "孟岩", "李继刚")
-
 
 @dataclass(frozen=True)
 class Interests:
-    boost: tuple[str, ...] = INTEREST_BOOST
-    negative: tuple[str, ...] = INTEREST_NEGATIVE
-    topics: tuple[str, ...] = INTEREST_TOPICS
-    people: tuple[str, ...] = INTEREST_PEOPLE
+    """What a reader looks for; empty lists leave the interest points out."""
+
+    boost: tuple[str, ...] = ()
+    negative: tuple[str, ...] = ()
+    topics: tuple[str, ...] = ()
+    people: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)

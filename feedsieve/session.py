@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_OWNED: set[str] = set()  # folders that end with the driver
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -32,8 +33,25 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder; nothing is created yet."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the application's own folder; nothing is created yet.
+
+    That folder is removed when the driver ends; `release` removes it earlier.
+    """
+    own = f"{shared_folder(spark)}/feedsieve-{spark.sparkContext.applicationId}"
+    if own not in _OWNED:
+        _OWNED.add(own)
+        _file_system(spark, own).deleteOnExit(spark._jvm.org.apache.hadoop.fs.Path(own))
+    return f"{own}/{label}-{uuid.uuid4().hex}"
+
+
+def _file_system(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all intermediate tables of this application. Results that still read them must be stored before."""
+    own = f"{shared_folder(spark)}/feedsieve-{spark.sparkContext.applicationId}"
+    _file_system(spark, own).delete(spark._jvm.org.apache.hadoop.fs.Path(own), True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -42,14 +60,3 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = new_folder(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-# Inputs below this size are worth one shuffle to occupy every core before a costly pass over their texts.
-SPREAD_BELOW_BYTES = 1 << 30
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread a small input over all cores; a large one already comes in many splits and is left alone."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if size < SPREAD_BELOW_BYTES else df

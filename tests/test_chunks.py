@@ -79,3 +79,14 @@ def test_structure(each):
     cases = {"Links:\nx": "resources", "ADDITIONAL  reading": "resources", "Timestamps：": "chapters", "Corrections: one": "correction", "disclaimer text": "disclaimer",
              "Linked": "", "Resource list": "", "": ""}
     assert each(list(cases), chunks.chunk_structure(T)) == list(cases.values())
+
+
+def test_an_address_of_any_length_stays_with_its_sentence(one):
+    address = "https://x.test/" + "a" * 5000 + "."
+    text = f"First part ends here. See {address} for more. Last part ends here. " + "More words follow. " * 50
+    for limit in (400, 700, 6000):
+        got = one(text, chunks.pack_chunks(F.col("t"), limit))
+        assert "".join(got).replace(" ", "") == text.replace(" ", "") and "\x06" not in "".join(got)
+    sentence = f"See {address} for more."
+    short = sentence.replace("a" * 5000, "a" * 700)
+    assert any(short in c for c in one(text.replace("a" * 5000, "a" * 700), chunks.pack_chunks(F.col("t"), 800)))

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from feedsieve.operators import background, guests
+from feedsieve.operators import background, guests, joins
 from feedsieve.operators.quality import source_quality
 
 CASES = [
@@ -65,3 +65,41 @@ def test_source_grades(spark):
             ("搜索结果", "https://some.test/x", "long enough text"), ("a", "https://some.test/x", "long enough text"), ("a", "https://duckduckgo.com/?q", "long enough text")]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, t string, u string, s string")
     assert [r[1] for r in sorted(df.select("i", source_quality(F.col("t"), F.col("u"), F.col("s"))).collect())] == ["primary", "secondary", "weak", "weak", "secondary", "weak"]
+
+
+ODD = ("A\\Eb (x", "C*d [y]", "E+f? {2}", "G$h ^i", "\\Q\\E", ".* .*")
+
+
+def test_names_are_never_patterns(spark):
+    """Names holding quoting ends, brackets or stars are plain text everywhere."""
+    rows = [(n, f"{n} is the CEO of Hugging Face. {n.split()[0]} is also a writer and actor.") for n in ODD]
+    df = spark.createDataFrame(rows, "guest_name string, show_notes string")
+    got = {r.guest_name: r.role_info for r in background.guest_role_list(background.guest_identity(df)).collect()}
+    assert set(got) == set(ODD) and got["C*d [y]"].title == "CEO" and got["C*d [y]"].org == "Hugging Face"
+    background.guest_sentence(background.guest_identity(df)).collect()
+    pairs = spark.createDataFrame([(f"talk with {n} and Bob Stone, today", n) for n in ODD], "m string, n string")
+    split = {r.n: r.names for r in pairs.select("n", guests.split_multi_guest(F.col("m"), F.col("n")).alias("names")).collect()}
+    assert all("Bob Stone" in v for n, v in split.items() if n != ".* .*") and split["C*d [y]"][1] == "Bob Stone"
+    short = spark.createDataFrame([("\\E", "x \\E王 y"), ("(", "a (b"), ("王", "今天王小明先生来了"), ("李四", "李四博士")], "name string, text string")
+    names = {r.name: r.resolved_name for r in joins.expand_alias(short, spark.createDataFrame([], "short string, full string")).collect()}
+    assert names == {"\\E": "\\E王", "(": "(", "王": "王小明先生", "李四": "李四博士"}
+
+
+def test_background_branches(spark):
+    """Cache with its sources, notes, facts without a sentence, weak and good sources."""
+    items = spark.createDataFrame([(1, "P", "x"), (2, "P", "Ann Lee wrote 《Some Book》 once."), (3, "P", "nothing"), (4, "P", "Ann Lee wrote 《Some Book》 once."), (5, "P", "nothing"), (6, "P", "Jane Doe is the CEO of Hugging Face.")],
+                                  "item_pos int, podcast_name string, show_notes string")
+    status = spark.createDataFrame([(1, "confirmed_guest", ["Cy Dee"]), (2, "confirmed_guest", ["Ann Lee"]), (3, "confirmed_guest", ["Ed Fox"]), (4, "confirmed_guest", ["Ann Lee"]), (5, "confirmed_guest", ["Gus Hay"]), (6, "confirmed_guest", ["Jane Doe"])],
+                                   "item_pos int, guest_detection_status string, guest_names array<string>")
+    source = "struct<title:string,url:string,snippet:string,quality:string>"
+    cache = spark.createDataFrame([("k", ("kept", [("t", "u", "s", "secondary")], "high", None))], f"k string, payload struct<background_zh:string,sources:array<{source}>,confidence:string,note:string>").select(
+        background.guest_key(F.lit("Cy Dee"), F.lit(""), F.lit("P")).alias("key"), F.lit("2024-01-20").cast("timestamp").alias("cached_at"), F.lit("confirmed_guest").alias("detection_status"), "payload")
+    found = spark.createDataFrame([("Gus Hay", 0, "Gus Hay - page", "https://some.test/x", "long enough text of a page")], "guest_name string, rank int, title string, url string, snippet string")
+    now = F.lit("2024-02-01").cast("timestamp")
+    got = {r.item_pos: r for r in background.enrich_guests(items, status, cache, found, now).collect()}
+    line = lambda r: (r.guest_background_confidence, r.guest_background_note, len(r.guest_background_sources), r.source_quality_summary)
+    assert got[1].guest_background_zh == "kept" and line(got[1]) == ("high", "来自缓存", 1, "secondary")
+    assert line(got[2]) == line(got[4]) == ("unknown", "搜索失败，无来源", 0, "weak")
+    assert line(got[3]) == ("low", "仅有弱来源（聚合页/标题片段），无法生成可靠背景", 0, "weak")
+    assert line(got[5]) == ("low", "模型生成不可用，降级处理", 1, "secondary")
+    assert line(got[6]) == ("medium", "来自节目元数据（show_notes）", 1, "primary (episode_show_notes)")

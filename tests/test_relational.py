@@ -46,8 +46,9 @@ def test_a_third_of_all_rows_on_one_key(spark):
     counts = {r.priority: r["count"] for r in ranking.relative_priority(rows).filter("decision = 'preview'").groupBy("priority").count().collect()}
     assert counts == {"high": sum(s >= upper for s in scores), "medium": sum(lower <= s < upper for s in scores), "low": sum(s < lower for s in scores)}
     table = spark.createDataFrame([("hot", 1), ("k1", 2)], "key string, v int")
-    for joined in (joins.lookup(rows, table, ["key"]), rows.join(joins.small_or_not(table, 1), "key", "left")):
-        assert joined.count() == n and joined.filter("v = 1").count() == n // 3
+    hosts = table.select(F.lit("w").alias("podcast_name"), F.concat("key", F.lit("el")).alias("host"))
+    flagged = joins.with_host_flag(rows.select(F.lit("w").alias("podcast_name"), F.col("key").alias("name")), hosts)
+    assert flagged.count() == n and flagged.filter("is_host").count() == n // 3
 
 
 def test_first_per_key_limits_each_task_before_the_shuffle(spark):
@@ -56,14 +57,6 @@ def test_first_per_key_limits_each_task_before_the_shuffle(spark):
     assert plan.count("WindowGroupLimit") == 2
 
 
-def test_lookup_beyond_the_broadcast_limit_gives_the_same_rows(spark):
-    big = spark.range(300).select((F.col("id") % 10).cast("string").alias("k"), "id")
-    small = spark.range(8).select(F.col("id").cast("string").alias("k"), (F.col("id") * 2).alias("v"))
-    assert "Broadcast" in joins.lookup(big, small, ["k"])._jdf.queryExecution().executedPlan().toString()
-    plain = big.join(joins.small_or_not(small, 3), ["k"], "left")
-    assert sorted(map(tuple, plain.collect()), key=str) == sorted(map(tuple, joins.lookup(big, small, ["k"]).collect()), key=str)
-
-
 def test_best_match_against_all_pairs(spark):
     rng = random.Random(8)
     words = ["energy", "market", "ai", "deep", "talk", "E151", "the", "grid", "part", "yes"]
@@ -96,3 +89,21 @@ def test_registry_history_is_bounded(spark):
     assert len(row.statuses) == 52 and row.statuses[-1] == "preview" and row.statuses[0] == "1" and row.seen_count == 61 and row.previous_decision == "skip"
     fresh = joins.join_registry(items, old.filter("false"), "now", F.lit("w2")).first()
     assert (fresh.first_seen, fresh.first_seen_week_id, fresh.seen_count, fresh.statuses) == ("now", "w2", 1, ["preview"])
+
+
+def test_missing_titles_and_dates_are_kept_apart(spark):
+    rows = [(0, 1, None, "2024-01-01"), (0, 2, None, "2024-01-02"), (1, 3, None, "2024-01-01"), (0, 4, "t", None), (0, 5, "u", None), (2, 6, "t", None), (0, 7, None, None)]
+    df = spark.createDataFrame(rows, "feed_ord int, item_pos int, episode_title string, publish_date string")
+    assert sorted(r.item_pos for r in ranking.dedup_cross_feed(df).collect()) == [1, 2, 4, 5, 7]
+
+
+def test_best_match_with_common_words_joins_no_pairs(spark):
+    """1 000 requests and 2 000 items of one feed that share two words and their first letters."""
+    items = spark.range(2000).select(F.lit("p").alias("podcast_name"), F.col("id").alias("item_pos"), F.concat(F.lit("common words "), F.col("id").cast("string")).alias("title"), F.lit("2024-01-01").alias("pub_date"))
+    requests = spark.range(1000).select(F.col("id").alias("request_id"), F.lit("p").alias("podcast_name"), F.concat(F.lit("common words "), (F.col("id") * 3).cast("string")).alias("hint"), F.lit("").alias("publish_date"))
+    got = {r.request_id: (r.item_pos, r.score) for r in joins.best_match(requests, items).collect()}
+    for i in range(1000):
+        if 3 * i < 2000:
+            assert got[i] == (3 * i, 38)
+        else:
+            assert got[i][1] == 13 and got[i][0] == 0 or got[i][1] == 33
