@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from feedsieve.functions import score
 from feedsieve.functions.items import episode_id
-from feedsieve.operators import ranking
-from feedsieve.operators.quality import uncertainty_text
+from feedsieve.operators import guests, ranking
+from feedsieve.operators.background import enrich_guests
+from feedsieve.operators.joins import join_registry, upsert_registry
+from feedsieve.operators.quality import quality_warnings, reason_text, uncertainty_text
 from feedsieve.policy import Policy
 from feedsieve.session import materialize
+from feedsieve.sources import runs
 
 # Long texts and helpers that end with the scoring pass.
 TEXT_COLUMNS = ("show_notes", "show_notes_raw", "_title", "_notes", "_low", "_hits")
@@ -55,3 +58,56 @@ def weekly_top(items: DataFrame, policy: Policy, k: int = 3) -> DataFrame:
     narrow = screen(items, policy).select("week_id", "podcast_id", "item_pos", "feed_ord", "episode_id", "final_score", "decision",
                                           "decision_reason_code", "full_suggestion", "priority")
     return ranking.top_recommendations(narrow, k=k)
+
+
+REGISTRY = ("episode_id string, podcast_id string, episode_title string, first_seen string, first_seen_week_id string, last_seen string, seen_count int, decision string, "
+            "statuses array<string>")
+
+
+def decision_records(items: DataFrame, policy: Policy, registry: DataFrame, hosts: DataFrame, run_at: str, cache: DataFrame | None = None, found: DataFrame | None = None, keep: int = 52) -> DataFrame:
+    """One record per screened item: scores, decision, priority, reason, warnings, guests and their background, registry status.
+
+    `items` as for `screen`, with podcast_name, pub_datetime, feed_ord, item_pos and week_id. `registry`: REGISTRY, as the last
+    run left it. `cache` and `found` as for `enrich_guests`. Texts are read again only for the items that stay.
+    """
+    decided = materialize(screen(items, policy), "week-decisions")
+    kept = items.join(decided.select("item_pos"), "item_pos", "left_semi")
+    candidates = guests.dedup_candidates(guests.guest_candidates(kept, hosts))
+    detected = materialize(guests.guest_status(kept, candidates, hosts), "week-guests")
+    if cache is None:
+        payload = "struct<background_zh:string,sources:array<struct<title:string,url:string,snippet:string,quality:string>>,confidence:string,note:string>"
+        cache = items.sparkSession.createDataFrame([], f"key string, cached_at timestamp, detection_status string, payload {payload}")
+    told = enrich_guests(kept, detected, cache, found, F.lit(run_at).cast("timestamp")).drop("podcast_name", "guest_detection_status", "guest_names")
+    scored = score.add_scores(kept, policy).join(detected.select("item_pos", "guest_names", "guest_detection_status", "guest_detection_evidence"), "item_pos")
+    explained = reason_text(scored, policy).select(
+        "item_pos", "reason_zh", "guest_names", "guest_detection_status", "guest_detection_evidence",
+        quality_warnings(F.col("reason_zh"), F.col("show_notes"), F.col("pub_datetime"), F.col("duration_minutes")).alias("quality_warnings"))
+    out = decided.join(explained, "item_pos").join(told, "item_pos", "left")
+    if "decision_reason_zh" not in out.columns:
+        out = out.withColumn("decision_reason_zh", F.col("reason_zh"))
+    # The registry notes the first decision, and the final one too where the weekly limit changed it.
+    final = F.col("decision")
+    first = final if policy.mode == "all_preview" else F.col("score_decision")
+    noted = join_registry(out.withColumns({"final_decision": final, "decision": first}), registry, run_at, F.col("week_id"), keep)
+    both = F.concat("statuses", F.array("final_decision"))
+    changed = F.slice(both, F.greatest(F.size(both) - (keep - 1), F.lit(1)), F.lit(keep))
+    return noted.withColumns({
+        "statuses": F.when(F.col("decision") != F.col("final_decision"), changed).otherwise(F.col("statuses")), "decision": F.col("final_decision"),
+        "selection_policy_mode": F.lit(policy.mode)}).drop("final_decision")
+
+
+def run_week(items: DataFrame, policy: Policy, hosts: DataFrame, root: str, run_at: str, **more) -> DataFrame:
+    """Screen, explain, look up, and store a run below `root`: records by week and run, registry, log and report.
+
+    Returns the stored records. The registry is written as a new version, so a run that is repeated after a failure starts from the
+    same one.
+    """
+    spark = items.sparkSession
+    version = runs.current_version(spark, f"{root}/registry")
+    registry = runs.read_version(spark, f"{root}/registry", REGISTRY)
+    records = materialize(decision_records(items, policy, registry, hosts, run_at, **more), "week-records")
+    runs.write_run_result(records, f"{root}/runs")
+    fields = [f.split()[0] for f in REGISTRY.split(", ")]
+    runs.write_version(upsert_registry(registry, records.select(*fields)), f"{root}/registry", (version or 0) + 1)
+    runs.append_rows(runs.run_log_rows(records), f"{root}/log")
+    return records

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
+from pyspark.sql import functions as F
+
 from feedsieve.plans import sql as q
-from feedsieve.plans.adapters import TEST_POLICY, episodes, with_episodes
+from feedsieve.plans.adapters import TEST_POLICY, episodes, feed_config, with_episodes
 from feedsieve.plans.catalog import query
 from feedsieve.plans.derive_queries import _STOP, _VERDICT
-from feedsieve.plans.weekly import screen, weekly_top
+from feedsieve.plans.weekly import REGISTRY, run_week, screen, weekly_top
+from feedsieve.session import new_folder
+from feedsieve.sources import runs
 
 P = TEST_POLICY
 EPISODE_ID = f"""podcast_id || '_' || replace(publish_date, '-', '') || '_' || lower(array_to_string(list_filter(
@@ -40,3 +46,52 @@ def weekly_screen(spark, sf):
 SELECT item_pos, week_id, final_score, decision, reason_code AS decision_reason_code, priority, full_suggestion FROM screened""", *SCREENED))
 def weekly_decisions(spark, sf):
     return screen(episodes(spark, sf), P).select("item_pos", "week_id", "final_score", "decision", "decision_reason_code", "priority", "full_suggestion")
+
+
+CUT = "2024-01-14 14:00:00"
+EARLY = f"""
+early AS (SELECT * FROM (SELECT * FROM named WHERE pub_ts < TIMESTAMP '{CUT}') QUALIFY row_number() OVER (PARTITION BY podcast_id, episode_id ORDER BY item_pos) = 1),
+known AS (SELECT * FROM early QUALIFY row_number() OVER (PARTITION BY episode_title || publish_date ORDER BY feed_ord, item_pos) = 1)
+"""
+
+
+def _two_runs(spark, sf, policy):
+    """The weeks before CUT as one run, then all weeks as the next, with the registry of the first."""
+    eps = episodes(spark, sf)
+    hosts = feed_config(spark, sf).select(F.col("name").alias("podcast_name"), F.concat(F.lit("Host "), F.col("id")).alias("host"))
+    root = new_folder(spark, "weekly")
+    run_week(eps.filter(F.col("pub_ts") < F.lit(CUT).cast("timestamp")), policy, hosts, root, "2024-01-15")
+    done = run_week(eps, policy, hosts, root, "2024-02-05")
+    stored = runs.read_version(spark, f"{root}/registry", REGISTRY).select("episode_id", F.col("seen_count").alias("stored_count"), F.array_join("statuses", ",").alias("history"))
+    return done.join(stored, "episode_id").select("item_pos", "week_id", "episode_id", "decision", "priority", "final_score", "seen_count", "stored_count", "first_seen", "last_seen", "history",
+                                                  (F.length("reason_zh") > 0).alias("explained"))
+
+
+_KNOWN = "k.episode_id IS NOT NULL"
+_REGISTERED = f"""CAST(CASE WHEN {_KNOWN} THEN 2 ELSE 1 END AS INT) AS seen_count, CAST(CASE WHEN {_KNOWN} THEN 2 ELSE 1 END AS INT) AS stored_count,
+  CASE WHEN {_KNOWN} THEN '2024-01-15' ELSE '2024-02-05' END AS first_seen, '2024-02-05' AS last_seen"""
+
+
+@query("weekly_run", with_episodes(f"""
+SELECT s.item_pos, s.week_id, s.episode_id, s.decision, s.priority, s.final_score, {_REGISTERED}, CASE WHEN {_KNOWN} THEN s.decision || ',' ELSE '' END || s.decision AS history, true AS explained
+FROM screened s LEFT JOIN known k USING (episode_id)""", *SCREENED, EARLY))
+def weekly_run(spark, sf):
+    return _two_runs(spark, sf, P)
+
+
+S = replace(P, mode="score_based")
+_LIMITED = f"""
+placed AS (SELECT *, row_number() OVER (PARTITION BY week_id, score_decision ORDER BY final_score DESC, feed_ord, item_pos) AS place FROM judged),
+limited AS (SELECT *, CASE WHEN score_decision = 'full' AND place > {P.weekly_full_limit} THEN 'preview' WHEN score_decision = 'preview' AND place > {P.weekly_preview_limit} THEN 'skip' ELSE score_decision END AS final
+  FROM placed),
+before AS (SELECT *, CASE WHEN score_decision = 'full' AND place > {P.weekly_full_limit} THEN 'full,preview' WHEN score_decision = 'preview' AND place > {P.weekly_preview_limit} THEN 'preview,skip' ELSE score_decision END AS past
+  FROM (SELECT j.*, row_number() OVER (PARTITION BY j.week_id, j.score_decision ORDER BY j.final_score DESC, j.feed_ord, j.item_pos) AS place FROM judged_early j))"""
+
+
+@query("weekly_run_by_score", with_episodes(f"""
+SELECT l.item_pos, l.week_id, l.episode_id, l.final AS decision, CASE WHEN l.final_score >= 70 THEN 'high' WHEN l.final_score >= 40 THEN 'medium' ELSE 'low' END AS priority, l.final_score, {_REGISTERED},
+  CASE WHEN {_KNOWN} THEN k.past || ',' ELSE '' END || CASE WHEN l.final <> l.score_decision THEN l.score_decision || ',' ELSE '' END || l.final AS history, true AS explained
+FROM limited l LEFT JOIN before k ON k.episode_id = l.episode_id""", UNIQUE, EARLY, q.scored(P).replace("FROM episodes)", "FROM uniq)"),
+    "judged_early AS (SELECT j.* FROM judged j JOIN known n ON n.item_pos = j.item_pos)", _LIMITED))
+def weekly_run_by_score(spark, sf):
+    return _two_runs(spark, sf, S)
