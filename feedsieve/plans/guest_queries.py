@@ -146,7 +146,16 @@ def search_result_rows(spark, sf):
     return background.search_result_rows(landed_searches(spark, sf))
 
 
-@query("guest_prompt")
+def _prompt_line(i: int) -> str:
+    # Every result has an address that is no known site and a market segment as its snippet.
+    grade = f"CASE WHEN length(s[{i}]) < 10 THEN 'weak' ELSE 'secondary' END"
+    return f"CASE WHEN len(t) >= {i} THEN '[{i}[' || {grade} || ']] ' || t[{i}] || CASE WHEN s[{i}] <> '' THEN chr(10) || '   摘要：' || left(s[{i}], 200) ELSE ' (' || u[{i}] || ')' END END"
+
+
+@query("guest_prompt", f"""
+WITH a AS (SELECT c_custkey // 8 AS answer_id, list(c_name ORDER BY c_custkey) AS t, list('http://x.test/' || c_custkey ORDER BY c_custkey) AS u, list(c_mktsegment ORDER BY c_custkey) AS s FROM customer GROUP BY 1)
+SELECT answer_id, '{background.PROMPT_HEAD}' || 'Guest ' || answer_id || '{background.PROMPT_BODY}' || concat_ws(chr(10), {', '.join(_prompt_line(i) for i in (1, 2, 3))}) || '{background.PROMPT_TAIL}' AS prompt
+FROM a WHERE answer_id % 5 < 3""")
 def guest_prompt(spark, sf):
     rows = background.search_result_rows(landed_searches(spark, sf))
     source = F.struct("title", "url", "snippet", source_quality(F.col("title"), F.col("url"), F.col("snippet")).alias("quality"))

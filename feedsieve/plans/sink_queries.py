@@ -141,7 +141,20 @@ def notification_rows(spark, sf):
     return documents.notification_rows(items, heads)
 
 
-@query("selection_doc_blocks")
+_LINES_SHOWN = f"list_filter(list_transform(CASE WHEN contains(text, chr(10)) THEN string_split(left(text, 1000), chr(10)) ELSE [left(text, 500)] END, lambda s: {q.strip('s')}), lambda s: s <> '')"
+
+
+@query("selection_doc_blocks", f"""
+WITH b AS (SELECT 'sel_' || doc_id AS selection_id,
+  [{{'type': 'h1', 'text': CASE WHEN doc_id % 2 = 0 THEN '[Full]' ELSE '[Preview]' END || ' ' || left(text, 40)}}, {{'type': 'para', 'text': ''}}, {{'type': 'para', 'text': '播客：' || source}},
+   {{'type': 'para', 'text': '发布：2024-01-02'}}, {{'type': 'para', 'text': '评分：' || doc_id % 100 || '分'}}, {{'type': 'para', 'text': '推荐动作：' || CASE WHEN doc_id % 2 = 0 THEN 'Full 推荐转写' ELSE 'Preview 预览' END}}]
+  || CASE WHEN doc_id % 90 > 0 THEN [{{'type': 'para', 'text': '时长：' || doc_id % 90 || '分钟'}}] ELSE [] END || [{{'type': 'para', 'text': '原始音频：http://a'}}, {{'type': 'h2', 'text': '📝 内容摘要'}}]
+  || CASE WHEN doc_id % 3 = 0 THEN [{{'type': 'bullet', 'text': 's1'}}, {{'type': 'bullet', 'text': 's2'}}] ELSE [{{'type': 'bullet', 'text': '（暂无摘要，等待转写后补充）'}}] END
+  || [{{'type': 'para', 'text': ''}}, {{'type': 'h2', 'text': '🔑 关键要点'}}, {{'type': 'bullet', 'text': '（暂无要点，等待转写后补充）'}}, {{'type': 'para', 'text': ''}},
+      {{'type': 'h2', 'text': '💡 推荐理由'}}, {{'type': 'para', 'text': 'why'}}, {{'type': 'para', 'text': ''}}]
+  || CASE WHEN text <> '' THEN [{{'type': 'h2', 'text': '📋 原始 show notes（已清洗）'}}] || list_transform({_LINES_SHOWN}, lambda s: {{'type': 'para', 'text': s}}) ELSE [] END
+  || [{{'type': 'para', 'text': ''}}, {{'type': 'para', 'text': 'selection_id：sel_' || doc_id}}, {{'type': 'para', 'text': 'episode_id：' || doc_id}}, {{'type': 'para', 'text': '入队时间：now'}}] AS blocks FROM documents)
+SELECT selection_id, CAST(i AS INT) AS block_no, blocks[i].type AS type, blocks[i].text AS text FROM (SELECT *, unnest(range(1, len(blocks) + 1)) AS i FROM b)""")
 def selection_doc_blocks(spark, sf):
     docs = table(spark, sf, "documents")
     empty = F.array().cast("array<string>")
