@@ -10,7 +10,7 @@ import compare
 SF = os.environ.get("FEEDSIEVE_SF", "/root/testdata/sf0.001")
 QUICK = ("weekly_screen", "final_score", "classify_episode", "business_week", "week_filter", "keyword_hits", "dedup_cross_feed", "relative_priority", "weekly_limits", "top_recommendations",
          "translation_summary", "join_registry", "best_match", "selection_in_window", "pack_chunks", "split_sections", "translate_chunks", "scan_feed_items", "render_report", "render_subtitles",
-         "guest_status", "search_result_rows", "stream_registry")
+         "guest_status", "search_result_rows", "stream_registry", "guest_prompt", "selection_doc_blocks", "union_feeds", "rank_by_score", "detect_language")
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("FEEDSIEVE_ALL") else QUICK
 
 
