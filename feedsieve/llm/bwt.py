@@ -28,84 +28,88 @@ def _stable_order(values: np.ndarray) -> np.ndarray:
     return order
 
 
-def transform(symbol: np.ndarray, segment: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix order of one shard, and its transform: for each suffix in order, the symbol BLOCK bytes before it, or -1.
+def transform(symbol: np.ndarray, segment: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffix order of one shard, and its transform: for each suffix in order, the symbol BLOCK bytes before it, or -1,
+    and the place in the order of the suffix that starts there.
 
     Suffixes are compared symbol by symbol; one that ends inside a symbol comes before others with that symbol, and such
     suffixes come in the order of their segments. The order is found by doubling the compared length.
     """
     n = len(symbol)
     ends = segment * BLOCK + (BLOCK - 1 - rest % BLOCK)  # where the chain of symbols from a place ends
-    above, rank, step = int(ends.max()) + 1, symbol.astype(np.int64), BLOCK
-    places = np.arange(n)
+    above, step = int(ends.max()) + 1, BLOCK
+    order = _stable_order(symbol)
+    rank, todo = np.empty(n, np.int64), np.arange(n)
+    key = symbol[order].astype(np.int64)
     while True:
-        inside = rest >= step
-        then = ends.copy()
-        then[inside] = rank[places[inside] + step] + above
-        _, rank = np.unique(rank * (above + n + int(symbol.max()) + 2) + then, return_inverse=True)
-        if rank.max() == n - 1:
+        # Places todo of the order hold groups of equals; a group's rank is its first place.
+        new = np.append(True, key[1:] != key[:-1])
+        first = np.maximum.accumulate(np.where(new, todo, 0))
+        rank[order[todo]] = first
+        alone = new & np.append(new[1:], True)
+        todo = todo[~alone]
+        if not len(todo):
             break
+        places = order[todo]
+        inside = rest[places] >= step
+        then = ends[places]
+        then[inside] = rank[places[inside] + step] + above
+        key = rank[places] * (above + n) + then
+        by_key = np.argsort(key)
+        order[todo], key = places[by_key], key[by_key]
         step *= 2
-    order = np.empty(n, np.int64)
-    order[rank] = places
-    before = np.full(n, -1, np.int64)
-    before[BLOCK:] = symbol[:-BLOCK]
+    before, back = np.full(n, -1, np.int32), np.zeros(n, np.int32)
+    before[BLOCK:], back[BLOCK:] = symbol[:-BLOCK], rank[:-BLOCK]
     before[np.append(np.full(min(BLOCK, n), True), segment[BLOCK:] != segment[:-BLOCK])[:n]] = -1
-    return order, before[order]
+    return order, before[order], back[order]
 
 
-def merge(transforms: list[np.ndarray], tails: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave shard transforms: for each suffix of the merged order its shard, and the number of its interval.
+def merge(transforms: list[np.ndarray], backs: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Interleave shard transforms until their intervals hold suffixes with a common prefix of `depth` symbols.
 
-    One refinement turns the order by k symbols into the order by k + 1: going through the merged order, each suffix's
-    preceding symbol says where the suffix starting there belongs, and suffixes of a shard keep their own order. `tails` are the
-    symbols of the suffixes that end within a symbol, which no suffix precedes to. Neighbours whose symbol or whose
-    rest's interval differ start a new interval; after `depth` refinements an interval holds the suffixes with a common
-    prefix of `depth` symbols.
+    Returns the suffixes (numbered through the shards) that share such a prefix with another, in merged order, and the
+    interval of each. One refinement turns the order by k symbols into the order by k + 1: going through the merged order,
+    each suffix's preceding symbol says where the suffix starting there belongs, and equal symbols keep the order. Neighbours
+    whose symbol or whose rest's interval differ start a new interval, that is, have a shorter common prefix. An
+    interval of one suffix cannot lead to a longer common prefix and is left out from then on.
     """
-    shard = np.repeat(np.arange(len(transforms)), [len(t) for t in transforms]).astype(np.int16)
-    interval = np.zeros(len(shard), np.int64)
-    tail = np.concatenate(tails)
-    tail_shard = np.repeat(np.arange(len(tails)), [len(t) for t in tails]).astype(np.int16)
-    symbols = np.empty(len(shard), np.int64)
+    start = np.cumsum([0] + [len(t) for t in transforms])[:-1]
+    transform, back = np.concatenate(transforms), np.concatenate([b + s for b, s in zip(backs, start)]).astype(np.int32)
+    row, interval = np.arange(len(transform), dtype=np.int32), np.zeros(len(transform), np.int32)
     for _ in range(depth):
-        for s, t in enumerate(transforms):
-            symbols[shard == s] = t
-        known = symbols >= 0
-        symbol = np.concatenate([tail, symbols[known]])
-        shard = np.concatenate([tail_shard, shard[known]])
-        interval = np.concatenate([np.arange(len(tail)), interval[known] + len(tail)])
+        symbol = transform[row]
+        known = np.flatnonzero(symbol >= 0)
+        symbol, row, interval = symbol[known], back[row[known]], interval[known]
         order = _stable_order(symbol)
-        symbol, shard, interval = symbol[order], shard[order], interval[order]
-        new = np.append(False, (symbol[1:] != symbol[:-1]) | (interval[1:] != interval[:-1]))
-        interval = np.cumsum(new)
-    return shard, interval
+        symbol, row, interval = symbol[order], row[order], interval[order]
+        new = np.append(True, (symbol[1:] != symbol[:-1]) | (interval[1:] != interval[:-1]))[: len(row)]
+        shared = np.flatnonzero(~(new & np.append(new[1:], True)[: len(row)]))
+        row, interval = row[shared], np.cumsum(new, dtype=np.int32)[shared]
+    return row, interval
 
 
 def repeated(segments: list[bytes], counts: np.ndarray, weights: np.ndarray, window: int, shards: int = 4) -> list[np.ndarray]:
     """For each segment, which of its first `counts` windows occur more than once in all segments.
 
     A segment stands for `weights` equal ones and holds `counts` + `window` - 1 bytes. `window` is a multiple of BLOCK.
+    Neighbouring segments go to different shards, so that shards have little to repeat.
     """
+    shards = min(shards, len(segments))
+    deal = np.concatenate([np.arange(s, len(segments), shards) for s in range(shards)])
+    segments, counts, weights = [segments[i] for i in deal], counts[deal], weights[deal]
     symbol, segment, rest = _layout(segments)
     _, symbol = np.unique(symbol, return_inverse=True)
-    cuts = np.searchsorted(segment, np.linspace(0, len(segments), min(shards, len(segments)) + 1).astype(int))
-    orders, transforms, tails = [], [], []
-    for a, b in zip(cuts[:-1], cuts[1:]):
-        if a < b:
-            order, before = transform(symbol[a:b], segment[a:b] - segment[a], rest[a:b])
-            orders.append(order + a)
-            transforms.append(before)
-            tails.append(symbol[a:b][rest[a:b] < BLOCK])
-    shard, interval = merge(transforms, tails, window // BLOCK)
-    place = np.empty(len(shard), np.int64)
-    for s, order in enumerate(orders):
-        place[shard == s] = order
-    of = segment[place]
-    is_window = rest[place] >= window
-    total = np.bincount(interval, np.where(is_window, weights[of], 0))
-    hit = is_window & (total[interval] >= 2)
-    found = np.zeros(len(place), bool)
-    found[place[hit]] = True
+    symbol = symbol.astype(np.int32)
+    sizes = [len(range(s, len(deal), shards)) for s in range(shards)]
+    cuts = np.searchsorted(segment, np.cumsum([0, *sizes]))
+    parts = [transform(symbol[a:b], segment[a:b] - segment[a], rest[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
+    row, interval = merge([t for _, t, _ in parts], [b for _, _, b in parts], window // BLOCK)
+    place = np.concatenate([order + a for (order, _, _), a in zip(parts, cuts)])[row]
+    total = np.bincount(interval, weights[segment[place]]) if len(row) else np.zeros(0)
+    found = (weights > 1)[segment]
+    found[place[total[interval] >= 2]] = True
     first = np.searchsorted(segment, np.arange(len(segments)))
-    return [np.flatnonzero(found[f : f + c]) for f, c in zip(first, counts)]
+    out: list[np.ndarray] = [None] * len(segments)
+    for i, f, c in zip(deal, first, counts):
+        out[i] = np.flatnonzero(found[f : f + c])
+    return out

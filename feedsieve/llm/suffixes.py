@@ -19,8 +19,8 @@ from feedsieve.session import materialize
 WINDOW = 200
 ANCHOR = 64  # bytes of the hash that places a window
 FILTER_BITS = 26  # size of the bitmap of repeated anchors (8 MB)
-BUCKET_BYTES = 1 << 19  # segment bytes whose transforms are merged in one group, about
-MANY = 256  # segments of one anchor from which on its windows are told apart one by one
+BUCKET_BYTES = 1 << 17  # segment bytes whose transforms are merged in one group, about
+MANY = 4096  # segments of one anchor from which on its windows are told apart one by one
 
 _CELLS = pa.schema([("cell", pa.int64()), ("n", pa.int64())])
 _RUNS = pa.schema([("cell", pa.int64()), ("run", pa.int64()), ("row", pa.int64()), ("start", pa.int32()), ("count", pa.int32())])
@@ -91,6 +91,7 @@ def _open(window: int):
 
 def _merge(window: int):
     def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("cell")
         segments, weights, starts = table["segment"].to_pylist(), table["weight"].to_numpy(), table["start"].to_numpy()
         counts = np.array([len(s) for s in segments], np.int64) - window + 1
         found = bwt.repeated(segments, counts, weights, window)
@@ -171,7 +172,7 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, anchor: int = A
     total = open_.where("NOT many").agg(F.sum(F.col("count") + window - 1)).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_BYTES))
     segments = texts.select("row", F.inline(F.arrays_zip("cells", "weights", "starts", "segments"))).toDF("row", "cell", "weight", "start", "segment")
-    segments = segments.withColumn("bucket", F.pmod(F.xxhash64("cell"), F.lit(buckets)).cast("int")).drop("cell")
+    segments = segments.withColumn("bucket", F.pmod(F.xxhash64("cell"), F.lit(buckets)).cast("int"))
     merged = segments.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_merge(window), ddl(_PLACES))
     crowded = texts.select("row", F.inline(F.arrays_zip("hashes", "places", "shares"))).toDF("row", "hash", "place", "share")
     twice = crowded.groupBy("hash").agg(F.sum("share").alias("n")).where("n > 1").select("hash")
