@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 18  # texts hashed together; a longer text is hashed alone
+PIECE_BYTES = 1 << 22  # bytes of a long text whose words are hashed at once
 
 U64 = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -74,6 +75,31 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[n
     """Hash, start and end of each word, and the offsets of each text in them. Words never cross texts."""
     if not len(data):
         return np.empty(0, U64), np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(offsets), np.int64)
+    if len(data) > PIECE_BYTES:
+        return _piecewise(data, offsets, lower)
+    return _words(data, offsets, lower)
+
+
+def _piecewise(data: np.ndarray, offsets: np.ndarray, lower: bool):
+    """Words of a long text, hashed piece by piece; pieces end with white space, so a word longer than a piece makes a longer one."""
+    parts, first = [], 0
+    while first < len(data):
+        last = first + PIECE_BYTES
+        while last < len(data):
+            blank = np.flatnonzero(_SPACE[data[last : last + PIECE_BYTES]])
+            last += blank[0] + 1 if len(blank) else PIECE_BYTES
+            if len(blank):
+                break
+        last = min(last, len(data))
+        inner = np.concatenate([[first], offsets[(offsets > first) & (offsets < last)], [last]]) - first
+        h, starts, ends, _ = _words(data[first:last], inner, lower)
+        parts.append((h, starts + first, ends + first))
+        first = last
+    h, starts, ends = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    return h, starts, ends, np.searchsorted(starts, offsets)
+
+
+def _words(data: np.ndarray, offsets: np.ndarray, lower: bool):
     solid = ~_SPACE[data]
     before, after = np.empty(len(data), bool), np.empty(len(data), bool)
     before[0], before[1:] = True, ~solid[:-1]

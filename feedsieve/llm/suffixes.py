@@ -30,16 +30,32 @@ _PLACES = pa.schema([("row", pa.int64()), ("places", pa.list_(pa.int32()))])
 _RESULT = pa.schema([("row", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
 
+PIECE = 1 << 22  # windows of a long text that are looked at together
+
+
 def _bytes(data: np.ndarray) -> np.ndarray:
     return K.BYTE[data]
 
 
+def _runs(data: np.ndarray, at: np.ndarray, window: int, anchor: int) -> tuple:
+    """Text, first window, number of windows, cell and content of every run. A run of a long text ends with its piece."""
+    if len(data) <= PIECE + window:
+        return runs_of(_bytes(data), at, window, anchor)[1:]
+    found = []
+    for i in range(len(at) - 1):
+        for s in range(at[i], max(at[i + 1] - window + 1, at[i]), PIECE):
+            part = data[s : min(s + PIECE + window - 1, at[i + 1])]
+            doc, first, *rest = runs_of(_bytes(part), np.array([0, len(part)]), window, anchor)[1:]
+            found.append((doc + i, first + s, *rest))
+    return tuple(np.concatenate([f[k] for f in found]) for k in range(5)) if found else runs_of(_bytes(data[:0]), np.zeros(2, np.int64), window, anchor)[1:]
+
+
 def _cells(window: int, anchor: int):
     """Anchors of each batch and in how many places they lead."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = K.binary(batch.column("text"))
-            found = [runs_of(_bytes(data[offsets[a] : offsets[b]]), offsets[a : b + 1] - offsets[a], window, anchor)[4] for a, b in K.slices(offsets)]
+            found = [_runs(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], window, anchor)[3] for a, b in K.slices(offsets)]
             cell, n = np.unique(np.concatenate(found) if found else np.empty(0, K.U64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(K.signed(cell)), pa.array(n, pa.int64())], schema=_CELLS)
     return run
@@ -53,7 +69,7 @@ def _candidates(window: int, anchor: int, bitmap: np.ndarray):
             row = batch.column("row").to_numpy()
             for a, b in K.slices(offsets):
                 at = offsets[a : b + 1] - offsets[a]
-                _, doc, first, length, cell, content = runs_of(_bytes(data[offsets[a] : offsets[b]]), at, window, anchor)
+                doc, first, length, cell, content = _runs(data[offsets[a] : offsets[b]], at, window, anchor)
                 bit = (cell >> K.U64(64 - FILTER_BITS)).astype(np.int64)
                 some = (bitmap[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
                 yield pa.RecordBatch.from_arrays([

@@ -6,6 +6,7 @@ import pytest
 
 import brute
 from feedsieve.llm import benchmark, bwt, jaccard, substrings, suffixes
+from feedsieve.llm import kernels as K
 
 RANDOM = random.Random(11)
 VOCABULARY = [f"w{i}é" if i % 7 == 0 else f"Word{i}" for i in range(900)]
@@ -53,9 +54,10 @@ def test_word_windows(docs, none):
     assert any(r[2] for r in got) and rows(substrings.remove_repeated_windows(none), "doc_id") == []
 
 
-@pytest.mark.parametrize("many", (256, 1))
-def test_byte_windows(docs, monkeypatch, many):
+@pytest.mark.parametrize(("many", "piece"), ((4096, 1 << 22), (1, 1 << 22), (4096, 150)))
+def test_byte_windows(docs, monkeypatch, many, piece):
     monkeypatch.setattr(suffixes, "MANY", many)
+    monkeypatch.setattr(suffixes, "PIECE", piece)
     got = rows(suffixes.remove_repeated_bytes(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert got == sorted(brute.bytes_removed(DOCS), key=repr)
 
@@ -90,6 +92,19 @@ def test_jaccard_components(docs, none):
     assert rows(jaccard.near_duplicates(none), "doc_id") == []
 
 
+def test_words_of_long_texts_in_pieces(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    texts = ["a bb\tccc " * 40 + "end", "", "x" * 90, " lead", None, "tail \n", "y" * 30 + " " + "z" * 50]
+    data, offsets = K.binary(pa.array(texts))
+    whole = K.words(data, offsets, True)
+    for piece in (1, 7, 40, 64):
+        monkeypatch.setattr(K, "PIECE_BYTES", piece)
+        for a, b in zip(whole, K.words(data, offsets, True)):
+            assert np.array_equal(a, b)
+
+
 def test_sketch_distance_is_a_lower_bound():
     import numpy as np
 
