@@ -189,6 +189,7 @@ def classify(title: Column, notes: Column, audio_url: Column, seconds: Column, m
         paid = (F.contains(url, F.lit("paywall")) & has(url, ("intro", "preview", "trailer"))) | (
             F.contains(text, F.lit("subscribe")) & text.rlike(PAYWALL_NOTES))
         promo = F.startswith(strip(name), F.lit("introducing:")) & text.rlike(CROSS_PROMO_NOTES)
+        # The codes and sentences of the verdicts.
         return (
             F.when(url == "", verdict("skip", "missing_audio", "缺少可用音频链接，无法进入 Preview。"))
             .when(paid, verdict("skip", "paywall_preview", "当前音频是付费正片的试听或引子，不是完整节目。"))

@@ -51,6 +51,7 @@ def source_quality_rollup(graded: DataFrame, keys: list[str]) -> DataFrame:
     return counts.withColumn("quality", quality_label(F.col("primary_count"), F.col("secondary_count"), F.col("weak_count")))
 
 
+# The Chinese sentences of the next three functions are output that must read exactly so.
 def uncertainty_text(note_length: Column, novelty: Column, density: Column, decision: Column) -> Column:
     clauses = F.array_compact(F.array(
         F.when(note_length < 100, "节目简介信息量有限，摘要可能存在偏差"),
@@ -123,6 +124,7 @@ def translation_summary(items: DataFrame, keys: list[str], order: list[str], kee
     return counts.join(listed, keys, "left")
 
 
+# So are the sentences of this one.
 def reason_text(items: DataFrame, policy: Policy) -> DataFrame:
     """Adds `reason_zh`, the assembled explanation of the score decision.
 
