@@ -82,7 +82,18 @@ def op2(spark, sf):
     return lines.drop_boilerplate(table(spark, sf, "pages").select("page_id", lines.host_of(F.col("url")).alias("host"), lines.lines_of(F.col("html")).alias("lines")))
 
 
-@query("op3_embedding_dedup")
+VECTORS_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e, row_number() OVER () AS r FROM embeddings),
+good AS (SELECT * FROM v WHERE vec_id IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.r AS ra, a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.r <> b.r AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT vec_id AS node, vec_id AS low FROM good UNION SELECT links.b, reach.low FROM reach JOIN links ON links.a = reach.node),
+parts AS (SELECT node, min(low) AS low FROM reach GROUP BY node), counts AS (SELECT ra, count(*) AS n FROM links GROUP BY ra)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(low, vec_id) AS component_id, vec_id IS NOT DISTINCT FROM coalesce(low, vec_id) AS kept
+FROM v LEFT JOIN counts ON ra = r LEFT JOIN parts ON node = vec_id
+"""
+
+
+@query("op3_embedding_dedup", VECTORS_SQL)
 def op3(spark, sf):
     return vectors.near_duplicate_vectors(table(spark, sf, "embeddings").select("vec_id", "embedding"))
 
@@ -92,7 +103,19 @@ def op4(spark, sf):
     return quality.classify(table(spark, sf, "documents").select("doc_id", "text")).select("doc.doc_id", "n_words", "score", "kept")
 
 
-@query("op5_jaccard_join")
+JACCARD_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sets AS (SELECT doc_id, r, list_distinct(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w),
+flat AS (SELECT r, doc_id, len(g) AS n, unnest(g) AS g FROM sets),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM flat a JOIN flat b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.r, b.r, a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id AS node, doc_id AS low FROM w UNION SELECT links.b, reach.low FROM reach JOIN links ON links.a = reach.node),
+parts AS (SELECT node, min(low) AS low FROM reach GROUP BY node)
+SELECT doc_id, len(g)::BIGINT AS n_shingles, low AS component_id FROM sets LEFT JOIN parts ON node = doc_id
+"""
+
+
+@query("op5_jaccard_join", JACCARD_SQL)
 def op5(spark, sf):
     return jaccard.near_duplicates(table(spark, sf, "documents").select("doc_id", "text"))
 
@@ -119,7 +142,19 @@ def op9(spark, sf):
     return sharding.every_slot(sharding.shard(docs)).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-@query("op10_substring_dedup")
+WINDOWS_SQL = r"""
+WITH w AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+windows AS (SELECT r, doc_id, i, array_to_string(ws[i:i + 49], ' ') AS k FROM (SELECT *, unnest(range(1, len(ws) - 48)) AS i FROM w)),
+firsts AS (SELECT k, min(doc_id) AS first FROM windows GROUP BY k),
+covered AS (SELECT r, i FROM windows JOIN firsts USING (k) WHERE first < doc_id),
+gone AS (SELECT DISTINCT r, i + j AS p FROM covered, range(50) t(j)),
+words AS (SELECT r, p, ws[p] AS word FROM (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS p FROM w)),
+kept AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t FROM words ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (r)
+"""
+
+
+@query("op10_substring_dedup", WINDOWS_SQL)
 def op10(spark, sf):
     return substrings.remove_repeated_windows(table(spark, sf, "documents").select("doc_id", "text"))
 
