@@ -120,7 +120,24 @@ def op5(spark, sf):
     return jaccard.near_duplicates(table(spark, sf, "documents").select("doc_id", "text"))
 
 
-@query("op6_decontaminate")
+LEAKS_SQL = r"""
+WITH w AS (SELECT doc_id, md5(coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')) AS r,
+             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM benchmark),
+items AS (SELECT item_id, len(ws) AS m, least(len(ws), 5) AS size, list_transform(range(1, len(ws) - least(len(ws), 5) + 2), lambda i: array_to_string(ws[i:i + least(len(ws), 5) - 1], ' ')) AS v FROM b WHERE len(ws) > 0),
+docs AS (SELECT DISTINCT doc_id, r, size, list_transform(range(1, len(ws) - size + 2), lambda i: array_to_string(ws[i:i + size - 1], ' ')) AS g FROM w, (SELECT DISTINCT size FROM items) WHERE len(ws) >= size),
+fd AS (SELECT r, size, len(g) AS n, unnest(g) AS k, generate_subscripts(g, 1) AS p FROM docs),
+fi AS (SELECT item_id, size, len(v) AS n, unnest(v) AS k, generate_subscripts(v, 1) AS p FROM items),
+starts AS (SELECT DISTINCT fd.r, fd.size, item_id, greatest(1, least(fd.p - fi.p + 1, fd.n - fi.n + 1)) AS s FROM fd JOIN fi USING (size, k)),
+windows AS (SELECT doc_id, starts.r, item_id, s, m, v, g[s:s + len(v) - 1] AS x FROM starts JOIN docs USING (r, size) JOIN items USING (item_id)),
+scored AS (SELECT *, list_sum(list_transform(list_distinct(v), lambda e: least(len(list_filter(v, lambda y: y = e)), len(list_filter(x, lambda y: y = e)))))::BIGINT AS shared FROM windows),
+rated AS (SELECT *, shared / (len(v) + len(x) - shared) AS similarity FROM scored)
+SELECT doc_id, item_id, similarity, (s - 1)::INT AS start, m::INT AS n_words FROM rated WHERE similarity >= 0.75
+QUALIFY row_number() OVER (PARTITION BY r, item_id ORDER BY similarity DESC, s) = 1
+"""
+
+
+@query("op6_decontaminate", LEAKS_SQL)
 def op6(spark, sf):
     return benchmark.contaminated(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark").select("item_id", "text")).drop("row")
 
