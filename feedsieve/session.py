@@ -14,6 +14,8 @@ _OWNED: set[str] = set()  # folders that end with the driver
 def prepare(spark: SparkSession) -> SparkSession:
     """Pin the runtime settings every operator relies on."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # Rows hold whole texts: few of them make a batch for the Python workers.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     return spark
 
 
