@@ -12,6 +12,7 @@ from feedsieve.session import materialize, prepare
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts; those without words are rejected."""
+    prepare(spark)
     return quality.classify(docs).where("kept").select("doc.*")
 
 
@@ -30,6 +31,7 @@ def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows that repeat stay once; rows that share a doc_id but not their text both stay if the id does. Null ids and empty
     texts are in no group and stay.
     """
+    prepare(spark)
     groups = jaccard.near_duplicates(docs.select("doc_id", "text"))
     dropped = materialize(groups.where("doc_id <> component_id").select("doc_id").distinct(), "pipeline-dropped")
     return one_of_each(docs.join(dropped, "doc_id", "left_anti").select(docs.columns))
@@ -37,6 +39,7 @@ def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage that is similar to a benchmark item."""
+    prepare(spark)
     found = benchmark.contaminated(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     key = fresh_name(docs, "row")
     leaks = materialize(found.select(F.col("row").alias(key)).distinct(), "pipeline-leaks")
@@ -45,6 +48,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it: not at all, once, or up to three times."""
+    prepare(spark)
     key, times = fresh_name(docs, "key"), fresh_name(docs, "times")
     keyed = docs.withColumn(key, F.xxhash64(*docs.columns))
     taken = mixing.mix(keyed.select(keyed[key].alias("doc_id"), keyed["source"].alias("source"), mixing.words_in(keyed["text"]).alias("size")))
@@ -58,6 +62,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with their shard and their place in it (columns `shard` and `slot`, renamed if docs has such)."""
+    prepare(spark)
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.xxhash64(*docs.columns).alias("row"))
     placed = sharding.shard(rows.select(F.col("row").alias("doc_id"), *sharding.size_and_digest(F.col("doc.text"))))
     placed = materialize(placed.select(F.col("doc_id").alias("row"), "shard", "slot", "n"), "pipeline-shards")
@@ -80,7 +85,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`, each written and read again."""
-    prepare(spark)
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
