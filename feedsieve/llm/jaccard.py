@@ -15,8 +15,8 @@ from feedsieve.session import materialize
 
 SHINGLE = 5
 PERCENT = 75
-SAMPLE = 4000  # documents that tell which shingles are frequent
-HEAVY_SHARE = 0.0025  # share of the sample from which on a shingle is frequent
+SAMPLE = 8000  # documents that tell which shingles are frequent
+OFTEN = 3  # documents of the sample from which on a shingle is frequent
 MAX_HEAVY = 1 << 16
 PER_BUCKET = 500_000  # signatures of a bucket, about
 CHUNK = 1_000_000  # signatures that a task holds before it hands them on
@@ -272,7 +272,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     docs = docs.select("doc_id", "text")
     n = docs.count()
     few = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(n, 1))))
-    often = few.mapInArrow(_sample(size), "shingle bigint").groupBy("shingle").count().where(F.col("count") >= max(3, int(HEAVY_SHARE * min(n, sample))))
+    often = few.mapInArrow(_sample(size), "shingle bigint").groupBy("shingle").count().where(F.col("count") >= OFTEN)
     heavy = np.sort(np.array([r[0] for r in often.orderBy(F.desc("count"), "shingle").limit(MAX_HEAVY).collect()], np.int64).view(K.U64))
     sets = materialize(docs.mapInArrow(_sets(size, percent, heavy), "doc_id bigint, n_shingles bigint, x bigint, y bigint, heavy array<bigint>, sketch binary"), "jaccard-sets")
 
