@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,6 +54,8 @@ def rolling(values: np.ndarray, width: int, base: U64 = _WORD_BASE) -> np.ndarra
 
 def binary(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts and their offsets (null counts as empty)."""
+    # A task's functions bring a copy of this module; those of earlier tasks are cycles that would pile up in a reused worker.
+    gc.collect()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = pc.fill_null(column.cast(pa.large_binary()), b"")
