@@ -50,6 +50,12 @@ def _file_system(spark: SparkSession, path: str):
     return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def discard(spark: SparkSession, label: str) -> None:
+    """Remove the tables stored under `label`/... by this application."""
+    own = f"{shared_folder(spark)}/feedsieve-{spark.sparkContext.applicationId}/{label}"
+    _file_system(spark, own).delete(spark._jvm.org.apache.hadoop.fs.Path(own), True)
+
+
 def release(spark: SparkSession) -> None:
     """Remove all intermediate tables of this application. Results that still read them must be stored before."""
     own = f"{shared_folder(spark)}/feedsieve-{spark.sparkContext.applicationId}"
