@@ -25,7 +25,7 @@ def row_key(*columns: str) -> Column:
 
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, folder: str = "components") -> DataFrame:
     """(node, component) of every node in `links` (a, b): the smallest node reachable.
 
     Large-star and small-star steps alternate until nothing changes. Minima are pre-aggregated, written and joined
@@ -35,18 +35,18 @@ def components(links: DataFrame) -> DataFrame:
     def state(df: DataFrame):
         return df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
 
-    links = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    links = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{folder}/links")
     before = state(links)
     while before[0]:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = materialize(both.groupBy("a").agg(F.least("a", F.min("b")).alias("low")), "low")
+        low = materialize(both.groupBy("a").agg(F.least("a", F.min("b")).alias("low")), f"{folder}/low")
         # Each larger neighbour of a node hangs below the smallest node that this one sees.
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        large = materialize(large.where("a > b").distinct(), "links")
-        least = materialize(large.groupBy("a").agg(F.min("b").alias("low")), "low")
+        large = materialize(large.where("a > b").distinct(), f"{folder}/links")
+        least = materialize(large.groupBy("a").agg(F.min("b").alias("low")), f"{folder}/low")
         # Each smaller neighbour, and the node itself, hang below the smallest of them.
         small = large.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("low").alias("b"))
-        links = materialize(small.where("a > b").distinct(), "links")
+        links = materialize(small.where("a > b").distinct(), f"{folder}/links")
         now = state(links)
         if now == before:
             break

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from feedsieve.llm import kernels as K
 from feedsieve.llm.common import components, row_key
-from feedsieve.session import materialize
+from feedsieve.session import discard, materialize
 
 SHINGLE = 5
 PERCENT = 75
@@ -269,53 +270,58 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     Null text, no words: empty set, linked with nothing. Null doc_id: not linked, component null. Rows that share a
     doc_id are one node of the graph. Empty input: empty result.
     """
+    spark, run = docs.sparkSession, f"jaccard-{uuid.uuid4().hex}"
     docs = docs.select("doc_id", "text")
     n = docs.count()
     few = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(n, 1))))
     often = few.mapInArrow(_sample(size), "shingle bigint").groupBy("shingle").count().where(F.col("count") >= OFTEN)
     heavy = np.sort(np.array([r[0] for r in often.orderBy(F.desc("count"), "shingle").limit(MAX_HEAVY).collect()], np.int64).view(K.U64))
-    sets = materialize(docs.mapInArrow(_sets(size, percent, heavy), "doc_id bigint, n_shingles bigint, x bigint, y bigint, heavy array<bigint>, sketch binary"), "jaccard-sets")
+    sets = materialize(docs.mapInArrow(_sets(size, percent, heavy), "doc_id bigint, n_shingles bigint, x bigint, y bigint, heavy array<bigint>, sketch binary"), f"{run}/sets")
 
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = int(max(1, -(-total * (100 - percent) * 2 // (100 + percent) // PER_BUCKET)))
     packed = docs.mapInArrow(_light(size, percent, heavy, buckets), "bucket int, signatures binary, docs binary, counts binary")
     light = packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_repeated, "signature bigint, doc_id bigint")
     frequent = sets.select(F.explode("heavy").alias("signature"), "doc_id")
-    members = materialize(light.unionByName(frequent).distinct(), "jaccard-members")
+    members = materialize(light.unionByName(frequent).distinct(), f"{run}/members")
     groups = members.groupBy("signature").agg(F.min("doc_id").alias("a"), F.count("*").alias("m"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("who")).where("m > 1")
     # Signatures with the same members say the same.
-    groups = materialize(groups.groupBy("a", "m", "who").agg(F.min("signature").alias("signature")).drop("who"), "jaccard-groups")
-    members = materialize(members.join(groups, "signature"), "jaccard-grouped")
+    groups = materialize(groups.groupBy("a", "m", "who").agg(F.min("signature").alias("signature")).drop("who"), f"{run}/groups")
+    members = materialize(members.join(groups, "signature"), f"{run}/grouped")
 
     # Equal sets are one class, linked through its smallest document.
     classes = sets.where("n_shingles > 0").groupBy("n_shingles", "x", "y").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").drop("z")
-    same = sets.select("doc_id", "n_shingles", "x", "y").join(materialize(classes, "jaccard-classes"), ["n_shingles", "x", "y"]).where("doc_id <> a").select("a", F.col("doc_id").alias("b"))
-    same = materialize(same, "jaccard-same")
+    same = sets.select("doc_id", "n_shingles", "x", "y").join(materialize(classes, f"{run}/classes"), ["n_shingles", "x", "y"]).where("doc_id <> a").select("a", F.col("doc_id").alias("b"))
+    same = materialize(same, f"{run}/same")
     # Rows that share a doc_id but not their text keep a sketch each.
     sketches = sets.where("n_shingles > 0").select("doc_id", "n_shingles", "sketch").distinct()
 
     def linked(pairs: DataFrame) -> DataFrame:
         """The pairs whose whole sets are similar enough."""
-        pairs = materialize(pairs, "jaccard-pairs")
-        wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "jaccard-wanted")
-        texts = materialize(docs.join(wanted, "doc_id").distinct(), "jaccard-texts")
+        pairs = materialize(pairs, f"{run}/pairs")
+        wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{run}/wanted")
+        texts = materialize(docs.join(wanted, "doc_id").distinct(), f"{run}/texts")
         both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
-        return materialize(both.mapInArrow(_verify(size, percent), "a bigint, b bigint").distinct(), "jaccard-links")
+        return materialize(both.mapInArrow(_verify(size, percent), "a bigint, b bigint").distinct(), f"{run}/links")
 
-    stars = materialize(members.where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct(), "jaccard-stars")
+    stars = materialize(members.where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct(), f"{run}/stars")
     sized = stars.join(sketches.toDF("a", "n_a", "sketch_a"), "a").join(sketches.toDF("b", "n_b", "sketch_b"), "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
     links = same.unionByName(linked(sized.mapInArrow(_near(percent), "a bigint, b bigint").distinct()))
-    known = materialize(components(links).toDF("doc_id", "c"), "jaccard-components")
+    known = materialize(components(links, run).toDF("doc_id", "c"), f"{run}/components")
 
-    placed = materialize(members.where("m > 2").join(known, "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id")), "jaccard-placed")
+    placed = materialize(members.where("m > 2").join(known, "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id")), f"{run}/placed")
     mixed = placed.groupBy("signature").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("signature")
     # The smallest member has met all others.
-    rest = placed.where("doc_id <> a").join(materialize(mixed, "jaccard-mixed"), "signature").join(sketches, "doc_id")
+    rest = placed.where("doc_id <> a").join(materialize(mixed, f"{run}/mixed"), "signature").join(sketches, "doc_id")
     parts = F.ceil(F.col("m") / PART).cast("int")
     rest = rest.withColumn("part", F.pmod(F.xxhash64("doc_id"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     rest = rest.select("signature", "doc_id", "c", "n_shingles", "sketch", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
     rest = rest.withColumn("bucket", F.pmod(F.xxhash64("signature", "low", "high"), F.lit(4 * buckets)).cast("int"))
     apart = rest.repartition(4 * buckets, "bucket").groupBy("bucket").applyInArrow(_tiles(percent), "a bigint, b bigint").distinct()
     links = links.unionByName(linked(apart))
-    final = materialize(components(links).toDF("doc_id", "component_id"), "jaccard-result")
-    return sets.select("doc_id", "n_shingles").join(final, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    final = materialize(components(links, run).toDF("doc_id", "component_id"), f"{run}/result")
+    result = sets.select("doc_id", "n_shingles").join(final, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    # The narrow result is stored; what led to it is not needed any more.
+    result = materialize(result, "jaccard")
+    discard(spark, run)
+    return result
