@@ -113,14 +113,35 @@ class _Page:
         close(1)
 
 
+def _core(page: _Page, chars: list[int], linked: list[int], total: list[float]) -> int:
+    """The element with the largest sum, moved to what the page marks: to the outermost article around it, else the
+    outermost main element, else down to the marked element that holds most of its characters outside links."""
+    n = len(chars)
+    core = i = max(range(n), key=lambda i: (total[i] if chars[i] else -1.0, -i))
+    around = []
+    while i > 0:
+        if page.main[i]:
+            around.append(i)
+        i = page.parent[i]
+    if around:
+        return ([i for i in around if page.tag[i] == "article"] or around)[-1]
+    inside = [False] * n
+    inside[core] = True
+    for i in range(core + 1, n):
+        inside[i] = inside[page.parent[i]]
+    most = [i for i in range(core + 1, n) if inside[i] and page.main[i] and not page.dropped[i] and 2 * (chars[i] - linked[i]) > chars[core] - linked[core]]
+    return max(most, key=lambda i: (page.tag[i] == "article", chars[i], -i), default=core)
+
+
 def main_text(html: str | None) -> str:
     """The article of a page: its blocks, white space collapsed, joined by line ends.
 
     Each element's density is its characters per tag, lowered by the share of link characters and link tags (composite
     text density); an element's sum is that of its children's densities. The element with the largest sum is the
-    article's core; the smallest density on its path up to the body is the threshold. What the page itself marks as
-    article or main is the search's root, and then the whole of it is the article; else every subtree that is as
-    dense as the threshold belongs to it. Scripts, menus, headers, footers, asides, adverts, notices, forms and
+    article's core; the smallest density on its path up to the body is the threshold, and every subtree that is as
+    dense belongs to it. What the page itself marks as article or main moves the core to the mark around it, or to the
+    mark that holds most of it; articles beside a core that is one, if not mostly links, and articles of which some
+    part is as dense as the threshold belong to the text as a whole. Scripts, menus, headers, footers, asides, adverts, notices, forms and
     comments, known by element, role, class or id, never count.
     """
     if not html:
@@ -152,20 +173,21 @@ def main_text(html: str | None) -> str:
             density[i] = c / t * max(0.0, log(c / lc * t / lt)) / log(log(c / max(c - linked[i], 1) * lc + ratio * c + e))
     for i in range(1, n):
         total[page.parent[i]] += density[i]
-    marked = [i for i in range(1, n) if page.main[i] and not page.dropped[i] and chars[i]]
-    articles = [i for i in marked if page.tag[i] == "article"] or marked
-    keep = [False] * n
-    if articles:
-        keep[max(articles, key=lambda i: (chars[i], total[i], -i))] = True
-    else:
-        core = max(range(n), key=lambda i: (total[i] if chars[i] else -1.0, -i))
-        least, i = density[core], core
-        while i > 0 and page.tag[i] not in ("body", "html"):
-            least = min(least, density[i])
-            i = page.parent[i]
-        keep[core] = True
-        for i in range(1, n):
-            keep[i] = keep[i] or (page.tag[i] not in INLINE and page.tag[i] not in ("body", "html") and density[i] >= least > 0)
+    core = _core(page, chars, linked, total)
+    keep, least, i = [False] * n, density[core], core
+    while i > 0 and page.tag[i] not in ("body", "html"):
+        least = min(least, density[i])
+        i = page.parent[i]
+    keep[core] = True
+    beside = page.parent[core] if page.tag[core] == "article" else -1
+    for i in range(1, n):
+        keep[i] = keep[i] or (page.tag[i] not in INLINE and page.tag[i] not in ("body", "html") and density[i] >= least > 0)
+        keep[i] = keep[i] or (page.tag[i] == "article" and page.parent[i] == beside and 2 * linked[i] < chars[i])
+    # An article that belongs to the text in part belongs to it as a whole.
+    partly = [keep[i] and not page.dropped[i] for i in range(n)]
+    for i in range(n - 1, 0, -1):
+        keep[i] = keep[i] or (partly[i] and page.tag[i] == "article")
+        partly[page.parent[i]] = partly[page.parent[i]] or partly[i]
     for i in range(1, n):
         keep[i] = (keep[i] or keep[page.parent[i]]) and not page.dropped[i]
     blocks, current = [], []

@@ -27,6 +27,18 @@ def test_main_text_by_density():
     assert pages.main_text(html).split("\n") == [f"Paragraph {i} has quite some text in it, more than any link list." for i in range(4)]
 
 
+def test_main_text_beyond_one_marked_article():
+    long, short = ([f"{k} {i} is a paragraph with a good many words, as stories have them." * n for i in range(5)] for k, n in (("Long", 3), ("Short", 1)))
+    story, other = ("".join(f"<p>{x}</p>" for x in texts) for texts in (long, short))
+    # The story is in no article; a teaser is.
+    assert pages.main_text(f"<body><article class=teaser><p>Read <a href=x>more of it</a></p></article><div><div>{story}</div></div></body>").split("\n") == long
+    # One text in two articles, the second with shorter paragraphs.
+    assert pages.main_text(f"<body><article>{story}</article><article>{other}</article><div><a href=x>A link that is none of it</a></div></body>").split("\n") == long + short
+    # One paragraph, marked: what stands beside it stays out, its title does not.
+    assert pages.main_text(f"<body><article><h1>Title</h1><p>{long[0]}</p></article><div><a href=1>one</a> or <a href=2>two</a></div></body>") == "Title\n" + long[0]
+    assert pages.main_text(f"<body><main><h1>Title</h1><div>{story}</div></main><div><a href=1>one</a> or <a href=2>two</a></div></body>").split("\n") == ["Title", *long]
+
+
 @pytest.mark.parametrize("html", (None, "", "   ", "<", "<p", "</p></div>", "<!-- never closed <p>x", "<script>only", "<a href='x", "plain", "<p>é&#233;&eacute;&am</p>", "<b>" * 3000 + "deep", "<div>" * 3000))
 def test_main_text_survives_anything(html):
     assert isinstance(pages.main_text(html), str)
