@@ -22,6 +22,17 @@ _WHITE = " \t\n\x0b\f\r"
 _SIMHASH = "aggregate(sequence(0, 63), 0L, (acc, b) -> acc | shiftleft(if(2 * size(filter(w, h -> getbit(h, b) = 1)) > size(w), 1L, 0L), b))"
 # Weighted Jaccard similarity of the bags w and v: a shingle's weight is the number of times it occurs.
 _SHARED = "aggregate(array_distinct(v), 0, (acc, g) -> acc + least(size(filter(v, h -> h = g)), size(filter(w, h -> h = g))))"
+# All starts, in order, of windows that cover `need` of the (sorted) places: from each place on that is the first of them,
+# back to the place before it or as far as the window still reaches the last of them.
+_STARTS = """flatten(transform(if(size(places) >= need, sequence(0, size(places) - need), cast(array() as array<int>)), i -> if(
+    greatest(0, places[i + need - 1] - wide + 1, if(i > 0, places[i - 1] + 1, 0)) <= least(places[i], greatest(0, total - long)),
+    sequence(greatest(0, places[i + need - 1] - wide + 1, if(i > 0, places[i - 1] + 1, 0)), least(places[i], greatest(0, total - long))), cast(array() as array<int>))))"""
+# Whether some shingle of the window w has the same place in the item v, has it there or later, has it there or earlier.
+_IN_PLACE = {
+    "same": "exists(zip_with(v, w, (a, b) -> coalesce(a = b, false)), x -> x)",
+    "later": "exists(sequence(1, size(v)), j -> array_position(w, element_at(v, j)) between 1 and j)",
+    "earlier": "exists(sequence(1, size(w)), i -> array_position(v, element_at(w, i)) between 1 and i)",
+}
 
 
 def words_of(text: Column) -> Column:
@@ -30,7 +41,7 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(trimmed, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def shingles_of(words: Column, size: int) -> Column:
+def shingles_of(words: Column, size: int | Column) -> Column:
     """Hashes of all runs of `size` words, in order.
 
     The words are bound to a lambda variable: named twice in plain expressions, they would be split again for each run.
@@ -60,9 +71,11 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARI
     Returns doc_id, row (key of the row's content), item_id, similarity, start (first word of the best window) and
     n_words (of the item), one row per document row content and item.
 
-    A window has as many words as the item; words are lower-cased (A-Z). Windows are taken where they can be similar: where some
-    `size`-word shingle of the item falls into the place it has there. Equal windows are one, however many
-    documents hold them. Windows and items get 64-bit SimHash fingerprints, cut into four blocks: fingerprints within
+    A window has as many words as the item; words are lower-cased (A-Z). Windows are taken at every start where they can be
+    similar: where they cover as many `size`-word shingles of items of that length, in whatever order, as the least similarity
+    asks for. Equal windows are one, however many documents hold them. Among a document's equally similar windows, those come first
+    in which some shingle has the place that it has in the item (at either end of the document: had it, if the document
+    reached further), then the one that starts first. Windows and items get 64-bit SimHash fingerprints, cut into four blocks: fingerprints within
     `radius` bits agree in some block but for radius / 4 bits, so a join on block values, with the patterns of such
     differences split between both sides, finds all of them among items of the same length. Those are verified exactly by
     their weighted Jaccard similarity. The radius is about 2.7 standard deviations above the bits in which fingerprints
@@ -78,22 +91,28 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARI
     known = known.withColumn("n", F.size("words")).withColumn("v", F.when(F.col("n") >= size, shingles_of(F.col("words"), size)).otherwise(F.array(F.xxhash64("words"))))
     known = materialize(known.select("item_id", "n", "v", F.least("n", F.lit(size)).alias("size")).withColumn("item", F.xxhash64("n", "v")), "bench-items")
     classes = known.dropDuplicates(["item"])
-    anchors = materialize(classes.select("n", "size", F.posexplode("v").alias("offset", "hash")).distinct(), "bench-anchors")
+    anchors = materialize(classes.select("n", "size", F.explode("v").alias("hash")).distinct(), "bench-anchors")
     small = anchors.count() <= BROADCAST_ANCHORS
 
-    base = docs.select("doc_id", row_key("doc_id", "text").alias("row"), words_of(F.col("text")).alias("words"))
-    windows = None
+    rows = docs.select("doc_id", row_key("doc_id", "text").alias("row"), "text")
+    placed = None
     for r in anchors.select("size").distinct().orderBy("size").collect():  # at most `size` values; usually one
-        own = anchors.where(F.col("size") == r["size"]).drop("size")
-        rows = base.select("doc_id", "row", shingles_of(F.col("words"), r["size"]).alias("hashes"))
-        placed = rows.select("doc_id", "row", "hashes", F.posexplode("hashes").alias("place", "hash")).join(F.broadcast(own) if small else own, "hash")
-        # The window starts where its shared shingle falls into place, as far as the document reaches.
-        last = F.size("hashes") - (F.col("n") - r["size"] + 1)
-        start = F.greatest(F.lit(0), F.least(F.col("place") - F.col("offset"), last))
-        found = placed.select("doc_id", "row", "n", start.alias("start"), F.slice("hashes", start + 1, F.col("n") - r["size"] + 1).alias("w"))
-        windows = found if windows is None else windows.unionByName(found)
-    if windows is None:
+        own = anchors.where(F.col("size") == r["size"])
+        runs = rows.select("row", shingles_of(words_of(F.col("text")), r["size"]).alias("hashes"))
+        found = runs.select("row", F.size("hashes").alias("total"), F.posexplode("hashes").alias("place", "hash")).join(F.broadcast(own) if small else own, "hash")
+        found = found.select("row", "total", "n", "size", "place")
+        placed = found if placed is None else placed.unionByName(found)
+    if placed is None:
         return docs.select("doc_id", row_key("doc_id", "text").alias("row")).limit(0).selectExpr("doc_id", "row", "CAST(NULL AS BIGINT) AS item_id", "0D AS similarity", "0 AS start", "0 AS n_words")
+    groups = placed.groupBy("row", "total", "n", "size").agg(F.array_sort(F.collect_set("place")).alias("places"))
+    groups = groups.withColumn("long", F.col("n") - F.col("size") + 1).withColumn("wide", F.least("long", "total"))
+    groups = groups.withColumn("need", F.greatest(F.lit(1), F.ceil(similarity * (F.col("wide") + F.col("long")) / (1 + similarity) - 1e-9)).cast("int"))
+    starts = materialize(groups.select("row", "n", "size", F.expr(_STARTS).alias("starts")).where(F.size("starts") > 0), "bench-starts")
+    # The documents are read again, and only those that have such windows are split once more.
+    placed = rows.join(starts, "row").select("doc_id", "row", "n", "size", "starts", shingles_of(words_of(F.col("text")), F.col("size")).alias("hashes"))
+    placed = placed.select("doc_id", "row", "n", "size", "hashes", F.explode("starts").alias("start"))
+    wide = F.col("n") - F.col("size") + 1
+    windows = placed.select("doc_id", "row", "n", "start", (F.col("start") + wide >= F.size("hashes")).alias("ends"), F.slice("hashes", F.col("start") + 1, wide).alias("w"))
     windows = materialize(windows.withColumn("window", F.xxhash64("n", "w")), "bench-windows")
     contents = materialize(windows.select("window", "n", "w").dropDuplicates(["window"]).withColumn("print", F.expr(_SIMHASH)), "bench-contents")
     prints = materialize(classes.select("item", "n", F.col("v").alias("w")).withColumn("print", F.expr(_SIMHASH)).withColumnRenamed("w", "v"), "bench-prints")
@@ -103,8 +122,9 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARI
     pairs = left.join(right.hint("merge"), ["n", "block", "value"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("other"))) <= radius).select("window", "item").distinct()
     both = pairs.join(contents.select("window", "w"), "window").join(prints.select("item", "v"), "item").withColumn("shared", F.expr(_SHARED))
     both = both.withColumn("similarity", F.col("shared") / (F.size("v") + F.size("w") - F.col("shared"))).where(F.col("similarity") >= similarity)
-    matches = materialize(both.select("window", "item", "similarity"), "bench-matches")
-    hits = windows.select("doc_id", "row", "window", "start", F.col("n").alias("n_words")).join(matches, "window")
-    best = hits.groupBy("doc_id", "row", "item", "n_words").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("b"))
+    matches = materialize(both.select("window", "item", "similarity", *[F.expr(x).alias(name) for name, x in _IN_PLACE.items()]), "bench-matches")
+    hits = windows.select("doc_id", "row", "window", "start", "ends", F.col("n").alias("n_words")).join(matches, "window")
+    in_place = F.col("same") | (F.col("start") == 0) & F.col("later") | F.col("ends") & F.col("earlier")
+    best = hits.groupBy("doc_id", "row", "item", "n_words").agg(F.max(F.struct("similarity", in_place.alias("in_place"), (-F.col("start")).alias("back"))).alias("b"))
     best = best.select("doc_id", "row", "item", "n_words", F.col("b.similarity").alias("similarity"), (-F.col("b.back")).alias("start"))
     return best.join(known.select("item", "item_id"), "item").select("doc_id", "row", "item_id", "similarity", "start", "n_words")

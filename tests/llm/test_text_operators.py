@@ -149,6 +149,28 @@ def test_decontamination(spark, docs):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want) and len(want) > 40
 
 
+def test_decontamination_of_parts_in_another_order(spark):
+    r = random.Random(4)
+    a, b, c = (prose(50, r) for _ in range(3))
+    items = [(1, f"{a} {b}"), (2, f"{a} {b} {c}"), (3, f"{a} {a}")]
+    texts = [(i, " ".join(x for x in (prose(before, r), t, prose(after, r)) if x)) for i, (t, before, after) in enumerate(
+        (t, before, after) for t in (f"{b} {a}", f"{b} {c} {a}", f"{c} {a} {b}", f"{a} {b}", a) for before, after in ((0, 0), (30, 0), (0, 30), (45, 60)))]
+    texts.append((99, f"{b} {prose(8, r)} {a}"))
+    found = benchmark.contaminated(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = brute.contaminated(texts, items)
+    assert {(x["doc_id"], x["item_id"]) for x in found} == want.keys() and len(want) >= 16
+    assert all(abs(x["similarity"] - want[x["doc_id"], x["item_id"]]) < 1e-9 for x in found)
+
+
+def test_starts_are_all_that_cover_enough(spark):
+    r = random.Random(6)
+    cases = [(total, n, need, sorted(r.sample(range(total), r.randint(0, total)))) for total in (1, 4, 9, 25) for n in (1, 3, 8, 30) for need in (1, 2, 5, 8) for _ in range(4)]
+    cases = [(total, n, min(n, total), need, places) for total, n, need, places in cases]
+    got = spark.createDataFrame(cases, "total int, long int, wide int, need int, places array<int>").selectExpr("*", f"{benchmark._STARTS} AS starts").collect()
+    for x in got:
+        assert x["starts"] == [s for s in range(max(0, x["total"] - x["long"]) + 1) if sum(s <= p < s + x["wide"] for p in x["places"]) >= x["need"]], x
+
+
 def test_decontamination_of_nothing(spark, docs, none):
     assert benchmark.contaminated(none, spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")).count() == 0
     assert benchmark.contaminated(docs, spark.createDataFrame([], "item_id long, text string")).count() == 0
