@@ -15,12 +15,15 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-DROPPED = frozenset("head script style noscript template iframe object svg math canvas audio video nav footer aside form button select option textarea input fieldset dialog menu xmp noembed noframes title".split())
-DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
+DROPPED = frozenset("head script style noscript template iframe object svg math canvas audio video nav footer aside button select option textarea input menu xmp noembed noframes title".split())
+DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search alert menu menubar toolbar".split())
 DROPPED_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored sponsors promo promotion comment comments commentlist disqus respond replies reply "
     "sidebar widget widgets related recommended recommendations share sharing social newsletter subscribe subscription signup cookie cookies consent gdpr notice notices alert popup modal overlay "
     "menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar login search skip".split())
+FORMS = frozenset("form fieldset dialog alertdialog".split())  # elements or roles
+COMMENT_WORDS = frozenset("comment comments commentlist disqus respond replies reply".split())
+COMMENT_PARTS = COMMENT_WORDS | frozenset("list area section body content form thread".split())
 SIBLINGS = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr td th", {"table"}), "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"}),
             "tbody": ("thead tbody tfoot tr td th", {"table"}), "tfoot": ("thead tbody tfoot tr td th", {"table"}), "option": ("option", {"select"})}
 SCOPES = frozenset("table td th caption button object template html".split())
@@ -36,6 +39,8 @@ class _Page:
 
     def __init__(self, html: str) -> None:
         self.tag, self.parent, self.dropped, self.main = ["#page"], [-1], [False], [False]
+        self.outer = [False]  # article and main elements that are in none
+        self.named = [0]  # by a part of class or id, or a form: 1, by a whole class or id: 2, as comments: 3
         self.pieces: list[tuple[int, str | None]] = []  # None: a block ends or begins
         self._read(html)
 
@@ -43,12 +48,20 @@ class _Page:
         found = {k.lower(): (v or "").strip("\"'").lower() for k, v in _ATTRIBUTE.findall(attributes)} if attributes.strip("/ \n") else {}
         main = tag in ("article", "main") or found.get("role") == "main" or found.get("itemprop") == "articlebody"
         drop = tag in DROPPED or tag == "header" and not in_article or found.get("role") in DROPPED_ROLES or "hidden" in found or found.get("aria-hidden") == "true" or bool(_HIDDEN.search(found.get("style", "")))
-        if not drop and tag not in ("html", "body") and (tag not in ("article", "main") or in_article):
-            drop = not DROPPED_WORDS.isdisjoint(_WORDS.findall(found.get("class", "") + " " + found.get("id", "")))
+        named = 0
+        if not drop and tag not in ("html", "body"):
+            own = [_WORDS.findall(name) for name in (found.get("class", "") + " " + found.get("id", "")).split()]
+            if any(not COMMENT_WORDS.isdisjoint(words) and COMMENT_PARTS.issuperset(words) for words in own):
+                named = 3
+            elif tag not in ("article", "main") or in_article:
+                whole = any(len(words) == 1 and words[0] in DROPPED_WORDS for words in own)
+                named = 2 if whole else int(tag in FORMS or found.get("role") in FORMS or any(not DROPPED_WORDS.isdisjoint(words) for words in own))
+        self.named.append(named)
         self.tag.append(tag)
         self.parent.append(parent)
         self.dropped.append(drop or self.dropped[parent])
         self.main.append(main)
+        self.outer.append(tag in ("article", "main") and not in_article)
         return len(self.tag) - 1
 
     def _read(self, html: str) -> None:
@@ -113,6 +126,38 @@ class _Page:
         close(1)
 
 
+def _drop_named(page: _Page, chars: list[int], linked: list[int]) -> bool:
+    """Drops what a name or a form sets apart; True if nothing were left then, and so nothing is dropped.
+
+    What holds the largest marked article or main element, or most of the page's characters outside links (comments not
+    counted), stays, as its name tells of something else there; where anything is marked, the latter only if no class or
+    id as a whole names it. Articles that are in none stay for the search, but those named as comments are no marks.
+    """
+    n = len(chars)
+    size = [0 if page.dropped[i] else chars[i] - linked[i] for i in range(n)]
+    for i in range(n - 1, 0, -1):
+        if page.named[i] < 3 or page.outer[i]:
+            size[page.parent[i]] += size[i]
+    page.main = [page.main[i] and page.named[i] < 3 for i in range(n)]
+    marks = [i for i in range(1, n) if page.main[i] and size[i]]
+    stays = [page.outer[i] or (0 < page.named[i] < (2 if marks else 3) and 2 * size[i] > size[0]) for i in range(n)]
+    for some in ([i for i in marks if page.tag[i] == "article"], [i for i in marks if page.tag[i] != "article"]):
+        i = max(some, key=lambda i: (size[i], -i), default=0)
+        while i > 0:
+            stays[i] = True
+            i = page.parent[i]
+    dropped = page.dropped[:]
+    for i in range(1, n):
+        dropped[i] = dropped[i] or dropped[page.parent[i]] or (page.named[i] > 0 and not stays[i])
+    if not any(chars[i] and not dropped[i] for i in range(n)):
+        return True
+    page.dropped = dropped
+    for i in range(1, n):
+        if dropped[i]:
+            chars[i] = linked[i] = 0
+    return False
+
+
 def _core(page: _Page, chars: list[int], linked: list[int], total: list[float]) -> int:
     """The element with the largest sum, moved to what the page marks: to the outermost article around it, else the
     outermost main element, else down to the marked element that holds most of its characters outside links."""
@@ -129,7 +174,7 @@ def _core(page: _Page, chars: list[int], linked: list[int], total: list[float])
     inside[core] = True
     for i in range(core + 1, n):
         inside[i] = inside[page.parent[i]]
-    most = [i for i in range(core + 1, n) if inside[i] and page.main[i] and not page.dropped[i] and 2 * (chars[i] - linked[i]) > chars[core] - linked[core]]
+    most = [i for i in range(core + 1, n) if inside[i] and (page.main[i] or page.outer[i]) and not page.dropped[i] and 2 * (chars[i] - linked[i]) > chars[core] - linked[core]]
     return max(most, key=lambda i: (page.tag[i] == "article", chars[i], -i), default=core)
 
 
@@ -141,8 +186,9 @@ def main_text(html: str | None) -> str:
     article's core; the smallest density on its path up to the body is the threshold, and every subtree that is as
     dense belongs to it. What the page itself marks as article or main moves the core to the mark around it, or to the
     mark that holds most of it; articles beside a core that is one, if not mostly links, and articles of which some
-    part is as dense as the threshold belong to the text as a whole. Scripts, menus, headers, footers, asides, adverts, notices, forms and
-    comments, known by element, role, class or id, never count.
+    part is as dense as the threshold belong to the text as a whole. Scripts, menus, headers, footers and asides, known by
+    element or role, never count. Adverts, notices, comments and the like, known by class or id, and forms do not either,
+    unless they hold the core and are found to hold the page's article (`_drop_named`), or are all that the page has.
     """
     if not html:
         return ""
@@ -157,6 +203,7 @@ def main_text(html: str | None) -> str:
             size = len(piece.strip())
             chars[node] += size
             linked[node] += size * in_link[node]
+    bare = any(page.named) and _drop_named(page, chars, linked)
     for i in range(n - 1, 0, -1):
         if not page.dropped[i]:
             p = page.parent[i]
@@ -179,14 +226,23 @@ def main_text(html: str | None) -> str:
         least = min(least, density[i])
         i = page.parent[i]
     keep[core] = True
+    if any(page.named) and not bare:  # what stayed for the search and is outside the core
+        near, i = {core}, core
+        while i > 0:
+            near.add(i)
+            i = page.parent[i]
+        inside = [False] * n
+        for i in range(1, n):
+            inside[i] = i == core or inside[page.parent[i]]
+            page.dropped[i] = page.dropped[i] or page.dropped[page.parent[i]] or (page.named[i] > 0 and i not in near and (page.outer[i] or not inside[i]))
     beside = page.parent[core] if page.tag[core] == "article" else -1
     for i in range(1, n):
         keep[i] = keep[i] or (page.tag[i] not in INLINE and page.tag[i] not in ("body", "html") and density[i] >= least > 0)
-        keep[i] = keep[i] or (page.tag[i] == "article" and page.parent[i] == beside and 2 * linked[i] < chars[i])
+        keep[i] = keep[i] or (page.tag[i] == "article" and page.main[i] and page.parent[i] == beside and 2 * linked[i] < chars[i])
     # An article that belongs to the text in part belongs to it as a whole.
     partly = [keep[i] and not page.dropped[i] for i in range(n)]
     for i in range(n - 1, 0, -1):
-        keep[i] = keep[i] or (partly[i] and page.tag[i] == "article")
+        keep[i] = keep[i] or (partly[i] and page.tag[i] == "article" and page.main[i])
         partly[page.parent[i]] = partly[page.parent[i]] or partly[i]
     for i in range(1, n):
         keep[i] = (keep[i] or keep[page.parent[i]]) and not page.dropped[i]

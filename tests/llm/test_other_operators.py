@@ -39,6 +39,31 @@ def test_main_text_beyond_one_marked_article():
     assert pages.main_text(f"<body><main><h1>Title</h1><div>{story}</div></main><div><a href=1>one</a> or <a href=2>two</a></div></body>").split("\n") == ["Title", *long]
 
 
+@pytest.mark.parametrize("wrapper", ('div class="layout with-sidebar"', 'div id="page" class="no-comments"', "div class=menu", "form", "fieldset", 'div role="form"'))
+def test_main_text_in_a_wrapper_with_a_name(wrapper):
+    story = [f"Paragraph {i} is a paragraph with a good many words, as stories have them." for i in range(4)]
+    body, aside = "".join(f"<p>{p}</p>" for p in story), '<div class="sidebar"><p>A few words about us.</p></div><div id="comments">' + "<p>What a long comment this is, it takes many words to say so.</p>" * 9 + "</div>"
+    name = wrapper.split()[0]
+    assert pages.main_text(f"<body><{wrapper}><article>{body}</article>{aside}</{name}></body>").split("\n") == story
+    assert pages.main_text(f"<body><{wrapper}><div>{body}</div>{aside}</{name}></body>").split("\n") == story
+    assert pages.main_text(f"<body><p>Top</p><main><{wrapper}><article>{body}</article></{name}>{aside}</main></body>").split("\n") == story
+
+
+def test_main_text_and_names_beside_it():
+    story = [f"Paragraph {i} is a paragraph with a good many words, as stories have them." for i in range(4)]
+    body = "".join(f"<p>{p}</p>" for p in story)
+    # An article named as a comment is no mark beside a story; alone it is the text.
+    for n in (1, 4, 6):
+        comment = "<article class=comment><p>" + "Words that somebody wrote below the story. " * n + "</p></article>"
+        assert pages.main_text(f"<body><div>{body}</div>{comment}</body>").split("\n") == story
+        assert pages.main_text(f"<body>{comment}</body>").startswith("Words that")
+    # A short article beside a longer advert.
+    assert pages.main_text(f"<body><div class=ad>{story[0]}</div><article><h1>Title</h1><p>Short.</p></article></body>") == "Title\nShort."
+    # What a name lets stay for the search is dropped again outside the core.
+    assert pages.main_text(f"<body><div>{body}</div><div class=sidebar><article><p>{'A teaser without any link. ' * 5}</p></article></div></body>").split("\n") == story
+    assert pages.main_text(f"<body><div class=comment><p>{story[0]}</p></div></body>") == story[0]
+
+
 @pytest.mark.parametrize("html", (None, "", "   ", "<", "<p", "</p></div>", "<!-- never closed <p>x", "<script>only", "<a href='x", "plain", "<p>é&#233;&eacute;&am</p>", "<b>" * 3000 + "deep", "<div>" * 3000))
 def test_main_text_survives_anything(html):
     assert isinstance(pages.main_text(html), str)
