@@ -28,13 +28,22 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: that with the smallest doc_id.
 
-    Rows that repeat stay once; rows that share a doc_id but not their text both stay if the id does. Null ids and empty
-    texts are in no group and stay.
+    Rows that repeat stay once. Rows that share a doc_id but not their text are documents of their own; of those in one
+    group one stays. Null ids and empty texts are in no group and stay.
     """
     prepare(spark)
-    groups = jaccard.near_duplicates(docs.select("doc_id", "text"))
-    dropped = materialize(groups.where("doc_id <> component_id").select("doc_id").distinct(), "pipeline-dropped")
-    return one_of_each(docs.join(dropped, "doc_id", "left_anti").select(docs.columns))
+    key = fresh_name(docs, "row")
+    keyed = docs.where("doc_id IS NOT NULL").select("doc_id", row_key("doc_id", "text").alias(key), "text")
+    if keyed.groupBy("doc_id").agg(F.min(key).alias("least"), F.max(key).alias("most")).where("least < most").isEmpty():
+        groups = jaccard.near_duplicates(docs.select("doc_id", "text"))
+        dropped = materialize(groups.where("doc_id <> component_id").select("doc_id").distinct(), "pipeline-dropped")
+        return one_of_each(docs.join(dropped, "doc_id", "left_anti").select(docs.columns))
+    groups = jaccard.near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text")).select(F.col("doc_id").alias(key), "component_id").distinct()
+    members = materialize(groups.join(keyed.select(key, "doc_id").distinct(), key), "pipeline-members")
+    first = members.groupBy("component_id").agg(F.min(F.struct("doc_id", key)).alias("first"))
+    dropped = materialize(members.join(first, "component_id").where(F.col(key) != F.col(f"first.{key}")).select(key), "pipeline-dropped")
+    full = docs.withColumn(key, F.when(F.col("doc_id").isNotNull(), row_key("doc_id", "text")))
+    return one_of_each(full.join(dropped, key, "left_anti").select(docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

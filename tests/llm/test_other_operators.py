@@ -213,6 +213,18 @@ def test_pipeline_stages(spark, tmp_path):
     assert collections.Counter(tuple(r)[:6] for r in final.collect()) == collections.Counter(tuple(r) for r in kept.collect())
 
 
+def test_near_duplicates_by_row(spark, tmp_path):
+    r = random.Random(9)
+    a, b, c, d = (" ".join(f"w{r.randrange(500)}" for _ in range(60)) for _ in range(4))
+    # Two texts have id 7: one is a near copy of 3's, the other of nothing; two near copies have id 5, one id is smaller by one.
+    rows = [(3, a, 1), (7, a + " end", 1), (7, b, 1), (5, c, 1), (5, c + " end", 1), (4, c + " and more", 1), (-6, d, 1), (8, d, 2), (6, "", 1), (None, b, 1), (7, b, 1)]
+    got = corpus_pipeline.join_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, row int"), str(tmp_path))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([rows[i] for i in (0, 2, 5, 6, 8, 9)], key=repr) and got.columns == ["doc_id", "text", "row"]
+    # Near copies of one id: one stays.
+    got = corpus_pipeline.join_near_duplicates(spark, spark.createDataFrame(rows[3:5], "doc_id long, text string, row int"), str(tmp_path))
+    assert got.count() == 1
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
