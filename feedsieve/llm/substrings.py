@@ -1,4 +1,4 @@
-"""Repeated word windows across documents, found behind a count-min prefilter."""
+"""Repeated word windows across documents, found behind an exact prefilter by anchors."""
 
 from __future__ import annotations
 
@@ -120,9 +120,9 @@ def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int =
 
     Returns doc_id, n_words, n_removed and kept_sha256, one row per input row; windows are judged on the input.
 
-    Count-min prefilter: every window adds to the sketch cell addressed by its smallest `anchor`-word hash, which all
-    equal windows share; each task adds up its own cells, and the partial sketches are merged. A cell seen in one document
-    only proves its windows unrepeated. Cells are as many as the data needs, so the estimate does not wear off with size.
+    Prefilter, exact, in place of a count-min sketch: windows are grouped by the cell of their smallest `anchor`-word hash,
+    which all equal windows share, with the smallest and largest doc_id. A cell seen in one document only proves its
+    windows unrepeated. There are as many cells as different anchors.
     Second pass, exact, over the others: consecutive windows with one anchor travel as one run; a run whose whole
     content starts in a smaller document is covered, and only the rest is grouped window by window.
 
