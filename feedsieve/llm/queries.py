@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from feedsieve.llm import benchmark, jaccard, lines, mixing, pages, quality, sharding, substrings, suffixes, vectors
+from feedsieve.llm import audit, benchmark, jaccard, lines, mixing, negatives, pages, quality, sharding, substrings, suffixes, tokens, vectors
 from feedsieve.llm.common import table
-from feedsieve.session import prepare
+from feedsieve.session import new_folder, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -176,6 +176,69 @@ def op10(spark, sf):
     return substrings.remove_repeated_windows(table(spark, sf, "documents").select("doc_id", "text"))
 
 
+@query("op11_token_files")
+def op11(spark, sf):
+    import public_tokenizers
+
+    folder = new_folder(spark, "token-files")
+    tokens.write(table(spark, sf, "documents").select("doc_id", "text"), folder, public_tokenizers.path("word_bpe_49k.json"))
+    return tokens.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+AUDIT_SQL = r"""
+WITH docs AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+firsts AS (SELECT text, min(doc_id) AS first FROM docs GROUP BY text),
+marks AS (SELECT doc_id, coalesce(max((quality = 1)::INT), 0) AS good, coalesce(max((toxic = 1)::INT), 0) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+failed AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         (len(ws) < 200)::INT + 2 * (100 * len(list_distinct(ws)) < 50 * len(ws))::INT
+         + 4 * (100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 2 * length(text))::INT
+         + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(first < docs.doc_id, false)::INT AS bits
+  FROM docs JOIN firsts USING (text) LEFT JOIN marks ON marks.doc_id = docs.doc_id),
+cells AS (SELECT part, bits, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failed GROUP BY part, bits),
+letters AS (SELECT substr('ABCDE', i::INT, 1) AS f, (1 << (i::INT - 1)) AS bit FROM range(1, 6) t(i)),
+orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM letters a, letters b, letters c, letters d, letters e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5),
+steps AS (SELECT filter_order, s::INT AS step, bits[s::INT] AS bit, coalesce(list_sum(bits[1:s::INT - 1]), 0)::INT AS before FROM orders, range(1, 6) t(s)),
+counts AS (
+  SELECT part, filter_order, step, bit,
+         coalesce(sum(n) FILTER (cells.bits & (before | bit) = 0), 0)::BIGINT AS kept,
+         coalesce(sum(n) FILTER (cells.bits & bit <> 0 AND cells.bits & before = 0), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (cells.bits & bit <> 0 AND cells.bits & before <> 0), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (cells.bits = bit), 0)::BIGINT AS unique_fails,
+         coalesce(sum(good) FILTER (cells.bits & bit <> 0 AND cells.bits & before = 0), 0)::BIGINT AS good_lost,
+         coalesce(sum(toxic) FILTER (cells.bits & bit <> 0 AND cells.bits & before = 0), 0)::BIGINT AS toxic_lost
+  FROM cells, steps GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM counts
+"""
+
+
+@query("op12_filter_audit", AUDIT_SQL)
+def op12(spark, sf):
+    return audit.audit(table(spark, sf, "documents").select("doc_id", "text", "source"), table(spark, sf, "labels").select("doc_id", "quality", "toxic"))
+
+
+NEGATIVES_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q, row_number() OVER () AS r
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.r AS anchor, a.vec_id AS anchor_id, b.r, b.vec_id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.r <> b.r AND len(a.q) = len(b.q)),
+positives AS (SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id, (row_number() OVER w)::INT AS rank, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON n.anchor = p.anchor AND NOT n.same AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score
+WINDOW w AS (PARTITION BY p.anchor, p.r ORDER BY n.score DESC, n.vec_id) QUALIFY row_number() OVER w <= 5
+"""
+
+
+@query("op13_hard_negatives", NEGATIVES_SQL)
+def op13(spark, sf):
+    vectors_ = table(spark, sf, "embeddings")
+    return negatives.hard_negatives(vectors_.select("vec_id", negatives.relabelled(F.col("label"), F.col("vec_id")).alias("label"), "embedding"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf):
     return corpus_pipeline.run(spark, sf)

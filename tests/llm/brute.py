@@ -2,6 +2,8 @@
 
 import collections
 import hashlib
+import itertools
+import math
 import re
 
 import numpy as np
@@ -104,3 +106,45 @@ def vector_links(rows, threshold=0.95):
                 near[i] += 1
                 links.append((i, b))
     return near, components({i for i, _ in rows if i is not None}, links)
+
+
+def audit(docs, labels):
+    """(part, order, step) -> kept, removed, redundant, unique_fails, good_lost, toxic_lost, shapley."""
+    first = {}
+    for d, _, t in docs:
+        if d is not None:
+            first[t or ""] = min(d, first.get(t or "", d))
+    good = {d for d, q, _ in labels if q == 1 and d is not None}
+    toxic = {d for d, _, t in labels if t == 1 and d is not None}
+    rows = []
+    for d, source, t in docs:
+        t = t or ""
+        w = words(t)
+        fails = {"A": len(w) < 200, "B": 100 * len(set(w)) < 50 * len(w), "C": 100 * len(re.findall("[A-Z]", t)) > 2 * len(t), "D": bool(re.search(r"[#$%&*|]", t)), "E": d is not None and first[t] < d}
+        rows.append((source or "", {f for f, x in fails.items() if x}, d in good, d in toxic))
+    out, total = {}, collections.Counter()
+    for part in {r[0] for r in rows}:
+        mine = [r for r in rows if r[0] == part]
+        for order in itertools.permutations("ABCDE"):
+            left = mine
+            for step, f in enumerate(order, 1):
+                gone = [r for r in left if f in r[1]]
+                left = [r for r in left if f not in r[1]]
+                total[part, f] += len(gone)
+                out[part, "".join(order), step] = (len(left), len(gone), sum(f in r[1] for r in mine) - len(gone), sum(r[1] == {f} for r in mine), sum(r[2] for r in gone), sum(r[3] for r in gone))
+    return {k: (*v, total[k[0], k[1][k[2] - 1]]) for k, v in out.items()}
+
+
+def hard_negatives(rows, every=100):
+    """All rows (anchor, positive, rank, negative, both scores); rows are (vec_id, label, vector)."""
+    whole = [(i, label, [math.floor(256 * x) for x in v]) for i, label, v in rows if label is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    tie = lambda s: (-s[0], s[1] is None, s[1] or 0)
+    out = []
+    for a, (anchor, label, v) in enumerate(whole):
+        if anchor is None or anchor % every:
+            continue
+        scored = [(sum(x * y for x, y in zip(v, w)), i, other == label) for b, (i, other, w) in enumerate(whole) if a != b and len(v) == len(w)]
+        for ps, positive, _ in sorted((s for s in scored if s[2]), key=tie)[:5]:
+            hard = sorted((s for s in scored if not s[2] and 80 * ps <= 100 * s[0] <= 100 * ps), key=tie)[:5]
+            out += [(anchor, positive, rank, i, ps, ns) for rank, (ns, i, _) in enumerate(hard, 1)]
+    return out
