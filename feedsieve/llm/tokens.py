@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +25,16 @@ BLOCK = 1 << 16  # ids of a chunk
 FILE_IDS = 1 << 26  # a file ends with the document that reaches so many ids
 READ_IDS = 1 << 22  # ids that one reading row covers, about
 SLICE_BYTES = 1 << 23  # bytes of text encoded together; a longer text is encoded alone
+KNOWN = 400_000  # parts of texts whose ids a task remembers
+# The pattern of pieces by which texts may be encoded part by part (fixed value).
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 MAGIC = b"IDPLANE1"
 KINDS = ("byte", "bit")
 
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_OTHER = (np.arange(256) < 0x80) & ~_LETTER & ~K._SPACE
+
 _CHUNK = np.dtype([("n", "<u4"), ("crc", "<u4"), ("offset", "<u8"), ("sizes", "<u4", 32)])
 _HEAD = np.dtype([("kind", "<u4"), ("chunks", "<u8"), ("docs", "<u8"), ("ids", "<u8"), ("table", "<u8")])
 _ENTRY = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("n", "<u8")])
@@ -163,37 +172,77 @@ class Reader:
         return np.concatenate(parts) if parts else np.empty(0, "<u4")
 
 
-def encode(tokenizer, column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts, one after another, and the number of ids of each.
+class Encoder:
+    """Ids of texts by a tokenizer of the `tokenizers` library, called once for each different piece of the texts.
 
-    The tokenizer drops white space and treats what stands between it alone, so a text's ids are those of its words, one
-    after another: each different word of a slice (with the white space behind it) is encoded once. Words are told
-    apart by their bytes.
+    A tokenizer whose pieces are those of PATTERN drops white space and never looks across the edges of a piece, so a text's
+    ids are those of its parts, one after another, if it is cut at such edges only: at white space, and between an ASCII
+    letter and another ASCII character (but not behind an apostrophe, which may begin a piece with the letter). Parts are
+    told apart by their bytes, ASCII letters lowered as the tokenizer does; not those before a character that may combine with
+    them. Where a text holds one of the tokenizer's added tokens, its slice is cut at white space only and nothing is lowered.
+    Other tokenizers get whole texts.
     """
-    data, offsets = K.binary(column)
-    flats, counts = [], []
-    for a, b in K.slices(offsets, SLICE_BYTES):
-        text, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-        if not len(text):
-            counts.append(np.zeros(b - a, np.int64))
-            continue
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        plan = json.loads(self.tokenizer.to_str())
+        steps = (plan.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        lowers = [x.get("type") for x in (plan.get("normalizer") or {}).get("normalizers") or []] == ["NFC", "Replace", "Lowercase"]
+        self.by_piece = lowers and steps[0].get("pattern") == {"Regex": PATTERN} and steps[0].get("invert") is True
+        self.added = [x["content"].encode() for x in plan["added_tokens"]]
+        self.known: dict[bytes, list[int]] = {}
+
+    def _lists(self, parts: list[bytes]) -> list[list[int]]:
+        found = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in parts], add_special_tokens=False)
+        return [e.ids for e in found]
+
+    def _cuts(self, text: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Text with letters lowered, and where its parts begin."""
         blank = K._SPACE[text]
-        begin = ~blank
-        begin[1:] &= blank[:-1]
-        begin[at[:-1][at[:-1] < len(text)]] = True
-        cut = np.flatnonzero(begin)
-        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cut), [None, pa.py_buffer(np.append(cut, len(text)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(text))]).dictionary_encode()
-        found = tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words.dictionary.to_pylist()], add_special_tokens=False)
-        lists = [e.ids for e in found]
-        size = np.array([len(x) for x in lists], np.int64)
-        ids = np.fromiter((i for x in lists for i in x), np.uint32, int(size.sum()))
-        first = np.cumsum(size) - size
-        place = words.indices.to_numpy().astype(np.int64)
-        n = size[place]
-        upto = np.concatenate([[0], np.cumsum(n)])
-        flats.append(ids[np.arange(upto[-1]) + np.repeat(first[place] - upto[:-1], n)])
-        counts.append(np.diff(upto[np.searchsorted(cut, at)]))
-    return (np.concatenate([*flats, np.empty(0, np.uint32)]), np.concatenate([*counts, np.empty(0, np.int64)]))
+        begin = np.ones(len(text), bool)
+        begin[1:] = blank[1:] != blank[:-1]
+        begin[begins[begins < len(text)]] = True
+        raw = text.tobytes()
+        if not any(x in raw for x in self.added):
+            letter, other = _LETTER[text], _OTHER[text]
+            begin[1:] |= letter[:-1] & other[1:] | other[:-1] & letter[1:] & (text[:-1] != 0x27)
+            alone = np.ones(len(text), bool)
+            alone[:-1] = text[1:] < 0x80
+            text = np.where(alone, K._LOWER[text], text)
+        return text, np.flatnonzero(begin)
+
+    def __call__(self, column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and the number of ids of each."""
+        data, offsets = K.binary(column)
+        flats, counts = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
+        for a, b in K.slices(offsets, SLICE_BYTES):
+            text, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+            if not self.by_piece:
+                lists = self._lists([text[i:j].tobytes() for i, j in zip(at, at[1:])])
+                counts.append(np.array([len(x) for x in lists], np.int64))
+                flats.append(np.fromiter((i for x in lists for i in x), np.uint32, int(counts[-1].sum())))
+                continue
+            if not len(text):
+                counts.append(np.zeros(b - a, np.int64))
+                continue
+            text, cut = self._cuts(text, at[:-1])
+            parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cut), [None, pa.py_buffer(np.append(cut, len(text)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(text))]).dictionary_encode()
+            names = parts.dictionary.to_pylist()
+            new = [x for x in names if x not in self.known]
+            if len(self.known) + len(new) > KNOWN:
+                self.known, new = {}, names
+            self.known.update(zip(new, self._lists(new)))
+            lists = [self.known[x] for x in names]
+            size = np.fromiter(map(len, lists), np.int64, len(lists))
+            ids = np.fromiter(chain.from_iterable(lists), np.uint32, int(size.sum()))
+            first, place = np.cumsum(size) - size, parts.indices.to_numpy()
+            n = size[place]
+            upto = np.concatenate([[0], np.cumsum(n)])
+            flats.append(ids[np.arange(upto[-1]) + np.repeat(first[place] - upto[:-1], n)])
+            counts.append(np.diff(upto[np.searchsorted(cut, at)]))
+        return np.concatenate(flats), np.concatenate(counts)
 
 
 def with_end(ids: np.ndarray, counts: np.ndarray, end: int | None) -> tuple[np.ndarray, np.ndarray]:
@@ -211,16 +260,14 @@ def with_end(ids: np.ndarray, counts: np.ndarray, end: int | None) -> tuple[np.n
 def _write(folder: str, tokenizer_path: str, end: int | None, kind: str, block: int, file_ids: int, level: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        from tokenizers import Tokenizer
-
-        tokenizer, partition, number, writer = Tokenizer.from_file(tokenizer_path), TaskContext.get().partitionId(), 0, None
+        encode, partition, number, writer = Encoder(tokenizer_path), TaskContext.get().partitionId(), 0, None
 
         def closed() -> pa.RecordBatch:
             row = {"partition": partition, "number": number, **writer.close()}
             return pa.RecordBatch.from_pydict({k: pa.array([v], pa.int32() if k in ("partition", "number") else None) for k, v in row.items()})
 
         for batch in batches:
-            ids, counts = with_end(*encode(tokenizer, batch.column("text")), end)
+            ids, counts = with_end(*encode(batch.column("text")), end)
             table = np.zeros(len(counts), _ENTRY)
             doc = batch.column("doc_id")
             table["doc_id"], table["null"], table["n"] = doc.fill_null(0).to_numpy(), doc.is_null().to_numpy(zero_copy_only=False), counts

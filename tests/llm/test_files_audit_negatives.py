@@ -29,25 +29,39 @@ ODD = [None, "", " ", "\n\t ", "a", " a", "a ", "Hello World's end\r\nand\x0bmor
 
 
 def test_words_encoded_alone_are_the_whole_text(tokenizer):
-    alphabet = ["a", "B", "'s", " ", "\n", "\t", "é", "é", "́", "ß", "Σ", "ς", "1", "!", " ", " ", "漢", "🙂", "<|endoftext|>", "\x1f", "ͅ", "İ"]
-    texts = ODD + ["".join(R.choices(alphabet, k=R.randint(0, 40))) for _ in range(3000)]
-    ids, counts = tokens.encode(tokenizer, pa.array(texts, pa.string()))
+    alphabet = ["a", "B", "H\u0331", "'", ".", "=\u0338", "e", "\u0301", "I\u0307", "<|STARTOFTEXT|>", "<|", "'s", " ", "\n", "\t", "é", "é", "́", "ß", "Σ", "ς", "1", "!", " ", " ", "漢", "🙂", "<|endoftext|>", "\x1f", "ͅ", "İ"]
+    texts = ODD + ["".join(R.choices(alphabet, k=R.randint(0, 40))) for _ in range(6000)] + ['x'.join(R.choices("aB'.1 sSé\u0301-tdLV", k=R.randint(0, 25))) for _ in range(1000)] + [''.join(R.choices("aB'.1 sSé\u0301-tdLVmRE", k=R.randint(0, 25))) for _ in range(6000)]
+    encode = tokens.Encoder(PATH)
+    assert encode.by_piece
+    ids, counts = encode(pa.array(texts, pa.string()))
     upto = np.concatenate([[0], np.cumsum(counts)])
     for i, text in enumerate(texts):
         assert ids[upto[i] : upto[i + 1]].tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids, repr(text)
-    assert tokens.encode(tokenizer, pa.array([], pa.string()))[0].size == 0
-    # Slices of a few bytes give the same.
-    before, tokens.SLICE_BYTES = tokens.SLICE_BYTES, 16
+    assert encode(pa.array([], pa.string()))[0].size == 0
+    # Slices of a few bytes, and a memory of a few parts, give the same; so do whole texts.
+    before = tokens.SLICE_BYTES, tokens.KNOWN
     try:
-        again = tokens.encode(tokenizer, pa.array(texts, pa.string()))
+        for tokens.SLICE_BYTES, tokens.KNOWN in ((16, 300), (1 << 23, 5)):
+            again = encode(pa.array(texts, pa.string()))
+            assert (again[0] == ids).all() and (again[1] == counts).all()
     finally:
-        tokens.SLICE_BYTES = before
+        tokens.SLICE_BYTES, tokens.KNOWN = before
+    encode.by_piece = False
+    again = encode(pa.array(texts, pa.string()))
     assert (again[0] == ids).all() and (again[1] == counts).all()
 
 
+def test_other_tokenizers_get_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encode, plain = tokens.Encoder(path), Tokenizer.from_file(path)
+    ids, counts = encode(pa.array(ODD, pa.string()))
+    want = [e.ids for e in plain.encode_batch([t or "" for t in ODD], add_special_tokens=False)]
+    assert not encode.by_piece and counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+
+
 def test_whole_documents_encode_alike(tokenizer, spark):
     texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
-    ids, counts = tokens.encode(tokenizer, pa.array(texts))
+    ids, counts = tokens.Encoder(PATH)(pa.array(texts))
     plain = [e.ids for e in tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
     assert counts.tolist() == [len(x) for x in plain] and ids.tolist() == [i for x in plain for i in x]
 
