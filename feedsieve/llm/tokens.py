@@ -191,6 +191,7 @@ class Encoder:
         steps = (plan.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         lowers = [x.get("type") for x in (plan.get("normalizer") or {}).get("normalizers") or []] == ["NFC", "Replace", "Lowercase"]
         self.by_piece = lowers and steps[0].get("pattern") == {"Regex": PATTERN} and steps[0].get("invert") is True
+        self.model = self.tokenizer.model
         self.added = [x["content"].encode() for x in plan["added_tokens"]]
         self.known: dict[bytes, list[int]] = {}
 
@@ -233,7 +234,11 @@ class Encoder:
             new = [x for x in names if x not in self.known]
             if len(self.known) + len(new) > KNOWN:
                 self.known, new = {}, names
-            self.known.update(zip(new, self._lists(new)))
+            # What is one piece of small letters already goes to the tokenizer's model at once.
+            plain = [x for x in new if x.isalpha() and x.islower()]
+            self.known.update((x, [token.id for token in self.model.tokenize(x.decode())]) for x in plain)
+            rest = [x for x in new if x not in self.known]
+            self.known.update(zip(rest, self._lists(rest)))
             lists = [self.known[x] for x in names]
             size = np.fromiter(map(len, lists), np.int64, len(lists))
             ids = np.fromiter(chain.from_iterable(lists), np.uint32, int(size.sum()))
