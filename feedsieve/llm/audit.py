@@ -7,11 +7,10 @@ from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedsieve.llm.common import WORD, fresh_name
-from feedsieve.session import materialize
+from feedsieve.llm.common import WORD
 
 FILTERS = "ABCDE"
 MIN_WORDS = 200  # A
@@ -25,24 +24,40 @@ NUMBERS = ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_l
 _COUNTS = ("n", "good", "toxic")
 
 
-def failures(docs: DataFrame) -> DataFrame:
-    """(doc_id, part, failed) of every row of `docs` (doc_id, text, source).
+def measured(docs: DataFrame) -> DataFrame:
+    """(doc_id, part, same, failed) of every row of `docs` (doc_id, text, source).
 
-    Bit k of `failed` says that the row fails filter k. E needs the smallest doc_id of each text: only texts that
-    occur under several ids are joined, by their SHA-256, and rows travel without their texts.
+    Bit k of `failed` says that the row's text fails filter k (A to D); `same` is the text's SHA-256.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("part"), text.alias("text"))
-    measured = rows.withColumn("words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).select(
+    counted = rows.withColumn("words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).select(
         "doc_id", "part", F.sha2("text", 256).alias("same"), F.size("words").alias("n"), F.size(F.array_distinct("words")).alias("distinct"),
         F.regexp_count("text", F.lit("[A-Z]")).alias("capitals"), F.length("text").alias("points"), F.col("text").rlike(SYMBOLS).alias("symbols"))
     tests = (F.col("n") < MIN_WORDS, 100 * F.col("distinct").cast("bigint") < MIN_DISTINCT * F.col("n").cast("bigint"),
              100 * F.col("capitals").cast("bigint") > MAX_CAPITALS * F.col("points").cast("bigint"), F.col("symbols"))
     bits = sum((F.when(t, 1 << k).otherwise(0) for k, t in enumerate(tests)), F.lit(0))
-    measured = materialize(measured.select("doc_id", "part", F.unhex("same").alias("same"), bits.alias("failed")), "audit-rows")
-    firsts = measured.groupBy("same").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("same", "first")
-    again = F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False))
-    return measured.join(firsts, "same", "left").select("doc_id", "part", (F.col("failed") + F.when(again, 16).otherwise(0)).alias("failed"))
+    return counted.select("doc_id", "part", F.unhex("same").alias("same"), bits.alias("failed"))
+
+
+def cells(rows: DataFrame) -> DataFrame:
+    """(part, failed, n, good, toxic): counts by part and failure pattern, from (doc_id, part, same, failed, good, toxic).
+
+    E (bit 4) holds for the rows of a text but those with its smallest doc_id. Copies of a text are never brought
+    together: they are counted by doc_id, then by part and labels, and only these counts meet, one row for each part and
+    pair of labels that the text occurs with.
+    """
+    kinds = ("part", "same", "failed", "good", "toxic")
+    by_id = rows.groupBy(*kinds, "doc_id").agg(F.count("*").alias("n"))
+    known = F.col("doc_id").isNotNull()
+    counts = by_id.groupBy(*kinds).agg(F.sum(F.when(known, F.col("n")).otherwise(0)).alias("n"), F.sum(F.when(known, 0).otherwise(F.col("n"))).alias("without_id"),
+                                       F.min(F.when(known, F.struct("doc_id", "n"))).alias("first"))
+    least = F.min("first.doc_id").over(Window.partitionBy("same"))
+    firsts = F.coalesce(F.when(F.col("first.doc_id") == F.col("least"), F.col("first.n")), F.lit(0))
+    split = counts.withColumn("least", least).withColumn("firsts", firsts).select("part", "good", "toxic", F.explode(F.array(
+        F.struct("failed", (F.col("firsts") + F.col("without_id")).alias("n")), F.struct((F.col("failed") + 16).alias("failed"), (F.col("n") - F.col("firsts")).alias("n")))).alias("cell"))
+    n = F.col("cell.n")
+    return split.where(n > 0).groupBy("part", F.col("cell.failed").alias("failed")).agg(F.sum(n).alias("n"), F.sum(n * F.col("good")).alias("good"), F.sum(n * F.col("toxic")).alias("toxic"))
 
 
 def steps(filters: str = FILTERS) -> list[tuple[str, int, str]]:
@@ -108,19 +123,15 @@ def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Returns one row per part, filter_order (all 120) and step (1 to 5), with the counts NUMBERS; see `interactions`. `labels`
     has doc_id, quality and toxic; a document is good or toxic if any of its labels says so.
 
-    Rows are reduced to counts per part and failure pattern, at most 32 per part, added up before the shuffle; a part's
+    Rows travel without their texts and are reduced to counts per part and failure pattern, at most 32 per part; a part's
     counts are a 2x2x2x2x2 tensor, which one contraction per count turns into its 600 rows. Nothing reaches the driver.
 
     Null text: empty (fails A, passes B, C and D). Null source: part ''. Null doc_id: no smaller or larger than any other, so it
     never fails E, and has no labels. Rows that share a doc_id and a text pass E alike. Repeated rows count each. Empty
     input: empty result.
     """
-    label = fresh_name(docs, "label")
     marks = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(
         F.max(F.coalesce((F.col("quality") == 1).cast("int"), F.lit(0))).alias("good"), F.max(F.coalesce((F.col("toxic") == 1).cast("int"), F.lit(0))).alias("toxic"))
-    marks = marks.withColumnRenamed("doc_id", label)
-    rows = failures(docs)
-    rows = rows.join(marks, rows["doc_id"] == marks[label], "left")
-    cells = rows.groupBy("part", "failed").agg(F.count("*").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic"))
-    parts = cells.groupBy("part").agg(F.collect_list(F.struct("failed", *_COUNTS)).alias("cells"))
+    rows = measured(docs).join(marks, "doc_id", "left").fillna(0, ["good", "toxic"])
+    parts = cells(rows).groupBy("part").agg(F.collect_list(F.struct("failed", *_COUNTS)).alias("cells"))
     return parts.mapInArrow(_expand, "part string, filter_order string, step int, " + ", ".join(f"{k} bigint" for k in NUMBERS))
