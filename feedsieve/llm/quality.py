@@ -37,6 +37,7 @@ _KIND[[ord(c) for c in ".,;:'\"-()?"]] = _STOP
 _KIND[ord("!")] = _MARK
 _KIND[[ord(c) for c in "#$%&*+/<=>@[\\]^_`{|}~"]] = _SYMBOL
 NUMBERS = ("symbols", "capitals", "marks", "digits", "stopwords", "word_bytes", "repeats", "fresh")
+WIDTH = 65 + len(NUMBERS) + BUCKETS + 1  # columns of the scorer: trust, byte kinds, measures, hashed words, intercept
 
 # Labeller: measure, good up to, bad from (or good from, bad up to, where the first is larger), least number of words.
 # Between the two a labeller abstains; below the least number of words it is not asked.
@@ -161,22 +162,33 @@ def _examples(stop: np.ndarray, label: dict[str, float]):
     return run
 
 
-def fit(p: np.ndarray, columns: list[np.ndarray], values: list[np.ndarray], steps: int = STEPS) -> np.ndarray:
-    """Weights of a logistic scorer (last: intercept) for soft labels p, by Adam on all examples."""
-    size = 65 + len(NUMBERS) + BUCKETS + 1
-    row = np.repeat(np.arange(len(p)), [len(c) for c in columns])
-    column, value = np.concatenate(columns), np.concatenate(values)
-    weight, first, second = np.zeros(size), np.zeros(size), np.zeros(size)
+def fit(p: np.ndarray, row: np.ndarray, column: np.ndarray, value: np.ndarray, steps: int = STEPS) -> np.ndarray:
+    """Weights of a logistic scorer (last: intercept) for soft labels p, by Adam on all examples.
+
+    Example row[i] has value[i] in column[i]; all other columns are 0.
+    """
+    weight, first, second = np.zeros(WIDTH), np.zeros(WIDTH), np.zeros(WIDTH)
     for t in range(1, steps + 1):
         z = np.bincount(row, value * weight[column], len(p)) + weight[-1]
         off = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - p) / len(p)
-        slope = np.bincount(column, value * off[row], size) + 1e-5 * weight
+        slope = np.bincount(column, value * off[row], WIDTH) + 1e-5 * weight
         slope[-1] = off.sum()
         first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope**2
         weight -= 0.2 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-9)
     return weight
 
 
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Weights from all examples of the training sample, which is bounded."""
+    found = list(batches)
+    lists = pa.chunked_array([b.column("columns") for b in found], pa.list_(pa.int32())).combine_chunks()
+    values = pa.chunked_array([b.column("values") for b in found], pa.list_(pa.float64())).combine_chunks()
+    p = np.concatenate([b.column("p").to_numpy() for b in found]) if found else np.empty(0)
+    row = np.repeat(np.arange(len(p), dtype=np.int32), pc.list_value_length(lists).to_numpy())
+    weight = fit(p, row, lists.flatten().to_numpy(), values.flatten().to_numpy()) if len(p) else np.zeros(WIDTH)
+    yield pa.RecordBatch.from_arrays([pa.array([weight], pa.list_(pa.float64()))], ["weight"])
+
+
 def _score(stop: np.ndarray, weight: np.ndarray):
     kinds, numbers, hashed = weight[1:65], weight[65 : 65 + len(NUMBERS)], weight[65 + len(NUMBERS) : -1]
 
@@ -215,11 +227,10 @@ def classify(docs: DataFrame, threshold: float = 0.5, training: int = TRAINING)
     label = label_model({r["votes"]: r["n"] for r in cast.groupBy("votes").agg(F.count("*").alias("n")).collect()})
     share = min(1.0, training / max(1, cast.count()))
     chosen = rows.where((F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < int(share * (1 << 30))) & (F.length("text") > 0))
-    found = chosen.mapInArrow(_examples(stop, label), "row bigint, p double, columns array<int>, values array<double>").dropDuplicates(["row"]).orderBy("row").toArrow()
-    if found.num_rows:
-        weight = fit(found["p"].to_numpy(), [np.array(x, np.int64) for x in found["columns"].to_pylist()], [np.array(x) for x in found["values"].to_pylist()])
-    else:
-        weight = np.zeros(65 + len(NUMBERS) + BUCKETS + 1)
+    examples = chosen.mapInArrow(_examples(stop, label), "row bigint, p double, columns array<int>, values array<double>").dropDuplicates(["row"])
+    # About `training` examples, in one task: the driver gets the weights only.
+    fitted = examples.repartition(1).sortWithinPartitions("row").mapInArrow(_fitted, "weight array<double>").first()
+    weight = np.array(fitted["weight"] if fitted else np.zeros(WIDTH))
     schema = T.StructType([T.StructField("doc", docs.schema), T.StructField("n_words", T.LongType()), T.StructField("score", T.DoubleType())])
     scored = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc")).mapInArrow(_score(stop, weight), schema)
     return scored.withColumn("kept", (F.col("score") >= threshold) & (F.col("n_words") > 0))
