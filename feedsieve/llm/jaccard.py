@@ -283,11 +283,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     packed = docs.mapInArrow(_light(size, percent, heavy, buckets), "bucket int, signatures binary, docs binary, counts binary")
     light = packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_repeated, "signature bigint, doc_id bigint")
     frequent = sets.select(F.explode("heavy").alias("signature"), "doc_id")
-    members = materialize(light.unionByName(frequent).distinct(), f"{run}/members")
+    members = materialize(light.unionByName(frequent).distinct(), f"{run}/found/members")
     groups = members.groupBy("signature").agg(F.min("doc_id").alias("a"), F.count("*").alias("m"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("who")).where("m > 1")
     # Signatures with the same members say the same.
-    groups = materialize(groups.groupBy("a", "m", "who").agg(F.min("signature").alias("signature")).drop("who"), f"{run}/groups")
+    groups = materialize(groups.groupBy("a", "m", "who").agg(F.min("signature").alias("signature")).drop("who"), f"{run}/found/groups")
     members = materialize(members.join(groups, "signature"), f"{run}/grouped")
+    discard(spark, f"{run}/found")
 
     # Equal sets are one class, linked through its smallest document.
     classes = sets.where("n_shingles > 0").groupBy("n_shingles", "x", "y").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").drop("z")
@@ -298,11 +299,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
 
     def linked(pairs: DataFrame) -> DataFrame:
         """The pairs whose whole sets are similar enough."""
-        pairs = materialize(pairs, f"{run}/pairs")
-        wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{run}/wanted")
-        texts = materialize(docs.join(wanted, "doc_id").distinct(), f"{run}/texts")
+        pairs = materialize(pairs, f"{run}/verify/pairs")
+        wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{run}/verify/wanted")
+        texts = materialize(docs.join(wanted, "doc_id").distinct(), f"{run}/verify/texts")
         both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
-        return materialize(both.mapInArrow(_verify(size, percent), "a bigint, b bigint").distinct(), f"{run}/links")
+        found = materialize(both.mapInArrow(_verify(size, percent), "a bigint, b bigint").distinct(), f"{run}/links")
+        discard(spark, f"{run}/verify")
+        return found
 
     stars = materialize(members.where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct(), f"{run}/stars")
     sized = stars.join(sketches.toDF("a", "n_a", "sketch_a"), "a").join(sketches.toDF("b", "n_b", "sketch_b"), "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
