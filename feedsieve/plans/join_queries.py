@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from feedsieve.functions import keywords as kw
-from feedsieve.operators import joins, translate
+from feedsieve.operators import dictionary, joins, translate
 from feedsieve.plans import sql as q
 from feedsieve.plans.adapters import episodes, feed_config, FEEDS, lite_decisions, table, TEST_POLICY, with_episodes, with_lite
 from feedsieve.plans.catalog import query
@@ -70,6 +70,34 @@ def keyword_hits(spark, sf):
     return found.select("doc_id", *[kw.count_hits(F.col("hits"), ws).alias(n) for n, ws in lists.items()])
 
 
+# Every word, pair and triple of words of the benchmark texts, in lists by their number of words, and some phrases with marks.
+_DICTIONARY = """
+bw AS (SELECT list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda x: x <> '') AS w FROM benchmark),
+dictionary AS (
+  SELECT DISTINCT 'words ' || n AS list, array_to_string(w[i:i + n - 1], ' ') AS keyword FROM (SELECT w, n, unnest(range(1, len(w) - n + 2)) AS i FROM bw, (SELECT unnest([1, 2, 3])::INT AS n)))"""
+
+
+def keyword_dictionary(spark, sf):
+    w = F.filter(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " "), lambda x: x != "")
+    words = table(spark, sf, "benchmark").select(w.alias("w"), F.explode(F.array(*[F.lit(n) for n in (1, 2, 3)])).alias("n")).where(F.size("w") >= F.col("n"))
+    at = words.withColumn("i", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1)))
+    return at.select(F.concat(F.lit("words "), F.col("n").cast("string")).alias("list"), F.array_join(F.slice("w", F.col("i"), F.col("n")), " ").alias("keyword")).distinct()
+
+
+# Marks at the edges of words: a keyword stands inside a text where it does with its edges.
+_EDGED = r"regexp_replace(regexp_replace({x}, '([\p{{L}}\p{{N}}\p{{M}}_])([^\p{{L}}\p{{N}}\p{{M}}_])', '\1' || chr(1) || '\2', 'g'), '([^\p{{L}}\p{{N}}\p{{M}}_])([\p{{L}}\p{{N}}\p{{M}}_])', '\1' || chr(1) || '\2', 'g')"
+
+
+@query("keyword_hits_dictionary", f"""WITH {_DICTIONARY.strip()},
+d AS (SELECT list, keyword, lower(keyword) AS k, {_EDGED.format(x="' ' || lower(keyword) || ' '")} AS e, regexp_replace(lower(keyword), '([/?# \\t\\n\\r\\x0B\\f])', chr(2) || '\\1', 'g') AS s FROM dictionary),
+k AS (SELECT list, keyword, k, chr(1) || trim(e[2:len(e) - 1], chr(1)) || chr(1) AS e, '.' || s || chr(2) AS s FROM d),
+t AS (SELECT doc_id, lower(text) AS t, {_EDGED.format(x="' ' || lower(text) || ' '")} AS e, regexp_replace(lower(text), '([/?# \\t\\n\\r\\x0B\\f])', chr(2) || '\\1', 'g') AS s FROM documents)
+SELECT doc_id, list, count(*) AS hits FROM t, k WHERE contains(t.t, k.k) AND ((len(k.k) >= 2 AND starts_with(t.t, k.k)) OR (contains(t.e, k.e) AND NOT contains(t.s, k.s)))
+GROUP BY doc_id, list""")
+def keyword_hits_dictionary(spark, sf):
+    return dictionary.dictionary_counts(table(spark, sf, "documents").select("doc_id", "text"), keyword_dictionary(spark, sf))
+
+
 @query("exclude_hosts", """
 WITH n AS (SELECT c_custkey, 'Show ' || c_nationkey AS podcast_name, CASE c_custkey % 4 WHEN 0 THEN 'Supplier ' || c_custkey % 30 WHEN 1 THEN 'Supp' WHEN 2 THEN c_name ELSE 'Supplier ' || c_custkey % 30 || ' jr' END AS name FROM customer),
 h AS (SELECT 'Show ' || s_nationkey AS podcast_name, lower('Supplier ' || s_suppkey % 30) AS host FROM supplier)

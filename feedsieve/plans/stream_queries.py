@@ -45,5 +45,20 @@ def stream_registry(spark, sf):
     root = new_folder(spark, "registry")
     st.stream_registry(st.read_stream(spark, landed, events.schema, files_per_batch=2), root)
     shape = "yyyy-MM-dd HH:mm:ss"
-    return st.runs.read_version(spark, root, st.REGISTRY).select(
+    return st.read_registry(spark, root).select(
         "episode_id", "seen_count", F.date_format("first_seen", shape).alias("first_seen"), F.date_format("last_seen", shape).alias("last_seen"), "decision")
+
+
+@query("stream_dedup_first", """
+SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type, CAST(ts AS DATE) ORDER BY value DESC, event_id) = 1
+  AND CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 DAYS FROM events)""")
+def stream_dedup_first(spark, sf):
+    """The best event of each user, type and day, from files that land in another order than that of the events."""
+    events = table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", (-F.col("value")).alias("place"))
+    landed = new_folder(spark, "landed-events")
+    # Six files; the events of one day lie in several of them, in no order. All arrive within the delay of two days.
+    events.repartitionByRange(6, "ts").sortWithinPartitions(F.xxhash64("event_id")).write.parquet(landed)
+    stream = st.read_stream(spark, landed, events.schema, files_per_batch=6)
+    once = st.first_by_order(stream, "ts", ["user_id", "event_type"], ["place", "event_id"], "2 days")
+    path = st.drain_to_table(once, "first-by-order")
+    return spark.read.schema(once.schema).parquet(path).select("user_id", "event_type", "event_id")

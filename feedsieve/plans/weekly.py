@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedsieve.functions import score
 from feedsieve.functions.items import episode_id
-from feedsieve.operators import guests, ranking
+from feedsieve.operators import documents, guests, ranking, translate
 from feedsieve.operators.background import enrich_guests
 from feedsieve.operators.joins import join_registry, upsert_registry
 from feedsieve.operators.quality import quality_warnings, reason_text, uncertainty_text
@@ -96,18 +98,83 @@ def decision_records(items: DataFrame, policy: Policy, registry: DataFrame, host
         "selection_policy_mode": F.lit(policy.mode)}).drop("final_decision")
 
 
-def run_week(items: DataFrame, policy: Policy, hosts: DataFrame, root: str, run_at: str, **more) -> DataFrame:
-    """Screen, explain, look up, and store a run below `root`: records by week and run, registry, log and report.
+def run_summary(records: DataFrame, run_at: str, errors: int = 0) -> DataFrame:
+    """One row per run with what its report's head shows. Needs week_start."""
+    shape = "yyyy-MM-dd'T'HH:mm:ssXXX"
+    # Pairs of run and feed first: a distinct count would bring a run's rows together.
+    feeds = records.groupBy("run_id", F.coalesce(F.nullif("podcast_id", F.lit("")), "podcast_name").alias("feed")).agg(F.lit(1).alias("one")).where("feed <> ''")
+    counts = records.groupBy("run_id", "week_id").agg(F.min("week_start").alias("at"), F.count("*").alias("total"), *[F.count_if(F.col("decision") == d).alias(d) for d in runs.BUCKETS])
+    return counts.join(feeds.groupBy("run_id").agg(F.count("*").alias("podcast_count")), "run_id", "left").select(
+        "run_id", "week_id", F.date_format("at", shape).alias("window_start"), F.date_format(F.col("at") + F.expr("INTERVAL 7 DAYS"), shape).alias("window_end"),
+        F.lit(run_at).alias("scan_date"), "total", *runs.BUCKETS, F.coalesce("podcast_count", F.lit(0)).alias("podcast_count"), F.lit(errors).cast("bigint").alias("error_count"))
+
+
+CACHE = ("cache_key string, status string, translated_text string, source_hash string, model string, chunk_count bigint, translated_chunk_count bigint, "
+         "localized_fallback_chunk_indices array<int>, errors array<struct<chunk_index:int,error_type:string,error:string,localized_fallback:boolean,unchanged_lines:array<string>>>")
+
+
+def display(items: DataFrame, records: DataFrame, root: str, translator: Callable | None = None) -> DataFrame:
+    """Display sections of every record (item_pos, heading, sections, translation_status), translated where `translator` is given.
 
-    Returns the stored records. The registry is written as a new version, so a run that is repeated after a failure starts from the
-    same one.
+    Only items that are not skipped are translated, and only what the cache below `root` lacks; finished texts join the
+    cache, so a run that is repeated finds them there.
     """
     spark = items.sparkSession
-    version = runs.current_version(spark, f"{root}/registry")
-    registry = runs.read_version(spark, f"{root}/registry", REGISTRY)
-    records = materialize(decision_records(items, policy, registry, hosts, run_at, **more), "week-records")
-    runs.write_run_result(records, f"{root}/runs")
+    texts = items.join(records.select("item_pos", "episode_id", "decision"), "item_pos").withColumn("episode_url", F.coalesce("audio_url", F.lit("")))
+    translated = None
+    if translator is not None:
+        path = f"{root}/translations"
+        runs.write_cache_entries(spark.createDataFrame([], CACHE), path)  # so that there is a table to read
+        cache = spark.read.schema(CACHE).parquet(path).dropDuplicates(["cache_key"])
+        wanted = texts.where("decision <> 'skip'").select("item_pos", "podcast_id", "episode_id", "episode_url", "language", "show_notes")
+        translated = materialize(translate.translate_with_cache(wanted, cache, "item_pos", "show_notes", translator), "week-translations")
+        runs.write_cache_entries(translate.new_cache_entries(translated).dropDuplicates(["cache_key"]), path)
+    text, none = F.col("show_notes"), F.lit(None).cast("string")
+    ready = texts.select("item_pos", "language", text.alias("show_notes_text"), text.alias("show_notes"), none.alias("description"), F.array().cast("array<string>").alias("summary_3_sentences_cn"),
+                         none.alias("one_line_summary_cn"), F.lit(False).alias("show_notes_truncated"), F.lit("show_notes").alias("show_notes_source"), F.length(text).alias("show_notes_text_len"))
+    shown = translate.display_result(ready, "item_pos", translated)
+    return shown.select("item_pos", "heading", "sections", "translation_status")
+
+
+def report(records: DataFrame, shown: DataFrame, summary: DataFrame) -> DataFrame:
+    """Numbered report lines (week_id, run_id, line_no, line) of stored records with their display sections."""
+    empty = F.lit(None).cast("string")
+    lines = records.join(shown, "item_pos", "left").withColumns({
+        "one_line_summary_cn": empty, "summary_3_sentences_cn": F.array().cast("array<string>"), "key_points_cn": F.array().cast("array<string>"),
+        "sections": F.coalesce("sections", F.array().cast("array<string>")), "heading": F.coalesce("heading", F.lit("full"))})
+    return documents.render_report(lines, summary).join(summary.select("run_id", "week_id"), "run_id").select("week_id", "run_id", "line_no", "line")
+
+
+def run_week(items: DataFrame, policy: Policy, hosts: DataFrame, root: str, run_at: str, translator: Callable | None = None, with_report: bool = True, **more) -> DataFrame:
+    """Screen, explain, look up and store a run below `root`; returns its records.
+
+    Tables: `runs` (records by week and run), `registry` (versions), `log` (one row per run), `report` (numbered lines; unless
+    `with_report` is off), and `translations` where a translator is given.
+
+    The run is named by `run_at`, and its commit of the registry is what decides: a run that comes second, of two at once, starts
+    again from the new registry. All else is written after it and replaces what it names. So a run that is repeated, after
+    whatever failure, starts from the registry as it was before the run and leaves the same tables: no item is counted twice,
+    no log row is written twice.
+    """
+    spark = items.sparkSession
+    state = f"{root}/registry"
     fields = [f.split()[0] for f in REGISTRY.split(", ")]
-    runs.write_version(upsert_registry(registry, records.select(*fields)), f"{root}/registry", (version or 0) + 1)
-    runs.append_rows(runs.run_log_rows(records), f"{root}/log")
+    while True:
+        done = runs.version_of(spark, state, run_at)
+        base = done - 1 if done else runs.current_version(spark, state) or 0
+        registry = runs.read_version(spark, state, REGISTRY, base)
+        records = materialize(decision_records(items, policy, registry, hosts, run_at, **more), "week-records")
+        if done:
+            break
+        try:
+            runs.write_version(upsert_registry(registry, records.select(*fields)), state, base + 1, run_at)
+            break
+        except runs.VersionConflict:
+            continue
+    runs.write_run_result(records, f"{root}/runs")
+    runs.replace_rows(runs.run_log_rows(records), f"{root}/log", ["week_id", "run_id"])
+    if not with_report:
+        return records
+    shown = materialize(display(items, records, root, translator), "week-display")
+    runs.replace_rows(report(records, shown, run_summary(records, run_at)), f"{root}/report", ["week_id", "run_id"])
     return records

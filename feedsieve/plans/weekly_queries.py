@@ -6,6 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
+from feedsieve.operators import translate
 from feedsieve.plans import sql as q
 from feedsieve.plans.adapters import TEST_POLICY, episodes, feed_config, with_episodes
 from feedsieve.plans.catalog import query
@@ -60,8 +61,8 @@ def _two_runs(spark, sf, policy):
     eps = episodes(spark, sf)
     hosts = feed_config(spark, sf).select(F.col("name").alias("podcast_name"), F.concat(F.lit("Host "), F.col("id")).alias("host"))
     root = new_folder(spark, "weekly")
-    run_week(eps.filter(F.col("pub_ts") < F.lit(CUT).cast("timestamp")), policy, hosts, root, "2024-01-15")
-    done = run_week(eps, policy, hosts, root, "2024-02-05")
+    run_week(eps.filter(F.col("pub_ts") < F.lit(CUT).cast("timestamp")), policy, hosts, root, "2024-01-15", with_report=False)
+    done = run_week(eps, policy, hosts, root, "2024-02-05", with_report=False)
     stored = runs.read_version(spark, f"{root}/registry", REGISTRY).select("episode_id", F.col("seen_count").alias("stored_count"), F.array_join("statuses", ",").alias("history"))
     return done.join(stored, "episode_id").select("item_pos", "week_id", "episode_id", "decision", "priority", "final_score", "seen_count", "stored_count", "first_seen", "last_seen", "history",
                                                   (F.length("reason_zh") > 0).alias("explained"))
@@ -95,3 +96,20 @@ FROM limited l LEFT JOIN before k ON k.episode_id = l.episode_id""", UNIQUE, EAR
     "judged_early AS (SELECT j.* FROM judged j JOIN known n ON n.item_pos = j.item_pos)", _LIMITED))
 def weekly_run_by_score(spark, sf):
     return _two_runs(spark, sf, S)
+
+
+@query("weekly_report", with_episodes("""
+SELECT week_id, count(*) AS items, '总计扫描：' || count(*) || '期节目' AS total_line, '覆盖播客：' || count(DISTINCT podcast_id) || '个' AS feeds_line,
+  count(*) FILTER (decision <> 'skip') AS shown, count(*) FILTER (decision = 'skip') AS reasons
+FROM screened GROUP BY week_id""", *SCREENED))
+def weekly_report(spark, sf):
+    """What the stored report of a run with translation says of every week."""
+    eps = episodes(spark, sf)
+    hosts = feed_config(spark, sf).select(F.col("name").alias("podcast_name"), F.concat(F.lit("Host "), F.col("id")).alias("host"))
+    root = new_folder(spark, "weekly")
+    run_week(eps, P, hosts, root, "2024-02-05", translate.mock_translate)
+    lines = spark.read.schema("line_no bigint, line string, week_id string, run_id string").parquet(f"{root}/report")
+    line = F.col("line")
+    return lines.groupBy("week_id").agg(
+        F.count_if(line.startswith("### Show ")).alias("items"), F.max(F.when(line.startswith("总计扫描："), line)).alias("total_line"), F.max(F.when(line.startswith("覆盖播客："), line)).alias("feeds_line"),
+        F.count_if(line.startswith("### ") & line.rlike("分 \\| (Full|Preview)$")).alias("shown"), F.count_if(line.startswith("**跳过理由：**")).alias("reasons"))

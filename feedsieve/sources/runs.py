@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import os
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,27 +71,134 @@ def write_cache_entries(entries: DataFrame, path: str) -> None:
     entries.filter(F.col("status").isin("ok", "partial_ok")).write.mode("append").parquet(path)
 
 
-def write_version(rows: DataFrame, root: str, version: int) -> str:
-    """Write a state table as a new version; readers follow `current_version`."""
-    path = f"{root}/v={version:08d}"
-    rows.write.mode("overwrite").parquet(path)
-    rows.sparkSession.range(1).select(F.lit(version).alias("version")).write.mode("append").parquet(f"{root}-versions")
-    return path
+def replace_rows(rows: DataFrame, path: str, keys: list[str]) -> None:
+    """Write a table partitioned by `keys`; partitions that the rows name are replaced, the others stay."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
-def current_version(spark: SparkSession, root: str) -> int | None:
-    """Latest complete version, or None. One bounded aggregate, one row to the driver."""
+class VersionConflict(Exception):
+    """Another writer has committed the version first."""
+
+
+def _store(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def _create_once(spark: SparkSession, path: str, content: str) -> bool:
+    """Create a small file whole, unless there is one; of several writers exactly one succeeds.
+
+    Written under another name first. A local file gets its final name by a link, which fails where the name is taken; elsewhere
+    the store's rename must refuse an existing target, as that of HDFS does.
+    """
+    fs, final = _store(spark, path)
+    draft = f"{path}.{uuid.uuid4().hex}"
+    if fs.getScheme() == "file":
+        end, start = final.toUri().getPath(), spark._jvm.org.apache.hadoop.fs.Path(draft).toUri().getPath()
+        os.makedirs(os.path.dirname(end), exist_ok=True)
+        with open(start, "w", encoding="utf-8") as out:
+            out.write(content)
+            out.flush()
+            os.fsync(out.fileno())
+        try:
+            os.link(start, end)
+        except FileExistsError:
+            return False
+        finally:
+            os.unlink(start)
+        return True
+    start = spark._jvm.org.apache.hadoop.fs.Path(draft)
+    fs.mkdirs(final.getParent())
+    out = fs.create(start, False)
+    out.write(bytearray(content.encode()))
+    out.close()
+    done = not fs.exists(final) and fs.rename(start, final)
+    if not done:
+        fs.delete(start, False)
+    return bool(done)
+
+
+def _commits(spark: SparkSession, root: str) -> list[int]:
+    """Committed versions, newest first."""
+    fs, folder = _store(spark, f"{root}/_commits")
+    if not fs.exists(folder):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(folder)]
+    return sorted((int(n) for n in names if n.isdigit()), reverse=True)
+
+
+def _commit(spark: SparkSession, root: str, version: int) -> dict:
+    fs, path = _store(spark, f"{root}/_commits/{version:08d}")
+    stream = fs.open(path)
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def commit_version(spark: SparkSession, root: str, version: int, **facts) -> None:
+    """Make a version of the state at `root` valid, with facts about it; VersionConflict if it already is."""
+    if not _create_once(spark, f"{root}/_commits/{version:08d}", json.dumps(facts)):
+        raise VersionConflict(f"{root}: version {version} is committed already")
+
+
+def write_version(rows: DataFrame, root: str, version: int, token: str = "") -> str:
+    """Write a state table as a new version and commit it; readers follow `current_version`.
+
+    The rows go to a folder of their own, which counts only once the commit file of the version exists. That file is created
+    whole and once, so of two writers of one version the second gets a VersionConflict and its folder goes. `token` names the
+    run that wrote the version (see `version_of`).
+    """
+    spark = rows.sparkSession
+    folder = f"v={version:08d}-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{root}/{folder}")
     try:
-        row = spark.read.schema("version int").parquet(f"{root}-versions").agg(F.max("version")).first()
-    except Exception as missing:  # no version was ever written
-        if "PATH_NOT_FOUND" in str(missing):
-            return None
+        commit_version(spark, root, version, folder=folder, token=token)
+    except VersionConflict:
+        fs, path = _store(spark, f"{root}/{folder}")
+        fs.delete(path, True)
         raise
-    return row[0] if row else None
+    return f"{root}/{folder}"
+
+
+def current_version(spark: SparkSession, root: str) -> int | None:
+    """Latest committed version, or None."""
+    done = _commits(spark, root)
+    return done[0] if done else None
+
+
+def version_facts(spark: SparkSession, root: str, version: int) -> dict:
+    """What was committed with a version."""
+    return _commit(spark, root, version)
 
 
-def read_version(spark: SparkSession, root: str, schema) -> DataFrame:
-    version = current_version(spark, root)
-    if version is None:
+def version_of(spark: SparkSession, root: str, token: str) -> int | None:
+    """The version that the run named `token` committed, or None. Looks from the newest on."""
+    return next((v for v in _commits(spark, root) if _commit(spark, root, v).get("token") == token), None)
+
+
+def read_version(spark: SparkSession, root: str, schema, version: int | None = None) -> DataFrame:
+    """The latest version, or a given one (0: the state before the first)."""
+    version = current_version(spark, root) if version is None else version
+    if not version:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{root}/v={version:08d}")
+    return spark.read.schema(schema).parquet(f"{root}/{_commit(spark, root, version)['folder']}")
+
+
+def update_version(spark: SparkSession, root: str, schema, change: Callable[[DataFrame], DataFrame], token: str = "", attempts: int = 20) -> int:
+    """Commit `change(state)` as the next version, on top of whatever other writers commit meanwhile.
+
+    A writer that comes second reads the new state and applies its change again, so no update is lost. A run that is
+    repeated with its `token` changes nothing if it was committed. Returns the version.
+    """
+    for _ in range(attempts):
+        done = version_of(spark, root, token) if token else None
+        if done:
+            return done
+        base = current_version(spark, root) or 0
+        try:
+            write_version(change(read_version(spark, root, schema, base)), root, base + 1, token)
+            return base + 1
+        except VersionConflict:
+            continue
+    raise VersionConflict(f"{root}: no commit in {attempts} attempts")
