@@ -15,7 +15,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-DROPPED = frozenset("head script style noscript template iframe object svg math canvas audio video nav footer aside button select option textarea input menu xmp noembed noframes title".split())
+DROPPED = frozenset("head script style noscript template iframe object svg canvas audio video nav footer aside button select option textarea input menu xmp noembed noframes title".split())
+FLOWING = INLINE | frozenset("svg math canvas audio video object select button meter progress output script style noscript template iframe textarea picture embed".split())  # stand inside a sentence
+WITHIN = frozenset("svg math select audio video object canvas".split())  # what they hold stands there too
+SENTENCES = frozenset("p li td th dd dt h1 h2 h3 h4 h5 h6 blockquote figcaption caption pre".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search alert menu menubar toolbar".split())
 DROPPED_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored sponsors promo promotion comment comments commentlist disqus respond replies reply "
@@ -24,6 +27,11 @@ DROPPED_WORDS = frozenset(
 FORMS = frozenset("form fieldset dialog alertdialog".split())  # elements or roles
 COMMENT_WORDS = frozenset("comment comments commentlist disqus respond replies reply".split())
 COMMENT_PARTS = COMMENT_WORDS | frozenset("list area section body content form thread".split())
+# Words that with those above make a name no less whole.
+LAYOUT_WORDS = frozenset(
+    "list area section container wrapper wrap box block inner outer item items bar button buttons icon icons link links left right top bottom header user users slot unit panel column col row group "
+    "post posts article articles site module zone region form thread body".split())
+NAME_WORDS = DROPPED_WORDS | LAYOUT_WORDS
 SIBLINGS = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr td th", {"table"}), "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"}),
             "tbody": ("thead tbody tfoot tr td th", {"table"}), "tfoot": ("thead tbody tfoot tr td th", {"table"}), "option": ("option", {"select"})}
 SCOPES = frozenset("table td th caption button object template html".split())
@@ -40,23 +48,31 @@ class _Page:
     def __init__(self, html: str) -> None:
         self.tag, self.parent, self.dropped, self.main = ["#page"], [-1], [False], [False]
         self.outer = [False]  # article and main elements that are in none
-        self.named = [0]  # by a part of class or id, or a form: 1, by a whole class or id: 2, as comments: 3
+        self.named = [0]  # by a part of class or id: 1, by a whole class or id, or a form: 2, as comments: 3
+        self.article = [0]  # outermost article around the element, itself included
+        self.flowing, self.within = [False], [False]  # ends no sentence; and neither does what it holds
         self.pieces: list[tuple[int, str | None]] = []  # None: a block ends or begins
         self._read(html)
 
     def _open(self, tag: str, attributes: str, parent: int, in_article: bool) -> int:
         found = {k.lower(): (v or "").strip("\"'").lower() for k, v in _ATTRIBUTE.findall(attributes)} if attributes.strip("/ \n") else {}
         main = tag in ("article", "main") or found.get("role") == "main" or found.get("itemprop") == "articlebody"
-        drop = tag in DROPPED or tag == "header" and not in_article or found.get("role") in DROPPED_ROLES or "hidden" in found or found.get("aria-hidden") == "true" or bool(_HIDDEN.search(found.get("style", "")))
+        button = tag == "button" and self._sentence(parent)
+        drop = tag in DROPPED and not button or tag == "header" and not in_article or found.get("role") in DROPPED_ROLES or "hidden" in found or found.get("aria-hidden") == "true" or bool(_HIDDEN.search(found.get("style", "")))
         named = 0
         if not drop and tag not in ("html", "body"):
             own = [_WORDS.findall(name) for name in (found.get("class", "") + " " + found.get("id", "")).split()]
             if any(not COMMENT_WORDS.isdisjoint(words) and COMMENT_PARTS.issuperset(words) for words in own):
                 named = 3
             elif tag not in ("article", "main") or in_article:
-                whole = any(len(words) == 1 and words[0] in DROPPED_WORDS for words in own)
-                named = 2 if whole else int(tag in FORMS or found.get("role") in FORMS or any(not DROPPED_WORDS.isdisjoint(words) for words in own))
+                bad = [words for words in own if not DROPPED_WORDS.isdisjoint(words)]
+                whole = tag in FORMS or found.get("role") in FORMS or any(NAME_WORDS.issuperset(words) for words in bad)
+                # Inside an article a name of which only a part says so says something else.
+                named = 2 if whole else int(bool(bad) and not self.article[parent])
         self.named.append(named)
+        self.article.append(self.article[parent] or (len(self.tag) if tag == "article" or found.get("itemprop") == "articlebody" else 0))
+        self.within.append(self.within[parent] or tag in WITHIN)
+        self.flowing.append(tag in FLOWING or self.within[parent])
         self.tag.append(tag)
         self.parent.append(parent)
         self.dropped.append(drop or self.dropped[parent])
@@ -64,6 +80,12 @@ class _Page:
         self.outer.append(tag in ("article", "main") and not in_article)
         return len(self.tag) - 1
 
+    def _sentence(self, node: int) -> bool:
+        """Whether text at this place belongs to a paragraph, a list entry or the like."""
+        while node > 0 and self.tag[node] in INLINE:
+            node = self.parent[node]
+        return self.tag[node] in SENTENCES
+
     def _read(self, html: str) -> None:
         stack, open_tags, articles, at, end = [0], {}, 0, 0, len(html)
 
@@ -73,7 +95,7 @@ class _Page:
                 node = stack.pop()
                 open_tags[self.tag[node]] -= 1
                 articles -= self.main[node]
-                if self.tag[node] not in INLINE:
+                if not self.flowing[node]:
                     self.pieces.append((node, None))
 
         def close_to(names: tuple[str, ...], stops: frozenset | set) -> None:
@@ -112,7 +134,7 @@ class _Page:
                     if len(stack) == before:
                         break
             node = self._open(tag, attributes, stack[-1], articles > 0)
-            if tag not in INLINE:
+            if not self.flowing[node]:
                 self.pieces.append((node, None))
             elif tag == "br":
                 self.pieces.append((node, "\n"))
@@ -129,9 +151,10 @@ class _Page:
 def _drop_named(page: _Page, chars: list[int], linked: list[int]) -> bool:
     """Drops what a name or a form sets apart; True if nothing were left then, and so nothing is dropped.
 
-    What holds the largest marked article or main element, or most of the page's characters outside links (comments not
-    counted), stays, as its name tells of something else there; where anything is marked, the latter only if no class or
-    id as a whole names it. Articles that are in none stay for the search, but those named as comments are no marks.
+    What holds the largest marked article or main element stays, as its name tells of something else there, and so does what
+    holds most of the characters outside links (comments not counted) of the article that it lies in, or of the page if
+    nothing is marked. Beside a mark nothing that is named stays, however large. Articles that are in none stay for the
+    search, but those named as comments are no marks.
     """
     n = len(chars)
     size = [0 if page.dropped[i] else chars[i] - linked[i] for i in range(n)]
@@ -140,7 +163,8 @@ def _drop_named(page: _Page, chars: list[int], linked: list[int]) -> bool:
             size[page.parent[i]] += size[i]
     page.main = [page.main[i] and page.named[i] < 3 for i in range(n)]
     marks = [i for i in range(1, n) if page.main[i] and size[i]]
-    stays = [page.outer[i] or (0 < page.named[i] < (2 if marks else 3) and 2 * size[i] > size[0]) for i in range(n)]
+    whole = [page.article[page.parent[i]] if i and marks else 0 for i in range(n)]
+    stays = [page.outer[i] or (0 < page.named[i] < 3 and (whole[i] > 0 or not marks) and 2 * size[i] > size[whole[i]]) for i in range(n)]
     for some in ([i for i in marks if page.tag[i] == "article"], [i for i in marks if page.tag[i] != "article"]):
         i = max(some, key=lambda i: (size[i], -i), default=0)
         while i > 0:

@@ -118,6 +118,37 @@ def test_quantisation_bound_holds():
     assert (np.abs(product - x @ x.T) <= e[:, None] + (1 + e[:, None]) * e + 1e-12).all()
 
 
+@pytest.mark.parametrize("name", ("cookie-consent", "sidebar-left", "user-comment", "cookie", "gdpr-banner fixed", "related-posts", "newsletter-signup-box"))
+@pytest.mark.parametrize("n", (1, 7, 24, 80))
+def test_named_parts_beside_an_article_never_stay(name, n):
+    story = [f"Paragraph {i} is a paragraph with a good many words, as stories have them." for i in range(5)]
+    article = "<article><h1>Title</h1>" + "".join(f"<p>{p}</p>" for p in story) + "</article>"
+    other = f'<div class="{name}">' + "".join(f"<p>Line {i} of what is not the article, long enough to look like one.</p>" for i in range(n)) + "</div>"
+    for page in (f"<body>{other}{article}</body>", f"<body><div>{article}{other}</div></body>", f"<body><main>{article}{other}</main></body>", f"<body><form>{article}</form>{other}</body>"):
+        assert pages.main_text(page).split("\n") == ["Title", *story]
+    # Inside the article too, but for most of it.
+    if n < 5:
+        assert pages.main_text(f"<body>{article.replace('</article>', other + '</article>')}</body>").split("\n") == ["Title", *story]
+
+
+def test_names_and_elements_inside_an_article():
+    story = [f"Paragraph {i} is a paragraph with a good many words, as stories have them." for i in range(5)]
+    body = "".join(f"<p>{p}</p>" for p in story)
+    for name in ("related-work", "notice-period", "share-price", "search-engine", "comment-on-law", "ad-hoc"):
+        for tag in ("div", "p", "section"):
+            got = pages.main_text(f'<body><nav><a href=x>Home</a></nav><article>{body}<{tag} class="{name}">What it says of its subject.</{tag}></article></body>')
+            assert got.split("\n") == [*story, "What it says of its subject."], name
+    inside = {"Water is H<math><msub><mi></mi><mn>2</mn></msub></math>O, press <button>Go</button> for more.": "Water is H2O, press Go for more.",
+              "An <svg><title>x</title><path d=1/><text>no</text></svg>icon, <audio src=a>none</audio>a tune, <select><option>1<option>2</select> the end.": "An icon, a tune, the end.",
+              "One <script>var a;</script>sentence <noscript>no</noscript>stays <video><source src=b>none</video>whole.": "One sentence stays whole."}
+    for html, text in inside.items():
+        assert pages.main_text(f"<body><article>{body}<p>{html}</p></article></body>").split("\n") == [*story, text]
+    got = pages.main_text(f"<body><article>{body}<button>Share this</button><form>Mail <button>Send</button></form></article></body>")
+    assert got.split("\n") == story
+    # What holds most of the article is the article, whatever its name.
+    assert pages.main_text(f'<body><article><h1>T</h1><div class="newsletter-body">{body}</div></article></body>').split("\n") == ["T", *story]
+
+
 def test_label_model_finds_accuracies():
     r = random.Random(3)
     counts = collections.Counter()
