@@ -110,10 +110,16 @@ def _words(data: np.ndarray, offsets: np.ndarray, lower: bool):
     inner = offsets[(offsets > 0) & (offsets < len(data))]
     before[inner], after[inner - 1] = True, True
     starts, ends = np.flatnonzero(solid & before), np.flatnonzero(solid & after) + 1
-    up, down = _powers(_BASE, len(data) + 1)
-    total = np.zeros(len(data) + 1, U64)
-    np.cumsum(BYTE[_LOWER[data] if lower else data] * up[: len(data)], out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * down[starts])
+    # Each byte counts by a hash of itself and its place in the word: unlike powers of a base, these have no pattern that
+    # two different words could share.
+    size = ends - starts
+    solid = np.flatnonzero(solid)
+    place = np.arange(len(solid)) - np.repeat(np.cumsum(size) - size, size)
+    byte = data[solid]
+    total = np.zeros(len(solid) + 1, U64)
+    np.cumsum(mix(BYTE[_LOWER[byte] if lower else byte] ^ (place.astype(U64) * _BASE)), out=total[1:])
+    upto = np.cumsum(size)
+    hashes = mix(total[upto] - total[upto - size])
     return hashes, starts, ends, np.searchsorted(starts, offsets)
 
 

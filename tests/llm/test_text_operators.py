@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 import brute
@@ -174,3 +175,26 @@ def test_starts_are_all_that_cover_enough(spark):
 def test_decontamination_of_nothing(spark, docs, none):
     assert benchmark.contaminated(none, spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")).count() == 0
     assert benchmark.contaminated(docs, spark.createDataFrame([], "item_id long, text string")).count() == 0
+
+
+def thue_morse(n, a="a", b="b"):
+    return "".join(a if bin(i).count("1") % 2 == 0 else b for i in range(n))
+
+
+def test_words_of_equal_digit_sums_differ(spark):
+    """Words whose hashes by powers of any odd base agree modulo 2**64."""
+    import numpy as np
+
+    for n in (1024, 2048, 4096):
+        one, two = thue_morse(n), thue_morse(n, "b", "a")
+        data, offsets = K.binary(pa.array([one, two, one]))
+        h = K.words(data, offsets)[0]
+        assert h[0] != h[1] and h[0] == h[2]
+        docs = spark.createDataFrame([(1, one), (2, two), (3, "same " * 49 + one), (4, "same " * 49 + two)], "doc_id long, text string")
+        assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs.where("doc_id < 3")).collect()} == {1: 1, 2: 2}
+        if n == 1024:
+            assert {r.doc_id: r.n_removed for r in substrings.remove_repeated_windows(docs).collect()} == dict.fromkeys(range(1, 5), 0)
+    rng = np.random.default_rng(1)
+    words = ["".join(rng.choice(list("ab"), rng.integers(1, 12))) for _ in range(3000)] + ["x" * k for k in range(1, 400)]
+    data, offsets = K.binary(pa.array([" ".join(words)]))
+    assert len(set(K.words(data, offsets)[0].tolist())) == len(set(words))
