@@ -52,14 +52,32 @@ def exclude_hosts(names: DataFrame, hosts: DataFrame) -> DataFrame:
     return with_host_flag(names, hosts).filter(~F.col("is_host")).drop("is_host")
 
 
+def _rarest(texts: DataFrame, counts: DataFrame, column: str) -> DataFrame:
+    """Each text of (podcast_name, column) with the one of its grams that the fewest hosts of its feed have.
+
+    Texts with a gram that no host has are left out: no host holds them.
+    """
+    grams = texts.select("podcast_name", column, F.explode(_grams(F.col(column), 3)).alias("k")).join(counts, ["podcast_name", "k"], "left")
+    best = grams.groupBy("podcast_name", column).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "k")).alias("best"))
+    return best.where("best.n > 0").select("podcast_name", column, F.col("best.k").alias("k"))
+
+
 def with_host_flag(names: DataFrame, hosts: DataFrame) -> DataFrame:
-    """Names flagged as hosts. Distinct names and hosts of a feed meet by equality, or where one holds the other's first three letters."""
+    """Names flagged as hosts: those that equal, contain or are contained in a host of the same feed (3 characters or more).
+
+    Distinct names and hosts of a feed meet by equality and by grams of three letters. How many hosts of the feed have a gram is
+    counted first: where a name holds a host, all grams of the name meet that one of the host which the fewest hosts have; where
+    a host holds a name, all grams of the host meet that one of the name. So a beginning or a surname that many hosts
+    share brings nothing together.
+    """
     mine = names.select("podcast_name", F.lower(strip(F.col("name"))).alias("_low")).distinct()
     theirs = hosts.select("podcast_name", F.lower(F.trim("host")).alias("_host")).distinct()
-    lead = lambda c: F.when(F.length(c) >= 3, F.left(c, F.lit(3)))
+    grams = materialize(theirs.select("podcast_name", "_host", F.explode(_grams(F.col("_host"), 3)).alias("k")), "host-grams")
+    counts = materialize(grams.groupBy("podcast_name", "k").agg(F.count("*").alias("n")), "host-gram-counts")
     equal = mine.join(theirs.withColumnRenamed("_host", "_low"), ["podcast_name", "_low"])
-    holds = mine.withColumn("k", F.explode(_grams(F.col("_low"), 3))).join(theirs.withColumn("k", lead(F.col("_host"))), ["podcast_name", "k"]).filter(F.contains("_low", F.col("_host")))
-    held = mine.withColumn("k", lead(F.col("_low"))).join(theirs.withColumn("k", F.explode(_grams(F.col("_host"), 3))), ["podcast_name", "k"]).filter(F.contains("_host", F.col("_low")))
+    asked = mine.select("podcast_name", "_low", F.explode(_grams(F.col("_low"), 3)).alias("k"))
+    holds = asked.join(_rarest(theirs, counts, "_host"), ["podcast_name", "k"]).filter(F.contains("_low", F.col("_host")))
+    held = _rarest(mine, counts, "_low").join(grams, ["podcast_name", "k"]).filter(F.contains("_host", F.col("_low")))
     found = equal.unionByName(holds.select("podcast_name", "_low")).unionByName(held.select("podcast_name", "_low")).distinct().withColumn("_found", F.lit(True))
     flagged = names.withColumn("_low", F.lower(strip(F.col("name")))).join(found, ["podcast_name", "_low"], "left")
     return flagged.withColumn("is_host", F.coalesce("_found", F.lit(False))).drop("_found", "_low")

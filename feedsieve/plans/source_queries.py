@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from feedsieve import schemas
 from feedsieve.plans import sql as q
-from feedsieve.plans.adapters import feed_config, FEEDS, landed_bodies, lite_decisions, table, with_episodes, with_lite
+from feedsieve.plans.adapters import episodes, feed_config, FEEDS, landed_bodies, lite_decisions, table, with_episodes, with_lite
 from feedsieve.plans.catalog import query
 from feedsieve.session import new_folder
 from feedsieve.sources import feeds, runs
@@ -108,3 +108,50 @@ def run_bucket_lookup(spark, sf):
 @query("scan_binary_digests")
 def scan_binary_digests(spark, sf):
     return feeds.scan_binary_digests(spark, sf, "*.parquet")
+
+
+# One body per document: whole, or broken in a way that its number tells.
+_DAMAGE = "doc_id % 7"
+
+
+def damaged_bodies(spark, sf):
+    d, item = F.col("doc_id") % 7, F.concat(F.lit("<item><title>T"), F.col("doc_id").cast("string"), F.lit("</title><description>"), F.replace("text", F.lit("<"), F.lit(" ")), F.lit("</description></item>"))
+    page = F.concat(F.lit('<script type="application/ld+json">'), F.to_json(F.struct(F.array(F.struct(F.col("text").alias("name"))).alias("workExample"))), F.lit("</script>"))
+    body = (F.when(d == 0, F.concat(F.lit("<rss>"), item, item, F.lit("</rss>"))).when(d == 1, "").when(d == 2, F.concat(F.lit("<rss>"), item, F.lit("<item><title>cut"))).when(d == 3, "<rss><channel></channel></rss>")
+            .when(d == 4, page).when(d == 5, F.concat(F.left(page, F.lit(60)), F.lit("</script>"))).otherwise("<html>no script</html>"))
+    return table(spark, sf, "documents").select(F.concat(F.lit("Show "), F.col("source")).alias("podcast_name"), F.when(d >= 4, "html_jsonld").otherwise("rss").alias("feed_type"), body.alias("body"))
+
+
+@query("feed_errors", f"""
+WITH {FEEDS.strip()},
+d AS (SELECT 'Show ' || source AS name, [NULL, 'empty body', 'unfinished item', 'no items', NULL, 'broken data script', 'no data script'][{_DAMAGE} + 1] AS reason FROM documents WHERE source <> 'src1')
+SELECT name, reason, count(*) AS bodies FROM d WHERE reason IS NOT NULL GROUP BY name, reason
+UNION ALL SELECT name, 'nothing landed', 0 FROM feeds WHERE rss_url <> '' AND name NOT IN (SELECT name FROM d)""")
+def feed_errors(spark, sf):
+    bodies = damaged_bodies(spark, sf).where("podcast_name <> 'Show src1'")
+    return feeds.feed_errors(feed_config(spark, sf), bodies)
+
+
+@query("feed_items_beside_errors", f"""
+SELECT 'Show ' || source AS podcast_name, sum(CASE {_DAMAGE} WHEN 0 THEN 2 WHEN 2 THEN 1 WHEN 4 THEN 1 ELSE 0 END)::BIGINT AS items FROM documents WHERE {_DAMAGE} IN (0, 2, 4) GROUP BY source""")
+def feed_items_beside_errors(spark, sf):
+    return feeds.scan_feeds_by_type(damaged_bodies(spark, sf)).groupBy("podcast_name").agg(F.count("*").alias("items"))
+
+
+@query("landed_week", with_episodes("SELECT item_pos, podcast_id FROM episodes WHERE pub_ts >= TIMESTAMP '2024-01-07 14:00:00' AND pub_ts < TIMESTAMP '2024-01-14 14:00:00'"))
+def landed_week(spark, sf):
+    path = new_folder(spark, "landed-items")
+    feeds.land_items(episodes(spark, sf, with_texts=False).select("item_pos", "podcast_id", "pub_ts"), path)
+    landed = feeds.read_landed(spark, path, "item_pos bigint, podcast_id string, pub_ts timestamp")
+    return feeds.landed_week(landed, *[F.lit(t).cast("timestamp") for t in ("2024-01-07 14:00:00", "2024-01-14 14:00:00")]).select("item_pos", "podcast_id")
+
+
+@query("landed_in_runs", with_episodes("SELECT item_pos, 'run_' || week_id AS run_id FROM episodes WHERE isoyear(week_start + INTERVAL 10 HOURS) = 2024 AND week(week_start + INTERVAL 10 HOURS) % 2 = 0"))
+def landed_in_runs(spark, sf):
+    """Items of every second week's run."""
+    path = new_folder(spark, "landed-items")
+    eps = episodes(spark, sf, with_texts=False).select("item_pos", "pub_ts", "week_start", "week_id")
+    feeds.land_items(eps.select("item_pos", "pub_ts"), path)
+    runs_ = eps.where("weekofyear(week_start + INTERVAL 10 HOURS) % 2 = 0").select(
+        F.concat(F.lit("run_"), "week_id").alias("run_id"), F.col("week_start").alias("window_start"), (F.col("week_start") + F.expr("INTERVAL 7 DAYS")).alias("window_end")).distinct()
+    return feeds.landed_in_runs(feeds.read_landed(spark, path, "item_pos bigint, pub_ts timestamp"), runs_).select("item_pos", "run_id")

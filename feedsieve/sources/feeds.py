@@ -96,6 +96,73 @@ def scan_feeds_by_type(bodies: DataFrame) -> DataFrame:
     return scan_feed_items(bodies.filter(~F.coalesce(is_page, F.lit(False)))).unionByName(scan_jsonld_items(bodies.filter(is_page)))
 
 
+PAGE_TYPES = ("apple_jsonld", "html_jsonld")
+_CHECKED_PAGE = "workExample array<struct<name:string>>, broken string"
+
+
+def failure_of(body: Column, feed_type: Column) -> Column:
+    """Why a landed body gives no items, or loses some; null if it gives all it has."""
+    empty = strip(F.coalesce(body, F.lit(""))) == ""
+    # Items that begin, and items that are whole: one that never ends swallows the next one's end.
+    begun, whole = F.regexp_count(body, F.lit("<item>")), F.regexp_count(body, F.lit(ITEM))
+    feed = F.when(begun == 0, "no items").when(whole < begun, "unfinished item")
+    script = F.regexp_extract(body, JSONLD_SCRIPT, 1)
+    page = F.from_json(script, _CHECKED_PAGE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"})
+    listed = F.coalesce(F.size(F.filter(page["workExample"], lambda e: e.isNotNull())), F.lit(0))
+    paged = F.when(script == "", "no data script").when(page["broken"].isNotNull(), "broken data script").when(listed <= 0, "no items")
+    return F.when(empty, "empty body").otherwise(F.when(F.coalesce(feed_type.isin(*PAGE_TYPES), F.lit(False)), paged).otherwise(feed))
+
+
+def quarantine(bodies: DataFrame) -> DataFrame:
+    """The bodies (podcast_name, feed_type, body, ...) that fail, whole, each with its reason.
+
+    One pass over the bodies, no join; the other feeds' items come from `scan_feeds_by_type` as if these were not there. What
+    an unfinished body still gives is among them.
+    """
+    return bodies.withColumn("reason", failure_of(F.col("body"), F.col("feed_type"))).where("reason IS NOT NULL").withColumnRenamed("body", "corrupt_record")
+
+
+def feed_errors(registry: DataFrame, bodies: DataFrame) -> DataFrame:
+    """(name, reason, bodies) for each registered feed that gives fewer items than it should: reasons of `quarantine`, and
+    feeds with an address of which nothing landed. Feeds that are not in the registry are reported by their name too."""
+    failed = quarantine(bodies).groupBy(F.col("podcast_name").alias("name"), "reason").agg(F.count("*").alias("bodies"))
+    landed = bodies.select(F.col("podcast_name").alias("name")).distinct()
+    missing = scan_feed_registry(registry).join(landed, "name", "left_anti").select("name", F.lit("nothing landed").alias("reason"), F.lit(0).cast("bigint").alias("bodies"))
+    return failed.unionByName(missing)
+
+
+def land_items(items: DataFrame, path: str, ts: str = "pub_ts", files: int = 4) -> None:
+    """Store items by day of publication (`pub_day`), for scans by week; days that the items name are replaced.
+
+    A day's items are dealt to a few files, so that a day with very many is not one task. Items without a time lie in a
+    part of their own, which every scan by time skips.
+    """
+    spread = F.pmod(F.xxhash64(*items.columns), F.lit(files))
+    rows = items.withColumn("pub_day", F.to_date(ts)).withColumn("_part", spread).repartition("pub_day", "_part").drop("_part")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("pub_day").parquet(path)
+
+
+def read_landed(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(f"{schema}, pub_day date").parquet(path)
+
+
+def landed_week(landed: DataFrame, start: Column, end: Column, ts: str = "pub_ts") -> DataFrame:
+    """Items of `read_landed` inside [start, end): only the days of the window are listed and read."""
+    days = (F.col("pub_day") >= F.to_date(start)) & (F.col("pub_day") <= F.to_date(end))
+    return landed.where(days & (F.col(ts) >= start) & (F.col(ts) < end)).drop("pub_day")
+
+
+def landed_in_runs(landed: DataFrame, runs: DataFrame, ts: str = "pub_ts") -> DataFrame:
+    """Items of `read_landed` with the run (run_id, window_start, window_end) in whose window they lie.
+
+    Runs are listed by the days they span, a few rows each, and meet the items on the day: the days that some run spans prune the
+    items' folders while the query runs.
+    """
+    days = runs.select("run_id", "window_start", "window_end", F.explode(F.sequence(F.to_date("window_start"), F.to_date("window_end"))).alias("pub_day"))
+    joined = landed.join(days, "pub_day").where((F.col(ts) >= F.col("window_start")) & (F.col(ts) < F.col("window_end")))
+    return joined.drop("pub_day", "window_start", "window_end")
+
+
 def scan_xml_items(spark: SparkSession, path: str) -> DataFrame:
     """Well-formed feed files through the XML reader; every field stays text."""
     names = ("title", "pubDate", "itunes:duration", "description", "content:encoded", "itunes:summary", "itunes:subtitle", "guid")
