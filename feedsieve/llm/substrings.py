@@ -1,4 +1,4 @@
-"""Repeated word windows across documents, found behind an exact prefilter by anchors."""
+"""Repeated word windows across documents, found behind a count-min sketch of their anchors."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedsieve.llm import kernels as K
@@ -15,7 +15,9 @@ from feedsieve.llm.common import row_key
 from feedsieve.session import materialize
 
 WINDOW = 50
-ANCHOR = 16  # words of the hash that addresses a window's sketch cell
+ANCHOR = 16  # words of the hash that addresses a window's counters
+DEPTH = 2  # counter rows of the sketch
+ROOM = 16  # counters in each row per anchor of a document: a lone anchor is estimated repeated in about 1 of 260 cases
 
 _SCAN = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string()),
                    ("cells", pa.list_(pa.int64())), ("runs", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
@@ -115,15 +117,39 @@ def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {names[str(f.type)]}" for f in schema)
 
 
-def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+def _counters(cell: str, width: int, depth: int) -> list[Column]:
+    """The counter of a cell in each row of the sketch, numbered through all rows."""
+    return [F.pmod(F.xxhash64(cell, F.lit(i)), F.lit(width)) + F.lit(i * width) for i in range(depth)]
+
+
+def sketch(cells: DataFrame, width: int, depth: int = DEPTH) -> DataFrame:
+    """Counters of a count-min sketch over `cells` (cells: the different cells of one document) that exceed one.
+
+    Each partition adds up its own counters before the shuffle and the partitions' sums are added after it. `depth` rows of
+    `width` counters are stored sparsely, without those that are 0, so no task holds a whole row.
+    """
+    each = cells.select(F.explode("cells").alias("cell")).select(F.explode(F.array(*_counters("cell", width, depth))).alias("counter"))
+    return each.groupBy("counter").agg(F.count("*").alias("n")).where("n > 1").select("counter")
+
+
+def estimated_repeated(runs: DataFrame, counters: DataFrame, width: int, depth: int = DEPTH) -> DataFrame:
+    """Rows of `runs` (cell, ...) all of whose counters exceed one: the smallest is the estimate."""
+    for i, counter in enumerate(_counters("cell", width, depth)):
+        mine = counters.where((F.col("counter") >= i * width) & (F.col("counter") < (i + 1) * width))
+        runs = runs.withColumn("counter", counter).join(mine, "counter", "left_semi").drop("counter")
+    return runs
+
+
+def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, width: int | None = None) -> DataFrame:
     """Words of `docs` (doc_id, text) covered by a window that also starts in a document with a smaller doc_id.
 
     Returns doc_id, n_words, n_removed and kept_sha256, one row per input row; windows are judged on the input.
 
-    Prefilter, exact, in place of a count-min sketch: windows are grouped by the cell of their smallest `anchor`-word hash,
-    which all equal windows share, with the smallest and largest doc_id. A cell seen in one document only proves its
-    windows unrepeated. There are as many cells as different anchors.
-    Second pass, exact, over the others: consecutive windows with one anchor travel as one run; a run whose whole
+    Prefilter: a count-min sketch counts, for the smallest `anchor`-word hash of each window, which all equal windows
+    share, the documents that hold it. Counters only overestimate, so a window with an estimate of one is not repeated in
+    another document. Its rows have `width` counters, by default `ROOM` times the anchors of all documents; a smaller
+    width costs time and changes no result.
+    Second pass, exact, over the windows estimated repeated: consecutive windows with one anchor travel as one run; a run whose whole
     content starts in a smaller document is covered, and only the rest is grouped window by window.
 
     Null text: no words. Fewer words than a window: nothing removed. Null doc_id: neither smaller nor larger than
@@ -132,9 +158,12 @@ def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int =
     """
     rows = docs.select("doc_id", row_key("doc_id", "text").alias("row"), "text")
     scan = materialize(rows.mapInArrow(_scan(window, anchor), _ddl(_SCAN)), "windows-scan")
-    runs = scan.where("doc_id IS NOT NULL AND size(cells) > 0").select("doc_id", "row", F.inline(F.arrays_zip("cells", "runs", "starts", "counts"))).toDF("doc_id", "row", "cell", "run", "start", "count")
-    sketch = runs.groupBy("cell").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("cell")
-    runs = materialize(runs.join(materialize(sketch, "windows-sketch"), "cell"), "windows-runs")
+    held = scan.where("doc_id IS NOT NULL AND size(cells) > 0")
+    if width is None:
+        width = max(1, ROOM * (held.agg(F.sum(F.size("cells"))).first()[0] or 0))
+    counters = materialize(sketch(held.select(F.array_distinct("cells").alias("cells")), width), "windows-sketch")
+    runs = held.select("doc_id", "row", F.inline(F.arrays_zip("cells", "runs", "starts", "counts"))).toDF("doc_id", "row", "cell", "run", "start", "count")
+    runs = materialize(estimated_repeated(runs, counters, width), "windows-runs")
     firsts = materialize(runs.groupBy("run").agg(F.min("doc_id").alias("first")), "windows-firsts")
     runs = runs.join(firsts, "run").withColumn("whole", F.col("first") < F.col("doc_id"))
     spans = F.collect_set(F.when(F.col("whole"), F.struct("start", "count")))

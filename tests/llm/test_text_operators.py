@@ -1,9 +1,11 @@
 """Word, byte and shingle operators against brute force, with nulls, empty and long texts, ties, repeats and clashing names."""
 
+import collections
 import random
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import brute
 from feedsieve.llm import benchmark, bwt, jaccard, substrings, suffixes
@@ -55,6 +57,26 @@ def test_word_windows(docs, none):
     assert any(r[2] for r in got) and rows(substrings.remove_repeated_windows(none), "doc_id") == []
 
 
+@pytest.mark.parametrize("width", (1, 3, 200))
+def test_word_windows_with_a_small_sketch(docs, width):
+    """Counters that nearly all anchors share only let more windows through to the exact pass."""
+    got = rows(substrings.remove_repeated_windows(docs, width=width), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == sorted(brute.windows_removed(DOCS), key=repr)
+
+
+def test_sketch_never_underestimates(spark):
+    r = random.Random(5)
+    held = [(i, sorted({r.randrange(400) for _ in range(30)})) for i in range(40)]
+    cells = spark.createDataFrame(held, "row long, cells array<long>")
+    counts = collections.Counter(c for _, cs in held for c in cs)
+    runs = cells.select(F.explode("cells").alias("cell")).distinct()
+    repeated = {c for c, n in counts.items() if n > 1}
+    for width in (1, 50, 100_000):
+        kept = {x.cell for x in substrings.estimated_repeated(runs, substrings.sketch(cells, width), width).collect()}
+        assert repeated <= kept <= set(counts)
+    assert kept == repeated and len(repeated) < len(counts)
+
+
 @pytest.mark.parametrize(("many", "piece"), ((4096, 1 << 22), (1, 1 << 22), (4096, 150)))
 def test_byte_windows(docs, monkeypatch, many, piece):
     monkeypatch.setattr(suffixes, "MANY", many)
@@ -68,8 +90,6 @@ def test_byte_windows_of_nothing(none):
 
 
 def test_merged_transforms_equal_counting():
-    import collections
-
     import numpy as np
 
     for seed in range(25):
