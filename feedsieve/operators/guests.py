@@ -140,6 +140,38 @@ ROLE_PREFIXES = (
     "researcher", "substack writer", "writers", "writer", "traders", "trader", "authors", "author",
 )
 ALIASES = (("雨森", "戴雨森"), ("小鹏", "何小鹏"), ("马斯克", "埃隆·马斯克"), ("佩奇", "拉里·佩奇"), ("布林", "谢尔盖·布林"))
+# Reason by family (by pattern for the families "plain" and "title") and decision; {name} and {pattern} are filled in.
+REASONS = {
+    "alias/confirmed_guest": "中文姓名 + 英文别名格式识别为嘉宾",
+    "role_zh/confirmed_guest": "中文 role-before-name / 嘉宾介绍句识别为嘉宾",
+    "zh/rejected_host": "'{name}'是已知主播，跳过",
+    "zh/mentioned_entity": "'{name}'是历史人物/标题实体，不是嘉宾",
+    "zh/confirmed_guest": "匹配中文嘉宾短语「{pattern}」",
+    "zh_weak/rejected_host": "'{name}'是已知主播",
+    "zh_weak/possible_guest": "匹配「{pattern}」，但需要描述上下文确认",
+    "en/rejected_host": "'{name}'是已知主播，跳过",
+    "en/mentioned_entity": "'{name}'是标题实体/历史人物",
+    "en/confirmed_guest": "匹配英文嘉宾短语「{pattern}」",
+    "en_weak/confirmed_guest": "匹配「{pattern}」+描述确认",
+    "en_weak/possible_guest": "匹配「{pattern}」但需描述确认",
+    "desc_is_a/confirmed_guest": "描述格式「Name is a...」识别为嘉宾",
+    "desc_credentialed_is/confirmed_guest": "描述格式「Name, credentials, is...」识别为嘉宾",
+    "english_role_before_name/confirmed_guest": "英文 role-before-name 格式识别为嘉宾",
+    "english_appositive_multi_guest/confirmed_guest": "英文 appositive multi-guest 格式识别为嘉宾",
+    "english_coordinated_multi_guest/confirmed_guest": "英文 coordinated multi-guest 格式识别为嘉宾",
+    "english_bare_coordinated_multi_guest/confirmed_guest": "英文 bare coordinated multi-guest 格式识别为嘉宾",
+    "description_multi_speaker/confirmed_guest": "描述 multi-speaker 格式识别为嘉宾",
+    "zh_context/confirmed_guest": "中文描述格式「{pattern}」识别为嘉宾",
+    "zh_context/possible_guest": "匹配中文描述「{pattern}」，需进一步确认",
+    "feed/confirmed_guest": "来自 feed guests/contributors 字段",
+    "title_jre_mma/confirmed_guest": "标题 JRE MMA 格式识别为嘉宾",
+    "title_lex_format/confirmed_guest": "标题 Lex Fridman 格式识别为嘉宾",
+    "title_dash_guest/confirmed_guest": "标题明确嘉宾格式「{pattern}」",
+    "title_cn_num_name/confirmed_guest": "标题中文数字.名字格式识别为嘉宾",
+}
+SHORT_FOR = "（{short}为{name}的简称）"
+ONLY_MENTIONED = "标题出现'{name}'但无明确嘉宾标记"
+NOTHING_FOUND = "元数据中未发现明确嘉宾标记"
 DECISION_RANK = {"confirmed_guest": 4, "possible_guest": 3, "mentioned_entity": 2, "rejected_host": 1}
 
 
@@ -173,6 +205,10 @@ FAMILIES = (
 CANDIDATE = "array<struct<pattern_no:int,source_no:int,match_no:int,family:string,source:string,pattern:string,raw:string,matched_text:string,context:string>>"
 
 
+# Signs around a match and between its groups.
+MATCH, FIELD = "\x01", "\x02"
+
+
 def _uncaptured(pattern: str) -> str:
     return re.sub(r"(?<!\\)\((?!\?)", "(?:", pattern)
 
@@ -189,28 +225,26 @@ def _matches(family: Family, pattern: str, label: str, number: int, source: str,
     if family.after:
         full += rf"(?=([\s\S]{{0,{family.after}}}))"
 
-    def group(i: int, name: str) -> str:
-        return f"regexp_extract_all(x, {raw(flags + full)}, {i}) AS {name}"
-
-    parts = [group(0, "whole"), *[group(offset + g, f"g{g}") for g in range(1, family.groups + 1)]]
-    context = []
-    if family.before:
-        parts += [group(1, "l1"), group(2, "l2")]
-        context += ["m.l1", "m.l2"]
+    # The pattern runs once: each match is replaced by itself and its groups between signs, and cut out there.
+    groups = [0, *range(offset + 1, offset + family.groups + 1)]
+    context = [1, 2] if family.before else []
     if family.before or family.after:
-        context.append("m.whole")
+        context.append(0)
     if family.after:
-        parts.append(group(n_groups + 1, "r"))
-        context.append("m.r")
-    shown = f"concat({', '.join(context)})" if context else "''"
+        context.append(n_groups + 1)
+    groups += [g for g in context if g not in groups]
+    signed = MATCH + FIELD.join(f"${g}" for g in groups) + MATCH
+    marked = f"regexp_replace(x, {raw(flags + full)}, '{signed}')"
+    fields = f"transform(filter(split(marked, '{MATCH}', -1), (p, i) -> i % 2 = 1), p -> split(p, '{FIELD}', -1))"
+
+    def field(g: int) -> str:
+        return f"m[{groups.index(g)}]"
+
+    shown = f"concat({', '.join(field(g) for g in context)})" if context else "''"
     structs = ", ".join(
         f"named_struct('pattern_no', {number}, 'source_no', {source_no}, 'match_no', i * {family.groups} + {g}, 'family', '{family.name}', 'source', '{source}', "
-        f"'pattern', '{label}', 'raw', m.g{g}, 'matched_text', left(m.whole, {family.cut}), 'context', {shown})" for g in range(1, family.groups + 1))
-    names = ", ".join(p.rsplit(" AS ", 1)[0] for p in parts)
-    # arrays_zip of expressions names its fields by position.
-    for at, part in enumerate(parts):
-        structs = re.sub(rf"\bm\.{part.rsplit(' AS ', 1)[1]}\b", f"m.`{at}`", structs)
-    found = f"flatten(transform(arrays_zip({names}), (m, i) -> array({structs})))"
+        f"'pattern', '{label}', 'raw', {field(offset + g)}, 'matched_text', left({field(0)}, {family.cut}), 'context', {shown})" for g in range(1, family.groups + 1))
+    found = f"transform(array({marked}), marked -> flatten(transform({fields}, (m, i) -> array({structs}))))[0]"
     literal = needed_literal(re.sub(r"\\x\{[0-9a-f]+\}", ".", pattern)).lower()
     tests = [f"contains(low, {raw(literal)})"] if literal else []
     if label in GUARDS:
@@ -225,7 +259,8 @@ def _text_candidates(text: Column, source: str, source_no: int) -> Column:
             found.append(_matches(family, pattern, label, number, source, source_no))
             number += 1
     every = f"transform(array(lower(x)), low -> concat({', '.join(found)}))[0]"
-    return let_sql(F.coalesce(text, F.lit("")), every).cast(CANDIDATE)
+    # The text's own signs become blanks.
+    return let_sql(F.translate(F.coalesce(text, F.lit("")), MATCH + FIELD, "  "), every).cast(CANDIDATE)
 
 
 def _title_candidates(title: Column) -> Column:
@@ -304,6 +339,19 @@ def title_entity(name: Column, entities=TITLE_ENTITIES) -> Column:
     return F.lower(strip(name)).isin(*entities)
 
 
+def reason(family: Column, pattern: Column, decision: Column, name: Column) -> Column:
+    """Why a candidate got its decision, from the fixed values of `REASONS`."""
+    kind = F.when(family.isin("plain", "title"), pattern).otherwise(family)
+    reasons = F.create_map(*[F.lit(v) for pair in REASONS.items() for v in pair])
+    template = F.element_at(reasons, F.concat(kind, F.lit("/"), decision))
+    return F.replace(F.replace(template, F.lit("{pattern}"), pattern), F.lit("{name}"), name)
+
+
+def evidence_text(evidence: Column) -> Column:
+    """Evidence as one line: "[source/pattern] reason" of each, in order."""
+    return F.array_join(F.transform(evidence, lambda e: F.concat(F.lit("["), e["source"], F.lit("/"), e["pattern"], F.lit("] "), e["reason"])), " | ")
+
+
 def raw_candidates(items: DataFrame, key: str = "item_pos") -> DataFrame:
     """Every pattern match as a row. Needs podcast_name, episode_title, show_notes; description and guests are optional."""
     parts = [_text_candidates(F.col("show_notes"), "description", 0)]
@@ -316,7 +364,7 @@ def raw_candidates(items: DataFrame, key: str = "item_pos") -> DataFrame:
 
 
 def guest_candidates(items: DataFrame, hosts: DataFrame, aliases: DataFrame | None = None, key: str = "item_pos") -> DataFrame:
-    """Judged candidates: key, seq columns, name, source, pattern, matched_text, decision."""
+    """Judged candidates: key, seq columns, name, source, pattern, matched_text, decision, reason."""
     # The few matches are stored, so the texts are searched once whatever follows.
     found = materialize(raw_candidates(items, key), "raw-candidates")
     named = found.withColumn("name", clean_guest_name(F.col("raw")))
@@ -337,10 +385,13 @@ def guest_candidates(items: DataFrame, hosts: DataFrame, aliases: DataFrame | No
         .when(fam == "feed", "confirmed_guest")
         .otherwise(F.when(~host & (~entity | cn_title), "confirmed_guest")))
     judged = flagged.withColumn("decision", decision).filter(F.col("decision").isNotNull())
+    judged = judged.withColumn("reason", reason(fam, F.col("pattern"), F.col("decision"), F.col("name")))
     if aliases is not None:
         texts = items.select(key, F.concat(F.coalesce("show_notes", F.lit("")), F.coalesce(F.col("description"), F.lit("")) if "description" in items.columns else F.lit("")).alias("text"))
         # Only the few candidates from numbered Chinese titles need their item's text again.
         grown = expand_alias(judged.filter(cn_title).join(texts, key), aliases)
+        short = F.replace(F.replace(F.lit(SHORT_FOR), F.lit("{short}"), F.col("name")), F.lit("{name}"), F.col("resolved_name"))
+        grown = grown.withColumn("reason", F.concat("reason", F.when(F.col("resolved_name") != F.col("name"), short).otherwise("")))
         judged = judged.filter(~cn_title).unionByName(grown.withColumn("name", F.col("resolved_name")).drop("resolved_name", "text"))
     return judged.drop("family", "raw", "context", "is_host", "is_entity")
 
@@ -358,8 +409,8 @@ def dedup_candidates(candidates: DataFrame, key: str = "item_pos") -> DataFrame:
     # (item, name) groups are as small as one item's text.
     best = clean.withColumns({"_low": F.lower("name"), "_rank": rank, "_seq": order}).groupBy(key, "_low").agg(
         F.min("_seq").alias("seq"),
-        F.min(F.struct(-F.col("_rank"), "_seq", "name", "source", "pattern", "matched_text", "decision")).alias("b"))
-    flat = best.select(key, "seq", "b.name", "b.source", "b.pattern", "b.matched_text", "b.decision")
+        F.min(F.struct(-F.col("_rank"), "_seq", "name", "source", "pattern", "matched_text", "decision", "reason")).alias("b"))
+    flat = best.select(key, "seq", "b.name", "b.source", "b.pattern", "b.matched_text", "b.decision", "b.reason")
     # Pruning reads the names four times; stored once, the patterns run once.
     return prune_fragments(materialize(flat, "guest-candidates"), key)
 
@@ -379,7 +430,7 @@ def prune_fragments(candidates: DataFrame, key: str = "item_pos") -> DataFrame:
 
 def guest_status(items: DataFrame, candidates: DataFrame, hosts: DataFrame, key: str = "item_pos") -> DataFrame:
     """Detection status, names and evidence per item from its deduplicated candidates."""
-    row = F.struct("seq", "name", "source", "pattern", "matched_text", "decision")
+    row = F.struct("seq", "name", "source", "pattern", "matched_text", "decision", "reason")
 
     def of(decision: str | None) -> Column:
         chosen = row if decision is None else F.when(F.col("decision") == decision, row)
@@ -412,12 +463,13 @@ def guest_status(items: DataFrame, candidates: DataFrame, hosts: DataFrame, key:
 
     def evidence(rows: Column) -> Column:
         return F.transform(rows, lambda x: F.struct(x["name"].alias("name"), x["source"].alias("source"), x["pattern"].alias("pattern"),
-                                                    x["matched_text"].alias("matched_text"), x["decision"].alias("decision")))
+                                                    x["matched_text"].alias("matched_text"), x["decision"].alias("decision"), x["reason"].alias("reason")))
 
     made = F.array(F.struct(F.col("name"), F.lit("title").alias("source"), F.lit("title_name_of").alias("pattern"),
-                            F.col("_title").alias("matched_text"), F.lit("mentioned_entity").alias("decision")))
+                            F.col("_title").alias("matched_text"), F.lit("mentioned_entity").alias("decision"),
+                            F.replace(F.lit(ONLY_MENTIONED), F.lit("{name}"), F.col("name")).alias("reason")))
     nothing = F.array(F.struct(F.lit("").alias("name"), F.lit("none").alias("source"), F.lit("none").alias("pattern"),
-                               F.lit("").alias("matched_text"), F.lit("no_guest_detected").alias("decision")))
+                               F.lit("").alias("matched_text"), F.lit("no_guest_detected").alias("decision"), F.lit(NOTHING_FOUND).alias("reason")))
     proof = (
         F.when(F.col("every").isNull() & F.col("_mention"), made).when(F.col("every").isNull(), nothing)
         .when(nc == 1, evidence(F.concat("c", F.slice("p", 1, 1)))).when(nc > 1, evidence(F.slice("c", 1, 3)))

@@ -45,7 +45,7 @@ def candidates(spark, sf):
 
 @query("guest_candidates")
 def guest_candidates(spark, sf):
-    return candidates(spark, sf).select("item_pos", "pattern_no", "source_no", "match_no", "name", "source", "pattern", "matched_text", "decision")
+    return candidates(spark, sf).select("item_pos", "pattern_no", "source_no", "match_no", "name", "source", "pattern", "matched_text", "decision", "reason")
 
 
 @query("union_candidates")
@@ -60,7 +60,8 @@ def statuses(spark, sf):
 
 @query("guest_detection")
 def guest_detection(spark, sf):
-    return statuses(spark, sf).select("item_pos", "guest_detection_status", F.array_join("guest_names", "|").alias("guest_names"), F.size("guest_detection_evidence").alias("n_evidence"))
+    return statuses(spark, sf).select("item_pos", "guest_detection_status", F.array_join("guest_names", "|").alias("guest_names"), F.size("guest_detection_evidence").alias("n_evidence"),
+                                      guests.evidence_text(F.col("guest_detection_evidence")).alias("evidence"))
 
 
 @query("clean_guest_name", """
@@ -95,7 +96,7 @@ def guest_status(spark, sf):
     found = orders.filter(key % 4 < 1 + item % 4).select(
         item.alias("item_pos"), F.struct(key.cast("int").alias("pattern_no"), F.lit(0).alias("source_no"), F.lit(0).alias("match_no")).alias("seq"),
         F.concat(F.lit("Guest "), key.cast("string")).alias("name"), F.lit("description").alias("source"), F.concat(F.lit("p"), key.cast("string")).alias("pattern"),
-        F.lit("text").alias("matched_text"), F.when(status == "F", "confirmed_guest").when(status == "O", "possible_guest").otherwise("mentioned_entity").alias("decision"))
+        F.lit("text").alias("matched_text"), F.when(status == "F", "confirmed_guest").when(status == "O", "possible_guest").otherwise("mentioned_entity").alias("decision"), F.lit("").alias("reason"))
     out = guests.guest_status(items, found, guest_hosts(spark, sf))
     return out.select(F.col("item_pos").alias("item"), F.col("guest_detection_status").alias("status"), F.array_join("guest_names", "|").alias("names"))
 

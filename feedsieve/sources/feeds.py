@@ -6,6 +6,12 @@ read gives no rows and never fails the job.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -189,7 +195,42 @@ def scan_jsonl_state(spark: SparkSession, path: str, schema: str, key: str) -> D
     return rows.filter(F.coalesce(key, F.lit("")) != "")
 
 
-def scan_binary_digests(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """SHA-256 and size of every file below a path."""
+# Files up to this size are digested from one row each; larger ones are streamed.
+ROW_BYTES = 64 << 20
+_CHUNK = 4 << 20
+
+
+def _streamed_digests(chunk: int = _CHUNK):
+    """Digests of listed files (local, HDFS, S3 or GCS), read piece by piece."""
+    def opened(path: str):
+        scheme, _, rest = path.partition(":")
+        if scheme == "file":
+            return fs.LocalFileSystem().open_input_stream("/" + rest.lstrip("/"))
+        system, inside = fs.FileSystem.from_uri(quote(path, safe="/:@"))
+        return system.open_input_stream(inside)
+
+    def digest(path: str) -> str:
+        out = hashlib.sha256()
+        with opened(path) as stream:
+            while piece := stream.read(chunk):
+                out.update(piece)
+        return out.hexdigest()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests = pa.array([digest(p) for p in batch.column("path").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, digests], names=["path", "length", "sha256"])
+    return run
+
+
+def scan_binary_digests(spark: SparkSession, path: str, glob: str = "*", row_bytes: int = ROW_BYTES) -> DataFrame:
+    """SHA-256 and size of every file below a path, of any size.
+
+    Files up to `row_bytes` are read by Spark and digested in the JVM. A larger file never becomes a row: the task that it is dealt
+    to reads it in pieces of 4 MB, as a digest needs its bytes in order. The reader's filter on the length keeps either kind
+    from being opened by the other way. Empty files are not listed by the reader and give no row.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", F.sha2("content", 256).alias("sha256"))
+    small = files.where(F.col("length") <= row_bytes).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    large = files.where(F.col("length") > row_bytes).select("path", "length").mapInArrow(_streamed_digests(), "path string, length bigint, sha256 string")
+    return small.unionByName(large).select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", "sha256")

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,6 +44,41 @@ def test_detection(detected, i):
     assert (detected[i].guest_detection_status, detected[i].guest_names) == CASES[i][3:]
 
 
+REASONS = {
+    0: "[description/本期嘉宾] 匹配中文嘉宾短语「本期嘉宾」",
+    2: "[description/chinese_name_english_alias] 中文姓名 + 英文别名格式识别为嘉宾",
+    5: "[none/none] 元数据中未发现明确嘉宾标记",
+    8: "[description/desc_is_a] 描述格式「Name is a...」识别为嘉宾",
+    14: "[title/title_jre_mma] 标题 JRE MMA 格式识别为嘉宾 | [title/title_jre_mma] 标题 JRE MMA 格式识别为嘉宾",
+    16: "[title/title_cn_num_name] 标题中文数字.名字格式识别为嘉宾（雨森为戴雨森的简称）",
+}
+
+
+@pytest.mark.parametrize("i", range(len(CASES)))
+def test_reasons(detected, i):
+    """Every evidence row says why, and the fixed sentences are those of its pattern and decision."""
+    proof = detected[i].guest_detection_evidence
+    assert proof and all(e.reason and "{" not in e.reason for e in proof)
+    if i in REASONS:
+        assert " | ".join(f"[{e.source}/{e.pattern}] {e.reason}" for e in proof) == REASONS[i]
+
+
+def test_matches_and_groups_of_one_pass(spark):
+    """Matches, groups and contexts equal those of a plain search; a text's own signs are blanks."""
+    texts = ["Today with Ann Lee and then with Bob Stone, who is a writer.", "x" * 40 + " with Cy Dee\nwith Ed Fox Hay " + "y" * 200,
+             "with Al\x01Bo Cy and\x02 with Di Ed", "with", "", "featuring Ann Lee featuring Bo Cy $1 \\ $0", "a with Gus Hay"]
+    items = spark.createDataFrame([(i, "P", "t", t) for i, t in enumerate(texts)], "item_pos int, podcast_name string, episode_title string, show_notes string")
+    got = sorted((r.item_pos, r.pattern, r.match_no, r.raw, r.matched_text, r.context) for r in guests.raw_candidates(items).where("family = 'en_weak'").collect())
+    name, want = r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,2}", []
+    for i, t in enumerate(texts):
+        t = t.replace("\x01", " ").replace("\x02", " ")
+        for label, word in (("featuring_pattern", "featuring"), ("with_pattern", "with")):
+            # The patterns ignore case, so any word can be part of a name.
+            for n, m in enumerate(re.finditer(rf"\b{word}\s+({name})\b", t, re.I), 1):
+                want.append((i, label, n, m[1], m[0][:100], t[max(0, m.start() - 20) : m.start()] + m[0] + t[m.end() : m.end() + 100]))
+    assert got == sorted(want) and len(got) > 6
+
+
 def test_backgrounds(spark):
     rows = [("Freda Duan", CASES[3][1]), ("David Paulides", CASES[8][1]), ("Dean Radin", CASES[9][1]), ("Jane Doe", "Jane Doe is the CEO of Hugging Face. She is a writer."),
             ("Nobody", "nothing here")]

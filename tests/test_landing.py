@@ -1,6 +1,7 @@
 """Failing feeds, items stored by day, and names of many alike hosts."""
 
 import datetime
+import hashlib
 import random
 
 from pyspark.sql import functions as F
@@ -74,3 +75,24 @@ def test_alike_hosts_do_not_meet_in_one_key(spark):
     chosen = joins._rarest(theirs, grams.groupBy("podcast_name", "k").agg(F.count("*").alias("n")), "_host").groupBy("k").count()
     most, mean = chosen.agg(F.max("count"), F.avg("count")).first()
     assert most < 10 * mean
+
+
+def test_digests_of_small_and_streamed_files(spark, tmp_path):
+    """Both ways give the same digests; a file that is streamed is never read as a row."""
+    rng = random.Random(3)
+    contents = {"a.bin": b"", "b c.bin": b"x", "d%20é.bin": rng.randbytes(1000), "sub/e.bin": rng.randbytes(9 << 20), "sub/f.txt": b"other"}
+    for name, content in contents.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    want = sorted((n.split("/")[-1], len(c), hashlib.sha256(c).hexdigest()) for n, c in contents.items() if n.endswith(".bin") and c)
+    for row_bytes in (0, 500, feeds.ROW_BYTES):
+        got = feeds.scan_binary_digests(spark, str(tmp_path), "*.bin", row_bytes)
+        assert sorted(tuple(r) for r in got.collect()) == want
+    with open(tmp_path / "huge.big", "wb") as f:
+        f.truncate((2 << 30) + 10)  # beyond what one row can hold
+    huge = feeds.scan_binary_digests(spark, str(tmp_path), "*.big").first()
+    zeros = hashlib.sha256()
+    for _ in range(2048):
+        zeros.update(bytes(1 << 20))
+    zeros.update(bytes(10))
+    assert (huge.length, huge.sha256) == ((2 << 30) + 10, zeros.hexdigest())
