@@ -148,3 +148,35 @@ def hard_negatives(rows, every=100):
             hard = sorted((s for s in scored if not s[2] and 80 * ps <= 100 * s[0] <= 100 * ps), key=tie)[:5]
             out += [(anchor, positive, rank, i, ps, ns) for rank, (ns, i, _) in enumerate(hard, 1)]
     return out
+
+
+def walk_ring(counts, nodes, shards):
+    """Shard of each row (position, rank) with bounded loads, and the loads: rows walk clockwise one by one.
+
+    Of a shard's own rows, the first in ring order stay, up to its bound; then the others walk from their node, those that have
+    walked longest first, until a node's shard has room. Rows beyond the mean are allowed to the shards with most own rows.
+    """
+    home = {p: next((i for i, (at, _) in enumerate(nodes) if at >= p), 0) for p in counts}
+    own = {s: sum(n for p, n in counts.items() if nodes[home[p]][1] == s) for s in range(shards)}
+    total = sum(counts.values())
+    bound = {s: total // shards for s in range(shards)}
+    for s in sorted(bound, key=lambda s: (-own[s], s))[: total % shards]:
+        bound[s] += 1
+    ranked = sorted(((home[p], p, k) for p, n in counts.items() for k in range(n)))
+    load, placed, waiting = dict.fromkeys(bound, 0), {}, {}
+    for node, p, k in ranked:
+        s = nodes[node][1]
+        if load[s] < bound[s]:
+            load[s] += 1
+            placed[p, k] = s
+        else:
+            waiting.setdefault(node, []).append((p, k))
+    walking = []
+    for step in range(2 * len(nodes)):
+        node = step % len(nodes)
+        s = nodes[node][1]
+        walking += waiting.pop(node, [])
+        while walking and load[s] < bound[s]:
+            load[s] += 1
+            placed[walking.pop(0)] = s
+    return placed, load
