@@ -266,6 +266,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
 
     Which shingles are frequent is learnt from about `sample` documents; this changes the order of blocks and thereby the
     cost, never the result. Frequent signatures travel as plain rows, whose groups Spark can split; the others are packed.
+    Buckets are handled one by one in as many tasks as the session has shuffle partitions.
 
     Null text, no words: empty set, linked with nothing. Null doc_id: not linked, component null. Rows that share a
     doc_id are one node of the graph. Empty input: empty result.
@@ -281,7 +282,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = int(max(1, -(-total * (100 - percent) * 2 // (100 + percent) // PER_BUCKET)))
     packed = docs.mapInArrow(_light(size, percent, heavy, buckets), "bucket int, signatures binary, docs binary, counts binary")
-    light = packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_repeated, "signature bigint, doc_id bigint")
+    light = packed.groupBy("bucket").applyInArrow(_repeated, "signature bigint, doc_id bigint")
     frequent = sets.select(F.explode("heavy").alias("signature"), "doc_id")
     members = materialize(light.unionByName(frequent).distinct(), f"{run}/found/members")
     groups = members.groupBy("signature").agg(F.min("doc_id").alias("a"), F.count("*").alias("m"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("who")).where("m > 1")
@@ -320,7 +321,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     rest = rest.withColumn("part", F.pmod(F.xxhash64("doc_id"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     rest = rest.select("signature", "doc_id", "c", "n_shingles", "sketch", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
     rest = rest.withColumn("bucket", F.pmod(F.xxhash64("signature", "low", "high"), F.lit(4 * buckets)).cast("int"))
-    apart = rest.repartition(4 * buckets, "bucket").groupBy("bucket").applyInArrow(_tiles(percent), "a bigint, b bigint").distinct()
+    apart = rest.groupBy("bucket").applyInArrow(_tiles(percent), "a bigint, b bigint").distinct()
     links = links.unionByName(linked(apart))
     final = materialize(components(links, run).toDF("doc_id", "component_id"), f"{run}/result")
     result = sets.select("doc_id", "n_shingles").join(final, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -189,7 +189,7 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, anchor: int = A
     buckets = max(1, -(-total // BUCKET_BYTES))
     segments = texts.select("row", F.inline(F.arrays_zip("cells", "weights", "starts", "segments"))).toDF("row", "cell", "weight", "start", "segment")
     segments = segments.withColumn("bucket", F.pmod(F.xxhash64("cell"), F.lit(buckets)).cast("int"))
-    merged = segments.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_merge(window), ddl(_PLACES))
+    merged = segments.groupBy("bucket").applyInArrow(_merge(window), ddl(_PLACES))
     crowded = texts.select("row", F.inline(F.arrays_zip("hashes", "places", "shares"))).toDF("row", "hash", "place", "share")
     twice = crowded.groupBy("hash").agg(F.sum("share").alias("n")).where("n > 1").select("hash")
     single = crowded.where("share = 1").join(materialize(twice, "bytes-twice"), "hash").select("row", F.array("place").alias("places"))

@@ -114,7 +114,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, gro
     groups = max(1, -(-classes.count() // group_rows))
     dealt = classes.withColumn("length", F.size("embedding")).withColumn("part", F.pmod("class", F.lit(groups)).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")}).drop("other")
-    found = materialize(dealt.repartition(groups * (groups + 1) // 2, "length", "low", "high").groupBy("length", "low", "high").applyInArrow(_tile(threshold), "class bigint, a bigint, b bigint, n bigint"), "vector-tiles")
+    found = materialize(dealt.groupBy("length", "low", "high").applyInArrow(_tile(threshold), "class bigint, a bigint, b bigint, n bigint"), "vector-tiles")
     counts = materialize(found.groupBy("class").agg(F.sum("n").alias("near")), "vector-counts")
     placed = materialize(components(found.select("a", "b")).toDF("rep", "component"), "vector-components")
     ends = classes.join(counts, "class", "left").join(placed, "rep", "left").select(
