@@ -42,7 +42,7 @@ def words_of(text: Column) -> Column:
 
 
 def shingles_of(words: Column, size: int | Column) -> Column:
-    """Hashes of all runs of `size` words, in order.
+    """Hashes of all runs of `size` words, in order: each word is hashed once, a run's hash is that of its words' hashes.
 
     The words are bound to a lambda variable: named twice in plain expressions, they would be split again for each run.
     """
@@ -50,7 +50,7 @@ def shingles_of(words: Column, size: int | Column) -> Column:
         n = F.size(w) - size + 1
         return F.transform(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), lambda i: F.xxhash64(F.slice(w, i, size)))
 
-    return F.element_at(F.transform(F.array(words), runs), 1)
+    return F.element_at(F.transform(F.array(F.transform(words, lambda w: F.xxhash64(w))), runs), 1)
 
 
 def _flips(most: int) -> list[int]:
@@ -88,7 +88,7 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARI
     slots = radius // BLOCKS
     near_items, near_windows = _flips(slots - slots // 3), _flips(slots // 3)
     known = items.select("item_id", words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
-    known = known.withColumn("n", F.size("words")).withColumn("v", F.when(F.col("n") >= size, shingles_of(F.col("words"), size)).otherwise(F.array(F.xxhash64("words"))))
+    known = known.withColumn("n", F.size("words")).withColumn("v", shingles_of(F.col("words"), F.least("n", F.lit(size))))
     known = materialize(known.select("item_id", "n", "v", F.least("n", F.lit(size)).alias("size")).withColumn("item", F.xxhash64("n", "v")), "bench-items")
     classes = known.dropDuplicates(["item"])
     anchors = materialize(classes.select("n", "size", F.explode("v").alias("hash")).distinct(), "bench-anchors")
