@@ -128,12 +128,15 @@ items AS (SELECT item_id, len(ws) AS m, least(len(ws), 5) AS size, list_transfor
 docs AS (SELECT DISTINCT doc_id, r, size, list_transform(range(1, len(ws) - size + 2), lambda i: array_to_string(ws[i:i + size - 1], ' ')) AS g FROM w, (SELECT DISTINCT size FROM items) WHERE len(ws) >= size),
 fd AS (SELECT r, size, len(g) AS n, unnest(g) AS k, generate_subscripts(g, 1) AS p FROM docs),
 fi AS (SELECT item_id, size, len(v) AS n, unnest(v) AS k, generate_subscripts(v, 1) AS p FROM items),
-starts AS (SELECT DISTINCT fd.r, fd.size, item_id, greatest(1, least(fd.p - fi.p + 1, fd.n - fi.n + 1)) AS s FROM fd JOIN fi USING (size, k)),
-windows AS (SELECT doc_id, starts.r, item_id, s, m, v, g[s:s + len(v) - 1] AS x FROM starts JOIN docs USING (r, size) JOIN items USING (item_id)),
+places AS (SELECT DISTINCT r, size, item_id, fd.p, fd.n AS total, fi.n AS long, least(fd.n, fi.n) AS wide FROM fd JOIN fi USING (size, k)),
+covering AS (SELECT r, size, item_id, s FROM (SELECT *, unnest(range(greatest(1, p - wide + 1), least(p, total - wide + 1) + 1)) AS s FROM places)
+  GROUP BY r, size, item_id, s, long, wide HAVING 7 * count(*) >= 3 * (long + wide)),
+in_place AS (SELECT DISTINCT r, size, item_id, greatest(1, least(fd.p - fi.p + 1, fd.n - fi.n + 1)) AS s, 1 AS hit FROM fd JOIN fi USING (size, k)),
+windows AS (SELECT doc_id, r, item_id, s, m, v, coalesce(hit, 0) AS hit, g[s:s + len(v) - 1] AS x FROM covering JOIN docs USING (r, size) JOIN items USING (item_id, size) LEFT JOIN in_place USING (r, size, item_id, s)),
 scored AS (SELECT *, list_sum(list_transform(list_distinct(v), lambda e: least(len(list_filter(v, lambda y: y = e)), len(list_filter(x, lambda y: y = e)))))::BIGINT AS shared FROM windows),
 rated AS (SELECT *, shared / (len(v) + len(x) - shared) AS similarity FROM scored)
 SELECT doc_id, item_id, similarity, (s - 1)::INT AS start, m::INT AS n_words FROM rated WHERE similarity >= 0.75
-QUALIFY row_number() OVER (PARTITION BY r, item_id ORDER BY similarity DESC, s) = 1
+QUALIFY row_number() OVER (PARTITION BY r, item_id ORDER BY similarity DESC, hit DESC, s) = 1
 """
 
 

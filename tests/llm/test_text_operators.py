@@ -183,6 +183,32 @@ def test_decontamination_of_parts_in_another_order(spark):
     assert all(abs(x["similarity"] - want[x["doc_id"], x["item_id"]]) < 1e-9 for x in found)
 
 
+def test_decontamination_agrees_with_sql(spark, tmp_path):
+    """Passages in another order, edited ones, ties, repeated shingles, short items and documents."""
+    import compare
+    from feedsieve.llm.queries import ORACLES, QUERIES
+
+    r = random.Random(9)
+    a, b, c = (prose(24, r) for _ in range(3))
+    items = [(1, f"{a} {b}"), (2, f"{a} {b} {c}"), (3, f"{a} {a}"), (4, "a b c"), (5, "same " * 40), (6, None), (7, " ")]
+    texts = [" ".join(x for x in (prose(before, r), t, prose(after, r)) if x) for t in (f"{b} {a}", f"{b} {c} {a}", f"{c} {a} {b}", f"{a} {b}", f"{a} {a} {a}", edited(f"{a} {b}", 1, r))
+             for before, after in ((0, 0), (20, 0), (0, 20), (30, 45))] + [a, None, "", "A b\tC", "x a b c a b c", "same " * 200, f"{b} {prose(4, r)} {a}"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    con = compare.duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    ok, note = compare.compare(QUERIES["op6_decontaminate"](spark, str(tmp_path)), con, ORACLES["op6_decontaminate"])
+    assert ok, note
+
+
+def test_decontamination_of_many_equal_words(spark):
+    """Every one of 10^5 windows is a candidate; no row holds the document's hashes once for each."""
+    docs = spark.createDataFrame([(1, "same " * 100_000), (2, "other " * 100_000)], "doc_id long, text string")
+    found = benchmark.contaminated(docs, spark.createDataFrame([(7, "same " * 50)], "item_id long, text string")).collect()
+    assert [(x["doc_id"], x["item_id"], x["similarity"], x["start"]) for x in found] == [(1, 7, 1.0, 0)]
+
+
 def test_starts_are_all_that_cover_enough(spark):
     r = random.Random(6)
     cases = [(total, n, need, sorted(r.sample(range(total), r.randint(0, total)))) for total in (1, 4, 9, 25) for n in (1, 3, 8, 30) for need in (1, 2, 5, 8) for _ in range(4)]
