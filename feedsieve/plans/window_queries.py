@@ -72,7 +72,7 @@ def guest_candidate_dedup(spark, sf):
     rows = table(spark, sf, "orders").select(
         F.floor(key / 50).alias("item_pos"), F.lit(0).alias("pattern_no"), F.lit(0).alias("source_no"), key.cast("int").alias("match_no"),
         F.concat(F.lit("Guest "), (F.col("o_custkey") % 9).cast("string")).alias("name"), F.lit("description").alias("source"), F.lit("p").alias("pattern"),
-        F.lit("m").alias("matched_text"), decision.alias("decision"))
+        F.lit("m").alias("matched_text"), decision.alias("decision"), F.lit("").alias("reason"))
     return guests.dedup_candidates(rows).select("item_pos", "name", "decision")
 
 
