@@ -11,6 +11,8 @@ _CJK = "[一-鿿]"
 # Noncharacters that mark places in texts and keywords alike; no text holds them.
 _EDGE, _END = "﷐", "﷑"
 LEAD = 32  # characters of a keyword by which it meets the beginning of a text
+GRAM = 5  # consecutive runs (three words and what is between) by which a keyword meets the inside of a text
+SMALL = 100_000  # words of a dictionary that is broadcast
 
 
 def _edges(text: Column) -> Column:
@@ -24,8 +26,8 @@ def _ends(text: Column) -> Column:
 
 
 def _runs(text: Column) -> Column:
-    """Runs of word characters and runs of others, each once."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?U)\w+|\W+"), F.lit(0)))
+    """Runs of word characters and runs of others, in order."""
+    return F.regexp_extract_all(text, F.lit(r"(?U)\w+|\W+"), F.lit(0))
 
 
 def _pairs(text: Column) -> Column:
@@ -34,41 +36,70 @@ def _pairs(text: Column) -> Column:
     return F.when(text.rlike(_CJK), F.array_distinct(F.concat(*found))).otherwise(F.array().cast("array<string>"))
 
 
-def _tagged(tag: str, keys: Column, sure: Column | bool = True) -> Column:
-    return F.transform(keys, lambda k: F.struct(F.concat(F.lit(tag), k).alias("part"), F.lit(sure).alias("sure")))
+def _hashed(tag: str, keys: Column) -> Column:
+    return F.transform(keys, lambda k: F.xxhash64(F.lit(tag), k))
+
+
+def _with_grams(rows: DataFrame, runs: str) -> DataFrame:
+    """Columns g1 to g<GRAM>: hashes of that many consecutive runs, by their first run."""
+    rows = rows.withColumn("g1", _hashed("w", F.col(runs)))
+    for n in range(2, GRAM + 1):
+        left = F.greatest(F.size("g1") - (n - 1), F.lit(0))
+        rows = rows.withColumn(f"g{n}", F.zip_with(F.slice(f"g{n - 1}", F.lit(1), left), F.slice("g1", F.lit(n), left), lambda a, b: F.xxhash64(a, b)))
+    return rows
+
+
+def _none() -> Column:
+    return F.array().cast("array<bigint>")
 
 
 def index(dictionary: DataFrame) -> DataFrame:
     """Distinct words of `dictionary` (keyword) with the parts that any text they match must hold.
 
-    A keyword with CJK characters is matched as it is, any other in small letters. `parts`: the runs of word characters
-    of the keyword (a match inside a text starts and ends at word boundaries, so they are whole runs there), or itself if it has
-    none; pairs of characters for a CJK keyword. `lead`: its first LEAD characters. `whole`: one run, so its part decides.
+    A keyword with CJK characters is matched as it is, any other in small letters. `parts`: hashes of GRAM consecutive runs
+    of word characters or others (a match inside a text starts and ends at word boundaries, so they are whole runs there), or of all
+    its runs if it has fewer; pairs of characters for a CJK keyword. `lead`: its first LEAD characters. `whole`: all runs in one
+    part and word characters at both ends, so its part decides.
     """
     cjk = F.col("keyword").rlike(_CJK)
     words = dictionary.where("keyword <> ''").select(F.when(cjk, F.col("keyword")).otherwise(F.lower("keyword")).alias("word"), cjk.alias("cjk")).distinct()
-    inner = F.regexp_extract_all("word", F.lit(r"(?U)\w+"), F.lit(0))
     pairs = F.filter(_pairs(F.col("word")), lambda p: (F.length(p) == 2) | (F.length("word") == 1))
-    runs = F.when(F.size(inner) > 0, F.array_distinct(inner)).otherwise(F.array("word"))
-    return words.select(
-        "word", "cjk", F.when(F.col("cjk"), F.transform(pairs, lambda p: F.concat(F.lit("c"), p))).otherwise(F.transform(runs, lambda r: F.concat(F.lit("w"), r))).alias("parts"),
-        F.when(~F.col("cjk") & (F.length("word") >= 2), F.concat(F.lit("l"), F.left("word", F.lit(LEAD)))).alias("lead"),
-        (~F.col("cjk") & F.col("word").rlike(r"\A(?U)\w+\z")).alias("whole"),
+    grams = _with_grams(words.withColumn("runs", _runs(F.col("word"))), "runs")
+    widest = F.col(f"g{GRAM}")
+    for n in range(GRAM - 1, 0, -1):
+        widest = F.when(F.size("runs") == n, F.col(f"g{n}")).otherwise(widest)
+    return grams.select(
+        F.xxhash64("word").alias("word_id"), "word", "cjk", F.when(F.col("cjk"), _hashed("c", pairs)).otherwise(F.array_distinct(widest)).alias("parts"),
+        F.when(~F.col("cjk") & (F.length("word") >= 2), F.xxhash64(F.lit("l"), F.left("word", F.lit(LEAD)))).alias("lead"),
+        (~F.col("cjk") & (F.size("runs") <= GRAM) & F.col("word").rlike(r"(?U)\A\w") & F.col("word").rlike(r"(?U)\w\z")).alias("whole"),
         F.concat(F.lit(_EDGE), F.regexp_replace(_edges(F.col("word")), f"^{_EDGE}|{_EDGE}$", ""), F.lit(_EDGE)).alias("inside"),
         F.concat(F.lit("."), _ends(F.col("word")), F.lit(_END)).alias("domain"))
 
 
-def _parts_of(text: Column) -> Column:
-    """(part, sure) of a text: its runs, its CJK pairs, and its beginnings of 2 to LEAD characters.
+def _parts_of(rows: DataFrame) -> DataFrame:
+    """(key, part, sure) of texts: hashes of 1 to GRAM consecutive runs, CJK pairs, and beginnings of 2 to LEAD characters, each once.
 
-    A run is not sure where it also stands as a domain ending.
+    Runs are not sure where they also stand behind a dot, as a domain ending does.
     """
-    low = F.lower(text)
-    runs = _runs(low)
-    endings = F.when(low.rlike(r"(?U)\.\w"), F.regexp_extract_all(low, F.lit(r"(?U)\.(\w+)(?=[/?#\s])"), F.lit(1))).otherwise(F.array().cast("array<string>"))
-    upto = F.least(F.lit(LEAD), F.length(low))
-    leads = F.when(upto >= 2, F.transform(F.sequence(F.lit(2), F.greatest(upto, F.lit(2))), lambda n: F.left(low, n))).otherwise(F.array().cast("array<string>"))
-    return F.concat(_tagged("w", F.array_except(runs, endings)), _tagged("w", F.array_intersect(runs, endings), False), _tagged("c", _pairs(text)), _tagged("l", leads))
+    low = rows.select("key", "text", F.lower("text").alias("low")).withColumn("all_runs", _runs(F.col("low")))
+    word = lambda c: c.rlike(r"(?U)\A\w")
+    # Runs of other characters at the ends of a text have no word boundary on one side.
+    first = F.when(word(F.get("all_runs", F.lit(0))), 1).otherwise(2)
+    last = F.size("all_runs") - F.when(word(F.get("all_runs", F.size("all_runs") - 1)), 0).otherwise(1)
+    inner = F.slice("all_runs", first, F.greatest(last - first + 1, F.lit(0)))
+    grams = _with_grams(low.withColumns({"first": first, "runs": inner}), "runs")
+    g = [F.col(f"g{n}") for n in range(1, GRAM + 1)]
+    dotted = F.transform("runs", lambda r, i: F.endswith(F.coalesce(F.get("all_runs", i + F.col("first") - 2), F.lit("")), F.lit(".")))
+    behind = grams.withColumn("dotted", F.when(F.col("low").rlike(r"(?U)\.\w"), dotted))
+    unsure = F.array_distinct(F.concat(*[F.filter(x, lambda v, i: F.get("dotted", i)) for x in g]))
+    upto = F.least(F.lit(LEAD), F.length("low"))
+    leads = F.when(upto >= 2, F.transform(F.sequence(F.lit(2), F.greatest(upto, F.lit(2))), lambda n: F.xxhash64(F.lit("l"), F.left("low", n)))).otherwise(_none())
+    parts = F.array_distinct(F.concat(*g, _hashed("c", _pairs(F.col("text"))), leads))
+    found = behind.select("key", parts.alias("parts"), F.when(F.col("dotted").isNotNull(), unsure).otherwise(_none()).alias("unsure"))
+    # The arrays end here: behind an explode they would be copied for every part.
+    tagged = lambda xs, sure: F.transform(xs, lambda p: F.struct(p.alias("part"), F.lit(sure).alias("sure")))
+    both = F.concat(tagged(F.array_except("parts", "unsure"), True), tagged("unsure", False))
+    return found.select("key", F.explode(both).alias("p")).select("key", "p.part", "p.sure")
 
 
 def dictionary_hits(docs: DataFrame, dictionary: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -79,39 +110,45 @@ def dictionary_hits(docs: DataFrame, dictionary: DataFrame, key: str = "doc_id",
 
     No text meets the dictionary. Texts and keywords meet by equality of parts: postings of the parts that occur in the
     dictionary are stored once; each keyword then looks only at the postings of its rarest part, by their counts. A
-    keyword of one run needs no more. For the others, phrases and CJK, the texts that hold the rarest part are read again and tested
-    by plain substrings: the word boundaries and domain ends of the text are marked by fixed patterns, as those of the keyword.
-    Both joins are ordinary equality joins, which adaptive execution broadcasts or splits by measured size.
+    keyword of up to GRAM runs needs no more. For longer ones, CJK, and those with other characters at an end, the texts that hold the
+    rarest part are read again and tested by plain substrings: the word boundaries and domain ends of the text are marked by fixed
+    patterns, as those of the keyword. Parts and words are compared by 64-bit hashes.
+    Tables that grow with the texts are never broadcast; those of a dictionary are if it is small by its count.
 
     Null or empty texts and keywords match nothing. An entry that repeats is returned each time. Empty input: empty result.
     """
     words = materialize(index(dictionary), "dictionary-words")
-    wanted = words.select(F.explode(F.concat("parts", F.when(F.col("lead").isNull(), F.array().cast("array<string>")).otherwise(F.array("lead")))).alias("part")).distinct()
+    small = words.count() <= SMALL
+
+    def meet(many: DataFrame, few: DataFrame, on: str) -> DataFrame:
+        return many.join(F.broadcast(few) if small else few.hint("merge"), on)
+
+    wanted = words.select(F.explode(F.concat("parts", F.when(F.col("lead").isNull(), _none()).otherwise(F.array("lead")))).alias("part")).distinct()
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    held = rows.select("key", F.explode(_parts_of(F.col("text"))).alias("p")).select("key", "p.part", "p.sure")
-    postings = materialize(held.join(wanted, "part"), "dictionary-postings")
+    postings = materialize(meet(_parts_of(rows), wanted, "part"), "dictionary-postings")
 
     counts = postings.groupBy("part").agg(F.count("*").alias("n"))
-    rarest = words.select("word", "whole", F.explode("parts").alias("part")).join(counts, "part", "left").groupBy("word", "whole").agg(
-        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "part")).alias("least")).where("least.n > 0").select("word", "whole", F.col("least.part").alias("part"))
-    met = postings.join(rarest, "part")
-    sure = met.where("whole AND sure").select("key", "word")
-    leads = postings.join(words.where("lead IS NOT NULL").select("word", F.col("lead").alias("part")), "part")
+    rarest = words.select("word_id", "whole", F.explode("parts").alias("part")).join(counts, "part", "left").groupBy("word_id", "whole").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "part")).alias("least")).where("least.n > 0").select("word_id", "whole", F.col("least.part").alias("part"))
+    met = meet(postings, rarest, "part")
+    sure = met.where("whole AND sure").select("key", "word_id")
     short = F.length("word") <= LEAD
-    doubtful = met.where("NOT whole").select("key", "word").unionByName(leads.where(~short).select("key", "word")).distinct()
+    leads = meet(postings, words.where("lead IS NOT NULL").select("word_id", short.alias("short"), F.col("lead").alias("part")), "part")
+    doubtful = met.where("NOT whole OR NOT sure").select("key", "word_id").unionByName(leads.where("NOT short").select("key", "word_id")).distinct()
 
-    tests = words.select("word", F.struct("word", "cjk", "inside", "domain").alias("test"))
-    asked = doubtful.join(tests, "word").groupBy("key").agg(F.collect_list("test").alias("tests"))
-    marked = rows.join(asked, "key").withColumn("low", F.lower("text")).withColumns({"inner": _edges(F.col("low")), "ends": _ends(F.col("low"))})
+    tests = words.select("word_id", F.struct("word_id", "word", "cjk", "inside", "domain").alias("test"))
+    asked = meet(doubtful, tests, "word_id").groupBy("key").agg(F.collect_list("test").alias("tests"))
+    marked = rows.join(asked.hint("merge"), "key").withColumn("low", F.lower("text")).withColumns({"inner": _edges(F.col("low")), "ends": _ends(F.col("low"))})
 
     def holds(t: Column) -> Column:
         begins = (F.length(t["word"]) >= 2) & F.startswith("low", t["word"])
         return F.when(t["cjk"], F.contains("text", t["word"])).otherwise(begins | (F.contains("inner", t["inside"]) & ~F.contains("ends", t["domain"])))
 
-    tested = marked.select("key", F.explode(F.filter("tests", holds)).alias("t")).select("key", "t.word")
-    hits = sure.unionByName(leads.where(short).select("key", "word")).unionByName(tested).distinct()
-    entries = dictionary.where("keyword <> ''").select("list", "keyword", F.when(F.col("keyword").rlike(_CJK), F.col("keyword")).otherwise(F.lower("keyword")).alias("word"))
-    return hits.join(entries, "word").select(F.col("key").alias(key), "list", "keyword")
+    tested = marked.select("key", F.explode(F.filter("tests", holds)).alias("t")).select("key", "t.word_id")
+    hits = sure.unionByName(leads.where("short").select("key", "word_id")).unionByName(tested).distinct()
+    word = F.when(F.col("keyword").rlike(_CJK), F.col("keyword")).otherwise(F.lower("keyword"))
+    entries = dictionary.where("keyword <> ''").select("list", "keyword", F.xxhash64(word).alias("word_id"))
+    return meet(hits, entries, "word_id").select(F.col("key").alias(key), "list", "keyword")
 
 
 def dictionary_counts(docs: DataFrame, dictionary: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -4,6 +4,7 @@ import os
 
 import __spark_entry__ as entry
 import compare
+from feedsieve.operators import dictionary
 
 SF = os.environ.get("FEEDSIEVE_SF", "/root/testdata/sf0.001")
 
@@ -11,3 +12,18 @@ SF = os.environ.get("FEEDSIEVE_SF", "/root/testdata/sf0.001")
 def test_candidate_dedup_agrees_with_sql(spark):
     ok, note = compare.compare(entry.queries()["guest_candidate_dedup"](spark, SF), compare.engine(SF), entry.oracle_sql()["guest_candidate_dedup"])
     assert ok, note
+
+
+def test_phrase_is_met_by_its_runs_alone(spark):
+    """Phrases of three words need no second look at texts; ends of domains, edges of texts and marks still decide."""
+    words = ["red green blue", "green", "acme.com", "$x", "blue,", "a b c d e"]
+    dictionary_ = spark.createDataFrame([("l", w) for w in words], "list string, keyword string")
+    assert {r.word: r.whole for r in dictionary.index(dictionary_).collect()} == {
+        "red green blue": True, "green": True, "acme.com": True, "$x": False, "blue,": False, "a b c d e": False}
+    texts = {1: "the Red green blue sky", 2: "red green  blue", 3: "x.green/ and green", 4: "x.green and green", 5: "see a b c d e f", 6: "see a b c d ef",
+             7: "so $x", 8: "so$x", 9: "$x", 10: "my blue,", 11: "my blue,x", 12: "www.acme.com/ acme.com", 13: "at acme.com", 14: "...", 15: "", 16: "bluered green blue"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {(r.doc_id, r.keyword) for r in dictionary.dictionary_hits(docs, dictionary_).collect()}
+    want = {
+        (1, "red green blue"), (1, "green"), (2, "green"), (5, "a b c d e"), (8, "$x"), (9, "$x"), (11, "blue,"), (13, "acme.com"), (16, "green")}
+    assert got == want
