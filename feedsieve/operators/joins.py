@@ -262,6 +262,9 @@ def resolve_audio(requests: DataFrame, feeds: DataFrame, items: DataFrame) -> Da
         F.when(error.isNull(), "rss_enclosure").otherwise("").alias("source"), F.coalesce(error, F.lit("")).alias("error"))
 
 
+_FEW = 100_000  # aliases that are broadcast
+
+
 def expand_alias(names: DataFrame, aliases: DataFrame) -> DataFrame:
     """Short name to full name where the full name occurs in the item's text, else a longer form found there.
 
@@ -269,7 +272,9 @@ def expand_alias(names: DataFrame, aliases: DataFrame) -> DataFrame:
     text are marked first, so that the patterns are constant whatever the name holds.
     """
     table = aliases.select(F.col("short").alias("name"), F.col("full").alias("_full"))
-    out = names.join(table, "name", "left")
+    # A list that is short by its count goes to the texts: dealt by name, all texts of a frequent name would meet in one task.
+    few = table.limit(_FEW + 1).count() <= _FEW
+    out = names.join(F.broadcast(table) if few else table, "name", "left")
     listed = F.when(F.contains(F.lower("text"), F.lower("_full")), F.col("_full"))
     small = (F.length("name") >= 1) & (F.length("name") <= 2) & F.contains(F.col("text"), F.col("name"))
     marked = F.when(small, F.replace(F.replace("text", F.lit(_MARK), F.lit("")), F.col("name"), F.concat(F.lit(_MARK), "name")))

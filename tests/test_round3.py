@@ -4,7 +4,9 @@ import os
 
 import __spark_entry__ as entry
 import compare
-from feedsieve.operators import dictionary
+import public_tokenizers
+from feedsieve.llm import tokens
+from feedsieve.operators import dictionary, joins
 
 SF = os.environ.get("FEEDSIEVE_SF", "/root/testdata/sf0.001")
 
@@ -27,3 +29,17 @@ def test_phrase_is_met_by_its_runs_alone(spark):
     want = {
         (1, "red green blue"), (1, "green"), (2, "green"), (5, "a b c d e"), (8, "$x"), (9, "$x"), (11, "blue,"), (13, "acme.com"), (16, "green")}
     assert got == want
+
+
+def test_tasks_of_a_worker_share_an_encoder():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert tokens._encoder(path, 1) is tokens._encoder(path, 1)
+    assert tokens._encoder(path, 2) is not tokens._encoder(path, 1)
+
+
+def test_texts_are_not_dealt_by_name(spark):
+    """A frequent name would bring its texts into one task; a short list of aliases goes to the texts."""
+    names = spark.range(100).selectExpr("id", "'x' || id || ' thead' AS text", "'the' AS name")
+    out = joins.expand_alias(names, spark.createDataFrame([("the", "thead")], "short string, full string"))
+    assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r.resolved_name for r in out.collect()} == {"thead"} and out.count() == 100
