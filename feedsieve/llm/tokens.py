@@ -7,6 +7,7 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -250,6 +251,12 @@ class Encoder:
         return np.concatenate(flats), np.concatenate(counts)
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str, changed: int) -> Encoder:
+    """One encoder a worker process, so that its tasks share the pieces it knows; a file changed since is read again."""
+    return Encoder(path)
+
+
 def with_end(ids: np.ndarray, counts: np.ndarray, end: int | None) -> tuple[np.ndarray, np.ndarray]:
     """The id `end` behind each text's ids."""
     if end is None:
@@ -265,7 +272,7 @@ def with_end(ids: np.ndarray, counts: np.ndarray, end: int | None) -> tuple[np.n
 def _write(folder: str, tokenizer_path: str, end: int | None, kind: str, block: int, file_ids: int, level: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        encode, partition, number, writer = Encoder(tokenizer_path), TaskContext.get().partitionId(), 0, None
+        encode, partition, number, writer = _encoder(tokenizer_path, os.stat(tokenizer_path).st_mtime_ns), TaskContext.get().partitionId(), 0, None
 
         def closed() -> pa.RecordBatch:
             row = {"partition": partition, "number": number, **writer.close()}
