@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from feedsieve.functions import when
 from feedsieve.policy import Interests, Policy
+from feedsieve.session import spread
 
 # Keywords that occur in the test prose; lists are parameters of every operator.
 TEST_POLICY = Policy(
@@ -24,12 +25,17 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str, name: str = "documents", key: str = "doc_id") -> DataFrame:
+    """A table of whole texts, dealt to all tasks before the texts are worked on."""
+    return spread(table(spark, sf, name), key)
+
+
 def _publish_second() -> Column:
     return F.lit(1704067200) + (F.col("doc_id") * 7919 % 43200) * 60
 
 
-def episodes(spark: SparkSession, sf: str, with_texts: bool = True) -> DataFrame:
-    """`documents` as published items; without texts only the columns derived from ids and counts are read."""
+def episodes(spark: SparkSession, sf: str, with_texts: bool = True, dealt: bool = True) -> DataFrame:
+    """`documents` as published items, their texts dealt to all tasks; without texts only the columns derived from ids and counts are read."""
     at = F.timestamp_seconds(_publish_second())
     start = when.week_start(F.col("pub_ts"))
     cols = [
@@ -41,7 +47,10 @@ def episodes(spark: SparkSession, sf: str, with_texts: bool = True) -> DataFrame
     ]
     if with_texts:
         cols += [F.substring("text", 1, 60).alias("episode_title"), F.col("text").alias("show_notes")]
-    base = table(spark, sf, "documents").select(*cols).withColumn("duration_minutes", F.floor(F.col("duration_seconds") / 60).cast("int"))
+    base = table(spark, sf, "documents").select(*cols)
+    if with_texts and dealt:
+        base = spread(base, "item_pos")
+    base = base.withColumn("duration_minutes", F.floor(F.col("duration_seconds") / 60).cast("int"))
     dated = base.withColumns({
         "publish_date": F.date_format("pub_ts", "yyyy-MM-dd"), "pub_datetime": F.date_format("pub_ts", "yyyy-MM-dd'T'HH:mm:ssXXX"),
         "week_start": start})
@@ -111,7 +120,7 @@ feeds AS (
 
 def landed_bodies(spark: SparkSession, sf: str) -> DataFrame:
     """`documents` written as feed bodies: RSS, or pages with an ld+json script, of at most twenty items each."""
-    eps = episodes(spark, sf)
+    eps = episodes(spark, sf, dealt=False)
     stamp = F.date_format("pub_ts", "dd MMM yyyy HH:mm:ss")
     item = F.concat(
         F.lit("<item><title><![CDATA["), F.replace("episode_title", F.lit("\n"), F.lit(" ")), F.lit("]]></title><pubDate>Mon, "), stamp,

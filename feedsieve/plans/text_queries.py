@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from feedsieve.functions import boilerplate, chunks, links
 from feedsieve.operators import translate
 from feedsieve.plans import sql as q
-from feedsieve.plans.adapters import table
+from feedsieve.plans.adapters import table, texts
 from feedsieve.plans.catalog import query
 from feedsieve.plans.join_queries import CACHE, cache_table
 
@@ -24,7 +24,7 @@ def with_boilerplate(text):
 
 @query("filter_blocks")
 def filter_blocks(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", boilerplate.filter_blocks(with_boilerplate(F.col("text")), "\n").alias("f"))
+    docs = texts(spark, sf).select("doc_id", boilerplate.filter_blocks(with_boilerplate(F.col("text")), "\n").alias("f"))
     return docs.select("doc_id", "f.text", F.array_join("f.removed_reasons", ",").alias("removed_reasons"),
                        *[F.coalesce(F.try_element_at(f"f.{m}", F.lit(c)), F.lit(0)).alias(f"{m[:4]}_{c}")
                          for m, c in (("kept_category_counts", "body"), ("kept_category_counts", "chapters"), ("removed_category_counts", "sponsor"))])
@@ -32,7 +32,7 @@ def filter_blocks(spark, sf):
 
 @query("filter_lines")
 def filter_lines(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", boilerplate.filter_lines(with_boilerplate(F.col("text"))).alias("text"))
+    return texts(spark, sf).select("doc_id", boilerplate.filter_lines(with_boilerplate(F.col("text"))).alias("text"))
 
 
 def _sections_sql() -> str:
@@ -50,7 +50,7 @@ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pno, i) AS I
 @query("split_sections", _sections_sql())
 def split_sections(spark, sf):
     spaced = F.regexp_replace("text", "\n+", "\n\n")
-    out = table(spark, sf, "documents").select("doc_id", F.posexplode(chunks.split_sections(spaced, 300)).alias("at", "section"))
+    out = texts(spark, sf).select("doc_id", F.posexplode(chunks.split_sections(spaced, 300)).alias("at", "section"))
     return out.select("doc_id", (F.col("at") + 1).alias("section_no"), "section")
 
 
@@ -79,7 +79,7 @@ SELECT doc_id, CAST(i - 1 AS INT) AS chunk_index, cs[i] AS chunk FROM (SELECT *,
 
 @query("pack_chunks", _CHUNKS)
 def pack_chunks(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", _paragraphed(F.col("text")).alias("t"))
+    docs = texts(spark, sf).select("doc_id", _paragraphed(F.col("text")).alias("t"))
     return translate.chunk_table(docs, "doc_id", "t", 400)
 
 
@@ -88,7 +88,7 @@ SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'resources' WHEN 1 THEN 'chapters' WH
 def chunk_structure(spark, sf):
     heads = F.array(*[F.lit(s) for s in ("Additional  Reading ：", "timestamps", "Corrections to an earlier item", "DISCLAIMER: none", "link:", "Links here", "Resource list")])
     whole = F.concat(F.get(heads, (F.col("doc_id") % 7).cast("int")), F.lit("\n"), F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", chunks.chunk_structure(whole).alias("kind"))
+    return texts(spark, sf).select("doc_id", chunks.chunk_structure(whole).alias("kind"))
 
 
 
@@ -120,7 +120,7 @@ SELECT doc_id, array_to_string(list_filter(ls, lambda x: len(list_filter(every,
 def untranslated_lines(spark, sf):
     # The output keeps every second line of the source.
     lines = F.filter(F.transform(F.split("text", "\n", -1), lambda s: F.btrim(s, F.lit(" \t\n\r\x0b\x0c\xa0　"))), lambda s: s != "")
-    docs = table(spark, sf, "documents").select("doc_id", "text", F.array_join(F.transform(lines, lambda s, i: F.when(i % 2 == 0, s).otherwise("译文")), "\n").alias("out"))
+    docs = texts(spark, sf).select("doc_id", "text", F.array_join(F.transform(lines, lambda s, i: F.when(i % 2 == 0, s).otherwise("译文")), "\n").alias("out"))
     return docs.select("doc_id", F.array_join(links.untranslated_lines(F.col("text"), F.col("out")), "|").alias("copied"))
 
 
@@ -129,7 +129,7 @@ SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN rtrim('延伸阅读（原文）：' |
 def resource_fallback(spark, sf):
     mode = F.col("doc_id") % 3
     chunk = F.when(mode == 0, F.concat(F.lit("Links:\n"), F.col("text"))).when(mode == 1, " resources \n").otherwise(F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", links.resource_fallback(chunk).alias("kept"))
+    return texts(spark, sf).select("doc_id", links.resource_fallback(chunk).alias("kept"))
 
 
 def _shout(chunk: str, target: str) -> str:
@@ -145,7 +145,7 @@ SELECT doc_id, count(*) AS chunk_count, count(*) FILTER (err IS NULL) AS transla
   CASE WHEN count(err) = 0 THEN 'ok' WHEN count(*) > count(err) THEN 'partial_failed' ELSE 'failed' END AS status,
   coalesce(string_agg(chunk_index || ':' || err, ',' ORDER BY chunk_index) FILTER (err IS NOT NULL), '') AS errors FROM r GROUP BY doc_id""")
 def translate_chunks(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", _paragraphed(F.col("text")).alias("t"))
+    docs = texts(spark, sf).select("doc_id", _paragraphed(F.col("text")).alias("t"))
     out = translate.translate_chunks(docs, "doc_id", "t", _shout, 400)
     listed = F.transform("errors", lambda e: F.concat_ws(":", e["chunk_index"].cast("string"), e["error_type"]))
     return out.select("doc_id", "chunk_count", "translated_chunk_count", "translated_text", "status", F.coalesce(F.array_join(listed, ","), F.lit("")).alias("errors"))
@@ -155,14 +155,14 @@ def translate_chunks(spark, sf):
 WITH {CACHE.strip()} SELECT doc_id, CASE WHEN NOT wanted THEN 'skipped' WHEN status = 'ok' THEN 'cache_hit' ELSE 'translated' END AS status, wanted AS should_translate,
   wanted AND coalesce(status = 'ok', false) AS cache_hit FROM keyed LEFT JOIN cache USING (k)""")
 def translate_with_cache(spark, sf):
-    docs = table(spark, sf, "documents").select(
+    docs = texts(spark, sf).select(
         "doc_id", F.col("source").alias("podcast_id"), F.lit("").alias("episode_id"), F.lit("").alias("episode_url"), F.lit("en").alias("language"), "text")
     return translate.translate_with_cache(docs, cache_table(spark, sf), "doc_id", "text").select("doc_id", "status", "should_translate", "cache_hit")
 
 
 def shown_items(spark, sf):
     none = F.lit(None).cast("string")
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf).select(
         "doc_id", with_boilerplate(F.col("text")).alias("show_notes_text"), none.alias("show_notes"), none.alias("description"),
         F.lit(None).cast("array<string>").alias("summary_3_sentences_cn"), none.alias("one_line_summary_cn"), F.col("lang").alias("language"),
         (F.col("doc_id") % 6 == 0).alias("show_notes_truncated"), F.lit("description").alias("show_notes_source"), F.col("n_chars").cast("int").alias("show_notes_text_len"))

@@ -62,6 +62,15 @@ def release(spark: SparkSession) -> None:
     _file_system(spark, own).delete(spark._jvm.org.apache.hadoop.fs.Path(own), True)
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt to all tasks by their keys, for work that costs more than moving a row once.
+
+    A row group of a file is read by one task, however many rows it holds and however many tasks there are; work that follows the
+    scan directly stays in that task.
+    """
+    return rows.repartition(*keys)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write once to the shared folder and read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
