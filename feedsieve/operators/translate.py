@@ -169,7 +169,8 @@ def translation_cache_lookup(keyed: DataFrame, cache: DataFrame, text: str | Non
 def translation_cache_misses(keyed: DataFrame, cache: DataFrame) -> DataFrame:
     """Keyed documents whose key has no finished entry."""
     done = cache.filter((F.col("status") == "ok") & (F.col("translated_text") != "")).select("cache_key")
-    return keyed.filter(F.col("cache_key").isNotNull()).join(done, "cache_key", "left_anti")
+    # Stored narrow first: each key is worked out once, by whatever tasks hold the texts; a filter on it would run in the scan.
+    return materialize(keyed, "translation-keys").filter(F.col("cache_key").isNotNull()).join(done, "cache_key", "left_anti")
 
 
 def translate_with_cache(docs: DataFrame, cache: DataFrame, key: str, text: str, translate: Callable = mock_translate,

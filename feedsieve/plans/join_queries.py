@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from feedsieve.functions import keywords as kw
 from feedsieve.operators import dictionary, joins, translate
 from feedsieve.plans import sql as q
-from feedsieve.plans.adapters import episodes, feed_config, FEEDS, lite_decisions, table, TEST_POLICY, with_episodes, with_lite
+from feedsieve.plans.adapters import episodes, feed_config, FEEDS, lite_decisions, table, TEST_POLICY, texts, with_episodes, with_lite
 from feedsieve.plans.catalog import query
 from feedsieve.plans.filter_queries import QUEUE, queue_table
+from feedsieve.session import materialize
 
 P = TEST_POLICY
 
@@ -124,14 +125,15 @@ def cache_ttl_lookup(spark, sf):
 
 
 def keyed_documents(spark, sf):
-    docs = table(spark, sf, "documents").select(
+    docs = texts(spark, sf).select(
         "doc_id", F.col("source").alias("podcast_id"), F.lit("").alias("episode_id"), F.lit("").alias("episode_url"), F.lit("en").alias("language"), "text")
     return translate.with_translation_key(docs, "text")
 
 
 def cache_table(spark, sf):
     """Entries for the texts of every third document, some unfinished."""
-    keyed = keyed_documents(spark, sf).filter((F.col("doc_id") % 3 == 0) & F.col("cache_key").isNotNull())
+    # Stored before the empty keys are dropped: a filter on the key would bring its work back to the scan's tasks.
+    keyed = materialize(keyed_documents(spark, sf).filter(F.col("doc_id") % 3 == 0).select("doc_id", "cache_key"), "cache-keys").filter("cache_key IS NOT NULL")
     status = F.when(F.max("doc_id") % 2 == 0, "ok").otherwise("failed")
     return keyed.groupBy("cache_key").agg(status.alias("status"), F.concat(F.lit("cached "), F.max("doc_id").cast("string")).alias("translated_text"),
                                          F.lit(1).cast("bigint").alias("chunk_count"), F.lit(1).cast("bigint").alias("translated_chunk_count")).withColumns({

@@ -3,7 +3,8 @@
 import os
 
 import pytest
-from feedsieve.plans import adapters, aggregate_queries, text_queries
+from feedsieve.operators import translate
+from feedsieve.plans import adapters, aggregate_queries, join_queries, text_queries
 from pyspark.sql import functions as F
 
 SF = os.environ.get("FEEDSIEVE_SF", "/root/testdata/sf0.001")
@@ -21,7 +22,13 @@ def tasks(rows):
 
 
 @pytest.mark.parametrize("rows", [
-    adapters.texts, adapters.episodes, text_queries.shown_items, text_queries.filter_blocks,
+    adapters.texts, adapters.episodes, join_queries.keyed_documents, text_queries.shown_items, text_queries.filter_blocks,
     aggregate_queries.filter_category_counts])
 def test_texts_are_dealt_to_tasks(fixed, rows):
     assert tasks(rows(fixed, SF)) > 1
+
+
+def test_filter_on_keys_does_not_work_on_texts(spark):
+    cache = spark.createDataFrame([], "cache_key string, status string, translated_text string")
+    plan = translate.translation_cache_misses(join_queries.keyed_documents(spark, SF), cache)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan
