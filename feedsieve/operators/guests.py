@@ -388,8 +388,9 @@ def guest_candidates(items: DataFrame, hosts: DataFrame, aliases: DataFrame | No
     judged = judged.withColumn("reason", reason(fam, F.col("pattern"), F.col("decision"), F.col("name")))
     if aliases is not None:
         texts = items.select(key, F.concat(F.coalesce("show_notes", F.lit("")), F.coalesce(F.col("description"), F.lit("")) if "description" in items.columns else F.lit("")).alias("text"))
-        # Only the few candidates from numbered Chinese titles need their item's text again.
-        grown = expand_alias(judged.filter(cn_title).join(texts, key), aliases)
+        # Only the few candidates from numbered Chinese titles need their item's text again. They are held, the texts pass by: a
+        # merge would sort the texts, a broadcast would hold them all.
+        grown = expand_alias(judged.filter(cn_title).hint("shuffle_hash").join(texts, key), aliases)
         short = F.replace(F.replace(F.lit(SHORT_FOR), F.lit("{short}"), F.col("name")), F.lit("{name}"), F.col("resolved_name"))
         grown = grown.withColumn("reason", F.concat("reason", F.when(F.col("resolved_name") != F.col("name"), short).otherwise("")))
         judged = judged.filter(~cn_title).unionByName(grown.withColumn("name", F.col("resolved_name")).drop("resolved_name", "text"))
