@@ -43,7 +43,8 @@ def stream_registry(spark, sf):
     landed = new_folder(spark, "landed-events")
     events.write.option("maxRecordsPerFile", 20_000).parquet(landed)
     root = new_folder(spark, "registry")
-    st.stream_registry(st.read_stream(spark, landed, events.schema, files_per_batch=2), root)
+    share = st.files_per_batch(spark, landed, events.schema, least=2)
+    st.stream_registry(st.read_stream(spark, landed, events.schema, files_per_batch=share), root)
     shape = "yyyy-MM-dd HH:mm:ss"
     return st.read_registry(spark, root).select(
         "episode_id", "seen_count", F.date_format("first_seen", shape).alias("first_seen"), F.date_format("last_seen", shape).alias("last_seen"), "decision")

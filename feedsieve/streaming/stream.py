@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,7 @@ from feedsieve.session import materialize, new_folder
 from feedsieve.sources import runs
 
 REGISTRY = "episode_id string, first_seen timestamp, last_seen timestamp, seen_count bigint, decision string, last_seq bigint"
+BACKLOG_BATCHES = 24
 
 
 def read_stream(spark: SparkSession, path: str, schema, glob: str = "*.parquet", files_per_batch: int | None = None) -> DataFrame:
@@ -21,6 +23,16 @@ def read_stream(spark: SparkSession, path: str, schema, glob: str = "*.parquet",
     return reader.parquet(path)
 
 
+def files_per_batch(spark: SparkSession, path: str, schema, least: int) -> int:
+    """Files that a batch takes, `least` or more, so that what has landed at `path` is drained in at most BACKLOG_BATCHES batches.
+
+    A batch costs its jobs and a commit, however few rows it holds: with a fixed number of files the batches, and that cost, would
+    grow with the backlog.
+    """
+    landed = len(spark.read.schema(schema).parquet(path).inputFiles())
+    return max(least, math.ceil(landed / BACKLOG_BATCHES))
+
+
 def week_counts(stream: DataFrame, ts: str, keys: list[str], delay: str) -> DataFrame:
     """Counts per business week and key; with a watermark a week is final once it has passed by the delay."""
     weeks = F.window(ts, "7 days", "7 days", WEEK_OFFSET)

@@ -114,6 +114,17 @@ def test_registry_writes_follow_the_batch(spark):
     assert len(got) == 20_008 and got["e3"][2:] == (2, "z", 40_003) and got["n8"][2:4] == (1, "y") and got["e9"][2] == 1
 
 
+def test_a_backlog_is_drained_in_a_bounded_number_of_batches(spark):
+    landed, root = new_folder(spark, "landed"), new_folder(spark, "registry")
+    rows = batch(spark, [(f"e{i % 70}", i, i, "xyz"[i % 3]) for i in range(400)])
+    rows.coalesce(1).write.option("maxRecordsPerFile", 4).parquet(landed)
+    share = st.files_per_batch(spark, landed, rows.schema, least=2)
+    assert share == 5 and st.files_per_batch(spark, landed, rows.schema, least=9) == 9
+    st.stream_registry(st.read_stream(spark, landed, rows.schema, files_per_batch=share), root, buckets=2)
+    assert runs.current_version(spark, root) == 20 <= st.BACKLOG_BATCHES
+    assert state_of(st.read_registry(spark, root)) == state_of(st.merge_registry(spark.createDataFrame([], st.REGISTRY), rows))
+
+
 def test_a_batch_that_died_before_its_commit(spark, monkeypatch):
     root = new_folder(spark, "registry")
     st.apply_batch(batch(spark, [("a", 1, 1, "x")]), root, 0)
