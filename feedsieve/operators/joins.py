@@ -180,6 +180,28 @@ def _grams(text: Column, size: int) -> Column:
         F.array().cast("array<string>"))
 
 
+SIEVE_WORDS = 1 << 20  # of 64 bits
+
+
+def _sieve(tokens: DataFrame) -> Column:
+    """One value of a fixed size (8 MB) with a bit for the hash of every row of (podcast_name, token); see `_sifted`."""
+    place, bit = _bit_of(F.col("podcast_name"), F.col("token"))
+    bits = tokens.groupBy(place.alias("id")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)).alias("bits"))
+    words = tokens.sparkSession.range(SIEVE_WORDS).join(bits, "id", "left").select(F.struct("id", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits")).alias("word"))
+    return words.agg(F.sort_array(F.collect_list("word")).alias("words")).select("words.bits").scalar()
+
+
+def _sifted(rows: DataFrame, sieve: Column) -> DataFrame:
+    """Rows of (podcast_name, token, ...) without most of those that the sieve was not made of; all others stay."""
+    place, bit = _bit_of(F.col("podcast_name"), F.col("token"))
+    return rows.where(F.call_function("shiftright", F.get(sieve, place.cast("int")), bit).bitwiseAND(F.lit(1).cast("bigint")) == 1)
+
+
+def _bit_of(feed: Column, token: Column) -> tuple[Column, Column]:
+    code = F.xxhash64(feed, token)
+    return F.pmod(F.shiftright(code, 6), F.lit(SIEVE_WORDS)), F.pmod(code, F.lit(64)).cast("int")
+
+
 POINTS = {"d": 100, "w": 5, "h": 20, "l": 3}  # date, shared word, whole hint, first three letters
 
 
@@ -190,10 +212,12 @@ def best_match(requests: DataFrame, items: DataFrame) -> DataFrame:
     three characters do (hints of four or more). Ties go to the latest date, then the first item.
 
     Whatever gives points is a token: a date prefix, a word, a piece of the title as long as some hint of the feed, three
-    letters. Tokens that only one side has are dropped; then items with the same tokens are one class, of which the
+    letters. Tokens that only one side has are dropped, most of them in place by a sieve of what is asked, the others by a join;
+    then items with the same tokens are one class, of which the
     tie rule leaves one item, and so are requests. A request class first meets the item classes that hold its rarest
-    token, which settles it if the best of them beats all that its other tokens could give; only the rest meet
-    through every token. Requests nothing scores for take the feed's latest item.
+    token, which settles it if the best of them beats all that its other tokens could give. The rest meet through so many of
+    their rarest tokens that the others together give less than that best: whatever scores as much holds one of them. So
+    frequent tokens of few points bring nothing together. Requests nothing scores for take the feed's latest item.
     """
     reqs = requests.select("request_id", "podcast_name", F.lower(F.coalesce("hint", F.lit(""))).alias("low"), F.coalesce("hint", F.lit("")).alias("hint"),
                            F.left(F.coalesce("publish_date", F.lit("")), F.lit(10)).alias("want"))
@@ -207,13 +231,14 @@ def best_match(requests: DataFrame, items: DataFrame) -> DataFrame:
         F.when(F.length("low") >= 4, F.array(F.concat(F.lit("l"), F.left("low", F.lit(3))))).otherwise(F.array().cast("array<string>")),
         F.when(F.col("want") != "", F.array(F.concat(F.lit("d"), "want"))).otherwise(F.array().cast("array<string>")))
     asked = reqs.select("request_id", "podcast_name", F.explode(wanted).alias("token"))
+    wished = asked.select("podcast_name", "token").distinct()
     # Lengths of a feed's hints: at most as many as a title has characters matter.
     lengths = reqs.filter("low <> ''").groupBy("podcast_name").agg(F.collect_set(F.length("low")).alias("lengths"))
     dates = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(10)), lambda n: F.left("pub_date", n)))
     pieces = F.flatten(F.transform(F.coalesce("lengths", F.array().cast("array<int>")), lambda n: _grams(F.col("title"), n)))
     offered = its.join(lengths, "podcast_name", "left").select("podcast_name", "item_pos", "pub_date", F.explode(F.array_distinct(F.concat(
         named("w", _words(F.col("title"))), named("h", pieces), named("l", _grams(F.col("title"), 3)), F.coalesce(named("d", dates), F.array().cast("array<string>"))))).alias("token"))
-    offered = offered.join(asked.select("podcast_name", "token").distinct(), ["podcast_name", "token"], "left_semi")
+    offered = _sifted(offered, _sieve(wished)).join(wished, ["podcast_name", "token"], "left_semi")
     classes = offered.groupBy("podcast_name", "item_pos", "pub_date").agg(F.sort_array(F.collect_set("token")).alias("tokens")).groupBy("podcast_name", "tokens").agg(
         F.max(F.struct("pub_date", (-F.col("item_pos")).alias("back"))).alias("top"))
     classes = materialize(classes.withColumn("item_class", F.xxhash64("podcast_name", "tokens")), "match-items")
@@ -226,16 +251,19 @@ def best_match(requests: DataFrame, items: DataFrame) -> DataFrame:
     known = materialize(known.withColumn("request_class", F.xxhash64("podcast_name", "tokens")), "match-requests")
     asking = known.select("request_class", "podcast_name", "tokens").dropDuplicates(["request_class"])
 
-    rarest = asking.select("request_class", "podcast_name", F.col("tokens").alias("mine"), F.get("tokens", F.lit(0))["token"].alias("token"))
-    shared = F.aggregate(F.filter("mine", lambda t: F.array_contains("tokens", t["token"])), F.lit(0), lambda acc, t: acc + t["points"])
-    rest = F.aggregate(F.slice("mine", 2, F.size("mine")), F.lit(0), lambda acc, t: acc + t["points"])
-    first = rarest.join(by_token, ["podcast_name", "token"]).select("request_class", rest.alias("rest"), F.struct(shared.alias("score"), "top").alias("best"))
-    first = first.groupBy("request_class", "rest").agg(F.max("best").alias("best"))
-    sure = materialize(first.filter(F.col("best.score") > F.col("rest")).select("request_class", "best"), "match-sure")
-    others = asking.join(sure.select("request_class"), "request_class", "left_anti").select("request_class", "podcast_name", F.explode("tokens").alias("t"))
-    pairs = others.select("request_class", "podcast_name", "t.token", "t.points").join(by_token.drop("tokens"), ["podcast_name", "token"])
-    second = pairs.groupBy("request_class", "item_class", "top").agg(F.sum("points").cast("int").alias("score")).groupBy("request_class").agg(F.max(F.struct("score", "top")).alias("best"))
-    found = known.select("request_id", "request_class").join(sure.unionByName(second), "request_class").select(
+    mine, shared = F.col("mine"), F.aggregate(F.filter("mine", lambda t: F.array_contains("tokens", t["token"])), F.lit(0), lambda acc, t: acc + t["points"])
+
+    def met(asks: DataFrame) -> DataFrame:
+        best = asks.join(by_token, ["podcast_name", "token"]).select("request_class", "mine", F.struct(shared.alias("score"), "top").alias("best"))
+        return best.groupBy("request_class").agg(F.max("best").alias("best"))
+
+    asking = asking.select("request_class", "podcast_name", F.col("tokens").alias("mine"))
+    first = materialize(met(asking.withColumn("token", F.get(mine, F.lit(0))["token"])), "match-first")
+    # A token is needed while it and those after it could give as much as the best so far.
+    needed = F.filter(mine, lambda t, i: (i > 0) & (F.aggregate(F.slice(mine, i + 1, F.size(mine)), F.lit(0), lambda acc, u: acc + u["points"]) >= F.col("best.score")))
+    second = met(asking.join(first, "request_class").select("request_class", "podcast_name", "mine", F.explode(needed["token"]).alias("token")))
+    best = first.unionByName(second).groupBy("request_class").agg(F.max("best").alias("best"))
+    found = known.select("request_id", "request_class").join(best, "request_class").select(
         "request_id", "best.score", (-F.col("best.top.back")).alias("item_pos"))
     latest = its.groupBy("podcast_name").agg(F.max(F.struct("pub_date", (-F.col("item_pos")).alias("back"))).alias("top")).select("podcast_name", (-F.col("top.back")).alias("latest_pos"))
     out = reqs.select("request_id", "podcast_name").join(found, "request_id", "left").join(latest, "podcast_name", "left")

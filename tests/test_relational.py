@@ -107,3 +107,12 @@ def test_best_match_with_common_words_joins_no_pairs(spark):
             assert got[i] == (3 * i, 38)
         else:
             assert got[i][1] == 13 and got[i][0] == 0 or got[i][1] == 33
+
+
+def test_sieve_keeps_what_is_asked(spark):
+    """Every asked token passes, most others do not; a feed's token says nothing of another feed's."""
+    rows = spark.range(4000).select(F.concat(F.lit("p"), (F.col("id") % 2).cast("string")).alias("podcast_name"), F.concat(F.lit("w"), F.floor(F.col("id") / 2).cast("string")).alias("token"), "id")
+    asked = rows.where("podcast_name = 'p0' AND id < 1000")
+    passed = {r.id for r in joins._sifted(rows, joins._sieve(asked.select("podcast_name", "token"))).collect()}
+    assert passed >= set(range(0, 1000, 2)) and len(passed) < 520
+    assert joins._sifted(rows, joins._sieve(asked.where("false").select("podcast_name", "token"))).count() == 0
