@@ -51,9 +51,15 @@ def length_score(length: Column) -> Column:
 def information_density(notes: Column) -> Column:
     """Length curve plus credit for real sentences, list lines and clock times."""
 
+    def real(parts: Column) -> Column:
+        return F.size(F.filter(parts, lambda p: p.rlike(TWELVE_LETTERS)))
+
+    def counted(parts: Column) -> Column:
+        # Nine sentences earn the whole credit: the others are looked at only where the first sixteen hold fewer.
+        return let(real(F.slice(parts, 1, 16)), lambda n: F.when(n >= 9, n).otherwise(n + real(F.slice(parts, 17, F.greatest(F.size(parts) - 16, F.lit(0))))))
 
     def density(text: Column) -> Column:
-        sentences = F.size(F.filter(sentence_parts(text), lambda p: p.rlike(TWELVE_LETTERS)))
+        sentences = let(sentence_parts(text), counted)
         marks = F.regexp_count(text, F.lit(BULLET_LINE)) + F.regexp_count(text, F.lit(CLOCK_TIME))
         total = length_score(F.length(text)) + F.least(F.lit(25), sentences * 3) + F.least(F.lit(15), marks * 2)
         return F.when(text == "", F.lit(0)).otherwise(F.least(F.lit(100), total))
@@ -129,6 +135,14 @@ def scored_words(policy: Policy) -> tuple[str, ...]:
     return tuple(seen.values())
 
 
+def add_hits(items: DataFrame, policy: Policy) -> DataFrame:
+    """Plain title and notes, the lowered text and the matched words (_title, _notes, _low, _hits). Needs episode_title, show_notes."""
+    base = items.withColumn("_title", clean_title(F.col("episode_title"))).withColumn(
+        "_notes", strip_html(F.col("show_notes")))
+    base = base.withColumn("_low", F.lower(F.concat("_title", F.lit(" "), "_notes")))
+    return base.withColumn("_hits", kw.matched_words(F.col("_low"), scored_words(policy)))
+
+
 def add_scores(items: DataFrame, policy: Policy) -> DataFrame:
     """All dimensions, score and score decision in one narrow pass.
 
@@ -136,10 +150,7 @@ def add_scores(items: DataFrame, policy: Policy) -> DataFrame:
     computed once and shared by every dimension.
     """
     likes = policy.interests
-    base = items.withColumn("_title", clean_title(F.col("episode_title"))).withColumn(
-        "_notes", strip_html(F.col("show_notes")))
-    base = base.withColumn("_low", F.lower(F.concat("_title", F.lit(" "), "_notes")))
-    base = base.withColumn("_hits", kw.matched_words(F.col("_low"), scored_words(policy)))
+    base = add_hits(items, policy)
     hits, notes = F.col("_hits"), F.col("_notes")
     dims = base.withColumns({
         "topic_relevance": topic_relevance(hits, likes),

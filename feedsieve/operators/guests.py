@@ -106,6 +106,17 @@ GUARDS = {
     "emoji_guest": r"[🎤🎧🎙️]",
     "dash_name": r"(?U)[——~…]\s*[A-Z]",
 }
+# Plain texts of which every match holds one, looked for before the guard.
+LITERALS = {
+    "chinese_name_english_alias": ("（", "("),
+    "chinese_role_before_name": ("嘉宾是",),
+    "chinese_guest_intro_name": ("嘉宾",),
+    "english_role_before_name": ("founder", "researcher", "riter", "author", "trader", "economist"),
+    "english_bare_coordinated_multi_guest": ("team", "discuss", "talk", "explain", "join"),
+    "zh_name_desc": ("在", "是", "为", "氏"),
+    "emoji_guest": ("🎤", "🎧", "🎙", "\ufe0f"),
+    "dash_name": ("—", "~", "…"),
+}
 INTRO_SIGNALS = ("——", "~", "…", "先介绍", "请到", "邀请", "嘉宾", "来做客")
 ENTITY_EXEMPT = ("本期嘉宾", "嘉宾", "特邀嘉宾", "访谈嘉宾")
 TITLE_PATTERNS = (
@@ -247,6 +258,8 @@ def _matches(family: Family, pattern: str, label: str, number: int, source: str,
     found = f"transform(array({marked}), marked -> flatten(transform({fields}, (m, i) -> array({structs}))))[0]"
     literal = needed_literal(re.sub(r"\\x\{[0-9a-f]+\}", ".", pattern)).lower()
     tests = [f"contains(low, {raw(literal)})"] if literal else []
+    if label in LITERALS:
+        tests.append("(" + " OR ".join(f"contains(x, {raw(one)})" for one in LITERALS[label]) + ")")
     if label in GUARDS:
         tests.append(f"x rlike {raw(GUARDS[label])}")
     return f"if({' AND '.join(tests)}, {found}, array())" if tests else found

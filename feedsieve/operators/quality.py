@@ -151,9 +151,14 @@ def reason_text(items: DataFrame, policy: Policy) -> DataFrame:
         F.lit("涉及话题："), F.array_join(F.slice(m, 1, 5), "、"), F.lit("，与兴趣方向存在关联。")))
         .when(topic >= 40, F.concat(F.lit("主题相关性中等（相关度"), digits(topic), F.lit("分），未直接命中核心兴趣词。")))
         .otherwise(F.concat(F.lit("主题相关性较弱（"), digits(topic), F.lit("分），兴趣方向匹配度一般。"))))
-    # The first sentence that holds any interest word.
-    sentences = F.filter(F.split(notes, SENTENCE_GAP, -1), lambda s: F.size(kw.matched_words(F.lower(s), likes.boost)) > 0)
-    sentence = F.left(strip(F.coalesce(F.get(sentences, F.lit(0)), F.lit(""))), F.lit(60))
+
+    def holding(parts: Column) -> Column:
+        return F.get(F.filter(parts, lambda s: F.size(kw.matched_words(F.lower(s), likes.boost)) > 0), F.lit(0))
+
+    # The first sentence that holds any interest word, mostly one of the first eight.
+    found = let(F.split(notes, SENTENCE_GAP, -1), lambda parts: F.coalesce(
+        holding(F.slice(parts, 1, 8)), holding(F.slice(parts, 9, F.greatest(F.size(parts) - 8, F.lit(0))))))
+    sentence = F.left(strip(F.coalesce(found, F.lit(""))), F.lit(60))
     concrete = let(sentence, lambda s: F.when(s != "", F.concat(F.lit("节目中涉及："), s, F.lit("。"))).otherwise(""))
     motive = F.when(preview, F.when(strategic >= 50, F.concat(F.lit("含一定战略/行业信息（"), digits(strategic), F.lit("分），适合预览判断具体价值。")))
                     .when(novelty >= 50, F.concat(F.lit("话题有一定新鲜度（"), digits(novelty), F.lit("分），值得预览了解。")))

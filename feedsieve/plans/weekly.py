@@ -80,7 +80,10 @@ def decision_records(items: DataFrame, policy: Policy, registry: DataFrame, host
         payload = "struct<background_zh:string,sources:array<struct<title:string,url:string,snippet:string,quality:string>>,confidence:string,note:string>"
         cache = items.sparkSession.createDataFrame([], f"key string, cached_at timestamp, detection_status string, payload {payload}")
     told = enrich_guests(kept, detected, cache, found, F.lit(run_at).cast("timestamp")).drop("podcast_name", "guest_detection_status", "guest_names")
-    scored = score.add_scores(kept, policy).join(detected.select("item_pos", "guest_names", "guest_detection_status", "guest_detection_evidence"), "item_pos")
+    # The dimensions are known; only what the reason quotes is taken from the texts again.
+    judged = decided.select("item_pos", *[name for name, _ in score.WEIGHTS], "score_decision")
+    judged = judged.join(detected.select("item_pos", "guest_names", "guest_detection_status", "guest_detection_evidence"), "item_pos")
+    scored = score.add_hits(kept, policy).join(judged, "item_pos")
     explained = reason_text(scored, policy).select(
         "item_pos", "reason_zh", "guest_names", "guest_detection_status", "guest_detection_evidence",
         quality_warnings(F.col("reason_zh"), F.col("show_notes"), F.col("pub_datetime"), F.col("duration_minutes")).alias("quality_warnings"))

@@ -6,7 +6,10 @@ import __spark_entry__ as entry
 import compare
 import public_tokenizers
 from feedsieve.llm import tokens
-from feedsieve.operators import dictionary, joins
+from feedsieve.functions import score
+from feedsieve.operators import dictionary, guests, joins
+from feedsieve.plans import adapters, weekly
+from pyspark.sql import functions as F
 
 SF = os.environ.get("FEEDSIEVE_SF", "/root/testdata/sf0.001")
 
@@ -43,3 +46,31 @@ def test_texts_are_not_dealt_by_name(spark):
     out = joins.expand_alias(names, spark.createDataFrame([("the", "thead")], "short string, full string"))
     assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
     assert {r.resolved_name for r in out.collect()} == {"thead"} and out.count() == 100
+
+
+def test_records_take_the_scores_of_the_decisions(spark, monkeypatch):
+    """The dimensions are worked out once, for the decisions; the reasons do not count the texts' sentences again."""
+    asked, plain = [], score.information_density
+    monkeypatch.setattr(score, "information_density", lambda notes: asked.append(1) or plain(notes))
+    items = adapters.episodes(spark, SF).where("item_pos < 40")
+    hosts = spark.createDataFrame([], "podcast_name string, host string")
+    records = weekly.decision_records(items, adapters.TEST_POLICY, spark.createDataFrame([], weekly.REGISTRY), hosts, "2024-02-05")
+    assert len(asked) == 1 and records.where("reason_zh <> ''").count() == records.count() > 0
+
+
+def test_density_counts_sentences_up_to_its_limit(spark):
+    """Real sentences count wherever they stand, also behind many short ones; more than nine earn no more."""
+    long, short = "abcdefgh ijklm", "ab"
+    cases = [[long] * n for n in (0, 1, 8, 9, 30)] + [[short] * 16 + [long] * n for n in (1, 12)] + [[long] * 4 + [short] * 40 + [long] * 3]
+    texts = spark.createDataFrame([(i, ".".join(c)) for i, c in enumerate(cases)], "i int, t string")
+    rest = score.length_score(F.length("t"))
+    got = {r.i: r.credit for r in texts.select("i", (score.information_density(F.col("t")) - rest).alias("credit")).collect()}
+    assert got == {i: 0 if not c else min(25, 3 * c.count(long)) for i, c in enumerate(cases)}
+
+
+def test_candidate_literals_come_before_the_guards():
+    """A text without a pattern's plain texts is not searched by its regular expressions."""
+    labels = [label for family in guests.FAMILIES for _, label in family.patterns]
+    assert set(guests.LITERALS) <= set(labels)
+    sql = guests._matches(guests.FAMILIES[1], *guests.FAMILIES[1].patterns[0], 1, "description", 0)
+    assert sql.startswith("if((contains(x, r'嘉宾是')")
