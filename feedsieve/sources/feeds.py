@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedsieve import schemas
+from feedsieve.functions.bind import let
 from feedsieve.functions.items import select_longest_text
 from feedsieve.functions.text import strip
 from feedsieve.functions.when import duration_seconds, publish_fields
@@ -32,12 +33,13 @@ JSONLD_SCRIPT = r'(?s)<script[^>]+type="application/ld\+json"[^>]*>(.*?)</script
 
 
 def _either(text: Column, pattern: str) -> Column:
-    """CDATA form or plain form, whichever matched first."""
-    return strip(F.concat(F.regexp_extract(text, pattern, 1), F.regexp_extract(text, pattern, 2)))
+    """CDATA form or plain form, whichever matched first; searched a second time only where the first form gives nothing."""
+    return strip(let(F.regexp_extract(text, pattern, 1), lambda cdata: F.when(cdata != "", cdata).otherwise(F.regexp_extract(text, pattern, 2))))
 
 
 def _text_field(item: Column, tag: str) -> Column:
-    return _either(item, rf"(?s)<{tag}[^>]*>\s*<!\[CDATA\[(.*?)\]\]>\s*</{tag}>|<{tag}[^>]*>(.*?)</{tag}>")
+    # Most items lack some fields; a plain search tells.
+    return F.when(F.contains(item, F.lit(f"<{tag}")), _either(item, rf"(?s)<{tag}[^>]*>\s*<!\[CDATA\[(.*?)\]\]>\s*</{tag}>|<{tag}[^>]*>(.*?)</{tag}>")).otherwise("")
 
 
 def explode_items(bodies: DataFrame, pattern: str = ITEM, body: str = "body") -> DataFrame:

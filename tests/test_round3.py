@@ -9,6 +9,7 @@ from feedsieve.llm import tokens
 from feedsieve.functions import score
 from feedsieve.operators import dictionary, guests, joins
 from feedsieve.plans import adapters, weekly
+from feedsieve.sources import feeds
 from pyspark.sql import functions as F
 
 SF = os.environ.get("FEEDSIEVE_SF", "/root/testdata/sf0.001")
@@ -74,3 +75,12 @@ def test_candidate_literals_come_before_the_guards():
     assert set(guests.LITERALS) <= set(labels)
     sql = guests._matches(guests.FAMILIES[1], *guests.FAMILIES[1].patterns[0], 1, "description", 0)
     assert sql.startswith("if((contains(x, r'嘉宾是')")
+
+
+def test_fields_an_item_lacks_are_not_searched(spark):
+    cases = {"": "", "<title>x</title>": "", "<description>a</description>": "a", "<description> <![CDATA[ b ]]> </description>": "b",
+             "<description><![CDATA[]]></description>": "", "<description": "", "<descriptions>c</description>": "c", "<description x='1'>d</description><description><![CDATA[e]]></description>": "d"}
+    items = spark.createDataFrame([(k,) for k in cases], "item string")
+    field = items.select("item", feeds._text_field(F.col("item"), "description").alias("f"))
+    assert {r["item"]: r.f for r in field.collect()} == cases
+    assert "CASE WHEN Contains(item" in field._jdf.queryExecution().optimizedPlan().toString()
