@@ -27,13 +27,15 @@ ADDRESS = r"https?://\S+|www\.\S+"
 CLOCK_LINE = r"(?mU)^\s*\(?\d{1,2}:\d{2}(?::\d{2})?\)?"
 LIST_LINE = r"(?mU)^\s*(?:[-*]\s+|\d+\.\s+)"
 STOPS = "。！？.!?"
+# The ranges in front of && settle letters and blanks with two comparisons; they hold all of the set.
+STOP = f"[!-?。-？&&[{STOPS}]]"
 
 # Separators that cannot occur in text: between units, and before a heading.
 _UNIT = "\x01"
 _HARD = "\x02"
 _GUARD = "\x03"
 _ADDRESS_END = "\x06"
-SENTENCE_END = r"(?U)(?<=[.!?])\s+"
+SENTENCE_END = r"(?U)([.!?])\s+"
 
 
 def _pack(text: Column, limit: int, boundary: str) -> Column:
@@ -52,7 +54,7 @@ def split_sections(text: Column, limit: int = DISPLAY_CHUNK_CHARS, cleaned: bool
 
     def pieces(paragraph: Column) -> Column:
         sentence_end = rf"(?<=[{STOPS}])(?![{STOPS}])(?<!\A[{STOPS}])"
-        sentences = F.regexp_extract_all(paragraph, F.lit(rf"(?sd).+?[{STOPS}]+|.+\z"), F.lit(0))
+        sentences = F.regexp_extract_all(paragraph, F.lit(rf"(?sd).+?{STOP}+|.+\z"), F.lit(0))
         too_long = F.exists(sentences, lambda s: F.length(s) > limit)
         return (
             F.when((F.length(paragraph) <= limit) | ~paragraph.rlike(rf"(?U)[\s{STOPS}]"), F.array(paragraph))
@@ -107,8 +109,8 @@ def _units(paragraph: Column, limit: int) -> Column:
     # An address runs up to the next blank, so its last full stop ends no sentence.
     linked = F.contains(paragraph, F.lit("://")) | F.contains(paragraph, F.lit("www."))
     marked = F.regexp_replace(_guarded(paragraph), r"(?U)((?:https?://|www\.)\S+)", "$1" + _ADDRESS_END)
-    sentences = F.when(linked, F.replace(F.regexp_replace(marked, SENTENCE_END, _UNIT), F.lit(_ADDRESS_END), F.lit(""))).otherwise(
-        F.regexp_replace(paragraph, SENTENCE_END, _UNIT))
+    sentences = F.when(linked, F.replace(F.regexp_replace(marked, SENTENCE_END, "$1" + _UNIT), F.lit(_ADDRESS_END), F.lit(""))).otherwise(
+        F.regexp_replace(paragraph, SENTENCE_END, "$1" + _UNIT))
 
     def packed(joined: Column, glue: str) -> Column:
         raw = _pack(joined, limit, _UNIT)

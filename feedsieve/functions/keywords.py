@@ -50,13 +50,13 @@ def matched_words(text: Column, words: tuple[str, ...]) -> Column:
     empty = F.array().cast("array<string>")
     single = [w for w in words if not is_cjk(w) and _ONE_WORD.fullmatch(w)]
     bar = "|".join(sorted({quote(w.lower()) for w in single}, key=lambda q: (-len(q), q)))
-    # What a word begins with is looked at before its edge, which costs more.
+    # What stands before a word and what it begins with are looked at before its edge, which costs more.
     first = "".join(sorted({w.lower()[0] for w in single}))
 
     def found(low: Column) -> Column:
         sets: list[Column] = []
         if single:
-            tokens = F.array_distinct(F.regexp_extract_all(low, F.lit(rf"(?U)(?=[{first}])\b(?:{bar})\b"), F.lit(0)))
+            tokens = F.array_distinct(F.regexp_extract_all(low, F.lit(rf"(?U)(?<![a-z])(?=[{first}])\b(?:{bar})\b"), F.lit(0)))
             # A domain ending needs a stop right before a word; most texts have none.
             vetoed = F.when(low.rlike(r"\.\w"), F.regexp_extract_all(low, F.lit(rf"(?U)\.({bar})(?=[/?#\s])"), F.lit(1)))
             sets.append(F.array_except(tokens, vetoed.otherwise(empty)))

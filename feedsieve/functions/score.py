@@ -22,7 +22,10 @@ WEIGHTS = (
     ("strategic_value", 20),
     ("transcription_value", 10),
 )
-SENTENCE_END = "[。！？.!?]+"
+# The ranges in front of && settle letters and blanks with two comparisons; they hold all of the set.
+SENTENCE_END = "[!-?。-？&&[。！？.!?]]+"
+# More than five parts, found without cutting any: nothing is tried twice, and what follows the fifth end is not read.
+FIVE_ENDS = rf"(?s)\A(?>.*?{SENTENCE_END}+){{5}}"
 BULLET_LINE = r"(?mdU)^\s*(?:[-*•·]|\d+[.)])\s+"
 CLOCK_TIME = r"(?U)\b\d{1,2}:\d{2}(?::\d{2})?\b"
 # "At least twelve letters", written out: stops at the twelfth instead of collecting them all.
@@ -40,6 +43,14 @@ def sentence_parts(text: Column) -> Column:
     return F.split(text, SENTENCE_END, -1)
 
 
+FIRST = 16
+
+
+def first_parts(text: Column) -> Column:
+    """The first parts of `sentence_parts`, and behind them what is left, uncut."""
+    return F.split(text, SENTENCE_END, FIRST + 1)
+
+
 def length_score(length: Column) -> Column:
     """Piecewise-linear in the text length, rounded half to even."""
     pieces = " ".join(
@@ -54,13 +65,15 @@ def information_density(notes: Column) -> Column:
     def real(parts: Column) -> Column:
         return F.size(F.filter(parts, lambda p: p.rlike(TWELVE_LETTERS)))
 
-    def counted(parts: Column) -> Column:
+    def counted(first: Column) -> Column:
         # Nine sentences earn the whole credit: the others are looked at only where the first sixteen hold fewer.
-        return let(real(F.slice(parts, 1, 16)), lambda n: F.when(n >= 9, n).otherwise(n + real(F.slice(parts, 17, F.greatest(F.size(parts) - 16, F.lit(0))))))
+        rest = F.get(first, F.lit(FIRST))
+        return let(real(F.slice(first, 1, FIRST)), lambda n: F.when((n >= 9) | rest.isNull(), n).otherwise(n + real(sentence_parts(rest))))
 
     def density(text: Column) -> Column:
-        sentences = let(sentence_parts(text), counted)
-        marks = F.regexp_count(text, F.lit(BULLET_LINE)) + F.regexp_count(text, F.lit(CLOCK_TIME))
+        sentences = let(first_parts(text), counted)
+        clocks = F.when(F.contains(text, F.lit(":")), F.regexp_count(text, F.lit(CLOCK_TIME))).otherwise(0)
+        marks = F.regexp_count(text, F.lit(BULLET_LINE)) + clocks
         total = length_score(F.length(text)) + F.least(F.lit(25), sentences * 3) + F.least(F.lit(15), marks * 2)
         return F.when(text == "", F.lit(0)).otherwise(F.least(F.lit(100), total))
 
@@ -82,7 +95,7 @@ def keyword_dimension(hits: Column, words: tuple[str, ...]) -> Column:
 
 
 def transcription_value(minutes: Column, notes: Column, hits: Column, strategic_words: tuple[str, ...]) -> Column:
-    deep = (F.length(notes) > 200) & (F.size(sentence_parts(notes)) > 5)
+    deep = (F.length(notes) > 200) & notes.rlike(FIVE_ENDS)
     return F.least(F.lit(100), F.when(minutes >= 60, 40).otherwise(0) + F.when(deep, 30).otherwise(0)
                    + F.when(kw.any_hit(hits, strategic_words), 15).otherwise(0))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html.entities
 import json
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,7 +28,8 @@ DISPLAY_BLOCK_OPEN = r"(?i)<\s*(p|div|li|h[1-6]|blockquote)[^>]*>"
 ANY_TAG = r"<[^>]*>"
 BROKEN_TAG = r"(?U)<\w+[^<>]*"
 GLUED_URL = r"([。！？.!?”\"）)])(?=(?:https?://|www\.))"
-ODD_SPACES = r"[\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}\x{feff}\r]+"
+# The range in front of && settles letters and plain blanks with one comparison; it holds all of the set.
+ODD_SPACES = r"[\r\x{a0}-\x{feff}&&[\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}\x{feff}\r]]+"
 SPACE_RUN = r"[ \t]{2,}"
 SPACES_AROUND_NEWLINE = r" *\n *"
 NEWLINE_RUN = r"\n{3,}"
@@ -87,29 +89,44 @@ def unescape(text: Column) -> Column:
     return let_sql(text, f"CASE WHEN contains(x, '&') THEN {decoded} ELSE x END")
 
 
-def _chain(text: Column, rules) -> Column:
-    for pattern, replacement in rules:
-        text = F.regexp_replace(text, pattern, replacement)
+def holds_any(text: Column, words) -> Column:
+    """Whether a text holds one of some plain texts."""
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
+
+
+def replaced(text: Column, rules) -> Column:
+    """Replacements one by one. The plain texts of a rule are those without which its pattern changes nothing; they cost less to look for."""
+    def applied(pattern: str, replacement: str, *needed: str) -> Column:
+        if not needed:
+            return F.regexp_replace(text, pattern, replacement)
+        return let(text, lambda t: F.when(holds_any(t, needed), F.regexp_replace(t, pattern, replacement)).otherwise(t))
+
+    for rule in rules:
+        text = applied(*rule)
     return text
 
 
-_TIDY = ((ODD_SPACES, " "), (SPACE_RUN, " "), (SPACES_AROUND_NEWLINE, "\n"), (NEWLINE_RUN, "\n\n"))
+TIDY_LINES = ((SPACE_RUN, " ", "  ", "\t"), (SPACES_AROUND_NEWLINE, "\n", " \n", "\n "), (NEWLINE_RUN, "\n\n", "\n\n\n"))
+_TIDY = ((ODD_SPACES, " "), *TIDY_LINES)
 
 
 def _to_plain(text: Column, tag_rules, tidy_rules) -> Column:
     """Decode, turn markup into text (only where there is markup), then tidy blanks."""
 
     def without_markup(body: Column) -> Column:
-        return F.when(F.contains(body, F.lit("<")), _chain(body, tag_rules)).otherwise(body)
+        return F.when(F.contains(body, F.lit("<")), replaced(body, tag_rules)).otherwise(body)
 
-    plain = let(unescape(F.coalesce(text, F.lit(""))), without_markup)
-    return strip(_chain(F.translate(plain, "<>", ""), tidy_rules))
+    def without_signs(body: Column) -> Column:
+        return F.when(holds_any(body, "<>"), F.translate(body, "<>", "")).otherwise(body)
+
+    plain = let(let(unescape(F.coalesce(text, F.lit(""))), without_markup), without_signs)
+    return strip(replaced(plain, tidy_rules))
 
 
 def clean_html(text: Column) -> Column:
     """Markup to plain text with line structure kept; inline tags become a space."""
     return _to_plain(text, ((SCRIPT_BLOCK, " "), (LINE_BREAK_TAG, "\n"), (BLOCK_CLOSE, "\n"), (BLOCK_OPEN, "\n"),
-                            (ANY_TAG, " "), (BROKEN_TAG, " ")), ((GLUED_URL, "$1 "),) + _TIDY)
+                            (ANY_TAG, " "), (BROKEN_TAG, " ")), ((GLUED_URL, "$1 ", "://", "www."),) + _TIDY)
 
 
 def clean_display_html(text: Column) -> Column:
@@ -120,10 +137,16 @@ def clean_display_html(text: Column) -> Column:
 
 def strip_html(text: Column) -> Column:
     """Tags out, six entities decoded, ends trimmed."""
-    out = F.regexp_replace(F.coalesce(text, F.lit("")), "<[^>]+>", "")
-    for entity, char in LIGHT_ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return strip(out)
+    def without_tags(t: Column) -> Column:
+        return F.when(F.contains(t, F.lit("<")), F.regexp_replace(t, "<[^>]+>", "")).otherwise(t)
+
+    def decoded(t: Column) -> Column:
+        out = t
+        for entity, char in LIGHT_ENTITIES:
+            out = F.replace(out, F.lit(entity), F.lit(char))
+        return F.when(F.contains(t, F.lit("&")), out).otherwise(t)
+
+    return strip(let(let(F.coalesce(text, F.lit("")), without_tags), decoded))
 
 
 def clean_title(text: Column) -> Column:
@@ -149,7 +172,7 @@ def best_display_text(notes_text, notes, description, summary_items, one_liner)
     lines = F.filter(F.transform(F.coalesce(summary_items, F.array().cast("array<string>")), clean_display_html),
                      lambda s: s != "")
     joined = F.nullif(F.array_join(lines, "\n"), F.lit(""))
-    direct = [F.nullif(clean_display_html(c), F.lit("")) for c in (notes_text, notes, description)]
+    direct = [let(clean_display_html(c), lambda t: F.when(t != "", t)) for c in (notes_text, notes, description)]
     return F.coalesce(*direct, joined, clean_display_html(one_liner))
 
 

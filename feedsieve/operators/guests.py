@@ -8,13 +8,15 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import groupby
+from operator import itemgetter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedsieve.functions.bind import let, let_sql, raw
 from feedsieve.functions.boilerplate import needed_literal
-from feedsieve.functions.text import mark, marked_name, strip, unescape, unmarked
+from feedsieve.functions.text import holds_any, mark, marked_name, strip, unescape, unmarked
 from feedsieve.operators.joins import expand_alias, with_host_flag
 from feedsieve.session import materialize
 
@@ -216,6 +218,8 @@ FAMILIES = (
 CANDIDATE = "array<struct<pattern_no:int,source_no:int,match_no:int,family:string,source:string,pattern:string,raw:string,matched_text:string,context:string>>"
 
 
+# First of the Chinese, full-width and pictorial signs.
+FAR = "\u2e80"
 # Signs around a match and between its groups.
 MATCH, FIELD = "\x01", "\x02"
 
@@ -224,8 +228,8 @@ def _uncaptured(pattern: str) -> str:
     return re.sub(r"(?<!\\)\((?!\?)", "(?:", pattern)
 
 
-def _matches(family: Family, pattern: str, label: str, number: int, source: str, source_no: int) -> str:
-    """SQL over the text x: candidate structs of one pattern."""
+def _matches(family: Family, pattern: str, label: str, number: int, source: str, source_no: int, tested: bool = False) -> str:
+    """SQL over the text x: candidate structs of one pattern; `tested`: what its label asks of a text is known to hold."""
     flags = f"(?{family.flags})"
     full, offset = pattern, 0
     if family.before:
@@ -256,24 +260,41 @@ def _matches(family: Family, pattern: str, label: str, number: int, source: str,
         f"named_struct('pattern_no', {number}, 'source_no', {source_no}, 'match_no', i * {family.groups} + {g}, 'family', '{family.name}', 'source', '{source}', "
         f"'pattern', '{label}', 'raw', {field(offset + g)}, 'matched_text', left({field(0)}, {family.cut}), 'context', {shown})" for g in range(1, family.groups + 1))
     found = f"transform(array({marked}), marked -> flatten(transform({fields}, (m, i) -> array({structs}))))[0]"
-    literal = needed_literal(re.sub(r"\\x\{[0-9a-f]+\}", ".", pattern)).lower()
-    tests = [f"contains(low, {raw(literal)})"] if literal else []
+    literal = _literal(pattern)
+    return _where(([f"contains(low, {raw(literal)})"] if literal else []) + ([] if tested else _tests(label)), found)
+
+
+def _literal(pattern: str) -> str:
+    return needed_literal(re.sub(r"\\x\{[0-9a-f]+\}", ".", pattern)).lower()
+
+
+def _tests(label: str) -> list[str]:
+    tests = []
     if label in LITERALS:
         tests.append("(" + " OR ".join(f"contains(x, {raw(one)})" for one in LITERALS[label]) + ")")
     if label in GUARDS:
         tests.append(f"x rlike {raw(GUARDS[label])}")
+    return tests
+
+
+def _where(tests: list[str], found: str) -> str:
     return f"if({' AND '.join(tests)}, {found}, array())" if tests else found
 
 
 def _text_candidates(text: Column, source: str, source_no: int) -> Column:
     found, number = [], 0
     for family in FAMILIES:
-        for pattern, label in family.patterns:
-            found.append(_matches(family, pattern, label, number, source, source_no))
-            number += 1
-    every = f"transform(array(lower(x)), low -> concat({', '.join(found)}))[0]"
+        for label, patterns in groupby(family.patterns, key=itemgetter(1)):
+            of_label = [pattern for pattern, _ in patterns]
+            matches = [_matches(family, pattern, label, number + i, source, source_no, tested=True) for i, pattern in enumerate(of_label)]
+            number += len(matches)
+            # One look for signs of the far scripts spares most texts all patterns that need them; then what patterns of one label share.
+            far = all(any(ch >= FAR for ch in one) for one in LITERALS.get(label, map(_literal, of_label)))
+            found.append(_where((["far"] if far else []) + _tests(label), matches[0] if len(matches) == 1 else f"concat({', '.join(matches)})"))
+    every = f"transform(array(lower(x)), low -> transform(array(x rlike {raw(f'[{FAR}-{chr(0x10ffff)}]')}), far -> concat({', '.join(found)}))[0])[0]"
     # The text's own signs become blanks.
-    return let_sql(F.translate(F.coalesce(text, F.lit("")), MATCH + FIELD, "  "), every).cast(CANDIDATE)
+    whole = F.coalesce(text, F.lit(""))
+    return let_sql(F.when(holds_any(whole, MATCH + FIELD), F.translate(whole, MATCH + FIELD, "  ")).otherwise(whole), every).cast(CANDIDATE)
 
 
 def _title_candidates(title: Column) -> Column:

@@ -60,8 +60,8 @@ def uncertainty_text(note_length: Column, novelty: Column, density: Column, deci
     return F.concat(let(clauses, lambda c: F.when(F.size(c) == 0, "暂无明显不确定性").otherwise(F.array_join(c, "；"))), F.lit("。"))
 
 
-def quality_warnings(reason: Column, notes: Column, pub_datetime: Column, minutes: Column, same_reason: Column | None = None) -> Column:
-    """Problems of a scored item as an array; empty when all is well."""
+def quality_warnings(reason: Column, notes: Column | None, pub_datetime: Column, minutes: Column, same_reason: Column | None = None, size: Column | None = None) -> Column:
+    """Problems of a scored item as an array; empty when all is well. `size`: the length of the plain notes, where it is known."""
     text = F.coalesce(reason, F.lit(""))
     cjk = F.regexp_count(text, F.lit(CJK))
     english = F.regexp_count(text, F.lit("[a-zA-Z]{4,}"))
@@ -74,7 +74,7 @@ def quality_warnings(reason: Column, notes: Column, pub_datetime: Column, minute
         problems.append(F.when(same_reason > 1, F.concat(
             F.lit("quality_warning: reason_zh 与其他"), same_reason.cast("string"), F.lit("条 episode 重复，建议差异化"))))
     problems += [
-        F.when(F.length(strip_html(notes)) < 20, "quality_warning: show_notes 为空或过短，无法生成有效摘要"),
+        F.when((F.length(strip_html(notes)) if size is None else size) < 20, "quality_warning: show_notes 为空或过短，无法生成有效摘要"),
         F.when(F.coalesce(pub_datetime, F.lit("")) == "", "quality_warning: pub_datetime 缺失"),
         F.when(F.coalesce(minutes, F.lit(0)) == 0, "quality_warning: duration_minutes 缺失"),
     ]
@@ -124,14 +124,36 @@ def translation_summary(items: DataFrame, keys: list[str], order: list[str], kee
     return counts.join(listed, keys, "left")
 
 
+#: All that a reason and its warnings take from an item's texts.
+QUOTED = ("_title", "_hits", "_quote", "_size")
+
+
+def with_quote(items: DataFrame, policy: Policy) -> DataFrame:
+    """Adds the start of the first sentence that holds an interest word, and the length of the notes (_quote, _size). Needs _notes."""
+    boost = policy.interests.boost
+
+    def holding(parts: Column) -> Column:
+        return F.get(F.filter(parts, lambda s: F.size(kw.matched_words(F.lower(s), boost)) > 0), F.lit(0))
+
+    # Mostly the first sentence or one of the next seven; the others are cut apart only if it is not. No blank follows the cut, so what
+    # is left is cut as it would have been.
+    def later(rest: Column) -> Column:
+        return F.when(rest.isNotNull(), holding(F.split(rest, SENTENCE_GAP, -1)))
+
+    found = let(F.split("_notes", SENTENCE_GAP, 9), lambda parts: F.coalesce(holding(F.slice(parts, 1, 1)), holding(F.slice(parts, 2, 7)), later(F.get(parts, F.lit(8)))))
+    return items.withColumns({"_quote": F.left(strip(F.coalesce(found, F.lit(""))), F.lit(60)), "_size": F.length("_notes")})
+
+
 # So are the sentences of this one.
 def reason_text(items: DataFrame, policy: Policy) -> DataFrame:
     """Adds `reason_zh`, the assembled explanation of the score decision.
 
-    Needs the columns of `add_scores` plus podcast_name, guest_names, guest_detection_status.
+    Needs the columns of `add_scores`, or in place of the texts those of QUOTED, plus podcast_name, guest_names, guest_detection_status.
     """
+    if "_quote" not in items.columns:
+        return reason_text(with_quote(items, policy), policy).drop("_quote", "_size")
     likes = policy.interests
-    title, notes = F.col("_title"), F.col("_notes")
+    title, size = F.col("_title"), F.col("_size")
     topic, density, novelty = F.col("topic_relevance"), F.col("information_density"), F.col("novelty")
     action, strategic, transcription = F.col("actionability"), F.col("strategic_value"), F.col("transcription_value")
     preview = F.col("score_decision") == "preview"
@@ -152,14 +174,7 @@ def reason_text(items: DataFrame, policy: Policy) -> DataFrame:
         .when(topic >= 40, F.concat(F.lit("主题相关性中等（相关度"), digits(topic), F.lit("分），未直接命中核心兴趣词。")))
         .otherwise(F.concat(F.lit("主题相关性较弱（"), digits(topic), F.lit("分），兴趣方向匹配度一般。"))))
 
-    def holding(parts: Column) -> Column:
-        return F.get(F.filter(parts, lambda s: F.size(kw.matched_words(F.lower(s), likes.boost)) > 0), F.lit(0))
-
-    # The first sentence that holds any interest word, mostly one of the first eight.
-    found = let(F.split(notes, SENTENCE_GAP, -1), lambda parts: F.coalesce(
-        holding(F.slice(parts, 1, 8)), holding(F.slice(parts, 9, F.greatest(F.size(parts) - 8, F.lit(0))))))
-    sentence = F.left(strip(F.coalesce(found, F.lit(""))), F.lit(60))
-    concrete = let(sentence, lambda s: F.when(s != "", F.concat(F.lit("节目中涉及："), s, F.lit("。"))).otherwise(""))
+    concrete = let(F.col("_quote"), lambda s: F.when(s != "", F.concat(F.lit("节目中涉及："), s, F.lit("。"))).otherwise(""))
     motive = F.when(preview, F.when(strategic >= 50, F.concat(F.lit("含一定战略/行业信息（"), digits(strategic), F.lit("分），适合预览判断具体价值。")))
                     .when(novelty >= 50, F.concat(F.lit("话题有一定新鲜度（"), digits(novelty), F.lit("分），值得预览了解。")))
                     .when(action >= 30, F.concat(F.lit("含一定行动/策略信息（"), digits(action), F.lit("分），预览可辅助决策。")))
@@ -167,11 +182,10 @@ def reason_text(items: DataFrame, policy: Policy) -> DataFrame:
     doubts = F.array_compact(F.array(
         F.when(density < 30, "信息量偏少，show_notes 不足以判断完整价值"),
         F.when((novelty < 30) & preview, "话题新鲜度较低，可能是已有认知的重复"),
-        F.when(notes == "", "暂无 show_notes，无法判断内容质量"),
+        F.when(size == 0, "暂无 show_notes，无法判断内容质量"),
         F.when(transcription < 30, "完整转写价值有限，优先预览即可")))
     doubt = let(doubts, lambda d: F.when(F.size(d) > 0, F.concat(F.lit("不确定性："), F.array_join(d, "；"), F.lit("。")))
                 .otherwise("暂未发现明显不确定性。"))
-    size = F.length(notes)
     pad = F.when(size == 0, "暂无 show_notes，内容深度无法预估。").when(size < 100, "节目简介较短，具体内容价值需预览后判断。").otherwise("")
     whole = let(F.concat(opening, relation, concrete, motive, doubt), lambda r: F.concat(
         r, F.when(F.regexp_count(r, F.lit(CJK)) < 60, pad).otherwise("")))

@@ -12,7 +12,7 @@ from feedsieve.functions.items import episode_id
 from feedsieve.operators import documents, guests, ranking, translate
 from feedsieve.operators.background import enrich_guests
 from feedsieve.operators.joins import join_registry, upsert_registry
-from feedsieve.operators.quality import quality_warnings, reason_text, uncertainty_text
+from feedsieve.operators.quality import QUOTED, quality_warnings, reason_text, uncertainty_text, with_quote
 from feedsieve.policy import Policy
 from feedsieve.session import materialize
 from feedsieve.sources import runs
@@ -21,13 +21,16 @@ from feedsieve.sources import runs
 TEXT_COLUMNS = ("show_notes", "show_notes_raw", "_title", "_notes", "_low", "_hits")
 
 
-def decide(items: DataFrame, policy: Policy) -> DataFrame:
-    """Ids, scores and decisions of every item in one narrow pass; the texts stay behind.
+def decide(items: DataFrame, policy: Policy, quoted: bool = False) -> DataFrame:
+    """Ids, scores and decisions of every item in one narrow pass; the texts stay behind, but for what a reason quotes if `quoted`.
 
     Needs podcast_id, publish_date, episode_title, show_notes, audio_url, duration_seconds, duration_minutes.
     """
     named = items.withColumn("episode_id", episode_id(F.col("podcast_id"), F.col("publish_date"), F.col("episode_title")))
     scored = score.add_scores(named, policy)
+    if quoted:
+        scored = with_quote(scored, policy)
+    texts = [c for c in TEXT_COLUMNS if not (quoted and c in QUOTED)]
     extra = {
         "full_suggestion": score.full_suggestion(*[F.col(c) for c in ("final_score", "transcription_value", "topic_relevance", "strategic_value", "actionability")], policy),
         "uncertainty_zh": uncertainty_text(F.length("_notes"), F.col("novelty"), F.col("information_density"), F.col("score_decision")),
@@ -35,19 +38,26 @@ def decide(items: DataFrame, policy: Policy) -> DataFrame:
     if policy.mode == "all_preview":
         extra["_v"] = score.classify(F.col("episode_title"), F.col("_notes"), F.col("audio_url"), F.col("duration_seconds"), F.col("duration_minutes"), policy)
         kept = scored.withColumns(extra)
-        return kept.select(*[c for c in kept.columns if c not in (*TEXT_COLUMNS, "_v")], F.col("_v.decision").alias("decision"),
+        return kept.select(*[c for c in kept.columns if c not in (*texts, "_v")], F.col("_v.decision").alias("decision"),
                            F.col("_v.reason_code").alias("decision_reason_code"), F.col("_v.reason_zh").alias("decision_reason_zh"))
     extra |= {"decision": F.col("score_decision"), "decision_reason_code": F.concat(F.lit("score_based_"), "score_decision")}
-    return scored.withColumns(extra).drop(*TEXT_COLUMNS)
+    return scored.withColumns(extra).drop(*texts)
 
 
 def screen(items: DataFrame, policy: Policy) -> DataFrame:
     """Score, classify, deduplicate and prioritise items of any number of weeks.
 
-    The texts are read once and never shuffled: duplicates are found among the scored, narrow rows. What
-    is left is stored once, because the priority reads it twice (histogram, then rows).
+    The texts are read once and never shuffled: duplicates are found among the scored, narrow rows.
     """
-    unique = ranking.dedup_cross_feed(ranking.dedup_episode_id(decide(items, policy)))
+    return settle(decide(items, policy), policy)
+
+
+def settle(scored: DataFrame, policy: Policy) -> DataFrame:
+    """Rows of `decide` without duplicates and with their priority.
+
+    What is left is stored once, because the priority reads it twice (histogram, then rows).
+    """
+    unique = ranking.dedup_cross_feed(ranking.dedup_episode_id(scored))
     stored = materialize(unique, "decisions")
     if policy.mode == "all_preview":
         return ranking.relative_priority(stored)
@@ -70,9 +80,11 @@ def decision_records(items: DataFrame, policy: Policy, registry: DataFrame, host
     """One record per screened item: scores, decision, priority, reason, warnings, guests and their background, registry status.
 
     `items` as for `screen`, with podcast_name, pub_datetime, feed_ord, item_pos and week_id. `registry`: REGISTRY, as the last
-    run left it. `cache` and `found` as for `enrich_guests`. Texts are read again only for the items that stay.
+    run left it. `cache` and `found` as for `enrich_guests`. Texts are read again only for the items that stay,
+    and only for their guests: what a reason quotes is noted with the scores.
     """
-    decided = materialize(screen(items, policy), "week-decisions")
+    scored = materialize(decide(items, policy, quoted=True), "week-scores")
+    decided = materialize(settle(scored.drop(*QUOTED), policy), "week-decisions")
     kept = items.join(decided.select("item_pos"), "item_pos", "left_semi")
     candidates = guests.dedup_candidates(guests.guest_candidates(kept, hosts))
     detected = materialize(guests.guest_status(kept, candidates, hosts), "week-guests")
@@ -80,13 +92,12 @@ def decision_records(items: DataFrame, policy: Policy, registry: DataFrame, host
         payload = "struct<background_zh:string,sources:array<struct<title:string,url:string,snippet:string,quality:string>>,confidence:string,note:string>"
         cache = items.sparkSession.createDataFrame([], f"key string, cached_at timestamp, detection_status string, payload {payload}")
     told = enrich_guests(kept, detected, cache, found, F.lit(run_at).cast("timestamp")).drop("podcast_name", "guest_detection_status", "guest_names")
-    # The dimensions are known; only what the reason quotes is taken from the texts again.
     judged = decided.select("item_pos", *[name for name, _ in score.WEIGHTS], "score_decision")
     judged = judged.join(detected.select("item_pos", "guest_names", "guest_detection_status", "guest_detection_evidence"), "item_pos")
-    scored = score.add_hits(kept, policy).join(judged, "item_pos")
-    explained = reason_text(scored, policy).select(
+    quoted = scored.select("item_pos", "podcast_name", "pub_datetime", "duration_minutes", *QUOTED).join(judged, "item_pos")
+    explained = reason_text(quoted, policy).select(
         "item_pos", "reason_zh", "guest_names", "guest_detection_status", "guest_detection_evidence",
-        quality_warnings(F.col("reason_zh"), F.col("show_notes"), F.col("pub_datetime"), F.col("duration_minutes")).alias("quality_warnings"))
+        quality_warnings(F.col("reason_zh"), None, F.col("pub_datetime"), F.col("duration_minutes"), size=F.col("_size")).alias("quality_warnings"))
     out = decided.join(explained, "item_pos").join(told, "item_pos", "left")
     if "decision_reason_zh" not in out.columns:
         out = out.withColumn("decision_reason_zh", F.col("reason_zh"))
@@ -160,6 +171,8 @@ def run_week(items: DataFrame, policy: Policy, hosts: DataFrame, root: str, run_
     no log row is written twice.
     """
     spark = items.sparkSession
+    # Every step reads the texts: stored once, they are not built and dealt to the tasks again for each.
+    items = materialize(items, "week-items")
     state = f"{root}/registry"
     fields = [f.split()[0] for f in REGISTRY.split(", ")]
     while True:
