@@ -8,12 +8,13 @@ that short letter string. Everything stays in one row, in linear time, without P
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from feedsieve.functions.bind import let
-from feedsieve.functions.text import clean_display_html, strip
+from feedsieve.functions.text import TIDY_LINES, clean_display_html, holds_any, replaced, strip
 
 # Line patterns, all on the lowercased line.
 BOILERPLATE_LINES = (
@@ -236,11 +237,31 @@ def _start(patterns, flags: str = "dU") -> str:
     return f"(?{flags})^(?:" + "|".join(p.removeprefix("^") for p in patterns) + ")"
 
 
+def _literals(patterns) -> list[str]:
+    literals = sorted({needed_literal(p) for p in patterns}, key=len)
+    return [w for i, w in enumerate(literals) if not any(v in w for v in literals[:i])]
+
+
 def _mentions(low_text: Column, patterns) -> Column:
     """Cheap test that some pattern could match at all."""
-    literals = sorted({needed_literal(p) for p in patterns}, key=len)
-    kept = [w for i, w in enumerate(literals) if not any(v in w for v in literals[:i])]
-    return F.exists(F.lit(kept), lambda w: F.contains(low_text, w))
+    return F.exists(F.lit(_literals(patterns)), lambda w: F.contains(low_text, w))
+
+
+def _shared(literals: list[str]) -> list[str]:
+    """Fewer texts, of which each of some texts holds one: what most of them share, again and again; the others as they are."""
+    left, out = list(literals), []
+    while True:
+        parts = Counter(p for w in left for p in {w[i:j] for i in range(len(w)) for j in range(i + 4, len(w) + 1) if " " not in w[i:j]})
+        best = max(parts, key=lambda p: (parts[p], len(p), p), default="")
+        if parts[best] < 2:
+            return out + left
+        out.append(best)
+        left = [w for w in left if best not in w]
+
+
+def _hinted(text: Column, patterns) -> Column:
+    """Cheaper test than `_mentions` for whole texts of any case; it may hold where no pattern can match."""
+    return let(F.lower(text), lambda low: holds_any(low, _shared(_literals(patterns))))
 
 
 def _split_anchored(patterns) -> tuple[list[str], list[str]]:
@@ -286,22 +307,23 @@ def _without_notices(body: Column) -> Column:
     trimmed = body
     for pattern in WHOLE_TEXT_NOTICES:
         trimmed = F.regexp_replace(trimmed, pattern, "")
-    low = F.lower(body)
-    hinted = F.contains(low, F.lit(NOTICE_LITERALS[0])) | F.contains(low, F.lit(NOTICE_LITERALS[1]))
-    return F.when(hinted, trimmed).otherwise(body)
+    return F.when(let(F.lower(body), lambda low: holds_any(low, NOTICE_LITERALS)), trimmed).otherwise(body)
 
 
 def _kept_lines(body: Column) -> Column:
     def joined(lines: Column) -> Column:
+        # Only lines of these patterns drop lines, themselves or others.
+        every = BOILERPLATE_LINES + SPONSOR_LINES + SPONSOR_HEADERS
+        return F.when(_hinted(body, every), kept_of(lines)).otherwise(F.array_join(lines, "\n"))
+
+    def kept_of(lines: Column) -> Column:
         marks = F.split(dropped_lines(line_letters(lines)), "", -1)
         zipped = F.arrays_zip(lines.alias("line"), marks.alias("mark"))
         kept = F.filter(zipped, lambda z: z["mark"].isin("T", "B", "C", "c", "O", "o"))
         return F.array_join(F.transform(kept, lambda z: z["line"]), "\n")
 
     out = let(F.transform(F.split(body, r"[\n\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]", -1), strip), joined)
-    for pattern, replacement in ((r"[ \t]{2,}", " "), (r" *\n *", "\n"), (r"\n{3,}", "\n\n")):
-        out = F.regexp_replace(out, pattern, replacement)
-    return strip(out)
+    return strip(replaced(out, TIDY_LINES))
 
 
 def filter_lines(text: Column, cleaned: bool = False) -> Column:
@@ -311,6 +333,7 @@ def filter_lines(text: Column, cleaned: bool = False) -> Column:
 
 
 _HEADER_LETTER = {"resources": "R", "chapters": "C", "credits": "E", "cta": "A", "sponsor": "S"}
+_MARKERS = tuple(p for patterns in BLOCK_MARKERS.values() for p in patterns)
 _MARKER_LETTER = {"privacy": "p", "sponsor": "s", "cta": "a", "credits": "e"}
 # letter -> (category, removal reason or '')
 LETTER_MEANING = {
@@ -325,13 +348,16 @@ LETTER_MEANING = {
 _KEPT = "[RrCc0-7]"
 
 
-def block_letters(blocks: Column) -> Column:
-    """One letter per block: section header, removal marker, or a digit holding three continuation bits."""
-    every = tuple(p for patterns in BLOCK_MARKERS.values() for p in patterns)
+def block_letters(blocks: Column, hinted: Column | None = None) -> Column:
+    """One letter per block: section header, removal marker, or a digit holding three continuation bits.
+
+    `hinted`: whether the text could hold a marker at all, where that is known.
+    """
+    every = _MARKERS
 
     def letter(block: Column) -> Column:
         inputs = F.struct(block.alias("block"), F.lower(block).alias("low"), F.lower(strip(F.substring_index(block, "\n", 1))).alias("first"))
-        return let(inputs, lambda v: let(_mentions(v["first"], every), lambda costly: ranked(v["block"], v["low"], v["first"], costly)))
+        return let(inputs, lambda v: let(_mentions(v["first"], every) if hinted is None else hinted & _mentions(v["first"], every), lambda costly: ranked(v["block"], v["low"], v["first"], costly)))
 
     def ranked(block: Column, low: Column, first: Column, costly: Column) -> Column:
         out = F.when(F.lit(False), "0")
@@ -378,7 +404,8 @@ def filter_blocks(text: Column, separator: str = r"(?U)\n\s*\n", cleaned: bool =
 
     def judged(body: Column) -> Column:
         blocks = F.filter(F.transform(F.split(body, separator, -1), strip), lambda b: b != "")
-        return let(blocks, lambda bs: let(carried_sections(block_letters(bs)), lambda letters: kept(bs, letters)))
+        return let(blocks, lambda bs: let(_hinted(body, _MARKERS), lambda hinted: let(
+            carried_sections(block_letters(bs, hinted)), lambda letters: kept(bs, letters))))
 
     def kept(blocks: Column, letters: Column) -> Column:
         zipped = F.arrays_zip(blocks.alias("block"), F.split(letters, "", -1).alias("mark"))

@@ -86,14 +86,14 @@ def source_hash(text: Column) -> Column:
     return F.sha2(collapse_blanks(text), 256)
 
 
-def cache_key(podcast: Column, episode: Column, url: Column, text: Column, model: Column, version: Column | None = None) -> Column:
-    """Content-addressed key over the six normalised parts, as canonical JSON with sorted names."""
+def cache_key(podcast: Column, episode: Column, url: Column, text: Column, model: Column, version: Column | None = None, hashed: Column | None = None) -> Column:
+    """Content-addressed key over the six normalised parts, as canonical JSON with sorted names. `hashed`: the text's `source_hash` where it is known."""
     def part(c: Column) -> Column:
         return F.lower(collapse_blanks(c.cast("string")))
 
     payload = F.to_json(F.struct(
         part(episode).alias("episode_id"), part(url).alias("episode_url"), part(model).alias("model_name"),
-        part(podcast).alias("podcast_id"), source_hash(text).alias("source_hash"),
+        part(podcast).alias("podcast_id"), (source_hash(text) if hashed is None else hashed).alias("source_hash"),
         part(F.lit(CACHE_VERSION) if version is None else version).alias("translation_version")))
     return F.concat(F.lit(CACHE_PREFIX), F.sha2(payload, 256))
 

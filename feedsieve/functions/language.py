@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from feedsieve.functions.bind import let
-from feedsieve.functions.text import CJK, clean_display_html
+from feedsieve.functions.text import CJK, clean_display_html, holds_any
 
 # Address patterns ignored when counting letters, and thresholds.
 WEB_ADDRESS = r"(?iU)https?://\S+|www\.\S+"
@@ -16,28 +18,41 @@ LATIN_WORD = r"(?U)\b[A-Za-z][A-Za-z'-]*\b"
 ORIGINAL_RESOURCES = r"(?msdU)^延伸阅读（原文）：\s*$.*"
 TERMINAL = r"(?d)[.!?。！？…][\]\)）}\"'’”]*$"
 MIN_SIGNAL = 80
+SIGNAL = r"\A(?:[^A-Za-z]*+[A-Za-z]){%d}" % MIN_SIGNAL
 CHINESE_NAMES = ("zh", "cn", "chinese", "中文")
 ENGLISH_NAMES = ("en", "eng", "english")
 
 
+def _blanked(text: Column, pattern: str, likely: Callable[[Column], Column]) -> Column:
+    """Text with a blank in place of each match of a pattern that never spans blanks or line ends.
+
+    Searched are only the words, of the lines, for which `likely` holds, as it must wherever the pattern can match.
+    """
+    def word(w: Column) -> Column:
+        return F.when(likely(w), F.regexp_replace(w, pattern, " ")).otherwise(w)
+
+    def line(x: Column) -> Column:
+        return F.when(likely(x), F.array_join(F.transform(F.split(x, " ", -1), word), " ")).otherwise(x)
+
+    return let(text, lambda t: F.when(likely(t), F.array_join(F.transform(F.split(t, "\n", -1), line), "\n")).otherwise(t))
+
+
 def letter_counts(text: Column) -> Column:
-    """struct(cjk, latin) over the display text without addresses."""
+    """struct(cjk, latin) over the display text without addresses; without any cjk, latin counts up to MIN_SIGNAL only, as no rule asks for more."""
 
-    def without_mail(prose: Column) -> Column:
-        # '@' is needed for a mail address, so most texts skip that pass.
-        return F.when(F.contains(prose, F.lit("@")), F.regexp_replace(prose, MAIL_ADDRESS, " ")).otherwise(prose)
+    def mailed(part: Column) -> Column:
+        return F.contains(part, F.lit("@"))
 
-    def without_web(prose: Column) -> Column:
-        low = F.lower(prose)
-        linked = F.contains(low, F.lit("://")) | F.contains(low, F.lit("www."))
-        return F.when(linked, F.regexp_replace(prose, WEB_ADDRESS, " ")).otherwise(prose)
+    def linked(part: Column) -> Column:
+        return let(F.lower(part), lambda low: holds_any(low, ("://", "www.")))
 
     def counts(prose: Column) -> Column:
         # Letters left after deleting every other character: no per-letter match objects.
-        return F.struct(F.length(F.regexp_replace(prose, r"[^\x{4e00}-\x{9fff}]+", "")).alias("cjk"),
-                        F.length(F.regexp_replace(prose, "[^A-Za-z]+", "")).alias("latin"))
+        latin = F.length(F.regexp_replace(prose, "[^A-Za-z]+", ""))
+        return let(F.length(F.regexp_replace(prose, r"[^\x{4e00}-\x{9fff}]+", "")), lambda cjk: F.struct(
+            cjk.alias("cjk"), F.when((cjk == 0) & prose.rlike(SIGNAL), MIN_SIGNAL).otherwise(F.least(latin, F.when(cjk == 0, MIN_SIGNAL))).alias("latin")))
 
-    return let(let(let(clean_display_html(text), without_web), without_mail), counts)
+    return let(_blanked(_blanked(clean_display_html(text), WEB_ADDRESS, linked), MAIL_ADDRESS, mailed), counts)
 
 
 def language_of(counts: Column) -> Column:

@@ -144,7 +144,7 @@ def with_translation_key(docs: DataFrame, text: str, model: str = MOCK_MODEL, ke
         "should_translate": needs_translation_from(F.col("_counts"), F.col("language")),
         "source_hash": source_hash(F.col(text)), "source_urls": extract_urls(F.col(text)),
     }).withColumn("cache_key", F.when(F.col("should_translate"), cache_key(
-        F.col("podcast_id"), F.col("episode_id"), F.col("episode_url"), F.col(text), F.lit(model)))).drop("_counts")
+        F.col("podcast_id"), F.col("episode_id"), F.col("episode_url"), F.col(text), F.lit(model), hashed=F.col("source_hash")))).drop("_counts")
     return keyed if keep_text else keyed.drop(text)
 
 
@@ -218,32 +218,40 @@ def valid_snapshot(version: Column, heading: Column, sections: Column) -> Column
     return let(kept, lambda k: F.when((version == SNAPSHOT_VERSION) & heading.isin("full", "translated") & (F.size(k) > 0), k))
 
 
-def display_result(docs: DataFrame, key: str, translated: DataFrame | None = None, limit: int = DISPLAY_CHUNK_CHARS) -> DataFrame:
-    """Display sections and diagnostics per item.
+def display_result(docs: DataFrame, key: str, translated: DataFrame | None = None, limit: int = DISPLAY_CHUNK_CHARS, diagnostics: bool = True) -> DataFrame:
+    """Display sections and diagnostics per item; without `diagnostics` key, heading, sections and translation_status only.
 
     Needs show_notes_text, show_notes, description, summary_3_sentences_cn, one_line_summary_cn, language,
     show_notes_truncated, show_notes_source, show_notes_text_len. `translated` is a `translate_with_cache` result.
     """
-    base = docs.withColumn("source_text", best_display_text(*[F.col(c) for c in (
-        "show_notes_text", "show_notes", "description", "summary_3_sentences_cn", "one_line_summary_cn")]))
+    if translated is None:
+        base = docs.withColumns({"t_status": F.lit("disabled"), "t_text": F.lit("")})
+    else:
+        base = docs.join(translated.select(key, F.col("status").alias("t_status"), F.col("translated_text").alias("t_text")), key, "left")
+    usable = F.coalesce(F.col("t_status").isin(*DISPLAYABLE), F.lit(False))
+    base = base.withColumn("t_clean", F.when(usable, clean_display_html(F.col("t_text"))).otherwise(""))
+    is_translated = F.col("t_clean") != ""
+    source = best_display_text(*[F.col(c) for c in (
+        "show_notes_text", "show_notes", "description", "summary_3_sentences_cn", "one_line_summary_cn")])
+
+    def shown(display_text: Column) -> list[Column]:
+        original = let(split_sections(display_text, limit), lambda own: F.when(F.size(own) > 0, own).otherwise(F.array(F.lit(PLACEHOLDER))))
+        return [F.col(key), F.when(is_translated, "translated").otherwise("full").alias("heading"),
+                F.when(is_translated, split_sections(F.col("t_clean"), limit, cleaned=True)).otherwise(original).alias("sections"),
+                F.coalesce("t_status", F.lit("failed")).alias("translation_status")]
+
+    if not diagnostics:
+        # All in the branch that shows it: the own sections of a translated text, which nobody sees, are not worked out.
+        return base.select(*shown(filter_blocks(source, cleaned=True)["text"]))
+    base = base.withColumn("source_text", source)
     base = base.withColumn("_f", filter_blocks(F.col("source_text"), cleaned=True)).withColumn("display_text", F.col("_f.text"))
     base = base.withColumns({
         "_counts": letter_counts(F.col("display_text")),
         "completeness": source_completeness(F.col("source_text"), F.col("display_text"), F.col("show_notes_truncated"),
-                                            F.col("show_notes_source"), F.col("show_notes_text_len")),
-        "original_sections": split_sections(F.col("display_text"), limit)})
+                                            F.col("show_notes_source"), F.col("show_notes_text_len"))})
     base = base.withColumns({
         "detected_language": language_of(F.col("_counts")), "should_translate": needs_translation_from(F.col("_counts"), F.col("language"))})
-    if translated is None:
-        base = base.withColumns({"t_status": F.lit("disabled"), "t_text": F.lit("")})
-    else:
-        base = base.join(translated.select(key, F.col("status").alias("t_status"), F.col("translated_text").alias("t_text")), key, "left")
-    usable = F.coalesce(F.col("t_status").isin(*DISPLAYABLE), F.lit(False))
-    shown = base.withColumn("t_clean", F.when(usable, clean_display_html(F.col("t_text"))).otherwise(""))
-    shown = shown.withColumn("heading", F.when(F.col("t_clean") != "", "translated").otherwise("full"))
-    original = F.when(F.size("original_sections") > 0, F.col("original_sections")).otherwise(F.array(F.lit(PLACEHOLDER)))
-    return shown.select(
-        key, "heading", F.when(F.col("heading") == "translated", split_sections(F.col("t_clean"), limit, cleaned=True)).otherwise(original).alias("sections"),
-        F.coalesce("t_status", F.lit("failed")).alias("translation_status"), "detected_language", "should_translate",
+    return base.select(
+        *shown(F.col("display_text")), "detected_language", "should_translate",
         F.col("_f.kept_category_counts").alias("kept_category_counts"), F.col("_f.removed_category_counts").alias("removed_category_counts"),
         F.col("_f.removed_reasons").alias("removed_reasons"), "completeness", residual_latin(F.col("t_clean")).alias("residual_latin"))

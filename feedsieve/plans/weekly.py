@@ -146,8 +146,7 @@ def display(items: DataFrame, records: DataFrame, root: str, translator: Callabl
     text, none = F.col("show_notes"), F.lit(None).cast("string")
     ready = texts.select("item_pos", "language", text.alias("show_notes_text"), text.alias("show_notes"), none.alias("description"), F.array().cast("array<string>").alias("summary_3_sentences_cn"),
                          none.alias("one_line_summary_cn"), F.lit(False).alias("show_notes_truncated"), F.lit("show_notes").alias("show_notes_source"), F.length(text).alias("show_notes_text_len"))
-    shown = translate.display_result(ready, "item_pos", translated)
-    return shown.select("item_pos", "heading", "sections", "translation_status")
+    return translate.display_result(ready, "item_pos", translated, diagnostics=False)
 
 
 def report(records: DataFrame, shown: DataFrame, summary: DataFrame) -> DataFrame:
