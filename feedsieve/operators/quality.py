@@ -124,6 +124,7 @@ def translation_summary(items: DataFrame, keys: list[str], order: list[str], kee
     return counts.join(listed, keys, "left")
 
 
+HEAD = 1000
 #: All that a reason and its warnings take from an item's texts.
 QUOTED = ("_title", "_hits", "_quote", "_size")
 
@@ -135,12 +136,17 @@ def with_quote(items: DataFrame, policy: Policy) -> DataFrame:
     def holding(parts: Column) -> Column:
         return F.get(F.filter(parts, lambda s: F.size(kw.matched_words(F.lower(s), boost)) > 0), F.lit(0))
 
-    # Mostly the first sentence or one of the next seven; the others are cut apart only if it is not. No blank follows the cut, so what
-    # is left is cut as it would have been.
+    def first_of(parts: Column, n: Column) -> Column:
+        return F.coalesce(holding(F.slice(parts, 1, F.least(n, F.lit(1)))), holding(F.slice(parts, 2, F.greatest(n - 1, F.lit(0)))))
+
+    # Mostly one of the first eight sentences, so those that end within the first characters are tried first, then as many of the
+    # whole text, and the others are cut apart only if it is none of these. No blank follows the cut, so what is left is cut as it would have been.
     def later(rest: Column) -> Column:
         return F.when(rest.isNotNull(), holding(F.split(rest, SENTENCE_GAP, -1)))
 
-    found = let(F.split("_notes", SENTENCE_GAP, 9), lambda parts: F.coalesce(holding(F.slice(parts, 1, 1)), holding(F.slice(parts, 2, 7)), later(F.get(parts, F.lit(8)))))
+    early = let(F.split(F.left("_notes", F.lit(HEAD)), SENTENCE_GAP, 9), lambda parts: first_of(parts, F.size(parts) - 1))
+    whole = let(F.split("_notes", SENTENCE_GAP, 9), lambda parts: F.coalesce(first_of(parts, F.lit(8)), later(F.get(parts, F.lit(8)))))
+    found = F.coalesce(early, whole)
     return items.withColumns({"_quote": F.left(strip(F.coalesce(found, F.lit(""))), F.lit(60)), "_size": F.length("_notes")})
 
 

@@ -85,8 +85,10 @@ def decision_records(items: DataFrame, policy: Policy, registry: DataFrame, host
     """
     scored = materialize(decide(items, policy, quoted=True), "week-scores")
     decided = materialize(settle(scored.drop(*QUOTED), policy), "week-decisions")
-    kept = items.join(decided.select("item_pos"), "item_pos", "left_semi")
-    candidates = guests.dedup_candidates(guests.guest_candidates(kept, hosts))
+    ids = decided.select("item_pos")
+    kept = items.join(ids, "item_pos", "left_semi")
+    # The few matches are sifted, not the texts: those would be sorted for a join, which costs more than to search the duplicates too.
+    candidates = guests.dedup_candidates(guests.guest_candidates(items, hosts).join(ids, "item_pos", "left_semi"))
     detected = materialize(guests.guest_status(kept, candidates, hosts), "week-guests")
     if cache is None:
         payload = "struct<background_zh:string,sources:array<struct<title:string,url:string,snippet:string,quality:string>>,confidence:string,note:string>"

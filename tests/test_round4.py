@@ -42,7 +42,8 @@ def test_a_run_builds_its_items_once(spark, tmp_path, mode):
 def test_reasons_need_no_texts_beside_what_was_noted(spark):
     """The quote is the first sentence with an interest word, wherever it stands; reason and warnings are those of the texts."""
     quiet, hit = "Nothing here that counts", "They talk of it all"
-    cases = {f"{n}": [quiet] * n + [hit + str(n)] for n in (0, 1, 7, 8, 9, 30)} | {"none": [quiet] * 12, "short": ["x"], "empty": [""]}
+    cases = {f"{n}": [quiet] * n + [hit + str(n)] for n in (0, 1, 7, 8, 9, 30, 39, 40, 41, 42, 90)} | {
+        f"long{n}": ["x" * n, hit, quiet] for n in (950, 980, 983, 999, 1000, 3000)} | {"none": [quiet] * 12, "short": ["x"], "empty": [""]}
     likes = replace(P, interests=replace(P.interests, boost=("of",)))
     scored = score.add_scores(_items(spark, [". ".join(c) for c in cases.values()]), likes).withColumns({
         "guest_names": F.array().cast("array<string>"), "guest_detection_status": F.lit("no_guest_detected")})
